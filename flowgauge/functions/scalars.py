@@ -87,7 +87,7 @@ def flow_start(c: Column, dtype: T.DataType) -> Column:
     if is_numeric(dtype):
         return F.timestamp_millis(c.cast("bigint"))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(F.timestamp_millis(F.try_to_number(c, F.lit("9999999999999"))), F.try_to_timestamp(c))
+        return F.coalesce(F.timestamp_millis(c.try_cast("bigint")), c.try_cast("timestamp"))
     return c.cast("timestamp")
 
 
