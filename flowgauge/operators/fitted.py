@@ -176,17 +176,13 @@ def _one_hot(df: DataFrame, f: Fitted) -> DataFrame:
         out = _label(out, Fitted("label", {c: f.params["codes"][c] for c in sparse}, f.tables))
         for c, n in sparse.items():
             idx = out.withColumn("__i", F.coalesce(F.col(quote(c)).cast("double"), F.lit(float(n))))
-            enc = OneHotEncoder(inputCol="__i", outputCol=f"{c}_onehot", dropLast=False, handleInvalid="keep")
-            out = enc.fit(idx.limit(0).unionByName(_index_range(idx, n))).transform(idx).drop("__i", c)
+            # index n means "unknown"; it is the dropped last slot, so its vector is all zeros
+            enc = OneHotEncoder(inputCol="__i", outputCol=f"{c}_onehot", dropLast=True)
+            widest = df.sparkSession.range(1).select(F.lit(float(n)).alias("__i"))
+            out = enc.fit(widest).transform(idx).drop("__i", c)
     return out
 
 
-def _index_range(like: DataFrame, n: int) -> DataFrame:
-    """A row holding the largest index, which is all the encoder reads."""
-    one = like.sparkSession.range(1).select(F.lit(float(n)).alias("__i"))
-    return one.select(*[F.col("__i") if x.name == "__i" else F.lit(None).cast(x.dataType).alias(x.name) for x in like.schema.fields])
-
-
 # ---- imputation ----------------------------------------------------------
 
 
