@@ -7,8 +7,6 @@ shuffle or sort of the table, and the same rows for any partitioning.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +34,14 @@ def stratified_quotas(df: DataFrame, strata: list[str], target: str, test_size:
     whole = Window.partitionBy(*strata)
     n_all = F.sum("n").over(whole)
     n_test = F.ceil(F.lit(test_size) * n_all.cast("double"))
-    share = counts.withColumn("__num", F.col("n") * n_test).withColumn("__all", n_all).withColumn("__test", n_test)
+    # n * n_test passes 2^63 on large tables
+    product = F.col("n").cast("decimal(19,0)") * n_test.cast("decimal(18,0)")
+    share = counts.withColumn("__num", product).withColumn("__all", n_all).withColumn("__test", n_test)
     base = share.withColumn("__floor", F.expr("__num div __all")).withColumn("__rest", F.col("__num") % F.col("__all"))
     left = F.col("__test") - F.sum("__floor").over(whole)
     order = Window.partitionBy(*strata).orderBy(F.col("__rest").desc(), F.col(target))
     quota = F.col("__floor") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)
-    return base.select(*strata, target, "n", quota.alias("quota"))
+    return base.select(*strata, target, "n", quota.cast("bigint").alias("quota"))
 
 
 def split_stratified(
@@ -172,7 +172,3 @@ def split_cross_dataset_benign(df: DataFrame, target: str, benign, test_size: fl
 def _need_two(df: DataFrame) -> None:
     if len(df.select("dataset").distinct().limit(2).collect()) < 2:
         raise ValueError("a cross-dataset split needs at least two datasets")
-
-
-def test_quota(n: int, test_size: float) -> int:
-    return math.ceil(test_size * n)
