@@ -23,7 +23,7 @@ log = logging.getLogger(__name__)
 Cells = dict[str, Column]
 
 # Default strengths of a robustness sweep.
-DEFAULT_EPSILONS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.2, 0.3]
+DEFAULT_EPSILONS = [0.001, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3]
 
 
 def _x(c: str) -> Column:
