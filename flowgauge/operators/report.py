@@ -243,6 +243,8 @@ def comparison_groups(results: DataFrame) -> DataFrame:
 
 def nested_report(results: DataFrame) -> DataFrame:
     """One JSON text per (training set, model): tests with clean metrics, attacks, losses and their summary."""
+    if "fold" in results.columns:
+        results = results.fillna(-1, ["fold"])
     named = with_metadata(visible_metrics(results))
     slug = F.lower(F.replace("display_name", F.lit(" "), F.lit("_")))
     keys = _keys(results)
