@@ -259,14 +259,12 @@ class FittedAnomaly:
 # ---- cluster-routed ensemble ---------------------------------------------
 
 
-def nearest_center(df: DataFrame, features: list[Column], centers: list[list[float]]) -> Column:
-    """Index of the closest centre by squared distance; ties go to the lower index."""
+def nearest_center(vector: Column, centers: list[list[float]]) -> Column:
+    """Index of the centre closest to an array column by squared distance; ties go to the lower index."""
 
     def distance(center: list[float]) -> Column:
-        total = F.lit(0.0)
-        for f, c in zip(features, center):
-            total = total + (f - F.lit(float(c))) * (f - F.lit(float(c)))
-        return total
+        gaps = F.zip_with(vector, F.array(*[F.lit(float(c)) for c in center]), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g)
 
     ranked = F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)])
     return F.array_min(ranked)["i"]

@@ -105,22 +105,24 @@ class _DetectionState(StatefulProcessor):
         self.open = handle.getValueState("open", "start_us bigint, length bigint, delay bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
-        last = None
         for pdf in rows:
             self.pending.appendList(list(pdf[["us", "id", "t", "p"]].itertuples(index=False, name=None)))
-            top = int(pdf["us"].max())
-            last = top if last is None else max(last, top)
-        if last is not None:
-            self.handle.registerTimer(last // 1000 + 1)
-        yield pd.DataFrame({"key": [], "start_us": [], "rows": [], "delay": []})
+        yield self._advance(key, timer)
 
     def handleExpiredTimer(self, key, timer: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due_us = expired.getExpiryTimeInMs() * 1000
+        yield self._advance(key, timer)
+
+    def _advance(self, key, timer: TimerValues) -> pd.DataFrame:
+        """Handle all rows the watermark has passed, and wake up again for the next one."""
+        due_us = timer.getCurrentWatermarkInMs() * 1000
         held = sorted(self.pending.get())
         ready = [r for r in held if r[0] < due_us]
-        later = [r for r in held if r[0] >= due_us]
+        later = held[len(ready) :]
         if later:
             self.pending.put(later)
+            for at in self.handle.listTimers():
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
         else:
             self.pending.clear()
         current = self.open.get()
@@ -136,14 +138,14 @@ class _DetectionState(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update(current)
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
-                "key": [key[0]] * len(done),
-                "start_us": [d[0] for d in done],
-                "rows": [d[1] for d in done],
-                "delay": [None if d[2] < 0 else d[2] for d in done],
+                "key": pd.Series([key[0]] * len(done), dtype="int64"),
+                "start_us": pd.Series([d[0] for d in done], dtype="int64"),
+                "rows": pd.Series([d[1] for d in done], dtype="int64"),
+                "delay": pd.Series([None if d[2] < 0 else d[2] for d in done], dtype="Int64"),
             }
-        ).astype({"delay": "Int64"})
+        )
 
     def close(self) -> None:
         pass
