@@ -478,7 +478,7 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flow_start",
-    """SELECT event_id AS row_id, epoch_ms(ts) * 1000 AS from_millis, epoch_us(ts) AS from_timestamp,
+    """SELECT event_id AS row_id, epoch_us(ts) // 1000 * 1000 AS from_millis, epoch_us(ts) AS from_timestamp,
        epoch_us(ts) AS from_text FROM events""",
 )
 def flow_start(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,9 +521,9 @@ def normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "format_value",
-    """SELECT event_id AS row_id, CASE WHEN abs(value / 7e4) < 0.001 AND value <> 0 THEN value / 7e4
-       ELSE round(value / 7e4, 5) END AS shown FROM events""",
+    """SELECT event_id AS row_id, CASE WHEN abs(value / 65537) < 0.001 AND value <> 0 THEN value / 65537
+       ELSE round(value / 65537, 5) END AS shown FROM events""",
 )
 def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v.events(spark, sf_dir)
-    return e.select(F.col("event_id").alias("row_id"), scalars.format_value(F.col("value") / 7e4).alias("shown"))
+    return e.select(F.col("event_id").alias("row_id"), scalars.format_value(F.col("value") / 65537).alias("shown"))

@@ -178,7 +178,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PACKETS = """packets AS (
-  SELECT event_id AS pkt_id, epoch_ms(ts) AS ts_ms, ts, user_id % 20 AS src,
+  SELECT event_id AS pkt_id, epoch_us(ts) // 1000 AS ts_ms, ts, user_id % 20 AS src,
          CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 5 + 100 AS dst,
          CAST(floor(value) AS BIGINT) + 40 AS size, event_type = 'signup' AS syn, event_type = 'purchase' AS fin
   FROM events)"""

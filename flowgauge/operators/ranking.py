@@ -49,26 +49,34 @@ def _range_aggs() -> list[Column]:
     ]
 
 
+def group_ranges(df: DataFrame, groups: list[str], key: Column, tie: Column) -> tuple[DataFrame, bool]:
+    """Rows per group (``__n``) and the ranges of key and tie-breaker, pinned."""
+    base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
+    return pin_small(base.groupBy(*groups).agg(*_range_aggs()))
+
+
 def select_ranks(
     df: DataFrame,
     groups: list[str],
     key: Column,
     tie: Column,
-    targets: DataFrame,
+    ranges: tuple[DataFrame, bool],
+    targets: tuple[DataFrame, bool],
     sort_rows: int = SORT_ROWS,
     bins: int = BINS,
 ) -> tuple[DataFrame, bool]:
     """Key and tie-breaker at each requested 1-based rank.
 
-    ``targets`` holds (groups..., target, rank); the result, pinned, holds
-    (groups..., target, cut_key, cut_tie). Ranks outside the group give no row.
+    ``ranges`` comes from ``group_ranges``; ``targets`` holds (groups..., target,
+    rank). The result, pinned, holds (groups..., target, cut_key, cut_tie).
+    Ranks outside the group give no row.
     """
     base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
-    ranges = base.groupBy(*groups).agg(*_range_aggs())
-    t = _prefixed(targets.select(*groups, "target", F.col("rank").cast("bigint").alias("rank")), groups)
-    cond = reduce(lambda a, b: a & b, [_same(ranges[g], t[f"__g_{g}"]) for g in groups], F.lit(True))
+    t = hinted((_prefixed(targets[0].select(*groups, "target", "rank"), groups), targets[1]))
+    spans = ranges[0]
+    cond = reduce(lambda a, b: a & b, [_same(spans[g], t[f"__g_{g}"]) for g in groups])
     cols = [*groups, "target", "rank", *_BOUNDS, "__n"]
-    state = pin_small(ranges.join(hinted(pin_small(t)), cond).where("rank between 1 and __n").select(*cols))
+    state = pin_small(spans.join(t, cond).where("rank between 1 and __n").select(*cols))
 
     flat = (F.col("__klo") == F.col("__khi")) & (F.col("__tlo") == F.col("__thi"))
     wide = (F.col("__n") > sort_rows) & ~flat
@@ -144,17 +152,16 @@ def percentiles(
     it would be inside the built-in exact percentile aggregate.
     """
     long = unpivot_numeric(df, columns)
-    n_df = long.groupBy("__c").agg(F.count(F.lit(1)).alias("n"))
-    pos = (F.col("n") - 1).cast("double") * F.lit(float(q))
+    groups, key, tie = ["__c"], F.col("__v"), F.lit(0)
+    ranges = group_ranges(long, groups, key, tie)
+    counts = {r["__c"]: r["__n"] for r in ranges[0].collect()}
+    pos = (F.col("__n") - 1).cast("double") * F.lit(float(q))
     lo_hi = F.array(
         F.struct(F.lit("lo").alias("target"), (F.floor(pos) + 1).alias("rank")),
         F.struct(F.lit("hi").alias("target"), (F.ceil(pos) + 1).alias("rank")),
     )
-    counts = {r["__c"]: r["n"] for r in n_df.collect()}
-    spark = df.sparkSession
-    sized = spark.createDataFrame([(k, v) for k, v in counts.items()], "__c string, n bigint")
-    targets = sized.select("__c", F.inline(lo_hi))
-    got, _ = select_ranks(long, ["__c"], F.col("__v"), F.lit(0), targets, sort_rows, bins)
+    targets = (ranges[0].select("__c", F.inline(lo_hi)), ranges[1])
+    got, _ = select_ranks(long, groups, key, tie, ranges, targets, sort_rows, bins)
     found = {(r["__c"], r["target"]): r["cut_key"] for r in got.collect()}
     out: dict[str, float | None] = {}
     for c in columns:

@@ -19,8 +19,8 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, boo
     broadcast; a larger table is written to the shared folder instead and must
     be joined by shuffle.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
         return df.sparkSession.createDataFrame(head, df.schema), True
     return durable(df), False
 

@@ -13,24 +13,26 @@ from pyspark.sql import types as T
 
 from flowgauge.functions.hashing import hash_order
 from flowgauge.functions.scalars import is_numeric, quote
-from flowgauge.operators.ranking import BINS, SORT_ROWS, beyond, select_ranks
+from flowgauge.operators.ranking import BINS, SORT_ROWS, beyond, group_ranges, select_ranks
 from flowgauge.operators.small import attach, pin_small
 
 
-def _cut_lists(df: DataFrame, groups: list[str], key: Column, tie: Column, targets: DataFrame, **limits: int):
+Pinned = tuple[DataFrame, bool]
+
+
+def _cut_lists(
+    df: DataFrame, groups: list[str], key: Column, tie: Column, ranges: Pinned, targets: DataFrame, **limits: int
+) -> Pinned:
     """Per group the ordered list of cuts; a rank of 0 gives a cut before every row."""
-    targets, small = pin_small(targets)
-    found, found_small = select_ranks(df, groups, key, tie, targets, **limits)
-    on = [*groups, "target"]
-    cuts = attach(targets, (found, found_small), on)
+    pinned = pin_small(targets.withColumn("rank", F.col("rank").cast("bigint")))
+    found = select_ranks(df, groups, key, tie, ranges, pinned, **limits)
+    cuts = attach(pinned[0], found, [*groups, "target"])
     item = F.struct("target", "cut_key", "cut_tie")
-    lists = cuts.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("__cuts"))
-    return lists, small
+    return cuts.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("__cuts")), pinned[1]
 
 
-def stratified_quotas(df: DataFrame, strata: list[str], target: str, test_size: float) -> DataFrame:
-    """Test rows per class by largest remainder; ties go to the smaller class name."""
-    counts = df.groupBy(*strata, target).agg(F.count(F.lit(1)).alias("n"))
+def stratified_quotas(counts: DataFrame, strata: list[str], target: str, test_size: float) -> DataFrame:
+    """Test rows per class by largest remainder, from (strata..., target, n); ties go to the smaller class."""
     whole = Window.partitionBy(*strata)
     n_all = F.sum("n").over(whole)
     n_test = F.ceil(F.lit(test_size) * n_all.cast("double"))
@@ -59,15 +61,15 @@ def split_stratified(
     ``within`` splits several datasets of one table at once.
     """
     strata = within or []
-    counts = pin_small(stratified_quotas(df, strata, target, test_size))
-    lonely = counts[0].where(F.col("n") < 2).limit(1).collect()
-    if lonely:
-        raise ValueError(f"class {lonely[0][target]!r} has fewer than 2 rows")
     key, tie = hash_order(seed, F.col(row_id)), F.col(row_id)
     groups = [*strata, target]
-    targets = counts[0].select(*groups, F.lit(0).alias("target"), F.col("quota").alias("rank"))
-    lists, small = _cut_lists(df, groups, key, tie, targets, sort_rows=sort_rows, bins=bins)
-    out = attach(df, (lists, small), groups)
+    ranges = group_ranges(df, groups, key, tie)
+    lonely = ranges[0].where(F.col("__n") < 2).limit(1).collect()
+    if lonely:
+        raise ValueError(f"class {lonely[0][target]!r} has fewer than 2 rows")
+    quotas = stratified_quotas(ranges[0].withColumnRenamed("__n", "n"), strata, target, test_size)
+    targets = quotas.select(*groups, F.lit(0).alias("target"), F.col("quota").alias("rank"))
+    out = attach(df, _cut_lists(df, groups, key, tie, ranges, targets, sort_rows=sort_rows, bins=bins), groups)
     is_train = beyond(key, tie, F.col("__cuts")[0])
     return out.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("__cuts")
 
@@ -81,7 +83,9 @@ def split_kfold(
     """
     if n_splits < 2:
         raise ValueError("k-fold needs at least 2 splits")
-    classes = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first"))
+    key, tie = F.col(row_id), F.lit(0)
+    ranges = group_ranges(df, [target], key, tie)
+    classes = ranges[0].select(target, F.col("__n").alias("n"), F.col("__klo").alias("first"))
     before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     # one row per class: a single-partition window over class counts only
     placed = classes.withColumn("s", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -90,9 +94,7 @@ def split_kfold(
     sizes = placed.select(target, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 2))).alias("i"))
     run = Window.partitionBy(target).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     targets = sizes.select(target, F.col("i").alias("target"), F.sum(upto).over(run).alias("rank"))
-    key, tie = F.col(row_id), F.lit(0)
-    lists, small = _cut_lists(df, [target], key, tie, targets, sort_rows=sort_rows, bins=bins)
-    out = attach(df, (lists, small), [target])
+    out = attach(df, _cut_lists(df, [target], key, tie, ranges, targets, sort_rows=sort_rows, bins=bins), [target])
     passed = F.size(F.filter("__cuts", lambda c: beyond(key, tie, c)))
     return out.withColumn("fold", passed.cast("int")).drop("__cuts")
 
@@ -115,13 +117,13 @@ def split_timestamp(
 ) -> DataFrame:
     """Add ``split``: the earliest rows train, the latest test; rows without a time are dropped."""
     timed = df.withColumn("__time", time_key(df, column)).where("__time is not null")
-    n = timed.count()
-    quota = int((1 - test_size) * n)
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(0, 0, quota)], "__all int, target int, rank bigint")
     keyed = timed.withColumn("__all", F.lit(0))
-    found, _ = select_ranks(keyed, ["__all"], F.col("__time"), F.col(row_id), targets, sort_rows, bins)
-    cut = found.collect()
+    groups, key, tie = ["__all"], F.col("__time"), F.col(row_id)
+    ranges = group_ranges(keyed, groups, key, tie)
+    n = sum(r["__n"] for r in ranges[0].collect())
+    quota = int((1 - test_size) * n)
+    targets = (ranges[0].select("__all", F.lit(0).alias("target"), F.lit(quota).cast("bigint").alias("rank")), True)
+    cut = select_ranks(keyed, groups, key, tie, ranges, targets, sort_rows, bins)[0].collect()
     if not cut:
         return timed.withColumn("split", F.lit("test")).drop("__time")
     at, tie = F.lit(cut[0]["cut_key"]), F.lit(cut[0]["cut_tie"])
@@ -144,16 +146,16 @@ def split_benign_train(
     strata = within or []
     is_benign = F.coalesce(F.col(target) == F.lit(benign), F.lit(False))
     marked = df.withColumn("__benign", is_benign)
-    counts = marked.groupBy(*strata).agg(F.count_if(F.col("__benign")).alias("n"))
-    rows = pin_small(counts)
-    if rows[0].where(F.col("n") == 0).limit(1).collect() or rows[0].isEmpty():
-        raise ValueError(f"a dataset has no rows with benign label {benign!r}")
-    quota = F.when(F.col("n") > 1, F.ceil(F.lit(test_size) * F.col("n").cast("double"))).otherwise(0)
-    groups = [*strata, "__benign"]
-    targets = rows[0].select(*strata, F.lit(True).alias("__benign"), F.lit(0).alias("target"), quota.alias("rank"))
     key, tie = hash_order(seed, F.col(row_id)), F.col(row_id)
-    lists, small = _cut_lists(marked.where("__benign"), groups, key, tie, targets, sort_rows=sort_rows, bins=bins)
-    out = attach(marked, (lists, small), groups)
+    groups = [*strata, "__benign"]
+    ranges = group_ranges(marked, groups, key, tie)
+    none = ranges[0].groupBy(*strata).agg(F.bool_or("__benign").alias("any")).where("not any")
+    if ranges[0].isEmpty() or not none.isEmpty():
+        raise ValueError(f"a dataset has no rows with benign label {benign!r}")
+    quota = F.when(F.col("__n") > 1, F.ceil(F.lit(test_size) * F.col("__n").cast("double"))).otherwise(0)
+    targets = ranges[0].where("__benign").select(*groups, F.lit(0).alias("target"), quota.alias("rank"))
+    lists = _cut_lists(marked.where("__benign"), groups, key, tie, ranges, targets, sort_rows=sort_rows, bins=bins)
+    out = attach(marked, lists, groups)
     is_train = F.col("__benign") & beyond(key, tie, F.col("__cuts")[0])
     return out.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("__cuts", "__benign")
 
