@@ -209,7 +209,7 @@ BIAS = -0.6
 
 
 def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold detectors trained 'on' three datasets, tested on three, clean and under two attacks."""
+    """Threshold detectors trained 'on' three datasets, tested on three, clean and under three attacks."""
     e = events(spark, sf_dir)
     trains = F.array(*[F.struct(F.lit(f"D{i}").alias("train_dataset"), F.lit(i).alias("ti")) for i in range(3)])
     models = F.array(*[F.struct(F.lit(f"m{i + 1}").alias("model"), F.lit(i).alias("mi")) for i in range(2)])
@@ -218,6 +218,7 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(None).cast("string").alias("attack"), v.alias("v")),
         F.struct(F.lit("shift").alias("attack"), (v + 15.0).alias("v")),
         F.struct(F.lit("scale").alias("attack"), (v * 1.5).alias("v")),
+        F.struct(F.lit("offset").alias("attack"), (v - 10.0).alias("v")),
     )
     rows = e.select(
         F.concat(F.lit("D"), (F.col("user_id") % 3).cast("string")).alias("test_dataset"),
@@ -241,11 +242,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS = """grid AS (
   SELECT * FROM (VALUES ('D0', 0), ('D1', 1), ('D2', 2)) t(train_dataset, ti),
                 (VALUES ('m1', 0), ('m2', 1)) m(model, mi),
-                (VALUES (NULL, 0), ('shift', 1), ('scale', 2)) a(attack, ai)),
+                (VALUES (NULL, 0), ('shift', 1), ('scale', 2), ('offset', 3)) a(attack, ai)),
 scored AS (
   SELECT train_dataset, model, 'D' || CAST(user_id % 3 AS VARCHAR) AS test_dataset, attack,
          CAST(event_type IN ('error', 'purchase') AS INTEGER) AS y_true,
-         CAST((CASE ai WHEN 0 THEN value WHEN 1 THEN value + CAST(15 AS DOUBLE) ELSE value * CAST(1.5 AS DOUBLE) END)
+         CAST((CASE ai WHEN 0 THEN value WHEN 1 THEN value + CAST(15 AS DOUBLE)
+               WHEN 2 THEN value * CAST(1.5 AS DOUBLE) ELSE value - CAST(10 AS DOUBLE) END)
               >= 30 + 10 * ti + 5 * mi AS INTEGER) AS y_pred
   FROM events, grid),
 cells AS (
