@@ -13,13 +13,15 @@ from flowgauge.functions.scalars import fold_missing
 from flowgauge.operators import detectors, flows, metrics, perturb, splits
 from flowgauge.operators.fitted import fit_min_max
 from flowgauge.operators.labeling import label_from_column, label_time_windows
+from flowgauge.session import durable
 
 # ---- detectors -----------------------------------------------------------
 
 
 def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     u = v.unit(spark, sf_dir).withColumn("target_label", (F.col("x1") + F.col("x3") > 0.8).cast("int"))
-    s = splits.split_stratified(u, "target_label", 0.3, 42)
+    # learners read their training rows many times
+    s = durable(splits.split_stratified(u, "target_label", 0.3, 42))
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 

@@ -78,7 +78,11 @@ class ZScores:
 
 
 def pca_errors(benign: DataFrame, features: list[str], k: int):
-    """Fit a PCA on benign rows; returns a function adding ``rmse`` of the reconstruction."""
+    """Fit a PCA on standardised benign rows; returns a function adding ``rmse`` of the reconstruction.
+
+    The components are orthonormal, so the squared error is the squared length of
+    a row minus that of its projection.
+    """
     z = ZScores.fit(benign, features)
     names = [f"__z{i}" for i in range(len(features))]
     assembler = VectorAssembler(inputCols=names, outputCol="__v", handleInvalid="keep")
@@ -87,23 +91,13 @@ def pca_errors(benign: DataFrame, features: list[str], k: int):
         return assembler.transform(df.select("*", *[z.column(c).alias(n) for c, n in zip(features, names)]))
 
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vectors(benign).select("__v"))
-    loads = model.pc.toArray()
+
+    def squared_length(vector: str) -> Column:
+        return F.aggregate(vector_to_array(F.col(vector)), F.lit(0.0), lambda acc, x: acc + x * x)
 
     def add_rmse(df: DataFrame) -> DataFrame:
-        projected = vectors(df).withColumn("__a", vector_to_array(F.col("__v")))
-        parts = []
-        for j in range(k):
-            dot = reduce(lambda a, b: a + b, [F.col("__a")[i] * F.lit(float(loads[i, j])) for i in range(len(features))])
-            parts.append(dot.alias(f"__c{j}"))
-        coded = projected.select("*", *parts)
-        gaps = []
-        for i in range(len(features)):
-            back = reduce(lambda a, b: a + b, [F.col(f"__c{j}") * F.lit(float(loads[i, j])) for j in range(k)])
-            gap = F.col("__a")[i] - back
-            gaps.append(gap * gap)
-        mean_square = reduce(lambda a, b: a + b, gaps) / F.lit(float(len(features)))
-        return coded.withColumn("rmse", F.sqrt(mean_square)).drop(
-            *names, "__v", "__a", *[f"__c{j}" for j in range(k)]
-        )
+        projected = model.transform(vectors(df))
+        left = F.greatest(F.lit(0.0), squared_length("__v") - squared_length("__p"))
+        return projected.withColumn("rmse", F.sqrt(left / F.lit(float(len(features))))).drop(*names, "__v", "__p")
 
     return add_rmse

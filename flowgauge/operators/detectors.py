@@ -139,33 +139,31 @@ class TreeStack:
     benign: str | None = "benign"
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> PipelineDetector:
-        def out(name: str) -> dict:
-            return {
-                "featuresCol": "__features",
-                "labelCol": "__label",
-                "predictionCol": f"__p_{name}",
-                "probabilityCol": f"__q_{name}",
-                "rawPredictionCol": f"__r_{name}",
-            }
+        def named(est, name: str):
+            """A base learner whose outputs do not clash with the others."""
+            return (
+                est.setFeaturesCol("__features")
+                .setLabelCol("__label")
+                .setPredictionCol(f"__p_{name}")
+                .setProbabilityCol(f"__q_{name}")
+                .setRawPredictionCol(f"__r_{name}")
+            )
 
         def stages(n: int, k: int):
-            base = [
-                DecisionTreeClassifier(maxDepth=self.max_depth, seed=self.seed, **out("tree")),
-                RandomForestClassifier(maxDepth=self.max_depth, numTrees=self.forest_trees, seed=self.seed, **out("forest")),
-                RandomForestClassifier(
-                    maxDepth=self.max_depth, numTrees=self.forest_trees, featureSubsetStrategy="1", seed=self.seed + 1, **out("random")
-                ),
-            ]
-            votes = ["__p_tree", "__p_forest", "__p_random"]
-            meta_in = {"featuresCol": "__meta", "labelCol": "__label"}
+            depth, trees, seed = self.max_depth, self.forest_trees, self.seed
+            base = {
+                "tree": DecisionTreeClassifier(maxDepth=depth, seed=seed),
+                "forest": RandomForestClassifier(maxDepth=depth, numTrees=trees, seed=seed),
+                "random": RandomForestClassifier(maxDepth=depth, numTrees=trees, featureSubsetStrategy="1", seed=seed + 1),
+            }
             if k == 2:
-                base.append(GBTClassifier(maxDepth=min(5, self.max_depth), maxIter=self.boost_rounds, seed=self.seed, **{
-                    **out("boost")}))
-                votes.append("__p_boost")
-                meta = GBTClassifier(maxIter=self.stack_rounds, maxDepth=3, seed=self.seed, **meta_in)
+                base["boost"] = GBTClassifier(maxDepth=min(5, depth), maxIter=self.boost_rounds, seed=seed)
+                meta = GBTClassifier(maxIter=self.stack_rounds, maxDepth=3, seed=seed)
             else:
-                meta = RandomForestClassifier(numTrees=self.forest_trees, maxDepth=self.max_depth, seed=self.seed, **meta_in)
-            return [*base, _assembled(votes, "__meta"), meta]
+                meta = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+            learners = [named(est, name) for name, est in base.items()]
+            votes = _assembled([f"__p_{name}" for name in base], "__meta")
+            return [*learners, votes, meta.setFeaturesCol("__meta").setLabelCol("__label")]
 
         return _fit_pipeline(df, features, target, stages, self.benign)
 

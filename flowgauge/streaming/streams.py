@@ -104,13 +104,13 @@ class _DetectionState(StatefulProcessor):
         self.pending = handle.getListState("pending", "us bigint, id bigint, t boolean, p boolean")
         self.open = handle.getValueState("open", "start_us bigint, length bigint, delay bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             self.pending.appendList(list(pdf[["us", "id", "t", "p"]].itertuples(index=False, name=None)))
-        yield self._advance(key, timer)
+        yield self._advance(key, timerValues)
 
-    def handleExpiredTimer(self, key, timer: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timer)
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues)
 
     def _advance(self, key, timer: TimerValues) -> pd.DataFrame:
         """Handle all rows the watermark has passed, and wake up again for the next one."""
