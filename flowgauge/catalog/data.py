@@ -278,7 +278,7 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pipeline_steps")
 def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step log of a preprocessing run; the counts come from the run's own write."""
+    """The step log of a preprocessing run."""
     steps = [
         Step("cast_numeric", ("txt",)),
         Step("remove_nan_rows"),
@@ -286,9 +286,7 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         Step("remove_duplicate_rows"),
         Step("min_max"),
     ]
-    prepared = preprocess(v.dirty(spark, sf_dir), steps)
-    prepared.table.write.parquet(scratch_path(spark, "prepared"))
-    return prepared.step_table("run")
+    return preprocess(v.dirty(spark, sf_dir), steps).step_table("run")
 
 
 # ---- fitted steps --------------------------------------------------------

@@ -16,7 +16,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -37,6 +38,7 @@ from flowgauge.operators import anomaly
 from flowgauge.operators.fitted import Fitted, fit_min_max
 
 MAX_CLASSES = 1000
+KEPT = StorageLevel.MEMORY_AND_DISK
 
 
 class FittedDetector(Protocol):
@@ -95,16 +97,25 @@ class PipelineDetector:
         return PipelineDetector(PipelineModel.load(f"{path}/model"), **meta)
 
 
-def _fit_pipeline(df: DataFrame, features: list[str], target: str, stages: list, benign: str | None) -> PipelineDetector:
+# turns an assembled, labelled training table into fitted stages
+Fit = Callable[[DataFrame, int, int], list]
+
+
+def _fit_pipeline(df: DataFrame, features: list[str], target: str, fit: Fit, benign: str | None) -> PipelineDetector:
+    """Assemble and index once, keep the training vectors (spilling to disk), and fit the stages on them."""
     label = F.col(quote(target)).cast("string")
     train = _doubles(df, features).withColumn("__y", label).select(*_names(features), "__y")
     indexer = StringIndexer(inputCol="__y", outputCol="__label", stringOrderType="alphabetAsc").fit(train)
     classes = list(indexer.labels)
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{len(classes)} classes; is {target!r} a label column?")
-    labelled = indexer.transform(train).drop("__y")
-    built = stages(len(features), len(classes)) if callable(stages) else stages
-    model = Pipeline(stages=[_assembled(_names(features)), *built]).fit(labelled)
+    assembler = _assembled(_names(features))
+    vectors = assembler.transform(indexer.transform(train)).select("__features", "__label").persist(KEPT)
+    try:
+        fitted = fit(vectors, len(features), len(classes))
+    finally:
+        vectors.unpersist()
+    model = PipelineModel(stages=[assembler, *fitted])
     return PipelineDetector(model, list(features), classes, is_numeric(df.schema[target].dataType), benign)
 
 
@@ -116,11 +127,11 @@ class EstimatorDetector:
     benign: str | None = "benign"
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> PipelineDetector:
-        def stages(n: int, k: int):
+        def fit(vectors: DataFrame, n: int, k: int) -> list:
             est = self.build(n, k)
-            return [est.copy({est.featuresCol: "__features", est.labelCol: "__label"})]
+            return [est.copy({est.featuresCol: "__features", est.labelCol: "__label"}).fit(vectors)]
 
-        return _fit_pipeline(df, features, target, stages, self.benign)
+        return _fit_pipeline(df, features, target, fit, self.benign)
 
 
 def decision_tree(max_depth: int = 10, seed: int = 0, benign: str | None = "benign", **params) -> EstimatorDetector:
@@ -149,7 +160,7 @@ class TreeStack:
                 .setRawPredictionCol(f"__r_{name}")
             )
 
-        def stages(n: int, k: int):
+        def fit(vectors: DataFrame, n: int, k: int) -> list:
             depth, trees, seed = self.max_depth, self.forest_trees, self.seed
             base = {
                 "tree": DecisionTreeClassifier(maxDepth=depth, seed=seed),
@@ -161,11 +172,14 @@ class TreeStack:
                 meta = GBTClassifier(maxIter=self.stack_rounds, maxDepth=3, seed=seed)
             else:
                 meta = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
-            learners = [named(est, name) for name, est in base.items()]
+            # the base learners do not see each other, so each is fitted on the plain vectors
+            learners = [named(est, name).fit(vectors) for name, est in base.items()]
             votes = _assembled([f"__p_{name}" for name in base], "__meta")
-            return [*learners, votes, meta.setFeaturesCol("__meta").setLabelCol("__label")]
+            voted = PipelineModel(stages=[*learners, votes]).transform(vectors)
+            stacked = meta.setFeaturesCol("__meta").setLabelCol("__label").fit(voted)
+            return [*learners, votes, stacked]
 
-        return _fit_pipeline(df, features, target, stages, self.benign)
+        return _fit_pipeline(df, features, target, fit, self.benign)
 
 
 @dataclass
@@ -206,15 +220,17 @@ class FeedForward:
     def fit(self, df: DataFrame, features: list[str], target: str) -> ScaledDetector:
         scaler = fit_min_max(df, features)
 
-        def stages(n: int, k: int):
-            sizes = [n, *self.layers[1:], k]
-            return [
-                MultilayerPerceptronClassifier(
-                    featuresCol="__features", labelCol="__label", layers=sizes, maxIter=self.max_iter, seed=self.seed
-                )
-            ]
+        def fit(vectors: DataFrame, n: int, k: int) -> list:
+            net = MultilayerPerceptronClassifier(
+                featuresCol="__features",
+                labelCol="__label",
+                layers=[n, *self.layers[1:], k],
+                maxIter=self.max_iter,
+                seed=self.seed,
+            )
+            return [net.fit(vectors)]
 
-        return ScaledDetector(scaler, _fit_pipeline(scaler.transform(df), features, target, stages, self.benign))
+        return ScaledDetector(scaler, _fit_pipeline(scaler.transform(df), features, target, fit, self.benign))
 
 
 @dataclass
@@ -322,31 +338,40 @@ class ClusterRouted:
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> "FittedClusterRouted":
         train = df.select(F.col(quote(target)).cast("double").alias("__label"), *[F.col(quote(c)) for c in features])
-        # naive Bayes needs non-negative features, so all learners see scaled ones
+        # naive Bayes and the network want scaled features, so all learners see them
         scaler = fit_min_max(train, features)
-        rows = _doubles(scaler.transform(train), features)
-        k = int(train.agg(F.max("__label")).collect()[0][0]) + 1
-
-        def io(i: int, probability: bool = True) -> dict:
-            cols = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": f"__arm{i}", "rawPredictionCol": f"__r{i}"}
-            return {**cols, "probabilityCol": f"__q{i}"} if probability else cols
-
-        arms = [
-            RandomForestClassifier(numTrees=self.forest_trees, seed=self.seed, **io(0)),
-            DecisionTreeClassifier(seed=self.seed, **io(1)),
-            MultilayerPerceptronClassifier(layers=[len(features), *self.layers, max(2, k)], maxIter=40, seed=self.seed, **io(2)),
-            LogisticRegression(maxIter=40, **io(3)),
-            NaiveBayes(modelType="gaussian", **io(4)),
-        ]
-        km = KMeans(featuresCol="__features", predictionCol="__cluster", k=self.clusters, seed=self.seed)
-        model = Pipeline(stages=[_assembled(_names(features)), km, *arms]).fit(rows)
-        scored = model.transform(rows)
-        table = cluster_arm_rewards(
-            scored, "__cluster", F.col("__label"), [F.col(f"__arm{i}") for i in range(len(arms))]
-        ).collect()
+        assembler = _assembled(_names(features))
+        scaled = _doubles(scaler.transform(train), features)
+        vectors = assembler.transform(scaled).select("__features", "__label").persist(KEPT)
+        try:
+            k = int(vectors.agg(F.max("__label")).collect()[0][0]) + 1
+            learners = [
+                RandomForestClassifier(numTrees=self.forest_trees, seed=self.seed),
+                DecisionTreeClassifier(seed=self.seed),
+                MultilayerPerceptronClassifier(layers=[len(features), *self.layers, max(2, k)], maxIter=40, seed=self.seed),
+                LogisticRegression(maxIter=40),
+                NaiveBayes(modelType="gaussian"),
+            ]
+            arms = [
+                est.setFeaturesCol("__features")
+                .setLabelCol("__label")
+                .setPredictionCol(f"__arm{i}")
+                .setProbabilityCol(f"__q{i}")
+                .setRawPredictionCol(f"__r{i}")
+                .fit(vectors)
+                for i, est in enumerate(learners)
+            ]
+            clusters = KMeans(featuresCol="__features", predictionCol="__cluster", k=self.clusters, seed=self.seed)
+            routed = [clusters.fit(vectors), *arms]
+            picks = [F.col(f"__arm{i}") for i in range(len(arms))]
+            scored = PipelineModel(stages=routed).transform(vectors)
+            table = cluster_arm_rewards(scored, "__cluster", F.col("__label"), picks).collect()
+        finally:
+            vectors.unpersist()
         rewards = [[0.0] * len(arms) for _ in range(self.clusters)]
         for r in table:
             rewards[r["__cluster"]] = [r[f"arm_{i}"] for i in range(len(arms))]
+        model = PipelineModel(stages=[assembler, *routed])
         return FittedClusterRouted(model, scaler, list(features), rewards, self.seed, self.greedy, self.row_id)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.operators import profile, select, splits
@@ -16,40 +16,40 @@ from flowgauge.sources.sinks import write_splits
 
 @dataclass
 class Prepared:
-    """A preprocessed table, its fitted steps and a log of what each step did."""
+    """A preprocessed table, its fitted steps and a log of what each step did.
+
+    A logged step that removes rows keeps its result, so the rows can be counted
+    when the log is asked for.
+    """
 
     table: DataFrame
     chain: FittedChain
-    log: list[tuple[int, str, dict[str, str], Observation | None]] = field(default_factory=list)
+    log: list[tuple[int, str, dict[str, str], DataFrame | None]] = field(default_factory=list)
 
     def step_table(self, run_id: str) -> DataFrame:
-        """(run_id, ord, action, detail); row counts are there once an action ran on ``table``."""
+        """(run_id, ord, action, detail); one column-pruned count per step that removes rows."""
         rows = []
-        for ord_, action, detail, seen in self.log:
-            extra = {"rows_after": str(seen.get["rows"])} if seen is not None else {}
+        for ord_, action, detail, after in self.log:
+            extra = {"rows_after": str(after.count())} if after is not None else {}
             rows.append((run_id, ord_, action, {**detail, **extra}))
         spark = self.table.sparkSession
         return spark.createDataFrame(rows, "run_id string, ord int, action string, detail map<string,string>")
 
 
 def preprocess(df: DataFrame, steps: list[Step], row_id: str = "row_id") -> Prepared:
-    """Fit and apply steps in order. Rows that survive a removing step are counted on the way, not by extra jobs."""
+    """Fit and apply steps in order."""
     done, log = [], []
     for i, step in enumerate(steps):
         before = set(df.columns)
         fitted = fit_step(df, step, row_id)
         df = fitted.transform(df)
-        seen = None
-        if step.method in ROW_STEPS:
-            seen = Observation()
-            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         touched = fitted.params.get("columns") or fitted.params.get("classes") or list(fitted.params)
         detail = {
             "columns": ",".join(map(str, touched)) if isinstance(touched, list) else str(touched),
             "added": ",".join(sorted(set(df.columns) - before)),
             "dropped": ",".join(sorted(before - set(df.columns))),
         }
-        log.append((i, step.method, detail, seen))
+        log.append((i, step.method, detail, df if step.method in ROW_STEPS else None))
         done.append(fitted)
     return Prepared(df, FittedChain(done), log)
 
