@@ -321,6 +321,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("target_label").alias("y_true"),
         F.round(1.0 / (1.0 + F.exp(-margin)), 6).alias("score"),
     ).withColumn("y_pred", (F.col("score") >= 0.5).cast("int"))
+    # predictions are a stored table that all metrics read
+    preds = durable(preds)
     counts = metrics.count_metrics(preds).select("run_id", "tn", "fp", "fn", "tp", "n", "accuracy", "f1_score")
     auc = metrics.ranking_metrics(metrics.score_curve(preds)).select("run_id", "roc_auc")
     return counts.join(auc, "run_id")

@@ -6,8 +6,9 @@ import math
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,24 +81,31 @@ class ZScores:
 def pca_errors(benign: DataFrame, features: list[str], k: int):
     """Fit a PCA on standardised benign rows; returns a function adding ``rmse`` of the reconstruction.
 
+    Rows are handled as one vector each, so that wide tables keep small plans.
     The components are orthonormal, so the squared error is the squared length of
     a row minus that of its projection.
     """
-    z = ZScores.fit(benign, features)
-    names = [f"__z{i}" for i in range(len(features))]
-    assembler = VectorAssembler(inputCols=names, outputCol="__v", handleInvalid="keep")
+    raw = F.array(*[F.col(quote(c)).cast("double") for c in features])
+    stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(raw))
+    row = benign.select(stats.alias("s")).collect()[0]["s"]
+    n = row["count"]
+    means = [float(m) for m in row["mean"]]
+    scales = [math.sqrt(x * (n - 1) / n) or 1.0 for x in row["variance"]]
+    centered = F.zip_with(raw, F.lit(means), lambda x, m: x - m)
+    scaled = F.zip_with(centered, F.lit(scales), lambda x, s: x / s)
 
     def vectors(df: DataFrame) -> DataFrame:
-        return assembler.transform(df.select("*", *[z.column(c).alias(n) for c, n in zip(features, names)]))
+        return df.withColumn("__z", scaled).withColumn("__v", array_to_vector("__z"))
 
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vectors(benign).select("__v"))
 
-    def squared_length(vector: str) -> Column:
-        return F.aggregate(vector_to_array(F.col(vector)), F.lit(0.0), lambda acc, x: acc + x * x)
+    def squared_length(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
 
     def add_rmse(df: DataFrame) -> DataFrame:
         projected = model.transform(vectors(df))
-        left = F.greatest(F.lit(0.0), squared_length("__v") - squared_length("__p"))
-        return projected.withColumn("rmse", F.sqrt(left / F.lit(float(len(features))))).drop(*names, "__v", "__p")
+        coded = squared_length(vector_to_array(F.col("__p")))
+        left = F.greatest(F.lit(0.0), squared_length(F.col("__z")) - coded)
+        return projected.withColumn("rmse", F.sqrt(left / F.lit(float(len(features))))).drop("__z", "__v", "__p")
 
     return add_rmse

@@ -61,34 +61,39 @@ def select_ranks(
     key: Column,
     tie: Column,
     ranges: tuple[DataFrame, bool],
-    targets: tuple[DataFrame, bool],
+    targets: DataFrame,
     sort_rows: int = SORT_ROWS,
     bins: int = BINS,
 ) -> tuple[DataFrame, bool]:
     """Key and tie-breaker at each requested 1-based rank.
 
-    ``ranges`` comes from ``group_ranges``; ``targets`` holds (groups..., target,
-    rank). The result, pinned, holds (groups..., target, cut_key, cut_tie).
-    Ranks outside the group give no row.
+    ``ranges`` comes from ``group_ranges``; ``targets``, a few rows per group,
+    holds (groups..., target, rank). The result, pinned, holds (groups...,
+    target, cut_key, cut_tie) for every target of a known group; the cut is
+    NULL where the rank is outside the group.
     """
     base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
-    t = hinted((_prefixed(targets[0].select(*groups, "target", "rank"), groups), targets[1]))
+    t = hinted((_prefixed(targets.select(*groups, "target", "rank"), groups), ranges[1]))
     spans = ranges[0]
     cond = reduce(lambda a, b: a & b, [_same(spans[g], t[f"__g_{g}"]) for g in groups])
     cols = [*groups, "target", "rank", *_BOUNDS, "__n"]
-    state = pin_small(spans.join(t, cond).where("rank between 1 and __n").select(*cols))
+    state = pin_small(spans.join(t, cond).select(*cols))
 
+    inside = F.col("rank").between(1, F.col("__n"))
     flat = (F.col("__klo") == F.col("__khi")) & (F.col("__tlo") == F.col("__thi"))
-    wide = (F.col("__n") > sort_rows) & ~flat
+    wide = inside & (F.col("__n") > sort_rows) & ~flat
     while not state[0].where(wide).isEmpty():
         state = pin_small(_narrow(base, state, groups, wide, bins).select(*cols))
 
-    rest = state[0].where(~flat)
-    done = state[0].where(flat).select(
-        *groups, "target", F.col("__klo").alias("cut_key"), F.col("__tlo").alias("cut_tie")
+    rest = state[0].where(inside & ~flat)
+    done = state[0].where(~inside | flat).select(
+        *groups,
+        "target",
+        F.when(inside, F.col("__klo")).alias("cut_key"),
+        F.when(inside, F.col("__tlo")).alias("cut_tie"),
     )
     if rest.isEmpty():
-        return pin_small(done)
+        return done, state[1]
     cells = _prefixed(rest.select(*groups, *_BOUNDS).distinct(), groups)
     cells_h = hinted((cells, state[1]))
     hit = base.join(cells_h, _inside(base, cells_h, groups)).select(*groups, "__k", "__t", *_BOUNDS)
@@ -160,7 +165,7 @@ def percentiles(
         F.struct(F.lit("lo").alias("target"), (F.floor(pos) + 1).alias("rank")),
         F.struct(F.lit("hi").alias("target"), (F.ceil(pos) + 1).alias("rank")),
     )
-    targets = (ranges[0].select("__c", F.inline(lo_hi)), ranges[1])
+    targets = ranges[0].select("__c", F.inline(lo_hi))
     got, _ = select_ranks(long, groups, key, tie, ranges, targets, sort_rows, bins)
     found = {(r["__c"], r["target"]): r["cut_key"] for r in got.collect()}
     out: dict[str, float | None] = {}

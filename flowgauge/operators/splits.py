@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from flowgauge.functions.hashing import hash_order
 from flowgauge.functions.scalars import is_numeric, quote
 from flowgauge.operators.ranking import BINS, SORT_ROWS, beyond, group_ranges, select_ranks
-from flowgauge.operators.small import attach, pin_small
+from flowgauge.operators.small import attach
 
 
 Pinned = tuple[DataFrame, bool]
@@ -24,11 +24,10 @@ def _cut_lists(
     df: DataFrame, groups: list[str], key: Column, tie: Column, ranges: Pinned, targets: DataFrame, **limits: int
 ) -> Pinned:
     """Per group the ordered list of cuts; a rank of 0 gives a cut before every row."""
-    pinned = pin_small(targets.withColumn("rank", F.col("rank").cast("bigint")))
-    found = select_ranks(df, groups, key, tie, ranges, pinned, **limits)
-    cuts = attach(pinned[0], found, [*groups, "target"])
+    targets = targets.withColumn("rank", F.col("rank").cast("bigint"))
+    cuts, small = select_ranks(df, groups, key, tie, ranges, targets, **limits)
     item = F.struct("target", "cut_key", "cut_tie")
-    return cuts.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("__cuts")), pinned[1]
+    return cuts.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("__cuts")), small
 
 
 def stratified_quotas(counts: DataFrame, strata: list[str], target: str, test_size: float) -> DataFrame:
@@ -122,9 +121,9 @@ def split_timestamp(
     ranges = group_ranges(keyed, groups, key, tie)
     n = sum(r["__n"] for r in ranges[0].collect())
     quota = int((1 - test_size) * n)
-    targets = (ranges[0].select("__all", F.lit(0).alias("target"), F.lit(quota).cast("bigint").alias("rank")), True)
+    targets = ranges[0].select("__all", F.lit(0).alias("target"), F.lit(quota).cast("bigint").alias("rank"))
     cut = select_ranks(keyed, groups, key, tie, ranges, targets, sort_rows, bins)[0].collect()
-    if not cut:
+    if not cut or cut[0]["cut_key"] is None:
         return timed.withColumn("split", F.lit("test")).drop("__time")
     at, tie = F.lit(cut[0]["cut_key"]), F.lit(cut[0]["cut_tie"])
     late = (F.col("__time") > at) | ((F.col("__time") == at) & (F.col(row_id) > tie))

@@ -31,8 +31,7 @@ def expected_cuts(rows, wanted):
     out = {}
     for g, target, rank in wanted:
         ordered = sorted(groups.get(g, []))
-        if 1 <= rank <= len(ordered):
-            out[(g, target)] = ordered[rank - 1]
+        out[(g, target)] = ordered[rank - 1] if 1 <= rank <= len(ordered) else (None, None)
     return out
 
 
@@ -48,7 +47,7 @@ def test_select_ranks(spark, monkeypatch, limits, stored):
     df = spark.createDataFrame(rows, "g string, k bigint, t bigint").repartition(7)
     targets = spark.createDataFrame(wanted, "g string, target int, rank bigint")
     args = (df, ["g"], F.col("k"), F.col("t"))
-    got, _ = select_ranks(*args, group_ranges(*args), (targets, True), *limits)
+    got, _ = select_ranks(*args, group_ranges(*args), targets, *limits)
     found = {(r["g"], r["target"]): (r["cut_key"], r["cut_tie"]) for r in got.collect()}
     assert found == expected_cuts(rows, wanted)
 

@@ -29,12 +29,14 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
         [
             [(1, 1, 1, 1, 1), (2, 1, 2, 0, 1), (9, 1, 3, 0, 0)],
             [(45, 1, 4, 1, 0)],
+            # rows are late against the watermark of the batch before
+            [(46, 1, 7, 0, 0)],
             [(3, 1, 5, 1, 1), (100, 1, 6, 0, 0)],
         ],
     )
     out = s.drain(s.stream_confusion(open_stream(spark, path), "ts", "10 minutes", "5 minutes", ["key"]), "late")
     got = {r["window_start"]: (r["tn"], r["fp"], r["fn"], r["tp"]) for r in out.collect()}
-    assert got == {BASE: (1, 1, 0, 1), BASE + timedelta(minutes=40): (0, 0, 1, 0)}
+    assert got == {BASE: (1, 1, 0, 1), BASE + timedelta(minutes=40): (1, 0, 1, 0)}
 
 
 def test_time_to_detect_over_batches(spark, tmp_path):
