@@ -38,7 +38,8 @@ def with_range_bucket(
     splits = [float("-inf"), *edges, float("inf")]
     numeric = df.withColumn("__bv", F.col(column).cast("double"))
     out = Bucketizer(splits=splits, inputCol="__bv", outputCol="__b", handleInvalid="keep").transform(numeric)
-    return out.withColumn(name, F.col("__b").cast("int")).drop("__bv", "__b")
+    # never NULL, so joins on the bucket add no filter and both sides can share one shuffle
+    return out.withColumn(name, F.coalesce(F.col("__b").cast("int"), F.lit(len(edges) + 1))).drop("__bv", "__b")
 
 
 def bucket_offsets(df: DataFrame, groups: list[str], sums: list[str], descending: bool = False) -> DataFrame:

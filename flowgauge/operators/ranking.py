@@ -145,7 +145,8 @@ def _narrow(base: DataFrame, state: tuple[DataFrame, bool], groups: list[str], w
 
 def beyond(key: Column, tie: Column, cut: Column) -> Column:
     """True when a row sorts after the cut; a NULL cut sorts before every row."""
-    return cut["cut_key"].isNull() | (key > cut["cut_key"]) | ((key == cut["cut_key"]) & (tie > cut["cut_tie"]))
+    here = F.struct(key.alias("cut_key"), tie.alias("cut_tie"))
+    return cut["cut_key"].isNull() | (here > F.struct(cut["cut_key"].alias("cut_key"), cut["cut_tie"].alias("cut_tie")))
 
 
 def percentiles(

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowgauge.functions.scalars import MISSING_TOKENS, fold_missing, quote
+from flowgauge.functions.scalars import MISSING_TOKENS, quote
 from flowgauge.operators.clean import feature_mapping, trim_names, union_tables
-from flowgauge.operators.labeling import label_from_column, label_static
+from flowgauge.operators.flows import assemble_flows
+from flowgauge.operators.labeling import TimeWindow, label_from_column, label_static, label_time_windows
+from flowgauge.operators.small import SMALL_ROWS, attach
 
 log = logging.getLogger(__name__)
 
@@ -122,18 +125,37 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
             tables.append(read_csv(spark, files, schema))
         else:
             # files with one header share a scan; others are stacked by name
-            by_header: dict[str, list[str]] = {}
-            for name in files:
-                head = spark.read.text(name).limit(1).collect()
-                by_header.setdefault(head[0][0] if head else "", []).append(name)
-            tables += [read_csv(spark, group) for header, group in by_header.items() if header]
+            tables += [read_csv(spark, group) for group in files_by_header(spark, files)]
     return union_tables(tables) if tables else None
 
 
+def files_by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """Files grouped by their first line, found in one job; empty files are left out."""
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        "value",
+    )
+    numbered = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id())
+    heads = numbered.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    groups = heads.where("header <> ''").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [[unquote(p) for p in r["paths"]] for r in groups.orderBy("header").collect()]
+
+
 def row_ids(df: DataFrame) -> DataFrame:
-    """A stable row id from file name and row position; for Parquet scans read without a shuffle."""
-    place = F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
-    return df.select("*", F.xxhash64(place).alias("row_id"))
+    """Add ``row_id`` to a Parquet scan: number of the file in name order, then position in the file.
+
+    Unique and the same for every partitioning; read without a shuffle. 2^22 files
+    of 2^41 rows fit.
+    """
+    files = sorted(df.inputFiles())
+    if len(files) > 1 << 22:
+        raise ValueError(f"{len(files)} files; compact the table first")
+    numbers = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no bigint")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+    joined = attach(placed, (numbers, len(files) <= SMALL_ROWS), ["__file"])
+    row_id = F.shiftleft("__no", 41).bitwiseOR(F.col("__pos"))
+    return joined.withColumn("row_id", row_id).drop("__file", "__no", "__pos")
 
 
 @dataclass(frozen=True)
@@ -168,23 +190,16 @@ def load_dataset(
     return feature_mapping(stacked, features, keep) if features else stacked
 
 
-def load_packets_as_flows(df: DataFrame, **options) -> DataFrame:
-    """Decoded packets to a flow table; an empty result only warns."""
-    from flowgauge.operators.flows import assemble_flows
+def load_packets_as_flows(packets: DataFrame, windows: list[TimeWindow] | None = None, **options) -> DataFrame:
+    """Decoded packets to labelled flows: by time windows if there are any, else all benign.
 
-    flows = assemble_flows(df, **options)
+    ``options`` are those of ``assemble_flows``. An empty result only warns.
+    """
+    flows = assemble_flows(packets, **options)
     if flows.isEmpty():
         log.warning("no flows found")
-    return flows
-
-
-__all__ = [
-    "NoDataLoaded",
-    "SubFile",
-    "fold_missing",
-    "load_dataset",
-    "load_packets_as_flows",
-    "read_any",
-    "read_csv",
-    "row_ids",
-]
+    if not windows:
+        return label_static(flows, "BENIGN")
+    started = flows.withColumn("flow_start", F.timestamp_millis("bidirectional_first_seen_ms"))
+    src, dst = options["src"][0], options["dst"][0]
+    return label_time_windows(started, windows, "flow_start", src, dst, out="Label")
