@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -56,13 +56,14 @@ def fit_error_model(
 
 @dataclass(frozen=True)
 class ZScores:
-    """Per-column mean and population deviation of benign rows."""
+    """Per-column mean and population deviation of benign rows; the error is the mean squared z-score."""
 
     params: dict[str, tuple[float, float]]
 
     @staticmethod
     def fit(benign: DataFrame, features: list[str]) -> "ZScores":
-        aggs = [f(F.col(quote(c)).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+        pairs = (("m", F.avg), ("s", F.stddev_pop))
+        aggs = [f(F.col(quote(c)).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in pairs]
         row = benign.agg(*aggs).collect()[0]
         return ZScores({c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(features)})
 
@@ -70,42 +71,50 @@ class ZScores:
         mean, std = self.params[c]
         return (F.col(quote(c)).cast("double") - F.lit(mean)) / F.lit(std)
 
-    def rmse(self) -> Column:
+    def add_rmse(self, df: DataFrame) -> DataFrame:
         squares = [self.column(c) * self.column(c) for c in self.params]
-        return F.sqrt(reduce(lambda a, b: a + b, squares) / F.lit(float(len(squares))))
+        return df.withColumn("rmse", F.sqrt(reduce(lambda a, b: a + b, squares) / F.lit(float(len(squares)))))
 
-    def as_dict(self) -> dict:
-        return asdict(self)
 
-
-def pca_errors(benign: DataFrame, features: list[str], k: int):
-    """Fit a PCA on standardised benign rows; returns a function adding ``rmse`` of the reconstruction.
+@dataclass(frozen=True)
+class PcaReconstruction:
+    """Error of rebuilding a standardised row from its first components.
 
     Rows are handled as one vector each, so that wide tables keep small plans.
     The components are orthonormal, so the squared error is the squared length of
     a row minus that of its projection.
     """
-    raw = F.array(*[F.col(quote(c)).cast("double") for c in features])
-    stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(raw))
-    row = benign.select(stats.alias("s")).collect()[0]["s"]
-    n = row["count"]
-    means = [float(m) for m in row["mean"]]
-    scales = [math.sqrt(x * (n - 1) / n) or 1.0 for x in row["variance"]]
-    centered = F.zip_with(raw, F.lit(means), lambda x, m: x - m)
-    scaled = F.zip_with(centered, F.lit(scales), lambda x, s: x / s)
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.withColumn("__z", scaled).withColumn("__v", array_to_vector("__z"))
 
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vectors(benign).select("__v"))
+    features: list[str]
+    means: list[float]
+    scales: list[float]
+    model: PCAModel
 
-    def squared_length(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
-
-    def add_rmse(df: DataFrame) -> DataFrame:
-        projected = model.transform(vectors(df))
+    @staticmethod
+    def fit(benign: DataFrame, features: list[str], k: int) -> "PcaReconstruction":
+        raw = F.array(*[F.col(quote(c)).cast("double") for c in features])
+        stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(raw))
+        row = benign.select(stats.alias("s")).collect()[0]["s"]
+        n = row["count"]
+        means = [float(m) for m in row["mean"]]
+        scales = [math.sqrt(x * (n - 1) / n) or 1.0 for x in row["variance"]]
+        shaped = _standardised(benign, features, means, scales)
+        model = PCA(k=k, inputCol="__v", outputCol="__p").fit(shaped.select("__v"))
+        return PcaReconstruction(list(features), means, scales, model)
+
+    def add_rmse(self, df: DataFrame) -> DataFrame:
+        def squared_length(values: Column) -> Column:
+            return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
+
+        projected = self.model.transform(_standardised(df, self.features, self.means, self.scales))
         coded = squared_length(vector_to_array(F.col("__p")))
         left = F.greatest(F.lit(0.0), squared_length(F.col("__z")) - coded)
-        return projected.withColumn("rmse", F.sqrt(left / F.lit(float(len(features))))).drop("__z", "__v", "__p")
+        rmse = F.sqrt(left / F.lit(float(len(self.features))))
+        return projected.withColumn("rmse", rmse).drop("__z", "__v", "__p")
+
 
-    return add_rmse
+def _standardised(df: DataFrame, features: list[str], means: list[float], scales: list[float]) -> DataFrame:
+    raw = F.array(*[F.col(quote(c)).cast("double") for c in features])
+    centered = F.zip_with(raw, F.lit(means), lambda x, m: x - m)
+    scaled = F.zip_with(centered, F.lit(scales), lambda x, s: x / s)
+    return df.withColumn("__z", scaled).withColumn("__v", array_to_vector("__z"))

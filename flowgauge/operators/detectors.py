@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCAModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,15 @@ class Detector(Protocol):
     def fit(self, df: DataFrame, features: list[str], target: str) -> FittedDetector: ...
 
 
+def _write_meta(path: str, meta: dict) -> None:
+    row = SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def _read_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.schema("meta string").json(f"{path}/meta").collect()[0]["meta"])
+
+
 def _assembled(features: list[str], out: str = "__features") -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error")
 
@@ -87,14 +96,17 @@ class PipelineDetector:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        meta = {"features": self.features, "classes": self.classes, "numeric_target": self.numeric_target, "benign": self.benign}
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        meta = {
+            "features": self.features,
+            "classes": self.classes,
+            "numeric_target": self.numeric_target,
+            "benign": self.benign,
+        }
+        _write_meta(path, meta)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "PipelineDetector":
-        meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").collect()[0]["meta"])
-        return PipelineDetector(PipelineModel.load(f"{path}/model"), **meta)
+        return PipelineDetector(PipelineModel.load(f"{path}/model"), **_read_meta(spark, path))
 
 
 # turns an assembled, labelled training table into fitted stages
@@ -197,15 +209,13 @@ class ScaledDetector:
         return scored.select(*[back.get(c, F.col(quote(c))) for c in df.columns], "y_pred", "score", "proba")
 
     def save(self, path: str) -> None:
-        self.inner.save(path)
-        spark = SparkSession.getActiveSession()
-        row = [(json.dumps(self.scaler.params),)]
-        spark.createDataFrame(row, "params string").coalesce(1).write.mode("overwrite").json(f"{path}/scaler")
+        self.inner.save(f"{path}/inner")
+        _write_meta(path, self.scaler.params)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ScaledDetector":
-        params = json.loads(spark.read.schema("params string").json(f"{path}/scaler").collect()[0]["params"])
-        return ScaledDetector(Fitted("min_max", params), PipelineDetector.load(spark, path))
+        scaler = Fitted("min_max", _read_meta(spark, path))
+        return ScaledDetector(scaler, PipelineDetector.load(spark, f"{path}/inner"))
 
 
 @dataclass
@@ -246,28 +256,46 @@ class AnomalyDetector:
     def fit(self, df: DataFrame, features: list[str], target: str) -> "FittedAnomaly":
         benign = df.where(F.col(quote(target)) == F.lit(self.benign))
         if self.components is None:
-            z = anomaly.ZScores.fit(benign, features)
-
-            def add_rmse(rows: DataFrame) -> DataFrame:
-                return rows.withColumn("rmse", z.rmse())
+            errors = anomaly.ZScores.fit(benign, features)
         else:
-            add_rmse = anomaly.pca_errors(benign, features, self.components)
-        model = anomaly.fit_error_model(add_rmse(benign), self.method, self.sigma, self.percentile)
-        return FittedAnomaly(add_rmse, model)
+            errors = anomaly.PcaReconstruction.fit(benign, features, self.components)
+        model = anomaly.fit_error_model(errors.add_rmse(benign), self.method, self.sigma, self.percentile)
+        return FittedAnomaly(errors, model)
 
 
 @dataclass
 class FittedAnomaly:
-    add_rmse: Callable[[DataFrame], DataFrame]
-    errors: anomaly.ErrorModel
+    errors: anomaly.ZScores | anomaly.PcaReconstruction
+    model: anomaly.ErrorModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.errors.score(self.add_rmse(df))
-        proba = F.map_from_arrays(F.array(F.lit("0"), F.lit("1")), F.array(1.0 - F.col("score"), F.col("score")))
-        return scored.withColumn("proba", proba).select(*[quote(c) for c in df.columns], "y_pred", "score", "proba")
+        scored = self.model.score(self.errors.add_rmse(df))
+        return scored.withColumn("proba", _two_classes()).select(
+            *[quote(c) for c in df.columns], "y_pred", "score", "proba"
+        )
 
     def save(self, path: str) -> None:
-        raise NotImplementedError("anomaly parameters are plain numbers; keep them in the params table")
+        meta = {"model": asdict(self.model)}
+        if isinstance(self.errors, anomaly.ZScores):
+            meta["z"] = self.errors.params
+        else:
+            e = self.errors
+            meta["pca"] = {"features": e.features, "means": e.means, "scales": e.scales}
+            e.model.write().overwrite().save(f"{path}/model")
+        _write_meta(path, meta)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FittedAnomaly":
+        meta = _read_meta(spark, path)
+        if "z" in meta:
+            errors = anomaly.ZScores({c: tuple(p) for c, p in meta["z"].items()})
+        else:
+            errors = anomaly.PcaReconstruction(**meta["pca"], model=PCAModel.load(f"{path}/model"))
+        return FittedAnomaly(errors, anomaly.ErrorModel(**meta["model"]))
+
+
+def _two_classes() -> Column:
+    return F.map_from_arrays(F.array(F.lit("0"), F.lit("1")), F.array(1.0 - F.col("score"), F.col("score")))
 
 
 # ---- cluster-routed ensemble ---------------------------------------------
@@ -392,9 +420,8 @@ class FittedClusterRouted:
         preds = F.array(*[F.col(f"__arm{i}") for i in range(len(self.rewards[0]))])
         out = scored.withColumn("arm", arm).withColumn("y_pred", preds[F.col("arm")].cast("int"))
         out = out.withColumn("score", (F.col("y_pred") != 0).cast("double"))
-        proba = F.map_from_arrays(F.array(F.lit("0"), F.lit("1")), F.array(1.0 - F.col("score"), F.col("score")))
         back = {c: F.col(f"__o{i}").alias(c) for i, c in enumerate(self.features)}
-        return out.withColumn("proba", proba).select(
+        return out.withColumn("proba", _two_classes()).select(
             *[back.get(c, F.col(quote(c))) for c in df.columns], "arm", "y_pred", "score", "proba"
         )
 
@@ -408,12 +435,11 @@ class FittedClusterRouted:
             "greedy": self.greedy,
             "row_id": self.row_id,
         }
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        _write_meta(path, meta)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedClusterRouted":
-        meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").collect()[0]["meta"])
+        meta = _read_meta(spark, path)
         scaler = Fitted("min_max", meta.pop("scaler"))
         return FittedClusterRouted(PipelineModel.load(f"{path}/model"), scaler, **meta)
 
@@ -434,3 +460,9 @@ def detector(name: str, **params) -> Detector:
     if key not in REGISTRY:
         raise KeyError(f"unknown detector {name!r}; known: {sorted(REGISTRY)}")
     return REGISTRY[key](**params)
+
+
+# How each kind of fitted detector is read back.
+LOADERS: dict[str, Callable[[SparkSession, str], FittedDetector]] = {
+    c.__name__: c.load for c in (PipelineDetector, ScaledDetector, FittedAnomaly, FittedClusterRouted)
+}

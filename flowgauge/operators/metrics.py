@@ -383,11 +383,15 @@ def robustness_index(curve: DataFrame, keys: list[str] | None = None) -> DataFra
 Metric = Callable[[DataFrame], DataFrame]
 
 
-def to_long(wide: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def to_long(wide: DataFrame, keys: list[str] | None = None, prefix: str = "test_") -> DataFrame:
     """(run, metric_key, value) rows; absent values give no row."""
     keys = keys or [RUN]
     cells = F.array(
-        *[F.struct(F.lit(f"test_{c}").alias("metric_key"), F.col(c).cast("double").alias("value")) for c in wide.columns if c not in keys]
+        *[
+            F.struct(F.lit(f"{prefix}{c}").alias("metric_key"), F.col(c).cast("double").alias("value"))
+            for c in wide.columns
+            if c not in keys
+        ]
     )
     return wide.select(*keys, F.inline(cells)).where("value is not null")
 

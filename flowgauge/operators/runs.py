@@ -110,6 +110,8 @@ class Ledger:
 class ModelStore:
     """Fitted detectors keyed by configuration hash, model and dataset; a changed hash means retrain."""
 
+    SCHEMA = "config_hash string, kind string"
+
     def __init__(self, spark: SparkSession, root: str, config: str):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
 
@@ -120,19 +122,19 @@ class ModelStore:
     def save(self, fitted, model: str, dataset: str, fold: int | None = None) -> None:
         path = self.path(model, dataset, fold)
         fitted.save(path)
-        row = self.spark.createDataFrame([(self.config,)], "config_hash string")
+        row = self.spark.createDataFrame([(self.config, type(fitted).__name__)], self.SCHEMA)
         row.coalesce(1).write.mode("overwrite").json(f"{path}/hash")
 
-    def load(self, loader: Callable, model: str, dataset: str, fold: int | None = None, force: bool = False):
+    def load(self, loaders: dict[str, Callable], model: str, dataset: str, fold: int | None = None, force: bool = False):
         """The stored detector, or None when absent or from another configuration (unless forced)."""
         path = self.path(model, dataset, fold)
         try:
-            found = self.spark.read.schema("config_hash string").json(f"{path}/hash").collect()
+            found = self.spark.read.schema(self.SCHEMA).json(f"{path}/hash").collect()
         except AnalysisException:
             return None
-        if not force and (not found or found[0]["config_hash"] != self.config):
+        if not found or not (force or found[0]["config_hash"] == self.config):
             return None
-        return loader(self.spark, path)
+        return loaders[found[0]["kind"]](self.spark, path)
 
     def size_mb(self, model: str, dataset: str, fold: int | None = None) -> float:
         jvm = self.spark.sparkContext._jvm

@@ -150,4 +150,9 @@ def logistic_selection(
     return df.drop(*gone), scores
 
 
-FEATURE_SELECTION = {"none": lambda df: df, "variance": variance_threshold, "correlation": correlation_threshold}
+FEATURE_SELECTION = {
+    "none": lambda df, **params: df,
+    "variance": variance_threshold,
+    "correlation": correlation_threshold,
+    "logistic_regression": lambda df, **params: logistic_selection(df, **params)[0],
+}

@@ -96,10 +96,12 @@ def prepare(
     root: str,
     config_hash: str,
     selection: str = "none",
+    selection_params: dict | None = None,
 ) -> tuple[str, dict[str, Prepared]]:
     """Preprocess, select, split and store labelled tables; returns the path and the prepared datasets."""
     prepared = {name: preprocess(df, steps.get(name, [])) for name, df in tables.items()}
-    chosen = {name: select.FEATURE_SELECTION[selection](p.table) for name, p in prepared.items()}
+    choose = select.FEATURE_SELECTION[selection]
+    chosen = {name: choose(p.table, **(selection_params or {})) for name, p in prepared.items()}
     path = write_splits(split(chosen, plan), root, config_hash)
     return path, prepared
 

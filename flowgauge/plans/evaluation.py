@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.operators import metrics, perturb, runs
-from flowgauge.operators.detectors import Detector
+from flowgauge.operators.detectors import LOADERS, Detector
 from flowgauge.sources.sinks import test_rows, train_rows
 
 
@@ -53,6 +53,8 @@ class Evaluation:
     attacks: list[Attack] = field(default_factory=list)
     allow_surrogate: bool = True
     epsilons: list[float] | None = None
+    force_train: bool = False
+    force_model: bool = False
     times: list[tuple[str, str, float]] = field(default_factory=list)
 
     def _folds(self) -> list[int | None]:
@@ -66,14 +68,14 @@ class Evaluation:
             raise ValueError("a robustness sweep needs at least one attack")
         ledger = runs.Ledger(self.spark, f"{self.root}/ledger", self.config_hash)
         out = f"{self.root}/predictions/{self.config_hash}"
-        if ledger.stage() == "complete":
+        if ledger.stage() == "complete" and not self.force_train:
             return self.spark.read.parquet(out)
         ledger.set_stage("in_progress")
         names = sorted(r["dataset"] for r in self.stored.select("dataset").distinct().collect())
         folds = self._folds()
         if self.cross and folds != [None]:
             raise ValueError("cross-dataset evaluation takes no folds")
-        done = {r["run_id"] for r in ledger.completed().collect()}
+        done = set() if self.force_train else {r["run_id"] for r in ledger.completed().collect()}
         scope = "cross" if self.cross else "kfold" if folds != [None] else "intra"
         for i, name in enumerate(names):
             for fold in folds:
@@ -90,8 +92,7 @@ class Evaluation:
     def _train_and_score(self, run, name, fold, model, detector, names, out) -> None:
         own = self.stored.where(F.col("dataset") == name)
         train = train_rows(own, fold)
-        with runs.timed(self.times, run, "train"):
-            fitted = detector.fit(train, self.features, self.target)
+        fitted = self._fitted(run, name, fold, model, detector, train)
         tests = test_rows(self.stored if self.cross else own, fold)
         surrogate = None
         attacks = [a for a in self.attacks if a.kind != "gradient" or self.allow_surrogate]
@@ -120,6 +121,18 @@ class Evaluation:
         if self.epsilons is not None:
             self._sweep(run, own, fold, train, fitted, surrogate)
 
+    def _fitted(self, run, name, fold, model, detector, train):
+        """The stored detector of this configuration, or a newly trained and stored one."""
+        store = runs.ModelStore(self.spark, f"{self.root}/models/{self.config_hash}", self.config_hash)
+        if not self.force_train:
+            found = store.load(LOADERS, model, name, fold, force=self.force_model)
+            if found is not None:
+                return found
+        with runs.timed(self.times, run, "train"):
+            fitted = detector.fit(train, self.features, self.target)
+        store.save(fitted, model, name, fold)
+        return fitted
+
     def _sweep(self, run, own, fold, train, fitted, surrogate) -> None:
         """Accuracy of the first attack at every strength, scored in one job."""
         first = self.attacks[0]
@@ -147,3 +160,25 @@ def results_of(preds: DataFrame, user_metrics: dict[str, metrics.Metric] | None
     long = metrics.metrics_long(keyed, user_metrics)
     names = keyed.select("run_id", *keys).distinct()
     return long.join(names, "run_id").select(*keys, "metric_key", "value")
+
+
+def runtime_results(preds: DataFrame, times: list[tuple[str, str, float]]) -> DataFrame:
+    """Training and test seconds, time per row and throughput of each training run, as (run_id, metric_key, value)."""
+    spark = preds.sparkSession
+    spent = spark.createDataFrame(times, "run_id string, phase string, seconds double")
+    seconds = spent.groupBy("run_id").pivot("phase", ["train", "test"]).agg(F.sum("seconds"))
+    rows = preds.groupBy(F.col("train_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+    joined = rows.join(seconds, "run_id", "left")
+    rates = metrics.time_per_sample(joined, F.col("test"), F.col("n"))
+    cost = metrics.retrain_cost(joined, F.col("train"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    plain = joined.select(
+        "run_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("train_runtime_s").alias("metric_key"), F.col("train").alias("value")),
+                F.struct(F.lit("test_runtime_s").alias("metric_key"), F.col("test").alias("value")),
+            )
+        ),
+    )
+    out = metrics.to_long(rates).unionByName(metrics.to_long(cost, prefix="train_")).unionByName(plain)
+    return out.where("value is not null")

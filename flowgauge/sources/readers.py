@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -148,11 +149,13 @@ def row_ids(df: DataFrame) -> DataFrame:
     Unique and the same for every partitioning; read without a shuffle. 2^22 files
     of 2^41 rows fit.
     """
-    files = sorted(df.inputFiles())
+    # both sides spell the scheme with one slash
+    files = sorted(re.sub(r"^(\w+):/+", r"\1:/", f) for f in df.inputFiles())
     if len(files) > 1 << 22:
         raise ValueError(f"{len(files)} files; compact the table first")
     numbers = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no bigint")
-    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+    name = F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/")
+    placed = df.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__pos"))
     joined = attach(placed, (numbers, len(files) <= SMALL_ROWS), ["__file"])
     row_id = F.shiftleft("__no", 41).bitwiseOR(F.col("__pos"))
     return joined.withColumn("row_id", row_id).drop("__file", "__no", "__pos")

@@ -9,7 +9,7 @@ from flowgauge.catalog import views
 from flowgauge.operators import detectors, report, runs
 from flowgauge.operators.fitted import FittedChain, Step, fit_chain
 from flowgauge.plans.dataset import SplitPlan, dataset_report, prepare
-from flowgauge.plans.evaluation import Attack, Evaluation, results_of
+from flowgauge.plans.evaluation import Attack, Evaluation, results_of, runtime_results
 from flowgauge.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +120,8 @@ def test_evaluation_end_to_end(spark, stored):
     assert ev.run().count() == preds.count() and len(ev.times) == before
     phases = {(run, phase) for run, phase, _ in ev.times}
     assert ("cross_tree_train-0", "train") in phases
+    timed = {r["metric_key"] for r in runtime_results(preds, ev.times).collect()}
+    assert {"train_runtime_s", "test_throughput_samples_per_s", "train_model_retrain_cost"} <= timed
 
 
 def test_sweep_without_attack_is_refused(spark, stored):
@@ -136,20 +138,22 @@ def test_model_store(spark, stored, tmp_path):
     features = ["x1", "x2", "x3"]
     store = runs.ModelStore(spark, str(tmp_path / "models"), "hash1")
     key = lambda df: sorted((r["row_id"], r["y_pred"]) for r in df.collect())
-    for name, det, cls in (
-        ("tree", detectors.decision_tree(4), detectors.PipelineDetector),
-        ("net", detectors.FeedForward((8, 4), max_iter=10), detectors.ScaledDetector),
-        ("routed", detectors.ClusterRouted(clusters=3, forest_trees=3), detectors.FittedClusterRouted),
+    for name, det in (
+        ("tree", detectors.decision_tree(4)),
+        ("net", detectors.FeedForward((8, 4), max_iter=10)),
+        ("routed", detectors.ClusterRouted(clusters=3, forest_trees=3)),
+        ("z", detectors.AnomalyDetector()),
+        ("pca", detectors.AnomalyDetector("percentile", components=2)),
     ):
         fitted = det.fit(table, features, "target_label")
         store.save(fitted, name, "D0")
-        loaded = store.load(cls.load, name, "D0")
+        loaded = store.load(detectors.LOADERS, name, "D0")
         assert key(loaded.transform(table)) == key(fitted.transform(table))
         assert store.size_mb(name, "D0") > 0
     other = runs.ModelStore(spark, str(tmp_path / "models"), "hash2")
-    assert other.load(detectors.PipelineDetector.load, "tree", "D0") is None
-    assert other.load(detectors.PipelineDetector.load, "tree", "D0", force=True) is not None
-    assert store.load(detectors.PipelineDetector.load, "absent", "D0") is None
+    assert other.load(detectors.LOADERS, "tree", "D0") is None
+    assert other.load(detectors.LOADERS, "tree", "D0", force=True) is not None
+    assert store.load(detectors.LOADERS, "absent", "D0") is None
     with pytest.raises(KeyError):
         detectors.detector("nothing")
 
