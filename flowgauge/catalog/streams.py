@@ -101,3 +101,29 @@ def stream_mttd(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") >= 40).cast("int").alias("y_pred"),
     )
     return s.drain(s.stream_time_to_detect(e, "ts", F.col("user_id"), F.col("event_id"), "1 hour"), "mttd")
+
+
+IDLE_US, ACTIVE_US = 6 * 3600 * 10**6, 12 * 3600 * 10**6
+
+
+@query(
+    "stream_flows_active",
+    f"""WITH {v.PACKETS}, k AS (SELECT *, least(src, dst) AS lo, greatest(src, dst) AS hi, epoch_us(ts) AS us FROM packets
+  WHERE epoch_us(ts) < {WATERMARK} * 1000),
+g AS (SELECT *, lag(us) OVER (PARTITION BY lo, hi ORDER BY us, pkt_id) AS prev, max(us) OVER (PARTITION BY lo, hi) AS key_last FROM k),
+s AS (SELECT *, max(CASE WHEN prev IS NULL OR us - prev > {IDLE_US} THEN us END) OVER (PARTITION BY lo, hi ORDER BY us, pkt_id ROWS UNBOUNDED PRECEDING) AS start FROM g),
+f AS (SELECT lo, hi, min(us) AS first_us, max(us) AS last_us, count(*) AS bidirectional_packets, CAST(sum(size) AS BIGINT) AS bidirectional_bytes,
+  min(size) AS bidirectional_min_ps, max(size) AS bidirectional_max_ps, any_value(key_last) AS key_last
+  FROM s GROUP BY lo, hi, start, (us - start) // {ACTIVE_US})
+SELECT * EXCLUDE (key_last) FROM f WHERE last_us < key_last OR last_us + {IDLE_US} < {WATERMARK} * 1000""",
+)
+def stream_flows_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows closed by idle or active timeout behind the watermark."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", s.ROCKSDB)
+    src, dst = F.col("user_id") % 20, v.k_of().cast("bigint") % 5 + 100
+    p = _events(spark, sf_dir)
+    size = F.floor("value") + 40
+    got = s.stream_flows_active(
+        p, "ts", F.least(src, dst), F.greatest(src, dst), F.col("event_id"), size, 6 * 3600, 12 * 3600, "1 hour"
+    )
+    return s.drain(got, "active-flows")

@@ -96,61 +96,159 @@ def stream_flows(packets: DataFrame, ts: str, keys: list[str], idle: str, delay:
     )
 
 
-class _DetectionState(StatefulProcessor):
-    """Per stream key: rows wait until the watermark passes, then extend or close the open instance."""
+class _InEventOrder(StatefulProcessor):
+    """Per stream key: rows wait on disk until the watermark has passed them, then are handled in time order.
+
+    Subclasses name their columns (event time in microseconds and a row id
+    first) and turn the open item and a row into the new open item and, at most,
+    one closed item.
+    """
+
+    ROW: str
+    OPEN: str
+    OUT: dict[str, str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "us bigint, id bigint, t boolean, p boolean")
-        self.open = handle.getValueState("open", "start_us bigint, length bigint, delay bigint")
+        self.pending = handle.getListState("pending", self.ROW)
+        self.open = handle.getValueState("open", self.OPEN)
+        self.names = [c.split()[0] for c in self.ROW.split(", ")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            self.pending.appendList(list(pdf[["us", "id", "t", "p"]].itertuples(index=False, name=None)))
+            self.pending.appendList(list(pdf[self.names].itertuples(index=False, name=None)))
         yield self._advance(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._advance(key, timerValues)
 
     def _advance(self, key, timer: TimerValues) -> pd.DataFrame:
-        """Handle all rows the watermark has passed, and wake up again for the next one."""
         due_us = timer.getCurrentWatermarkInMs() * 1000
         held = sorted(self.pending.get())
         ready = [r for r in held if r[0] < due_us]
         later = held[len(ready) :]
+        current, done = self.open.get(), []
+        for row in ready:
+            current, closed = self.step(current, row)
+            if closed is not None:
+                done.append(closed)
+        ends_us = None if current is None else self.ends(current)
+        if ends_us is not None and ends_us < due_us and (not later or ends_us < later[0][0]):
+            done.append(current)
+            current = None
         if later:
             self.pending.put(later)
-            for at in self.handle.listTimers():
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
         else:
             self.pending.clear()
-        current = self.open.get()
-        done = []
-        for us, _, t, p in ready:
-            if t:
-                start, length, delay = current if current is not None else (us, 0, -1)
-                current = (start, length + 1, length if delay < 0 and p else delay)
-            elif current is not None:
-                done.append(current)
-                current = None
         if current is None:
             self.open.clear()
         else:
             self.open.update(current)
-        return pd.DataFrame(
-            {
-                "key": pd.Series([key[0]] * len(done), dtype="int64"),
-                "start_us": pd.Series([d[0] for d in done], dtype="int64"),
-                "rows": pd.Series([d[1] for d in done], dtype="int64"),
-                "delay": pd.Series([None if d[2] < 0 else d[2] for d in done], dtype="Int64"),
-            }
-        )
+        wake = [later[0][0]] if later else []
+        if current is not None and self.ends(current) is not None:
+            wake.append(self.ends(current))
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        if wake:
+            self.handle.registerTimer(max(min(wake) // 1000 + 1, timer.getCurrentWatermarkInMs() + 1))
+        shown = [(*key, *self.show(d)) for d in done]
+        columns = list(self.OUT)
+        return pd.DataFrame(shown, columns=columns).astype(self.OUT)
+
+    def step(self, current: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
+        raise NotImplementedError
+
+    def ends(self, current: tuple) -> int | None:
+        """Event time after which the open item closes by itself, if it ever does."""
+        return None
+
+    def show(self, closed: tuple) -> tuple:
+        return closed
 
     def close(self) -> None:
         pass
 
 
+class _Detection(_InEventOrder):
+    """Attack instances: start, rows, rows before the first hit (-1: none yet)."""
+
+    ROW = "us bigint, id bigint, t boolean, p boolean"
+    OPEN = "start_us bigint, length bigint, delay bigint"
+    OUT = {"key": "int64", "start_us": "int64", "rows": "int64", "delay": "Int64"}
+
+    def step(self, current, row):
+        us, _, t, p = row
+        if not t:
+            return None, current
+        start, length, delay = current if current is not None else (us, 0, -1)
+        return (start, length + 1, length if delay < 0 and p else delay), None
+
+    def show(self, closed):
+        start, length, delay = closed
+        return start, length, None if delay < 0 else delay
+
+
+class _Flow(_InEventOrder):
+    """Flows cut by idle and active timeout."""
+
+    ROW = "us bigint, id bigint, size bigint"
+    OPEN = "session_us bigint, cut bigint, first_us bigint, last_us bigint, packets bigint, bytes bigint, low bigint, high bigint"
+    OUT = {
+        "lo": "int64",
+        "hi": "int64",
+        "first_us": "int64",
+        "last_us": "int64",
+        "bidirectional_packets": "int64",
+        "bidirectional_bytes": "int64",
+        "bidirectional_min_ps": "int64",
+        "bidirectional_max_ps": "int64",
+    }
+
+    def __init__(self, idle_us: int, active_us: int):
+        self.idle_us, self.active_us = idle_us, active_us
+
+    def step(self, current, row):
+        us, _, size = row
+        if current is None or us - current[3] > self.idle_us:
+            return (us, 0, us, us, 1, size, size, size), current
+        session, cut, first, last, packets, total, low, high = current
+        now = (us - session) // self.active_us
+        if now != cut:
+            return (session, now, us, us, 1, size, size, size), current
+        return (session, cut, first, us, packets + 1, total + size, min(low, size), max(high, size)), None
+
+    def ends(self, current):
+        return current[3] + self.idle_us
+
+    def show(self, closed):
+        return closed[2:]
+
+
+def _keyed_state(rows: DataFrame, keys: list[str], processor: _InEventOrder, schema: str) -> DataFrame:
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def stream_flows_active(
+    packets: DataFrame, ts: str, lo: Column, hi: Column, row_id: Column, size: Column, idle_s: int, active_s: int, delay: str
+) -> DataFrame:
+    """Flows per ordered pair of integer endpoints, cut by both timeouts as in the batch operator."""
+    shaped = packets.withWatermark(ts, delay).select(
+        ts,
+        lo.cast("bigint").alias("lo"),
+        hi.cast("bigint").alias("hi"),
+        F.unix_micros(ts).alias("us"),
+        row_id.cast("bigint").alias("id"),
+        size.cast("bigint").alias("size"),
+    )
+    schema = ", ".join(f"{c} bigint" for c in _Flow.OUT)
+    return _keyed_state(shaped, ["lo", "hi"], _Flow(idle_s * 1_000_000, active_s * 1_000_000), schema)
+
+
 def stream_time_to_detect(
     scored: DataFrame, ts: str, key: Column, row_id: Column, delay: str
 ) -> DataFrame:
@@ -159,9 +257,6 @@ def stream_time_to_detect(
     Rows are handled in event-time order once the watermark has passed them.
     Needs the RocksDB state store: pending rows stay on disk.
     """
-    spark = scored.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     shaped = scored.withWatermark(ts, delay).select(
         ts,
         key.alias("key"),
@@ -170,9 +265,4 @@ def stream_time_to_detect(
         (F.col("y_true") != 0).alias("t"),
         (F.col("y_pred") != 0).alias("p"),
     )
-    return shaped.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_DetectionState(),
-        outputStructType="key bigint, start_us bigint, rows bigint, delay bigint",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    return _keyed_state(shaped, ["key"], _Detection(), "key bigint, start_us bigint, rows bigint, delay bigint")
