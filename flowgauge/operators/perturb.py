@@ -61,21 +61,31 @@ def junk(
     seed: int = 0,
     clip: tuple[float | None, float | None] = (None, None),
     row_id: str = "row_id",
+    strength: float | Column | None = None,
 ) -> Cells:
-    """Add a constant, a random or a proportional amount; unknown modes act as constant."""
+    """Add a constant, a random or a proportional amount; unknown modes act as constant.
+
+    ``strength`` scales what is added; without it the amounts stand as given.
+    """
     out: Cells = {}
+
+    def scaled(added: Column) -> Column:
+        if strength is None:
+            return added
+        return added * (strength if isinstance(strength, Column) else F.lit(float(strength)))
+
     for c in features:
         if c not in df.columns:
             log.warning("feature %r not found, skipped", c)
             continue
         if mode == "random":
-            v = _x(c) + (F.lit(low) + F.lit(high - low) * hash_uniform(seed, F.lit(c), F.col(row_id)))
+            v = _x(c) + scaled(F.lit(low) + F.lit(high - low) * hash_uniform(seed, F.lit(c), F.col(row_id)))
         elif mode == "percentage":
-            v = _x(c) * F.lit(1.0 + percentage)
+            v = _x(c) * (F.lit(1.0) + scaled(F.lit(percentage)))
         else:
             if mode != "constant":
                 log.warning("unknown mode %r, using constant", mode)
-            v = _x(c) + F.lit(float(amount))
+            v = _x(c) + scaled(F.lit(float(amount)))
         out[c] = _clip(v, *clip)
     return out
 

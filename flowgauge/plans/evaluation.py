@@ -6,6 +6,7 @@ they are stored, and all metrics are then a few jobs over that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,32 @@ class Attack:
     params: dict = field(default_factory=dict)
 
 
-def attack_cells(df: DataFrame, features: list[str], attack: Attack, surrogate=None, row_id: str = "row_id") -> perturb.Cells:
-    if attack.kind == "noise":
-        return perturb.noise(features, row_id=row_id, **attack.params)
-    if attack.kind == "junk":
-        params = {"features": features, **attack.params}
-        return perturb.junk(df, row_id=row_id, **params)
-    if attack.kind == "gradient":
-        if surrogate is None:
-            raise ValueError("a gradient attack needs a surrogate")
-        return perturb.fgsm_linear(*surrogate, **attack.params)
-    raise ValueError(f"unknown attack {attack.kind!r}")
+# (table, features, parameters, linear stand-in or None) -> changed cells
+Maker = Callable[[DataFrame, list[str], dict, tuple[dict[str, float], float] | None], perturb.Cells]
+
+
+def _gradient(df, features, params, surrogate) -> perturb.Cells:
+    if surrogate is None:
+        raise ValueError("a gradient attack needs a surrogate")
+    return perturb.fgsm_linear(*surrogate, **params)
+
+
+# Perturbations by kind; user code adds its own.
+ATTACKS: dict[str, Maker] = {
+    "noise": lambda df, features, params, surrogate: perturb.noise(features, **params),
+    "junk": lambda df, features, params, surrogate: perturb.junk(df, **{"features": features, **params}),
+    "gradient": _gradient,
+}
+
+
+def attack_cells(df: DataFrame, features: list[str], attack: Attack, surrogate=None, **override) -> perturb.Cells:
+    if attack.kind not in ATTACKS:
+        raise ValueError(f"unknown attack {attack.kind!r}; known: {sorted(ATTACKS)}")
+    return ATTACKS[attack.kind](df, features, {**attack.params, **override}, surrogate)
+
+
+# The parameter a robustness sweep varies; kinds not listed do not follow the strength.
+STRENGTH = {"noise": "std", "gradient": "eps"}
 
 
 @dataclass
@@ -53,6 +69,7 @@ class Evaluation:
     attacks: list[Attack] = field(default_factory=list)
     allow_surrogate: bool = True
     epsilons: list[float] | None = None
+    train_only: bool = False
     force_train: bool = False
     force_model: bool = False
     times: list[tuple[str, str, float]] = field(default_factory=list)
@@ -62,10 +79,15 @@ class Evaluation:
             return [None]
         return sorted(r["fold"] for r in self.stored.select("fold").distinct().collect())
 
-    def run(self) -> DataFrame:
-        """All predictions of pending training runs are written; returns the predictions of every run."""
+    def run(self) -> DataFrame | None:
+        """Write the predictions of all pending training runs; returns the predictions of every run.
+
+        With ``train_only`` detectors are trained and stored, and nothing is returned.
+        """
         if self.epsilons is not None and not self.attacks:
             raise ValueError("a robustness sweep needs at least one attack")
+        if self.cross and "fold" in self.stored.columns:
+            raise ValueError("cross-dataset evaluation takes no folds")
         ledger = runs.Ledger(self.spark, f"{self.root}/ledger", self.config_hash)
         out = f"{self.root}/predictions/{self.config_hash}"
         if ledger.stage() == "complete" and not self.force_train:
@@ -73,8 +95,6 @@ class Evaluation:
         ledger.set_stage("in_progress")
         names = sorted(r["dataset"] for r in self.stored.select("dataset").distinct().collect())
         folds = self._folds()
-        if self.cross and folds != [None]:
-            raise ValueError("cross-dataset evaluation takes no folds")
         done = set() if self.force_train else {r["run_id"] for r in ledger.completed().collect()}
         scope = "cross" if self.cross else "kfold" if folds != [None] else "intra"
         for i, name in enumerate(names):
@@ -82,17 +102,22 @@ class Evaluation:
                 for model, detector in self.detectors.items():
                     run = f"{scope}_{model}_train-{i}" + ("" if fold is None else f"_fold {fold}")
                     if run not in done:
-                        self._train_and_score(run, name, fold, model, detector, names, out)
-                        ledger.add(run)
+                        self._train_and_score(run, name, fold, model, detector, out)
+                        if not self.train_only:
+                            ledger.add(run)
+        if self.train_only:
+            return None
         ledger.set_stage("evaluation_complete")
         preds = self.spark.read.parquet(out)
         ledger.set_stage("complete")
         return preds
 
-    def _train_and_score(self, run, name, fold, model, detector, names, out) -> None:
+    def _train_and_score(self, run, name, fold, model, detector, out) -> None:
         own = self.stored.where(F.col("dataset") == name)
         train = train_rows(own, fold)
         fitted = self._fitted(run, name, fold, model, detector, train)
+        if self.train_only:
+            return
         tests = test_rows(self.stored if self.cross else own, fold)
         surrogate = None
         attacks = [a for a in self.attacks if a.kind != "gradient" or self.allow_surrogate]
@@ -138,12 +163,12 @@ class Evaluation:
         first = self.attacks[0]
         rows = perturb.sweep(test_rows(own, fold), self.epsilons)
         eps = F.col("epsilon")
-        if first.kind == "noise":
-            cells = perturb.noise(self.features, std=eps, seed=first.params.get("seed", 0))
-        elif first.kind == "gradient":
-            cells = perturb.fgsm_linear(*(surrogate or perturb.fit_surrogate(train, self.features, self.target)), eps=eps)
-        else:
-            cells = attack_cells(rows, self.features, first)
+        varied = {STRENGTH[first.kind]: eps} if first.kind in STRENGTH else {}
+        if first.kind == "junk" and first.params.get("strength") is not None:
+            varied = {"strength": eps}
+        if first.kind == "gradient" and surrogate is None:
+            surrogate = perturb.fit_surrogate(train, self.features, self.target)
+        cells = attack_cells(rows, self.features, first, surrogate, **varied)
         moved = rows.select(
             *[F.when(eps > 0, cells[c]).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in rows.columns]
         )

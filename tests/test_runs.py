@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowgauge.catalog import views
 from flowgauge.operators import detectors, report, runs
 from flowgauge.operators.fitted import FittedChain, Step, fit_chain
-from flowgauge.plans.dataset import SplitPlan, dataset_report, prepare
+from flowgauge.plans.dataset import SplitPlan, dataset_report, prepare, split
 from flowgauge.plans.evaluation import Attack, Evaluation, results_of, runtime_results
 from flowgauge.sources import readers, sinks
 
@@ -124,6 +124,22 @@ def test_evaluation_end_to_end(spark, stored):
     assert {"train_runtime_s", "test_throughput_samples_per_s", "train_model_retrain_cost"} <= timed
 
 
+def test_kfold_train_only_and_junk_strength(spark, tmp_path):
+    u = views.unit(spark, SF).withColumn("target_label", (F.col("x1") + F.col("x3") > 0.8).cast("int"))
+    table = split({"D0": u.drop("run_id")}, SplitPlan("k_fold", n_splits=2))
+    args = (spark, table, ["x1", "x2", "x3"], "target_label", {"z": detectors.AnomalyDetector()}, str(tmp_path), "beef0000")
+    assert Evaluation(*args, train_only=True).run() is None
+    ev = Evaluation(*args, attacks=[Attack("junk", "junk", {"amount": 4.0, "strength": 1.0})], epsilons=[0.5])
+    preds = ev.run()
+    assert {p for _, p, _ in ev.times} == {"test"}
+    assert preds.where("attack is null").count() == u.count()
+    assert {r["fold"] for r in preds.select("fold").distinct().collect()} == {0, 1}
+    curve = spark.read.parquet(f"{tmp_path}/curves/beef0000/*").collect()
+    assert sorted(r["epsilon"] for r in curve) == [0.0, 0.0, 0.5, 0.5]
+    with pytest.raises(ValueError):
+        Evaluation(*args, cross=True).run()
+
+
 def test_sweep_without_attack_is_refused(spark, stored):
     root, _, _ = stored
     table = sinks.read_splits(spark, root, "cafe0000")
