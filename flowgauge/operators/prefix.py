@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from flowgauge.session import default_buckets
 
-SKETCH_ACCURACY = 10_000
+# sketch entries per bucket: bucket sizes are then within an eighth or so of even
+SKETCH_PER_BUCKET = 8
 
 
 def range_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
@@ -22,7 +23,7 @@ def range_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     value = F.col(column).cast("double")
-    row = df.agg(F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 4 * buckets)).alias("e")).collect()[0]
+    row = df.agg(F.percentile_approx(value, probs, max(100, SKETCH_PER_BUCKET * buckets)).alias("e")).collect()[0]
     edges = sorted({e for e in (row["e"] or [])})
     return edges[:buckets]
 
