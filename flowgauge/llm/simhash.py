@@ -270,7 +270,7 @@ def link_fingerprints(prints: DataFrame, blocks: int = 2, anchor_rows: int = ANC
     spark = prints.sparkSession
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    replicas = prints.mapInArrow(_replicate(blocks, THRESHOLD), "anchor long, fp long")
+    replicas = prints.repartition(parts, "fp").mapInArrow(_replicate(blocks, THRESHOLD), "anchor long, fp long")
     sorted_rows = replicas.repartition(parts, "anchor").sortWithinPartitions("anchor")
     found = stored(sorted_rows.mapInArrow(_compare(THRESHOLD, anchor_rows), "u long, v long, full boolean").distinct(), "pairs")
     dense = found.filter("full").select(F.col("u").alias("fp")).distinct()
