@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import decontam, hilbert, html_text, langid, simhash, sp_dropout, topk, warc
+from flowgauge.llm import decontam, hilbert, html_text, langid, license_scan, lm_backoff, simhash, sp_dropout, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,29 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query(
+    "op6_stupid_backoff",
+    r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS cur,
+    unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 THEN w[i - 1] END)) AS prev FROM t),
+one AS (SELECT cur, count(*) AS n FROM g GROUP BY cur),
+two AS (SELECT prev, cur, count(*) AS n FROM g WHERE prev IS NOT NULL GROUP BY prev, cur),
+s AS (SELECT r, CASE WHEN g.prev IS NULL THEN ln(c.n / (SELECT count(*) FROM g))
+        WHEN two.n >= 2 THEN ln(two.n / p.n) ELSE ln(0.4) + ln(c.n / (SELECT count(*) FROM g)) END AS score,
+        g.prev IS NOT NULL AND two.n < 2 AS backed
+    FROM g JOIN one c ON g.cur = c.cur LEFT JOIN one p ON g.prev = p.cur LEFT JOIN two ON g.prev = two.prev AND g.cur = two.cur),
+d AS (SELECT r, sum(score) AS score, count_if(backed) AS backed FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 4) AS log_score, CAST(coalesce(backed, 0) AS BIGINT) AS n_backoff
+FROM t LEFT JOIN d USING (r)
+""",
+)
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_backoff.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 @query("op7_sentencepiece_dropout")
 def op7_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +131,11 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.train(spark))
+
+
 @query(
     "op9_exact_top_k",
     """
