@@ -4,7 +4,7 @@ The vocabulary is that of a public BPE model with byte fallback; it is read once
 on the driver and sent to the tasks (its size is that of the model file). A text
 is cut into units, runs of blanks with the word that follows; no piece of such a
 model reaches over a unit's end. Merges of a unit come from an agenda ordered by
-piece score, then place. Each candidate taken from the agenda is skipped if a
+piece score, then place; many units are merged side by side in arrays. Each candidate taken from the agenda is skipped if a
 hash keyed by (seed, variant, unit, place, size) falls below the dropout rate, so
 the outcome depends on neither partitioning nor order. A document's variant is a
 hash of its id; with several variants the same word is segmented in several ways,
@@ -26,16 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import append, bound_batches, grown, require
+from flowgauge.llm.common import append, bound_batches, grown, require, runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
 #: Units of a worker's younger half.
 KEPT_UNITS = 250_000
-#: Units longer than this use a heap and are not remembered.
-LONG = 64
+#: Units up to these lengths are merged side by side; longer ones by heap, and are not remembered.
+WIDTHS = (6, 8, 10, 12, 16, 24, 40)
+WIDE = WIDTHS[-1]
+SIDE_BY_SIDE = 20_000
+#: Texts are taken together up to so many characters.
+TOGETHER = 2 << 20
 NEVER = 1 << 60
+SPREAD = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -65,9 +70,29 @@ class Vocabulary:
         ranked = sorted({model.get_score(i) for i in self.ids.values()}, reverse=True)
         place = {score: k for k, score in enumerate(ranked)}
         self.rank = {p: place[model.get_score(i)] for p, i in self.ids.items()}
+        self.size = np.array([len(p) for p in self._by_id(size)], np.uint64)
+        # (left id, right id) -> rank and id of the merged piece, as whole numbers in order
+        pairs = {
+            self.ids[p[:k]] << 20 | self.ids[p[k:]]: self.rank[p] << 20 | i
+            for p, i in self.ids.items()
+            for k in range(1, len(p))
+            if p[:k] in self.ids and p[k:] in self.ids
+        }
+        self.pair_key = np.array(sorted(pairs), np.int64)
+        self.pair_value = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
+        # ids of single signs by code point; a blank stands for U+2581, which is never read as a piece
+        self.sign = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1 and p != BLANK:
+                self.sign[ord(p)] = i
+        self.sign[ord(" ")] = self.ids[BLANK]
         self.surface = surface
         self.name = xxhash.xxh64_hexdigest(repr([*self.rank.items()]).encode())
 
+    def _by_id(self, size: int) -> list[str]:
+        names = {i: p for p, i in self.ids.items()}
+        return [names.get(i, "") for i in range(size)]
+
 
 class Segmenter:
     """Splits units into ids; remembers a bounded number of them, the older half of which goes first."""
@@ -77,58 +102,130 @@ class Segmenter:
         self.below = int(dropout * (1 << 32))
         self.young: dict[int, dict[str, bytes]] = defaultdict(dict)
         self.old: dict[int, dict[str, bytes]] = defaultdict(dict)
-        self.room = KEPT_UNITS
-
-    def unit(self, text: str, variant: int) -> bytes:
-        """The unit's ids as packed int32."""
-        found = self.old[variant].get(text) or self.merge(text, variant)
-        if len(text) <= LONG:
-            if not self.room:
-                self.old, self.young, self.room = self.young, defaultdict(dict), KEPT_UNITS
-            self.young[variant][text] = found
-            self.room -= 1
-        return found
-
-    def merge(self, text: str, variant: int) -> bytes:
-        """A blank is written U+2581; that sign itself, like any sign the model lacks, becomes bytes."""
-        signs = [*text.replace(BLANK, "\0").replace(" ", BLANK)]
-        key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) if self.below else 0
-        parts = (self._short if len(signs) <= LONG else self._long)(signs, key)
-        ids, out = self.vocabulary.ids, []
-        place = 0
-        for part in parts:
-            if (i := ids.get(part)) is not None:
-                out.append(i)
-            else:
-                sign = text[place] if len(part) == 1 else part
-                out.extend(self.vocabulary.bytes[b] for b in sign.encode("utf-8", "surrogatepass"))
-            place += len(part)
-        return array("i", out).tobytes()
-
-    def _short(self, part: list[str], key: int) -> list[str]:
-        """The agenda is a list of the ranks of neighbours: few enough to look for the least one each time."""
-        rank, below = self.vocabulary.rank.get, self.below
-        place = list(range(len(part)))
-        agenda = [rank(p + q, NEVER) for p, q in zip(part, part[1:])]
-        while agenda:
-            least = min(agenda)
-            if least == NEVER:
-                break
-            i = agenda.index(least)
-            piece = part[i] + part[i + 1]
-            if below and draw(key, place[i], len(piece)) < below:
-                agenda[i] = NEVER
-                continue
-            part[i] = piece
-            del part[i + 1], place[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(piece + part[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = rank(part[i - 1] + piece, NEVER)
-        return part
-
-    def _long(self, part: list[str], key: int) -> list[str]:
-        """The same with a heap and linked neighbours, for units without blanks of any length."""
+
+    def key(self, text: str, variant: int) -> int:
+        if not self.below:
+            return 0
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant)
+
+    def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        """Ids of some texts; units not met before are merged together."""
+        units = [UNIT.findall(" " + t) if t else [] for t in texts]
+        wanted: dict[int, set[str]] = defaultdict(set)
+        for found, variant in zip(units, variants):
+            wanted[variant].update(found)
+        fresh: list[tuple[str, int]] = []
+        for variant, found in wanted.items():
+            young, old = self.young[variant], self.old[variant]
+            for unit in found - young.keys():
+                if unit in old:
+                    young[unit] = old[unit]
+                else:
+                    fresh.append((unit, variant))
+        long = []
+        for (unit, variant), ids in zip(fresh, self.merge(fresh)):
+            self.young[variant][unit] = ids
+            if len(unit) > WIDE:
+                long.append((unit, variant))
+        out = []
+        for found, variant in zip(units, variants):
+            out.append(np.frombuffer(b"".join(map(self.young[variant].__getitem__, found)), np.int32))
+        for unit, variant in long:
+            del self.young[variant][unit]
+        if sum(map(len, self.young.values())) > KEPT_UNITS:
+            self.old, self.young = self.young, defaultdict(dict)
+        return out
+
+    def merge(self, units: list[tuple[str, int]]) -> list[bytes]:
+        """Each unit's ids as packed int32: most units side by side, odd ones by heap."""
+        out: list[bytes] = [b""] * len(units)
+        by_width: dict[int, list[int]] = defaultdict(list)
+        for i, (unit, _) in enumerate(units):
+            # pieces of blanks alone share one score: only the heap takes such ties by place
+            width = next((w for w in WIDTHS if len(unit) <= w), 0) if "  " not in unit and BLANK not in unit else 0
+            by_width[width].append(i)
+        odd = by_width.pop(0, [])
+        for width, places in by_width.items():
+            for at in range(0, len(places), SIDE_BY_SIDE):
+                part = places[at : at + SIDE_BY_SIDE]
+                for i, ids in zip(part, self._side_by_side([units[i] for i in part], width)):
+                    if ids is None:
+                        odd.append(i)
+                    else:
+                        out[i] = ids
+        for i in odd:
+            unit, variant = units[i]
+            out[i] = array("i", self.by_heap(unit, self.key(unit, variant))).tobytes()
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and id of what two pieces merge to, NEVER if nothing."""
+        v = self.vocabulary
+        wanted = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(v.pair_key, wanted), len(v.pair_key) - 1)
+        return np.where((left >= 0) & (right >= 0) & (v.pair_key[at] == wanted), v.pair_value[at], NEVER)
+
+    def _side_by_side(self, units: list[tuple[str, int]], width: int) -> list[bytes | None]:
+        """One row of pieces and one agenda of neighbours' merges per unit; each round takes every row's best candidate."""
+        v, n = self.vocabulary, len(units)
+        sizes = np.fromiter((len(u) for u, _ in units), np.int64, n)
+        points = np.frombuffer("".join(u for u, _ in units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(n), sizes)
+        part = np.full((n, width), -1, np.int32)
+        part[row, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = v.sign[points]
+        lacking = np.bincount(row, v.sign[points] < 0, n) > 0
+        key = np.fromiter((self.key(u, k) for u, k in units), np.uint64, n)
+        place = np.tile(np.arange(width, dtype=np.uint64), (n, 1))
+        agenda = self._pairs(part[:, :-1], part[:, 1:])
+        out: list[bytes | None] = [None] * n
+        index = np.arange(n)
+        columns = np.arange(width)
+
+        def done(rows: np.ndarray) -> None:
+            for i, k, ids in zip(index[rows].tolist(), sizes[rows].tolist(), part[rows]):
+                if not lacking[i]:
+                    out[i] = ids[:k].tobytes()
+
+        while len(index):
+            at = agenda.argmin(axis=1)
+            best = agenda[np.arange(len(index)), at]
+            open_ = best != NEVER
+            if not open_.all():
+                done(np.flatnonzero(~open_))
+                index, sizes, part, key, place, agenda, at, best = (x[open_] for x in (index, sizes, part, key, place, agenda, at, best))
+                if not len(index):
+                    break
+            rows = np.arange(len(index))
+            piece = (best & 0xFFFFF).astype(np.int32)
+            if self.below:
+                candidate = place[rows, at] << np.uint64(20) | v.size[piece]
+                skip = ((key ^ candidate) * np.uint64(SPREAD) >> np.uint64(24)) & np.uint64(0xFFFFFFFF) < np.uint64(self.below)
+                agenda[rows[skip], at[skip]] = NEVER
+                rows, at, piece = rows[~skip], at[~skip], piece[~skip]
+            # close the gap that the right piece leaves
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            moved = np.take_along_axis(part[rows], source, 1)
+            moved[:, -1] = -1
+            here = np.arange(len(rows))
+            moved[here, at] = piece
+            part[rows] = moved
+            place[rows] = np.take_along_axis(place[rows], source, 1)
+            sizes[rows] -= 1
+            left = np.take_along_axis(agenda[rows], np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
+            left[:, -1] = NEVER
+            inner = at < width - 1
+            left[here[inner], at[inner]] = self._pairs(piece[inner], moved[here[inner], at[inner] + 1])
+            later = at > 0
+            left[here[later], at[later] - 1] = self._pairs(moved[here[later], at[later] - 1], piece[later])
+            agenda[rows] = left
+        return out
+
+    def by_heap(self, text: str, key: int) -> list[int]:
+        """The same for one unit of any length, with a heap and linked neighbours.
+
+        A blank is written U+2581; that sign itself, like any sign the model lacks, becomes bytes.
+        """
+        part = [*text.replace(BLANK, "\0").replace(" ", BLANK)]
         rank, below, n = self.vocabulary.rank.get, self.below, len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank(part[i] + part[i + 1], NEVER)) != NEVER]
@@ -136,7 +233,9 @@ class Segmenter:
         while agenda:
             _, i, size = heappop(agenda)
             j = after[i]
-            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size or below and draw(key, i, size) < below:
+            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
+                continue
+            if below and ((key ^ (i << 20 | size)) * SPREAD >> 24) & 0xFFFFFFFF < below:
                 continue
             part[i] += part[j]
             part[j] = ""
@@ -148,25 +247,13 @@ class Segmenter:
             h = before[i]
             if h >= 0 and (r := rank(part[h] + part[i], NEVER)) != NEVER:
                 heappush(agenda, (r, h, size + len(part[h])))
-        return [p for p in part if p]
-
-    def encode(self, text: str, variant: int) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        known = self.young[variant]
-        out = []
-        for unit in UNIT.findall(" " + text):
-            found = known.get(unit)
-            if found is None:
-                found = self.unit(unit, variant)
-                known = self.young[variant]
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.int32)
-
-
-def draw(key: int, place: int, size: int) -> int:
-    """32 bits that depend on the unit, the place of the left piece and the size of the merged one."""
-    return ((key ^ (place << 20 | size)) * 0x9E3779B97F4A7C15 >> 24) & 0xFFFFFFFF
+        ids, out = self.vocabulary.ids, []
+        for i, p in enumerate(part):
+            if p in ids:
+                out.append(ids[p])
+            elif p:
+                out += [self.vocabulary.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")]
+        return out
 
 
 _SEGMENTERS: dict[tuple, Segmenter] = {}
@@ -228,10 +315,11 @@ def encode(
         for batch in batches:
             offsets, parts = [0], []
             texts = batch.column(at).to_pylist()
-            for body, variant in zip(texts, batch.column(batch.num_columns - 1).to_pylist()):
-                ids = segmenter.encode(body or "", variant)
-                parts.append(ids)
-                offsets.append(offsets[-1] + len(ids))
+            kinds = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in runs([len(t or "") for t in texts], TOGETHER):
+                for ids in segmenter.encode([t or "" for t in texts[a:b]], kinds[a:b]):
+                    parts.append(ids)
+                    offsets.append(offsets[-1] + len(ids))
             values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
             mask = pa.array([t is None for t in texts], pa.bool_())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)

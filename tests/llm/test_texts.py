@@ -115,9 +115,17 @@ def test_dropout_varies_and_decodes(spark):
 
 
 def test_both_agendas_agree():
-    segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), 0.2, 3)
-    for i, text in enumerate(["the▁internationalisation", "▁aaaaaaaaaaaaaaaa", "▁éàü▁▁x", "ß"]):
-        assert segmenter._short([*text], i * 12345) == segmenter._long([*text], i * 12345)
+    """Units merged side by side in arrays come out as from the heap."""
+    import random
+
+    rng = random.Random(1)
+    units = [" " + "".join(rng.choice("etaoinéß\n9") for _ in range(rng.randint(0, 45))) for _ in range(600)]
+    units += [" internationalisation", " aaaaaaaaaaaaaaaa", "𓀀y", "   ", "   x", "a▁b", "", " "]
+    for dropout in (0.0, 0.2):
+        segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), dropout, 3)
+        got = segmenter.merge([(u, i % 3) for i, u in enumerate(units)])
+        for i, (u, ids) in enumerate(zip(units, got)):
+            assert np.frombuffer(ids, np.int32).tolist() == segmenter.by_heap(u, segmenter.key(u, i % 3)), u
 
 
 # --- pages
