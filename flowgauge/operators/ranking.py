@@ -5,16 +5,19 @@ range with histograms (map-side combined, a few thousand bins) until the rows
 around each rank fit one sort, then ranks only those. Groups that hold most of
 the rows, repeated keys and uneven key ranges all take more passes, never a
 bigger task. The caller compares rows with the found keys, so the table itself
-is never shuffled or sorted.
+is never shuffled or sorted. Rows whose key is NULL, NaN or infinite have no
+rank and are left out.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgauge.functions.scalars import finite_or_null, is_floating, quote
 from flowgauge.operators.small import hinted, pin_small
 
 BINS = 4096
@@ -49,9 +52,16 @@ def _range_aggs() -> list[Column]:
     ]
 
 
+def _base(df: DataFrame, groups: list[str], key: Column, tie: Column) -> DataFrame:
+    base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
+    if is_floating(base.schema["__k"].dataType):
+        base = base.withColumn("__k", finite_or_null(F.col("__k")))
+    return base.where("__k is not null")
+
+
 def group_ranges(df: DataFrame, groups: list[str], key: Column, tie: Column) -> tuple[DataFrame, bool]:
     """Rows per group (``__n``) and the ranges of key and tie-breaker, pinned."""
-    base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
+    base = _base(df, groups, key, tie)
     return pin_small(base.groupBy(*groups).agg(*_range_aggs()))
 
 
@@ -72,7 +82,7 @@ def select_ranks(
     target, cut_key, cut_tie) for every target of a known group; the cut is
     NULL where the rank is outside the group.
     """
-    base = df.select(*groups, key.alias("__k"), tie.alias("__t"))
+    base = _base(df, groups, key, tie)
     t = hinted((_prefixed(targets.select(*groups, "target", "rank"), groups), ranges[1]))
     spans = ranges[0]
     cond = reduce(lambda a, b: a & b, [_same(spans[g], t[f"__g_{g}"]) for g in groups])
@@ -82,7 +92,12 @@ def select_ranks(
     inside = F.col("rank").between(1, F.col("__n"))
     flat = (F.col("__klo") == F.col("__khi")) & (F.col("__tlo") == F.col("__thi"))
     wide = inside & (F.col("__n") > sort_rows) & ~flat
-    while not state[0].where(wide).isEmpty():
+    before = None
+    while (left := _progress(state[0], wide, cols))[0]:
+        # every pass parts the least key of a cell from the greatest one
+        if left == before:
+            raise RuntimeError("rank search makes no progress")
+        before = left
         state = pin_small(_narrow(base, state, groups, wide, bins).select(*cols))
 
     rest = state[0].where(inside & ~flat)
@@ -109,6 +124,18 @@ def select_ranks(
     return pin_small(found.unionByName(done))
 
 
+def _progress(state: DataFrame, wide: Column, cols: list[str]) -> tuple:
+    """Cells that are still too wide, and a checksum of the search state."""
+    row = state.agg(F.count_if(wide).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("sum")).collect()[0]
+    return row["n"], row["sum"]
+
+
+def _distance(a: Column, b: Column) -> tuple[Column, Column]:
+    """a - b as DOUBLE, exact for near whole numbers, and half of it; the difference may overflow, its half may not."""
+    half = a.cast("double") / 2.0 - b.cast("double") / 2.0
+    return F.coalesce(F.try_subtract(a, b).cast("double"), F.lit(float("inf"))), half
+
+
 def _narrow(base: DataFrame, state: tuple[DataFrame, bool], groups: list[str], wide: Column, bins: int) -> DataFrame:
     """One histogram pass over the rows of every cell that is still too wide."""
     todo = state[0].where(wide)
@@ -117,9 +144,10 @@ def _narrow(base: DataFrame, state: tuple[DataFrame, bool], groups: list[str], w
     rows = base.join(cells_h, _inside(base, cells_h, groups))
 
     def place(v: str, lo: str, hi: str) -> Column:
-        span = (F.col(hi) - F.col(lo)).cast("double")
-        at = (F.col(v) - F.col(lo)).cast("double") / span * F.lit(float(bins))
-        return F.least(F.floor(at), F.lit(bins - 1)).cast("int")
+        span, half_span = _distance(F.col(hi), F.col(lo))
+        far, half_far = _distance(F.col(v), F.col(lo))
+        share = F.when(span == F.lit(float("inf")), half_far / half_span).otherwise(far / span)
+        return F.least(F.floor(share * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
 
     slot = F.when(F.col("__klo") < F.col("__khi"), place("__k", "__klo", "__khi")).otherwise(
         place("__t", "__tlo", "__thi")
@@ -178,14 +206,13 @@ def percentiles(
         at = (n - 1) * q
         frac = at - int(at)
         low, high = found[(c, "lo")], found[(c, "hi")]
-        out[c] = low + (high - low) * frac if frac else low
+        step = (high - low) * frac
+        out[c] = low if not frac else low + step if math.isfinite(step) else low * (1 - frac) + high * frac
     return out
 
 
 def unpivot_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) rows of the non-missing numeric cells."""
-    from flowgauge.functions.scalars import finite_or_null, quote
-
     cells = F.array(
         *[F.struct(F.lit(c).alias("__c"), finite_or_null(F.col(quote(c)).cast("double")).alias("__v")) for c in columns]
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.functions.hashing import hash_order
-from flowgauge.functions.scalars import is_numeric, quote
+from flowgauge.functions.scalars import finite_or_null, is_numeric, quote
 from flowgauge.operators.ranking import BINS, SORT_ROWS, beyond, group_ranges, select_ranks
 from flowgauge.operators.small import attach
 
@@ -99,15 +99,15 @@ def split_kfold(
 
 
 def time_key(df: DataFrame, column: str) -> Column:
-    """Sortable time of a row: microseconds for timestamps, else a number; NULL if neither.
+    """Sortable time of a row: microseconds for timestamps, else a finite number; NULL if neither.
 
     Text is read as a number first and as a timestamp second.
     """
     kind, c = df.schema[column].dataType, F.col(quote(column))
     if is_numeric(kind):
-        return c.cast("double")
+        return finite_or_null(c.cast("double"))
     if isinstance(kind, T.StringType):
-        return F.coalesce(c.try_cast("double"), F.unix_micros(c.try_cast("timestamp")).cast("double"))
+        return F.coalesce(finite_or_null(c.try_cast("double")), F.unix_micros(c.try_cast("timestamp")).cast("double"))
     return F.unix_micros(c.cast("timestamp"))
 
 

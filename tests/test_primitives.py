@@ -138,3 +138,47 @@ def test_attach_without_broadcast(spark):
     lookup = durable(spark.createDataFrame([("a", 10), (None, 20)], "k string, w int"))
     got = {r["v"]: r["w"] for r in small.attach(df, (lookup, False), ["k"]).collect()}
     assert got == {1: 10, 2: 20, 3: None}
+
+
+@pytest.mark.parametrize("limits", [(1_000_000, 4096), (2, 4)])
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf"), 1.7e308, -1.7e308, 5e-324])
+def test_rank_search_ends_on_odd_doubles(spark, limits, odd):
+    values = [float(i) for i in range(60)] + [odd, odd, -odd, 1.7e308]
+    rows = [("g", v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, k double, t bigint").repartition(3)
+    args = (df, ["g"], F.col("k"), F.col("t"))
+    ranks = [1, 2, 30, 61, 62]
+    targets = spark.createDataFrame([("g", r, r) for r in ranks], "g string, target int, rank bigint")
+    got, _ = select_ranks(*args, group_ranges(*args), targets, *limits)
+    kept = sorted((v, i) for _, v, i in rows if abs(v) < float("inf"))
+    want = {r: kept[r - 1] if r <= len(kept) else (None, None) for r in ranks}
+    assert {r["target"]: (r["cut_key"], r["cut_tie"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("limits", [(1_000_000, 4096), (2, 4)])
+def test_rank_search_ends_on_whole_extremes(spark, limits):
+    low, high = -(2**63), 2**63 - 1
+    keys = [low, low + 1, low + 2, high, high - 1, high - 2, 0, 1, 2**62, 2**62 + 1, 2**62 + 2]
+    rows = [("g", k, t) for k in keys for t in (low, 7, high)]
+    df = spark.createDataFrame(rows, "g string, k bigint, t bigint").repartition(3)
+    args = (df, ["g"], F.col("k"), F.col("t"))
+    targets = spark.createDataFrame([("g", r, r) for r in range(1, 34)], "g string, target int, rank bigint")
+    got, _ = select_ranks(*args, group_ranges(*args), targets, *limits)
+    ordered = sorted((k, t) for _, k, t in rows)
+    assert {r["target"]: (r["cut_key"], r["cut_tie"]) for r in got.collect()} == {i + 1: p for i, p in enumerate(ordered)}
+
+
+def test_percentile_of_extremes(spark):
+    df = spark.createDataFrame([(v,) for v in [-1.7e308, 1.7e308, 0.0, 1.0, float("nan"), 2.0]], "a double")
+    assert percentiles(df, ["a"], 0.5, 1, 4) == {"a": 1.0}
+    assert percentiles(spark.createDataFrame([(-1.7e308,), (1.7e308,)], "a double"), ["a"], 0.5)["a"] == 0.0
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_timestamp_split_drops_rows_without_a_finite_time(spark, kind):
+    from flowgauge.operators.splits import split_timestamp
+
+    times = [float(i) for i in range(80)] + [float("nan")] * 10 + [float("inf")] * 5 + [None] * 5
+    rows = [(i, t if kind == "double" or t is None else str(t)) for i, t in enumerate(times)]
+    out = split_timestamp(spark.createDataFrame(rows, f"row_id bigint, t {kind}"), "t", 0.25, sort_rows=3, bins=4)
+    assert {(r["split"], r["count"]) for r in out.groupBy("split").count().collect()} == {("train", 60), ("test", 20)}
