@@ -103,11 +103,12 @@ _count_metric("mcc_binary", "matthews_correlation_coefficient", MCC)
 _count_metric("intrusion_detection_capability", "intrusion_detection_capability", IDC)
 _count_metric("fp_per_million", "fp_per_million", "round(fp / n * 1e6, 5)")
 
-CLASS_COUNTS = f"""{v.PREDS_MULTI}, c AS (SELECT DISTINCT run_id, unnest([y_true, y_pred]) AS k FROM preds_multi),
+CLASS_CELLS = """c AS (SELECT DISTINCT run_id, unnest([y_true, y_pred]) AS k FROM preds_multi),
 k AS (SELECT c.run_id, c.k, CAST(count(*) FILTER (WHERE y_true = k AND y_pred = k) AS DOUBLE) AS tp,
         CAST(count(*) FILTER (WHERE y_true <> k AND y_pred = k) AS DOUBLE) AS fp,
         CAST(count(*) FILTER (WHERE y_true = k AND y_pred <> k) AS DOUBLE) AS fn
       FROM c JOIN preds_multi p ON c.run_id = p.run_id GROUP BY c.run_id, c.k)"""
+CLASS_COUNTS = f"{v.PREDS_MULTI}, {CLASS_CELLS}"
 
 
 def _macro_metric(name: str, column: str, expression: str) -> None:
@@ -135,7 +136,7 @@ def mcc_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fp_per_volume",
     f"""WITH {v.PREDS} SELECT run_id, round(count(*) FILTER (WHERE y_true = 0 AND y_pred = 1)
-  / (CAST(sum(floor(value) + 40) AS DOUBLE) / CAST(1000000000 AS DOUBLE)), 5) AS fppv FROM preds GROUP BY run_id""",
+  / (CAST(sum(floor(value) + 40) AS DOUBLE) / CAST(1073741824 AS DOUBLE)), 5) AS fppv FROM preds GROUP BY run_id""",
 )
 def fp_per_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = v.preds(spark, sf_dir).withColumn("bytes", F.floor("value") + 40)
@@ -280,6 +281,12 @@ LONG = f"""{v.PREDS}, {COUNTS}, {CURVE}, {ISLANDS}, metrics AS (
   UNION ALL SELECT run_id, 'test_matthews_correlation_coefficient', {MCC} FROM counts
   UNION ALL SELECT run_id, 'test_intrusion_detection_capability', {IDC} FROM counts
   UNION ALL SELECT run_id, 'test_fp_per_million', round(fp / n * 1e6, 5) FROM counts
+  UNION ALL SELECT run_id, 'test_confusion_matrix_tn', tn FROM counts
+  UNION ALL SELECT run_id, 'test_confusion_matrix_fp', fp FROM counts
+  UNION ALL SELECT run_id, 'test_confusion_matrix_fn', fn FROM counts
+  UNION ALL SELECT run_id, 'test_confusion_matrix_tp', tp FROM counts
+  UNION ALL SELECT run_id, 'test_fppv', round(count(*) FILTER (WHERE y_true = 0 AND y_pred = 1)
+    / (CAST(sum(floor(value) + 40) AS DOUBLE) / CAST(1073741824 AS DOUBLE)), 5) FROM preds GROUP BY run_id
   UNION ALL SELECT run_id, 'test_roc_auc', {AUC} FROM curve GROUP BY run_id
   UNION ALL SELECT run_id, 'test_pr_auc', {AP} FROM curve GROUP BY run_id
   UNION ALL SELECT run_id, 'test_mttd_samples', mttd_samples FROM det
@@ -290,7 +297,39 @@ LONG = f"""{v.PREDS}, {COUNTS}, {CURVE}, {ISLANDS}, metrics AS (
 
 @query("metrics_long", f"WITH {LONG} SELECT run_id, metric_key, value FROM metrics")
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.metrics_long(v.preds(spark, sf_dir))
+    return m.metrics_long(v.preds(spark, sf_dir).withColumn("n_bytes", F.floor("value") + 40))
+
+
+# the multiclass predictions with a score, and the same rows with binarised labels
+PREDS_NAMED = f"""{v.PREDS_MULTI}, named AS (
+  SELECT p.*, CAST(floor(least(e.value, 100)) AS DOUBLE) / CAST(100 AS DOUBLE) AS score
+  FROM preds_multi p JOIN events e ON p.row_id = e.event_id),
+preds AS (SELECT run_id, row_id, CAST(y_true <> 'view' AS INTEGER) AS y_true, CAST(y_pred <> 'view' AS INTEGER) AS y_pred, score FROM named)"""
+
+MULTI_LONG = f"""{PREDS_NAMED}, {COUNTS}, {CURVE}, {ISLANDS}, {CLASS_CELLS},
+s AS (SELECT run_id, sum(tp) AS c, sum(tp + fn) AS s, sum((tp + fp) * (tp + fn)) AS pt,
+      sum((tp + fp) * (tp + fp)) AS pp, sum((tp + fn) * (tp + fn)) AS tt FROM k GROUP BY run_id),
+metrics AS (
+  SELECT run_id, 'test_accuracy' AS metric_key, round(avg(CAST(y_true = y_pred AS INTEGER)), 5) AS value FROM named GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_precision_score_macro', round(avg({ratio('tp', 'tp + fp')}), 5) FROM k GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_recall_score_macro', round(avg({ratio('tp', 'tp + fn')}), 5) FROM k GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_f1_score_macro', round(avg({ratio('2 * tp', '2 * tp + fp + fn')}), 5) FROM k GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_matthews_correlation_coefficient',
+    round(greatest(0, coalesce((c * s - pt) / nullif(sqrt(s * s - pp) * sqrt(s * s - tt), 0), 0)), 5) FROM s
+  UNION ALL SELECT run_id, 'test_intrusion_detection_capability_binary', {IDC} FROM counts
+  UNION ALL SELECT run_id, 'test_fp_per_million', round(fp / n * 1e6, 5) FROM counts
+  UNION ALL SELECT run_id, 'test_roc_auc', {AUC} FROM curve GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_pr_auc', {AP} FROM curve GROUP BY run_id
+  UNION ALL SELECT run_id, 'test_mttd_samples', mttd_samples FROM det
+  UNION ALL SELECT run_id, 'test_attack_instances_total', attack_instances_total FROM det
+  UNION ALL SELECT run_id, 'test_attack_instances_detected', attack_instances_detected FROM det
+  UNION ALL SELECT run_id, 'test_attack_instances_undetected', attack_instances_undetected FROM det)"""
+
+
+@query("metrics_long_multiclass", f"WITH {MULTI_LONG} SELECT run_id, metric_key, value FROM metrics")
+def metrics_long_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = v.preds(spark, sf_dir).select("row_id", "score")
+    return m.metrics_long(v.preds_multi(spark, sf_dir).join(scores, "row_id"), benign="view")
 
 
 @query(

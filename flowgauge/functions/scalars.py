@@ -52,6 +52,29 @@ def binarize(c: Column, benign: str = "benign") -> Column:
     return F.when(c == F.lit(benign), 0).otherwise(1)
 
 
+BENIGN_NAME = "benign"
+
+
+def resolve_benign(classes: list[str], benign: str = BENIGN_NAME) -> str:
+    """The class that is benign: the name itself, or the one class that equals it in any case."""
+    if benign in classes:
+        return benign
+    same = [c for c in classes if str(c).lower() == str(benign).lower()]
+    if len(same) != 1:
+        raise ValueError(f"no class {benign!r} among {sorted(map(str, classes))[:20]}")
+    return same[0]
+
+
+def attack_flag(c: Column, dtype: T.DataType, benign: str = BENIGN_NAME) -> Column:
+    """True for an attack: a number other than 0, or a class other than the benign one in any case.
+
+    A NULL number is NULL, a NULL class counts as an attack.
+    """
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(F.lower(c) != F.lit(benign.lower()), F.lit(True))
+    return c.cast("boolean") if isinstance(dtype, T.BooleanType) else c != 0
+
+
 def attack_score(proba: Column, benign: str | None = None, attack: str = "1") -> Column:
     """Score from a class -> probability map: P(attack), or 1 - P(benign) for many classes."""
     if benign is None:

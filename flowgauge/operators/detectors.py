@@ -33,10 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions.hashing import hash_uniform
-from flowgauge.functions.scalars import attack_score, is_numeric, quote
+from flowgauge.functions.scalars import BENIGN_NAME, attack_score, is_numeric, quote, resolve_benign
 from flowgauge.operators import anomaly
 from flowgauge.operators.fitted import Fitted, fit_min_max
 
+# class names are held on the driver and in every model; more than this is taken for a wrong column
 MAX_CLASSES = 1000
 KEPT = StorageLevel.MEMORY_AND_DISK
 
@@ -113,14 +114,22 @@ class PipelineDetector:
 Fit = Callable[[DataFrame, int, int], list]
 
 
-def _fit_pipeline(df: DataFrame, features: list[str], target: str, fit: Fit, benign: str | None) -> PipelineDetector:
-    """Assemble and index once, keep the training vectors (spilling to disk), and fit the stages on them."""
+def _fit_pipeline(
+    df: DataFrame, features: list[str], target: str, fit: Fit, benign: str | None, max_classes: int = MAX_CLASSES
+) -> PipelineDetector:
+    """Assemble and index once, keep the training vectors (spilling to disk), and fit the stages on them.
+
+    More than ``max_classes`` classes are refused. Many classes need one named
+    benign, in any case, for scores to tell attacks from it.
+    """
     label = F.col(quote(target)).cast("string")
     train = _doubles(df, features).withColumn("__y", label).select(*_names(features), "__y")
     indexer = StringIndexer(inputCol="__y", outputCol="__label", stringOrderType="alphabetAsc").fit(train)
     classes = list(indexer.labels)
-    if len(classes) > MAX_CLASSES:
+    if len(classes) > max_classes:
         raise ValueError(f"{len(classes)} classes; is {target!r} a label column?")
+    if benign is not None and not set(classes) <= {"0", "1"}:
+        benign = resolve_benign(classes, benign)
     assembler = _assembled(_names(features))
     vectors = assembler.transform(indexer.transform(train)).select("__features", "__label").persist(KEPT)
     try:
@@ -136,18 +145,21 @@ class EstimatorDetector:
     """Any classifier estimator as a detector; the way user code plugs in."""
 
     build: Callable[[int, int], Estimator]
-    benign: str | None = "benign"
+    benign: str | None = BENIGN_NAME
+    max_classes: int = MAX_CLASSES
+    params: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> PipelineDetector:
         def fit(vectors: DataFrame, n: int, k: int) -> list:
             est = self.build(n, k)
             return [est.copy({est.featuresCol: "__features", est.labelCol: "__label"}).fit(vectors)]
 
-        return _fit_pipeline(df, features, target, fit, self.benign)
+        return _fit_pipeline(df, features, target, fit, self.benign, self.max_classes)
 
 
-def decision_tree(max_depth: int = 10, seed: int = 0, benign: str | None = "benign", **params) -> EstimatorDetector:
-    return EstimatorDetector(lambda n, k: DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **params), benign)
+def decision_tree(max_depth: int = 10, seed: int = 0, benign: str | None = BENIGN_NAME, **params) -> EstimatorDetector:
+    build = lambda n, k: DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **params)
+    return EstimatorDetector(build, benign, params={"max_depth": max_depth, "seed": seed, **params})
 
 
 @dataclass
@@ -159,7 +171,7 @@ class TreeStack:
     boost_rounds: int = 10
     stack_rounds: int = 10
     seed: int = 0
-    benign: str | None = "benign"
+    benign: str | None = BENIGN_NAME
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> PipelineDetector:
         def named(est, name: str):
@@ -225,7 +237,7 @@ class FeedForward:
     layers: tuple[int, ...] = (64, 32, 16)
     max_iter: int = 60
     seed: int = 0
-    benign: str | None = "benign"
+    benign: str | None = BENIGN_NAME
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> ScaledDetector:
         scaler = fit_min_max(df, features)
@@ -363,9 +375,22 @@ class ClusterRouted:
     row_id: str = "row_id"
     forest_trees: int = 20
     layers: tuple[int, ...] = field(default=(16,))
+    n_arms: int = 5
+    benign: str | None = BENIGN_NAME
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> "FittedClusterRouted":
-        train = df.select(F.col(quote(target)).cast("double").alias("__label"), *[F.col(quote(c)) for c in features])
+        if not 1 <= self.n_arms <= 5:
+            raise ValueError("there are one to five arms")
+        numeric = is_numeric(df.schema[target].dataType)
+        label, classes, benign = F.col(quote(target)), None, None
+        if not numeric:
+            indexer = StringIndexer(inputCol="__y", outputCol="__label", stringOrderType="alphabetAsc")
+            classes = list(indexer.fit(df.select(label.cast("string").alias("__y"))).labels)
+            benign = resolve_benign(classes, self.benign or BENIGN_NAME)
+            # the benign class is number 0, as among numeric labels
+            classes = [benign, *[c for c in classes if c != benign]]
+            label = F.array_position(F.array(*map(F.lit, classes)), label.cast("string")) - 1
+        train = df.select(label.cast("double").alias("__label"), *[F.col(quote(c)) for c in features])
         # naive Bayes and the network want scaled features, so all learners see them
         scaler = fit_min_max(train, features)
         assembler = _assembled(_names(features))
@@ -379,7 +404,7 @@ class ClusterRouted:
                 MultilayerPerceptronClassifier(layers=[len(features), *self.layers, max(2, k)], maxIter=40, seed=self.seed),
                 LogisticRegression(maxIter=40),
                 NaiveBayes(modelType="gaussian"),
-            ]
+            ][: self.n_arms]
             arms = [
                 est.setFeaturesCol("__features")
                 .setLabelCol("__label")
@@ -400,7 +425,7 @@ class ClusterRouted:
         for r in table:
             rewards[r["__cluster"]] = [r[f"arm_{i}"] for i in range(len(arms))]
         model = PipelineModel(stages=[assembler, *routed])
-        return FittedClusterRouted(model, scaler, list(features), rewards, self.seed, self.greedy, self.row_id)
+        return FittedClusterRouted(model, scaler, list(features), rewards, self.seed, self.greedy, self.row_id, classes)
 
 
 @dataclass
@@ -412,16 +437,25 @@ class FittedClusterRouted:
     seed: int
     greedy: bool
     row_id: str
+    classes: list[str] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = df.select("*", *[F.col(quote(c)).alias(f"__o{i}") for i, c in enumerate(self.features)])
         scored = self.model.transform(_doubles(self.scaler.transform(kept), self.features))
         arm = route(F.col("__cluster"), self.rewards, self.seed, F.col(self.row_id), self.greedy)
         preds = F.array(*[F.col(f"__arm{i}") for i in range(len(self.rewards[0]))])
-        out = scored.withColumn("arm", arm).withColumn("y_pred", preds[F.col("arm")].cast("int"))
-        out = out.withColumn("score", (F.col("y_pred") != 0).cast("double"))
+        # the arm that decides a row also gives its probabilities
+        chances = F.array(*[vector_to_array(F.col(f"__q{i}")) for i in range(len(self.rewards[0]))])
+        out = scored.withColumn("arm", arm).withColumn("__k", preds[F.col("arm")].cast("int"))
+        out = out.withColumn("__c", chances[F.col("arm")])
+        # class 0 is benign; an arm may know fewer classes than there are
+        numbers = F.sequence(F.lit(0), F.size("__c") - 1)
+        names = numbers if self.classes is None else F.slice(F.array(*map(F.lit, self.classes)), F.lit(1), F.size("__c"))
+        y_pred = F.col("__k") if self.classes is None else F.array(*map(F.lit, self.classes))[F.col("__k")]
+        out = out.withColumn("y_pred", y_pred).withColumn("score", F.lit(1.0) - F.col("__c")[0])
         back = {c: F.col(f"__o{i}").alias(c) for i, c in enumerate(self.features)}
-        return out.withColumn("proba", _two_classes()).select(
+        proba = F.map_from_arrays(names.cast("array<string>"), F.col("__c"))
+        return out.withColumn("proba", proba).select(
             *[back.get(c, F.col(quote(c))) for c in df.columns], "arm", "y_pred", "score", "proba"
         )
 
@@ -434,6 +468,7 @@ class FittedClusterRouted:
             "seed": self.seed,
             "greedy": self.greedy,
             "row_id": self.row_id,
+            "classes": self.classes,
         }
         _write_meta(path, meta)
 

@@ -8,11 +8,13 @@ running sums; time to detect has its own order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowgauge.functions.scalars import safe_ratio
+from flowgauge.functions.scalars import BENIGN_NAME, attack_flag, safe_ratio
 from flowgauge.operators.prefix import range_edges, running_sums, with_range_bucket
 from flowgauge.session import default_buckets
 
@@ -21,9 +23,19 @@ RUN = "run_id"
 # ---- counts --------------------------------------------------------------
 
 
-def binary_counts(preds: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def flags(preds: DataFrame, benign: str = BENIGN_NAME) -> tuple[Column, Column]:
+    """Whether a row is an attack, and whether it raised an alarm; labels are numbers or class names."""
+    t, p = (attack_flag(F.col(c), preds.schema[c].dataType, benign) for c in ("y_true", "y_pred"))
+    return t, p
+
+
+def is_multiclass(preds: DataFrame) -> bool:
+    return isinstance(preds.schema["y_true"].dataType, T.StringType)
+
+
+def binary_counts(preds: DataFrame, keys: list[str] | None = None, benign: str = BENIGN_NAME) -> DataFrame:
     """tn, fp, fn, tp and n per run; a missing cell is 0."""
-    t, p = F.col("y_true") != 0, F.col("y_pred") != 0
+    t, p = flags(preds, benign)
     return preds.groupBy(*(keys or [RUN])).agg(
         F.count_if(~t & ~p).alias("tn"),
         F.count_if(~t & p).alias("fp"),
@@ -102,11 +114,11 @@ def capability_of(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
     return F.when(base == 0, 0.0).otherwise(F.try_divide(base - left, base))
 
 
-def count_metrics(preds: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def count_metrics(preds: DataFrame, keys: list[str] | None = None, benign: str = BENIGN_NAME) -> DataFrame:
     """All binary count-based metrics of every run from one aggregate."""
     keys = keys or [RUN]
     tn, fp, fn, tp, n = (F.col(c) for c in ("tn", "fp", "fn", "tp", "n"))
-    return binary_counts(preds, keys).select(
+    return binary_counts(preds, keys, benign).select(
         *keys,
         "tn",
         "fp",
@@ -183,27 +195,33 @@ def mcc_multiclass(preds: DataFrame, keys: list[str] | None = None) -> DataFrame
     return s.select(*keys, F.round(F.greatest(F.lit(0.0), value), 5).alias("matthews_correlation_coefficient"))
 
 
-def fp_per_volume(preds: DataFrame, bytes_column: str, keys: list[str] | None = None) -> DataFrame:
-    """False positives per GB of a given byte volume; NULL when the volume is 0."""
-    fp = F.count_if((F.col("y_true") == 0) & (F.col("y_pred") != 0))
-    gb = F.sum(F.col(bytes_column).cast("double")) / 1e9
+def fp_per_volume(
+    preds: DataFrame, bytes_column: str, keys: list[str] | None = None, benign: str = BENIGN_NAME
+) -> DataFrame:
+    """False positives per GB (1024^3 bytes) of a given byte volume; NULL when the volume is 0."""
+    t, p = flags(preds, benign)
+    fp = F.count_if(~t & p)
+    gb = F.sum(F.col(bytes_column).cast("double")) / float(1024**3)
     return preds.groupBy(*(keys or [RUN])).agg(F.round(F.try_divide(fp.cast("double"), gb), 5).alias("fppv"))
 
 
 # ---- rankings ------------------------------------------------------------
 
 
-def score_curve(preds: DataFrame, keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def score_curve(
+    preds: DataFrame, keys: list[str] | None = None, buckets: int | None = None, benign: str = BENIGN_NAME
+) -> DataFrame:
     """Running positives and negatives per distinct score, from the highest down.
 
     Equal scores are merged before the shuffle, so one score shared by a third
     of all rows is one row per map task.
     """
     keys = keys or [RUN]
+    attack, _ = flags(preds, benign)
     merged = (
         preds.where("score is not null")
         .groupBy(*keys, "score")
-        .agg(F.count_if(F.col("y_true") != 0).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
+        .agg(F.count_if(attack).alias("pos"), F.count_if(~attack).alias("neg"))
     )
     edges = range_edges(preds, "score", buckets or default_buckets(preds.sparkSession))
     return running_sums(merged, keys, "score", ["pos", "neg"], descending=True, edges=edges)
@@ -246,7 +264,11 @@ def ranking_metrics(curve: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def detection_instances(
-    preds: DataFrame, order: str = "row_id", keys: list[str] | None = None, buckets: int | None = None
+    preds: DataFrame,
+    order: str = "row_id",
+    keys: list[str] | None = None,
+    buckets: int | None = None,
+    benign: str = BENIGN_NAME,
 ) -> DataFrame:
     """Maximal runs of attack rows per run: start position, first detected position (or NULL).
 
@@ -255,11 +277,8 @@ def detection_instances(
     bucket at most.
     """
     keys = keys or [RUN]
-    rows = with_range_bucket(
-        preds.select(*keys, order, (F.col("y_true") != 0).alias("__t"), (F.col("y_pred") != 0).alias("__p")),
-        order,
-        buckets,
-    )
+    t, p = flags(preds, benign)
+    rows = with_range_bucket(preds.select(*keys, order, t.alias("__t"), p.alias("__p")), order, buckets)
     part = [*keys, "bucket"]
     w = Window.partitionBy(*part).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -304,11 +323,15 @@ def detection_instances(
 
 
 def time_to_detect(
-    preds: DataFrame, order: str = "row_id", keys: list[str] | None = None, buckets: int | None = None
+    preds: DataFrame,
+    order: str = "row_id",
+    keys: list[str] | None = None,
+    buckets: int | None = None,
+    benign: str = BENIGN_NAME,
 ) -> DataFrame:
     """Mean rows until the first hit of detected instances, and instance counts; infinite if none is detected."""
     keys = keys or [RUN]
-    found = detection_instances(preds, order, keys, buckets)
+    found = detection_instances(preds, order, keys, buckets, benign)
     stats = found.groupBy(*keys).agg(
         F.avg(F.col("first_hit") - F.col("start_pos")).alias("mean"),
         F.count(F.lit(1)).alias("total"),
@@ -396,17 +419,53 @@ def to_long(wide: DataFrame, keys: list[str] | None = None, prefix: str = "test_
     return wide.select(*keys, F.inline(cells)).where("value is not null")
 
 
-BUILT_IN: dict[str, Metric] = {
-    "counts": lambda p: to_long(count_metrics(p).drop("tn", "fp", "fn", "tp", "n")),
-    "ranking": lambda p: to_long(ranking_metrics(score_curve(p))),
-    "time_to_detect": lambda p: to_long(time_to_detect(p)),
-}
+def count_family(preds: DataFrame, benign: str = BENIGN_NAME) -> DataFrame:
+    """Metrics that follow from counts. Class names give macro means, the multiclass correlation and,
+    of the binarised labels, capability and false positives."""
+    wide = count_metrics(preds, benign=benign)
+    if not is_multiclass(preds):
+        named = wide.withColumnsRenamed({c: f"confusion_matrix_{c}" for c in ("tn", "fp", "fn", "tp")})
+        return to_long(named.drop("n"))
+    binary = wide.select(
+        RUN, F.col("intrusion_detection_capability").alias("intrusion_detection_capability_binary"), "fp_per_million"
+    )
+    parts = [accuracy(preds), macro_metrics(preds), mcc_multiclass(preds), binary]
+    return reduce(DataFrame.unionByName, map(to_long, parts))
 
 
-def metrics_long(preds: DataFrame, metrics: dict[str, Metric] | None = None) -> DataFrame:
-    """Every metric of every run; user metrics are functions predictions -> (run_id, metric_key, value)."""
-    parts = [m(preds) for m in (metrics or BUILT_IN).values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def volume_family(preds: DataFrame, benign: str = BENIGN_NAME) -> DataFrame:
+    """False positives per GB, where the predictions carry the size of each row as ``n_bytes``."""
+    return to_long(fp_per_volume(preds, "n_bytes", benign=benign))
+
+
+def built_in(preds: DataFrame, benign: str = BENIGN_NAME) -> dict[str, Metric]:
+    """The metric families that the columns of the predictions allow."""
+    out: dict[str, Metric] = {"counts": lambda p: count_family(p, benign)}
+    if "n_bytes" in preds.columns:
+        out["volume"] = lambda p: volume_family(p, benign)
+    if "score" in preds.columns:
+        out["ranking"] = lambda p: to_long(ranking_metrics(score_curve(p, benign=benign)))
+    out["time_to_detect"] = lambda p: to_long(time_to_detect(p, benign=benign))
     return out
+
+
+def metrics_long(
+    preds: DataFrame,
+    metrics: dict[str, Metric] | None = None,
+    benign: str = BENIGN_NAME,
+    names: list[str] | None = None,
+) -> DataFrame:
+    """Every metric of every run; user metrics are functions predictions -> (run_id, metric_key, value).
+
+    ``names`` keeps only these metrics, named with or without the ``test_`` prefix.
+    Class names among which ``benign`` never occurs are refused.
+    """
+    if is_multiclass(preds) and metrics is None:
+        seen = F.lower("y_true") == F.lit(benign.lower())
+        if preds.where(seen).isEmpty() and not preds.isEmpty():
+            raise ValueError(f"no row has the benign class {benign!r}")
+    parts = [m(preds) for m in (metrics or built_in(preds, benign)).values()]
+    out = reduce(DataFrame.unionByName, parts)
+    if names is None:
+        return out
+    return out.where(F.col("metric_key").isin(*names, *[f"test_{n}" for n in names]))

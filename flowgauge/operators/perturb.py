@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.hashing import hash_normal, hash_uniform
-from flowgauge.functions.scalars import quote
+from flowgauge.functions.scalars import BENIGN_NAME, attack_flag, quote
 
 log = logging.getLogger(__name__)
 
@@ -110,11 +110,16 @@ def fgsm_linear(
 
 
 def fit_surrogate(
-    train: DataFrame, features: list[str], target: str = "target_label", max_iter: int = 50
+    train: DataFrame,
+    features: list[str],
+    target: str = "target_label",
+    max_iter: int = 50,
+    benign: str = BENIGN_NAME,
 ) -> tuple[dict[str, float], float]:
-    """A logistic regression stands in for a detector that has no gradient."""
+    """A logistic regression of attack or not stands in for a detector that has no gradient."""
+    attack = attack_flag(F.col(quote(target)), train.schema[target].dataType, benign)
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="v").transform(
-        train.select(F.col(target).cast("double").alias("y"), *[_x(c).alias(f"f{i}") for i, c in enumerate(features)])
+        train.select(attack.cast("double").alias("y"), *[_x(c).alias(f"f{i}") for i, c in enumerate(features)])
     )
     model = LogisticRegression(featuresCol="v", labelCol="y", maxIter=max_iter, regParam=1e-4).fit(vectors)
     return dict(zip(features, model.coefficients.toArray().tolist())), float(model.intercept)

@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable
 from contextlib import contextmanager
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from flowgauge.functions.hashing import short_hash
 
 STAGES = ("in_progress", "evaluation_complete", "metrics_complete", "complete")
+CLEARED = "cleared"
 
 
 def config_hash(config: dict) -> str:
@@ -23,6 +25,27 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:8]
 
 
+def describe(value):
+    """Plain data that tells two settings apart, the same in every process."""
+    if is_dataclass(value) and not isinstance(value, type):
+        return {"kind": type(value).__name__, **{f.name: describe(getattr(value, f.name)) for f in fields(value)}}
+    if isinstance(value, dict):
+        return {str(k): describe(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [describe(v) for v in value]
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return value
+    if callable(value):
+        return f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', type(value).__name__)}"
+    return {"kind": type(value).__name__, **{k: describe(v) for k, v in vars(value).items()}} if hasattr(value, "__dict__") else str(value)
+
+
+def store_config(spark: SparkSession, path: str, config: dict) -> None:
+    """The configuration as one JSON row beside the results it led to."""
+    row = spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
+
+
 def config_hash_column(config_json: Column) -> Column:
     return short_hash(config_json)
 
@@ -82,10 +105,17 @@ class Ledger:
         self.spark, self.path, self.config = spark, path, config
 
     def _all(self) -> DataFrame:
+        """Entries since the ledger was last cleared."""
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("config_hash") == self.config)
+            own = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("config_hash") == self.config)
         except AnalysisException:
             return self.spark.createDataFrame([], self.SCHEMA)
+        since = own.agg(F.max(F.when(F.col("stage") == CLEARED, F.col("at")))).collect()[0][0]
+        return own if since is None else own.where(F.col("at") > F.lit(since))
+
+    def clear(self) -> None:
+        """Forget all finished steps of this configuration."""
+        self._append(None, CLEARED)
 
     def completed(self) -> DataFrame:
         return self._all().where("run_id is not null").select("run_id").distinct()

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge.functions.scalars import BENIGN_NAME
 from flowgauge.operators import metrics, perturb, runs
 from flowgauge.operators.detectors import LOADERS, Detector
 from flowgauge.sources.sinks import test_rows, train_rows
@@ -54,9 +55,18 @@ def attack_cells(df: DataFrame, features: list[str], attack: Attack, surrogate=N
 STRENGTH = {"noise": "std", "gradient": "eps"}
 
 
+DONE = ("evaluation_complete", "metrics_complete", "complete")
+
+
 @dataclass
 class Evaluation:
-    """Evaluate detectors on a stored split table."""
+    """Evaluate detectors on a stored split table.
+
+    Results are kept under two names, both derived from the settings below and
+    from ``config_hash``, which stands for the data: models by what they are
+    trained with, predictions, curves and metrics by everything. Changed attacks
+    are therefore scored anew with the models there are.
+    """
 
     spark: SparkSession
     stored: DataFrame
@@ -72,8 +82,22 @@ class Evaluation:
     train_only: bool = False
     force_train: bool = False
     force_model: bool = False
+    benign: str = BENIGN_NAME
     times: list[tuple[str, str, float]] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.train_config = {
+            "data": self.config_hash,
+            "features": self.features,
+            "target": self.target,
+            "detectors": runs.describe(self.detectors),
+        }
+        scoring = ("cross", "attacks", "allow_surrogate", "epsilons", "benign")
+        self.run_config = {**self.train_config, **{k: runs.describe(getattr(self, k)) for k in scoring}}
+        self.train_key, self.key = runs.config_hash(self.train_config), runs.config_hash(self.run_config)
+        self.ledger = runs.Ledger(self.spark, f"{self.root}/ledger", self.key)
+        self._surrogates: dict[tuple, tuple] = {}
+
     def _folds(self) -> list[int | None]:
         if "fold" not in self.stored.columns:
             return [None]
@@ -88,67 +112,95 @@ class Evaluation:
             raise ValueError("a robustness sweep needs at least one attack")
         if self.cross and "fold" in self.stored.columns:
             raise ValueError("cross-dataset evaluation takes no folds")
-        ledger = runs.Ledger(self.spark, f"{self.root}/ledger", self.config_hash)
-        out = f"{self.root}/predictions/{self.config_hash}"
-        if ledger.stage() == "complete" and not self.force_train:
+        out = f"{self.root}/predictions/{self.key}"
+        if self.ledger.stage() in DONE and not self.force_train and not self.train_only:
             return self.spark.read.parquet(out)
-        ledger.set_stage("in_progress")
+        runs.store_config(self.spark, f"{self.root}/config/{self.key}", self.run_config)
+        self.ledger.set_stage("in_progress")
         names = sorted(r["dataset"] for r in self.stored.select("dataset").distinct().collect())
         folds = self._folds()
-        done = set() if self.force_train else {r["run_id"] for r in ledger.completed().collect()}
+        done = set() if self.force_train else {r["run_id"] for r in self.ledger.completed().collect()}
         scope = "cross" if self.cross else "kfold" if folds != [None] else "intra"
         for i, name in enumerate(names):
             for fold in folds:
                 for model, detector in self.detectors.items():
                     run = f"{scope}_{model}_train-{i}" + ("" if fold is None else f"_fold {fold}")
                     if run not in done:
-                        self._train_and_score(run, name, fold, model, detector, out)
+                        self._train_and_score(run, name, fold, model, detector, out, names)
                         if not self.train_only:
-                            ledger.add(run)
+                            self.ledger.add(run)
         if self.train_only:
             return None
-        ledger.set_stage("evaluation_complete")
-        preds = self.spark.read.parquet(out)
-        ledger.set_stage("complete")
-        return preds
+        self.ledger.set_stage("evaluation_complete")
+        return self.spark.read.parquet(out)
+
+    def results(self, user_metrics: dict[str, metrics.Metric] | None = None, names: list[str] | None = None) -> DataFrame:
+        """The metrics table of all runs; without user metrics or names it is stored and read again."""
+        preds = self.run()
+        curves = self.curves()
+        if user_metrics is not None or names is not None:
+            return results_of(preds, user_metrics, self.benign, names, curves)
+        path = f"{self.root}/metrics/{self.key}"
+        if self.ledger.stage() not in ("metrics_complete", "complete"):
+            results_of(preds, None, self.benign, None, curves).write.mode("overwrite").parquet(path)
+            self.ledger.set_stage("metrics_complete")
+            self.ledger.set_stage("complete")
+        return self.spark.read.parquet(path)
 
-    def _train_and_score(self, run, name, fold, model, detector, out) -> None:
+    def curves(self) -> DataFrame | None:
+        """Accuracy by strength of every train and test pair, if a sweep was asked for."""
+        return None if self.epsilons is None else self.spark.read.parquet(f"{self.root}/curves/{self.key}")
+
+    def clear(self) -> None:
+        """Forget which runs are finished; the next run scores them anew."""
+        self.ledger.clear()
+
+    def _train_and_score(self, run, name, fold, model, detector, out, names) -> None:
         own = self.stored.where(F.col("dataset") == name)
         train = train_rows(own, fold)
         fitted = self._fitted(run, name, fold, model, detector, train)
         if self.train_only:
             return
-        tests = test_rows(self.stored if self.cross else own, fold)
-        surrogate = None
-        attacks = [a for a in self.attacks if a.kind != "gradient" or self.allow_surrogate]
-        if any(a.kind == "gradient" for a in attacks):
-            surrogate = perturb.fit_surrogate(train, self.features, self.target)
-        cells = {a.name: attack_cells(tests, self.features, a, surrogate) for a in attacks}
-        copies = perturb.stack_attacks(tests, self.features, cells, clean="")
-        with runs.timed(self.times, run, "test"):
-            scored = fitted.transform(copies)
-            (
-                scored.select(
-                    "row_id",
-                    F.lit(name).alias("train_dataset"),
-                    F.lit(model).alias("model"),
-                    F.col("dataset").alias("test_dataset"),
-                    F.lit(-1 if fold is None else fold).alias("fold"),
-                    F.nullif("attack", F.lit("")).alias("attack"),
-                    F.col(self.target).alias("y_true"),
-                    "y_pred",
-                    "score",
-                    F.lit(run).alias("train_run_id"),
-                )
-                .write.mode("overwrite")
-                .parquet(f"{out}/train_run={run.replace(' ', '')}")
+        leaf = f"train_run={run.replace(' ', '')}"
+
+        def predictions(scored: DataFrame) -> DataFrame:
+            return scored.select(
+                "row_id",
+                F.lit(name).alias("train_dataset"),
+                F.lit(model).alias("model"),
+                F.col("dataset").alias("test_dataset"),
+                F.lit(-1 if fold is None else fold).alias("fold"),
+                F.nullif("attack", F.lit("")).alias("attack"),
+                F.col(self.target).alias("y_true"),
+                "y_pred",
+                "score",
+                F.lit(run).alias("train_run_id"),
             )
+
+        # clean detection is timed for each test set by itself, without attacks
+        for k, test_name in enumerate(names if self.cross else [name]):
+            tests = test_rows(self.stored.where(F.col("dataset") == test_name), fold).withColumn("attack", F.lit(""))
+            with runs.timed(self.times, f"{run}|{test_name}", "test"):
+                predictions(fitted.transform(tests)).write.mode("append" if k else "overwrite").parquet(f"{out}/{leaf}")
+        attacks = [a for a in self.attacks if a.kind != "gradient" or self.allow_surrogate]
+        surrogate = self._surrogate(name, fold, train) if any(a.kind == "gradient" for a in attacks) else None
+        tests = test_rows(self.stored if self.cross else own, fold)
+        if attacks:
+            cells = {a.name: attack_cells(tests, self.features, a, surrogate) for a in attacks}
+            copies = perturb.stack_attacks(tests, self.features, cells)
+            predictions(fitted.transform(copies)).write.mode("append").parquet(f"{out}/{leaf}")
         if self.epsilons is not None:
-            self._sweep(run, own, fold, train, fitted, surrogate)
+            self._sweep(run, name, model, tests, fold, train, fitted)
+
+    def _surrogate(self, name, fold, train):
+        """The linear stand-in of a training set, fitted once for all models."""
+        if (name, fold) not in self._surrogates:
+            self._surrogates[name, fold] = perturb.fit_surrogate(train, self.features, self.target, benign=self.benign)
+        return self._surrogates[name, fold]
 
     def _fitted(self, run, name, fold, model, detector, train):
         """The stored detector of this configuration, or a newly trained and stored one."""
-        store = runs.ModelStore(self.spark, f"{self.root}/models/{self.config_hash}", self.config_hash)
+        store = runs.ModelStore(self.spark, f"{self.root}/models/{self.train_key}", self.train_key)
         if not self.force_train:
             found = store.load(LOADERS, model, name, fold, force=self.force_model)
             if found is not None:
@@ -158,44 +210,64 @@ class Evaluation:
         store.save(fitted, model, name, fold)
         return fitted
 
-    def _sweep(self, run, own, fold, train, fitted, surrogate) -> None:
-        """Accuracy of the first attack at every strength, scored in one job."""
+    def _sweep(self, run, name, model, tests, fold, train, fitted) -> None:
+        """Accuracy of the first attack at every strength and on every test set, scored in one job."""
         first = self.attacks[0]
-        rows = perturb.sweep(test_rows(own, fold), self.epsilons)
+        rows = perturb.sweep(tests, self.epsilons)
         eps = F.col("epsilon")
         varied = {STRENGTH[first.kind]: eps} if first.kind in STRENGTH else {}
         if first.kind == "junk" and first.params.get("strength") is not None:
             varied = {"strength": eps}
-        if first.kind == "gradient" and surrogate is None:
-            surrogate = perturb.fit_surrogate(train, self.features, self.target)
+        surrogate = self._surrogate(name, fold, train) if first.kind == "gradient" else None
         cells = attack_cells(rows, self.features, first, surrogate, **varied)
         moved = rows.select(
             *[F.when(eps > 0, cells[c]).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in rows.columns]
         )
-        scored = fitted.transform(moved).withColumn("y_true", F.col(self.target)).withColumn("run_id", F.lit(run))
-        curve = perturb.robustness_curve(scored, ["run_id"])
-        curve.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/curves/{self.config_hash}/{run.replace(' ', '')}")
+        scored = fitted.transform(moved).withColumn("y_true", F.col(self.target)).withColumns(
+            {"train_dataset": F.lit(name), "model": F.lit(model), "test_dataset": F.col("dataset"), "fold": F.lit(-1 if fold is None else fold)}
+        )
+        curve = perturb.robustness_curve(scored, ["train_dataset", "model", "test_dataset", "fold"])
+        curve.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/curves/{self.key}/train_run={run.replace(' ', '')}")
+
+
+KEYS = ["train_dataset", "model", "test_dataset", "fold", "attack"]
+
 
+def results_of(
+    preds: DataFrame,
+    user_metrics: dict[str, metrics.Metric] | None = None,
+    benign: str = BENIGN_NAME,
+    names: list[str] | None = None,
+    curves: DataFrame | None = None,
+) -> DataFrame:
+    """Long metrics table of stored predictions, keyed as the report operators expect.
 
-def results_of(preds: DataFrame, user_metrics: dict[str, metrics.Metric] | None = None) -> DataFrame:
-    """Long metrics table of stored predictions, keyed as the report operators expect."""
-    keys = ["train_dataset", "model", "test_dataset", "fold", "attack"]
+    ``curves`` (accuracy by epsilon) adds the robustness index of each pair.
+    """
     run = F.concat_ws("|", "train_dataset", "model", "test_dataset", F.col("fold").cast("string"), "attack")
     keyed = preds.withColumn("run_id", run)
-    long = metrics.metrics_long(keyed, user_metrics)
-    names = keyed.select("run_id", *keys).distinct()
-    return long.join(names, "run_id").select(*keys, "metric_key", "value")
+    long = metrics.metrics_long(keyed, user_metrics, benign, names)
+    of_run = keyed.groupBy("run_id").agg(*[F.first(k).alias(k) for k in KEYS])
+    out = long.join(of_run, "run_id").select(*KEYS, "metric_key", "value")
+    if curves is None or names is not None and not {"robustness_index", "test_robustness_index"} & set(names):
+        return out
+    pair = KEYS[:-1]
+    index = metrics.to_long(metrics.robustness_index(curves, pair), pair)
+    return out.unionByName(index.select(*pair, F.lit(None).cast("string").alias("attack"), "metric_key", "value"))
 
 
 def runtime_results(preds: DataFrame, times: list[tuple[str, str, float]]) -> DataFrame:
-    """Training and test seconds, time per row and throughput of each training run, as (run_id, metric_key, value)."""
+    """Seconds, time per row and throughput of clean detection per test run, training seconds and cost per
+    training run, as (run_id, metric_key, value). A test run is named ``training run|test dataset``."""
     spark = preds.sparkSession
     spent = spark.createDataFrame(times, "run_id string, phase string, seconds double")
     seconds = spent.groupBy("run_id").pivot("phase", ["train", "test"]).agg(F.sum("seconds"))
-    rows = preds.groupBy(F.col("train_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
-    joined = rows.join(seconds, "run_id", "left")
-    rates = metrics.time_per_sample(joined, F.col("test"), F.col("n"))
-    cost = metrics.retrain_cost(joined, F.col("train"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    tested = F.concat_ws("|", "train_run_id", "test_dataset").alias("run_id")
+    rows = preds.where("attack is null").groupBy(tested).agg(F.count(F.lit(1)).alias("n"))
+    joined = seconds.join(rows, "run_id", "left")
+    rates = metrics.time_per_sample(joined.where("test is not null"), F.col("test"), F.col("n"))
+    trained = joined.where("train is not null")
+    cost = metrics.retrain_cost(trained, F.col("train"), F.lit(None).cast("double"), F.lit(None).cast("double"))
     plain = joined.select(
         "run_id",
         F.inline(

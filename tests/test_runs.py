@@ -114,12 +114,20 @@ def test_evaluation_end_to_end(spark, stored):
     nested = {(r["train_dataset"], r["model"]): json.loads(r["tested_on"]) for r in report.nested_report(res).collect()}
     assert set(nested) == {("D0", "tree"), ("D1", "tree")}
     assert len(nested[("D0", "tree")][0]["adversarial_performance"]) == 3
-    curve = spark.read.parquet(f"{root}/curves/cafe0000/*")
+    curve = ev.curves()
     assert sorted({r["epsilon"] for r in curve.collect()}) == [0.0, 0.05, 0.3]
+    assert curve.select("train_dataset", "test_dataset").distinct().count() == 4
+    full = ev.results()
+    index = full.where("metric_key = 'test_robustness_index'").collect()
+    assert len(index) == 4 and all(r["attack"] is None and 0 <= r["value"] <= 1 for r in index)
+    assert ev.ledger.stage() == "complete" and ev.results().count() == full.count()
+    assert {r["metric_key"] for r in ev.results(names=["accuracy", "fp_per_million"]).collect()} == {"test_accuracy", "test_fp_per_million"}
+    config = json.loads(spark.read.text(f"{root}/config/{ev.key}").collect()[0]["value"])
+    assert [a["name"] for a in config["attacks"]] == ["noise", "junk", "fgsm"] and config["data"] == "cafe0000"
     before = len(ev.times)
     assert ev.run().count() == preds.count() and len(ev.times) == before
     phases = {(run, phase) for run, phase, _ in ev.times}
-    assert ("cross_tree_train-0", "train") in phases
+    assert ("cross_tree_train-0", "train") in phases and ("cross_tree_train-0|D1", "test") in phases
     timed = {r["metric_key"] for r in runtime_results(preds, ev.times).collect()}
     assert {"train_runtime_s", "test_throughput_samples_per_s", "train_model_retrain_cost"} <= timed
 
@@ -134,12 +142,49 @@ def test_kfold_train_only_and_junk_strength(spark, tmp_path):
     assert {p for _, p, _ in ev.times} == {"test"}
     assert preds.where("attack is null").count() == u.count()
     assert {r["fold"] for r in preds.select("fold").distinct().collect()} == {0, 1}
-    curve = spark.read.parquet(f"{tmp_path}/curves/beef0000/*").collect()
+    curve = ev.curves().collect()
     assert sorted(r["epsilon"] for r in curve) == [0.0, 0.0, 0.5, 0.5]
     with pytest.raises(ValueError):
         Evaluation(*args, cross=True).run()
 
 
+def test_changed_attacks_are_scored_anew(spark, tmp_path):
+    u = views.unit(spark, SF).withColumn("target_label", (F.col("x1") + F.col("x3") > 0.8).cast("int"))
+    table = split({"D0": u.drop("run_id")}, SplitPlan())
+
+    def evaluation(std):
+        det = {"tree": detectors.decision_tree(3)}
+        return Evaluation(spark, table, ["x1", "x3"], "target_label", det, str(tmp_path), "d", attacks=[Attack("n", "noise", {"std": std, "seed": 1})])
+
+    one, same, two = evaluation(0.1), evaluation(0.1), evaluation(0.5)
+    assert one.key == same.key != two.key and one.train_key == two.train_key
+    assert one.run().count() == two.run().count()
+    assert any(p == "train" for _, p, _ in one.times) and not any(p == "train" for _, p, _ in two.times)
+    assert same.run().count() and not same.times
+    same.clear()
+    assert same.ledger.stage() is None and same.run().count() and same.times
+
+
+def test_class_names_end_to_end(spark, tmp_path):
+    u = views.unit(spark, SF).withColumn("cls", F.when(F.col("x1") < 0.4, "BENIGN").when(F.col("x3") < 0.5, "dos").otherwise("scan"))
+    table = split({"D0": u.drop("run_id")}, SplitPlan(target="cls"))
+    dets = {"tree": detectors.decision_tree(4), "routed": detectors.ClusterRouted(clusters=3, forest_trees=3, n_arms=4)}
+    ev = Evaluation(spark, table, ["x1", "x2", "x3"], "cls", dets, str(tmp_path), "d", attacks=[Attack("g", "gradient", {"eps": 0.1})])
+    res = {(r["model"], r["metric_key"]): r["value"] for r in ev.results().where("attack is null").collect()}
+    for model in dets:
+        assert res[model, "test_accuracy"] > 0.6 and res[model, "test_roc_auc"] > 0.8
+        assert (model, "test_f1_score_macro") in res and (model, "test_intrusion_detection_capability_binary") in res
+        assert (model, "test_mttd_samples") in res
+    preds = ev.run().where("attack is null")
+    assert preds.where("score > 0 and score < 1 and model = 'routed'").count() > 0
+    with pytest.raises(ValueError, match="no class"):
+        detectors.decision_tree(3, benign="normal").fit(table, ["x1"], "cls")
+    with pytest.raises(ValueError, match="no class"):
+        detectors.ClusterRouted(benign="normal").fit(table, ["x1"], "cls")
+    with pytest.raises(ValueError, match="benign class"):
+        results_of(preds, benign="normal")
+
+
 def test_sweep_without_attack_is_refused(spark, stored):
     root, _, _ = stored
     table = sinks.read_splits(spark, root, "cafe0000")
