@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.catalog import views as v
 from flowgauge.catalog.registry import query
 from flowgauge.functions import scalars
-from flowgauge.functions.hashing import short_hash
 from flowgauge.operators import clean, fitted, labeling, profile, select
 from flowgauge.operators.fitted import Step, fit_chain
 from flowgauge.operators.labeling import TimeWindow
-from flowgauge.plans.dataset import preprocess
+from flowgauge.operators.runs import config_hash_column
+from flowgauge.plans.dataset import SplitPlan, prepare, preprocess
 from flowgauge.session import scratch_path
 from flowgauge.sources import readers
+from flowgauge.sources.sinks import read_splits
 
 # ---- scans ---------------------------------------------------------------
 
@@ -51,7 +53,7 @@ def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE l_quantity > 40 AND l_discount < 0.05 GROUP BY ALL""",
 )
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    df = readers.read_any(spark, f"{sf_dir}/lineitem.parquet")
     kept = df.where((F.col("l_quantity") > 40) & (F.col("l_discount") < 0.05))
     return kept.groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")
@@ -63,13 +65,37 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {v.MULTI} SELECT dataset, count(*) AS n, sum(src) AS src_sum FROM multi GROUP BY dataset""",
 )
 def scan_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables below nested folders, with the folder as lineage."""
+    """Tables below nested folders, one class per folder."""
     root = scratch_path(spark, "tree")
     for name, df in v.multi(spark, sf_dir).items():
-        df.write.parquet(f"{root}/{name}/part")
-    df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(root)
-    name = F.regexp_extract("_metadata.file_path", "/(D[0-9]+)/part/", 1).alias("dataset")
-    return df.select(name, "src").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src_sum"))
+        df.drop("attack_category", "target_label").write.parquet(f"{root}/{name}/deep/part")
+    df = readers.load_dataset(spark, [readers.SubFile(f"{root}/D{i}", attack_type=f"D{i}") for i in range(3)])
+    by = df.groupBy(F.col("attack_category").alias("dataset"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src_sum"))
+
+
+CLASS_TOTALS = f"""{v.DIRTY}, c AS (SELECT CAST(coalesce(cat, '') NOT IN ('view', 'click', 'signup') AS INTEGER) AS target_label, count(*) AS n FROM dirty GROUP BY 1),
+q AS (SELECT target_label, n, sum(n) OVER () AS total, CAST(ceil(CAST(0.3 AS DOUBLE) * sum(n) OVER ()) AS BIGINT) AS test FROM c),
+f AS (SELECT *, n * test // total AS base, n * test % total AS rest FROM q),
+t AS (SELECT target_label, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, target_label) <= test - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM f)"""
+
+
+@query(
+    "csv_to_split",
+    f"""WITH {CLASS_TOTALS} SELECT target_label, 'test' AS split, CAST(quota AS BIGINT) AS n FROM t
+UNION ALL SELECT target_label, 'train', CAST(n - quota AS BIGINT) FROM t""",
+)
+def csv_to_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From CSV files to a stored split: load, label, land, preprocess, split; rows per class and part."""
+    csv = scratch_path(spark, "flows")
+    v.dirty(spark, sf_dir).select(F.col("row_id").alias("Flow ID"), F.col("cat").alias(" Label "), "u").write.option("header", True).csv(csv)
+    files = [readers.SubFile(csv, label_column="Label", benign=tuple(v.BENIGN))]
+    root = scratch_path(spark, "run")
+    # a table without text columns: the step finds none and is skipped
+    steps = [Step("min_max", ("u",)), Step("one_hot", ())]
+    prepare(spark, {"D0": files}, {"D0": steps}, SplitPlan(test_size=0.3), root, "0a0a0a0a")
+    table = read_splits(spark, root, "0a0a0a0a")
+    return table.groupBy("target_label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -87,7 +113,7 @@ def union_subfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("config_hash", """SELECT event_id, substr(sha256(props), 1, 8) AS config_hash FROM events""")
 def config_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.events(spark, sf_dir).select("event_id", short_hash(F.col("props")).alias("config_hash"))
+    return v.events(spark, sf_dir).select("event_id", config_hash_column(F.col("props")).alias("config_hash"))
 
 
 # ---- labels --------------------------------------------------------------
@@ -276,7 +302,17 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.dataset_summary(v.dirty(spark, sf_dir))
 
 
-@query("pipeline_steps")
+CLEAN_ROWS = f"""{v.DIRTY}, clean AS (SELECT value, cat, TRY_CAST(txt AS DOUBLE) AS txt, u FROM dirty
+  WHERE value IS NOT NULL AND isfinite(value) AND cat IS NOT NULL AND TRY_CAST(txt AS DOUBLE) IS NOT NULL)"""
+
+
+@query(
+    "pipeline_steps",
+    f"""WITH {CLEAN_ROWS} SELECT 'run' AS run_id, ord, action, dropped, CAST(rows_after AS BIGINT) AS rows_after FROM (VALUES
+  (0, 'cast_numeric', '', NULL), (1, 'remove_nan_rows', '', (SELECT count(*) FROM clean)),
+  (2, 'remove_single_value_columns', 'const', NULL),
+  (3, 'remove_duplicate_rows', '', (SELECT count(*) FROM (SELECT DISTINCT * FROM clean))), (4, 'min_max', '', NULL)) t(ord, action, dropped, rows_after)""",
+)
 def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step log of a preprocessing run."""
     steps = [
@@ -286,7 +322,9 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         Step("remove_duplicate_rows"),
         Step("min_max"),
     ]
-    return preprocess(v.dirty(spark, sf_dir), steps).step_table("run")
+    log = preprocess(v.dirty(spark, sf_dir), steps).step_table("run")
+    detail = F.col("detail")
+    return log.select("run_id", "ord", "action", detail["dropped"].alias("dropped"), detail["rows_after"].cast("bigint").alias("rows_after"))
 
 
 # ---- fitted steps --------------------------------------------------------
@@ -349,6 +387,24 @@ def encode_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.fit_one_hot(d, ["cat"]).transform(d)
 
 
+@query(
+    "encode_one_hot_mixed",
+    f"""WITH {v.DIRTY}, d AS (SELECT row_id, cat, CASE WHEN value IS NOT NULL AND isfinite(value) THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS size FROM dirty),
+k AS (SELECT size, row_number() OVER (ORDER BY size NULLS LAST) - 1 AS size_slot FROM (SELECT DISTINCT size FROM d))
+SELECT row_id, {', '.join(f"CAST(coalesce(cat = '{c}', FALSE) AS DOUBLE) AS cat_{c}" for c in v.CLASSES)},
+       CAST(cat IS NULL AS DOUBLE) AS cat_nan, size_slot FROM d JOIN k ON d.size IS NOT DISTINCT FROM k.size""",
+)
+def encode_one_hot_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short column as 0/1 columns beside a long one as a vector; NULL is a value in both."""
+    d = v.dirty(spark, sf_dir)
+    size = F.when(F.abs("value") < 1e18, F.floor("value").cast("bigint").cast("string")).alias("size")
+    d = d.select("row_id", "cat", size)
+    short = fitted.fit_one_hot(d, ["cat"]).transform(d)
+    both = fitted.fit_one_hot(d, ["size"], output="vector").transform(short)
+    slot = F.array_position(vector_to_array("size_onehot"), 1.0) - 1
+    return both.withColumn("size_slot", slot).drop("size_onehot")
+
+
 @query(
     "impute_mean",
     f"""WITH {v.DIRTY}, {v.FINITE}

@@ -76,6 +76,21 @@ def split_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_timestamp(e, "ts", TEST_SIZE).drop("ts")
 
 
+@query(
+    "split_timestamp_dirty",
+    """WITH e AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 11 = 0 THEN NULL
+    WHEN event_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS t FROM events),
+r AS (SELECT row_id, row_number() OVER (ORDER BY t, row_id) AS r, count(*) OVER () AS n FROM e WHERE t IS NOT NULL AND isfinite(t))
+SELECT row_id, CASE WHEN r <= CAST(floor((1 - CAST(0.3 AS DOUBLE)) * n) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
+)
+def split_timestamp_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text with NaN, infinite and missing ones, which have no place in time and drop out."""
+    i = F.col("event_id")
+    text = F.when(i % 7 == 0, "NaN").when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, "Infinity").otherwise(F.col("value").cast("string"))
+    e = v.events(spark, sf_dir).select(i.alias("row_id"), text.alias("t"))
+    return splits.split_timestamp(e, "t", TEST_SIZE, sort_rows=500, bins=64).drop("t")
+
+
 MULTI_BASE = f"{v.MULTI}, base AS (SELECT dataset, row_id, target_label AS y FROM multi)"
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from flowgauge.catalog import views as v
 from flowgauge.catalog.registry import query
 from flowgauge.operators import report, runs
+from flowgauge.session import scratch_path
+from flowgauge.sources.sinks import write_report
 
 KEYS = "train_dataset, model, test_dataset"
 
@@ -257,7 +259,10 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct(F.struct("train_dataset", "test_dataset")).alias("tests"),
         F.count_distinct("metric_key").alias("metrics"),
     )
-    return counted.select("model", F.to_json(F.struct("model", "tests", "metrics")).alias("report"))
+    path = scratch_path(spark, "report")
+    write_report(counted.select("model", "tests", "metrics"), path)
+    written = spark.read.text(path).select(F.col("value").alias("report"))
+    return written.select(F.get_json_object("report", "$.model").alias("model"), "report")
 
 
 @query("nested_report")

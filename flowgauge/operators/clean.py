@@ -88,6 +88,7 @@ def auto_columns(df: DataFrame, method: str, configured: list[str] | None = None
         "impute_median": numeric,
         "label": text,
         "one_hot": text,
+        "one_hot_vector": text,
         "impute_most_frequent": df.columns,
     }.get(method, configured or [])
     return [c for c in chosen if c not in LABELS]

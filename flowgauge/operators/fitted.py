@@ -8,12 +8,14 @@ on streams. Code tables too large to inline stay tables.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowgauge.functions.scalars import finite_or_null, is_floating, is_numeric, quote
 from flowgauge.operators import clean
@@ -21,6 +23,8 @@ from flowgauge.operators.ranking import percentiles
 from flowgauge.operators.small import SMALL_ROWS, attach, pin_small
 from flowgauge.session import durable
 
+log = logging.getLogger(__name__)
+
 MISSING = "MISSING"
 MAX_ONE_HOT = 1000
 
@@ -144,23 +148,40 @@ def _label(df: DataFrame, f: Fitted) -> DataFrame:
     return out.select(*[quote(c) for c in df.columns])
 
 
-def fit_one_hot(df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT) -> Fitted:
-    """One 0/1 column per value and column; very long value lists become one sparse vector column."""
-    pinned, small = pin_small(distinct_values(df, columns))
+def _slots(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text keys of one-hot slots: values in text order, then NULL, which no value can spell."""
+    return _replace(df, {c: F.coalesce(F.concat(F.lit("v"), F.col(quote(c)).cast("string")), F.lit("x")) for c in columns})
+
+
+def fit_one_hot(
+    df: DataFrame, columns: list[str], output: str = "columns", max_categories: int = MAX_ONE_HOT
+) -> Fitted:
+    """One 0/1 slot per value of each column, NULL being a value; unseen values are all zeros.
+
+    ``output="columns"`` gives a column per value and refuses columns with more
+    than ``max_categories`` values; ``output="vector"`` gives one sparse vector per
+    column, ``<column>_onehot``, for lists of any length. The form never depends on
+    the data.
+    """
+    if output == "vector":
+        codes = fit_label(_slots(df.select(*[quote(c) for c in columns]), columns), columns)
+        sizes = {c: len(v) for c, v in codes.params.items() if v is not None}
+        if codes.tables:
+            counted = codes.tables["codes"].groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+            sizes = {r["column"]: r["n"] for r in counted}
+        return Fitted("one_hot", {"inline": {}, "sparse": sizes, "codes": codes.params}, codes.tables)
+    if output != "columns":
+        raise ValueError(f"unknown one-hot output {output!r}")
+    values = distinct_values(df, columns)
+    counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    long = sorted(c for c, n in counts.items() if n > max_categories)
+    if long:
+        raise ValueError(f"more than {max_categories} values in {long}; ask for output='vector'")
     found: dict[str, list] = {c: [] for c in columns}
-    if small:
-        for r in pinned.collect():
-            found[r["column"]].append(r["value"])
-    inline = {c: sorted(v, key=lambda x: (x is None, x or "")) for c, v in found.items() if small and len(v) <= max_categories}
-    rest = [c for c in columns if c not in inline]
-    if not rest:
-        return Fitted("one_hot", {"inline": inline, "sparse": {}})
-    codes = fit_label(df, rest, SMALL_ROWS)
-    sizes = {c: len(v) for c, v in codes.params.items() if v is not None}
-    if codes.tables:
-        counted = codes.tables["codes"].groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-        sizes = {r["column"]: r["n"] for r in counted}
-    return Fitted("one_hot", {"inline": inline, "sparse": sizes, "codes": codes.params}, codes.tables)
+    for r in values.collect():
+        found[r["column"]].append(r["value"])
+    inline = {c: sorted(v, key=lambda x: (x is None, x or "")) for c, v in found.items()}
+    return Fitted("one_hot", {"inline": inline, "sparse": {}})
 
 
 def _one_hot(df: DataFrame, f: Fitted) -> DataFrame:
@@ -173,7 +194,7 @@ def _one_hot(df: DataFrame, f: Fitted) -> DataFrame:
     kept = [F.col(quote(c)) for c in df.columns if c not in inline]
     out = df.select(*kept, *flags)
     if sparse:
-        out = _label(out, Fitted("label", {c: f.params["codes"][c] for c in sparse}, f.tables))
+        out = _label(_slots(out, list(sparse)), Fitted("label", {c: f.params["codes"][c] for c in sparse}, f.tables))
         for c, n in sparse.items():
             idx = out.withColumn("__i", F.coalesce(F.col(quote(c)).cast("double"), F.lit(float(n))))
             # index n means "unknown"; it is the dropped last slot, so its vector is all zeros
@@ -202,9 +223,12 @@ def fit_impute_most_frequent(df: DataFrame, columns: list[str]) -> Fitted:
     winner per column is then a plain aggregate.
     """
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    whole = [c for c in numeric if isinstance(df.schema[c].dataType, T.IntegralType)]
+    rest = [c for c in numeric if c not in whole]
     other = [c for c in columns if c not in numeric]
     out: dict = {}
-    for group, kind in ((numeric, "double"), (other, "string")):
+    # whole numbers stay whole: beyond 2^53 a DOUBLE would change them
+    for group, kind in ((whole, "bigint"), (rest, "double"), (other, "string")):
         if not group:
             continue
         cells = F.array(*[F.struct(F.lit(c).alias("c"), _present(df, c).cast(kind).alias("v")) for c in group])
@@ -221,7 +245,7 @@ def _impute(df: DataFrame, f: Fitted) -> DataFrame:
         if v is None:
             new[c] = _present(df, c)
         elif is_numeric(kind):
-            whole = not is_floating(kind) and float(v).is_integer()
+            whole = not is_floating(kind) and (isinstance(v, int) or float(v).is_integer())
             fill = F.lit(int(v) if whole else float(v))
             new[c] = F.coalesce(_present(df, c), fill.cast(kind) if whole else fill)
         else:
@@ -246,6 +270,7 @@ _TRANSFORMS: dict[str, Callable[[DataFrame, Fitted], DataFrame]] = {
 # ---- step lists ----------------------------------------------------------
 
 ROW_STEPS = {"remove_duplicate_rows", "remove_nan_rows", "remove_class"}
+NEEDS_COLUMNS = {"min_max", "standard", "label", "one_hot", "one_hot_vector", "impute_mean", "impute_median", "impute_most_frequent"}
 
 
 @dataclass(frozen=True)
@@ -261,6 +286,7 @@ _FITS: dict[str, Callable[[DataFrame, list[str]], Fitted]] = {
     "standard": fit_standard,
     "label": fit_label,
     "one_hot": fit_one_hot,
+    "one_hot_vector": lambda df, cols: fit_one_hot(df, cols, "vector"),
     "impute_mean": fit_impute_mean,
     "impute_median": fit_impute_median,
     "impute_most_frequent": fit_impute_most_frequent,
@@ -283,7 +309,11 @@ def fit_step(df: DataFrame, step: Step, row_id: str = "row_id") -> Fitted:
     if step.method not in _FITS:
         raise ValueError(f"unknown preprocessing method {step.method!r}")
     cols = list(step.columns) if step.columns is not None else clean.auto_columns(df, step.method)
-    return _FITS[step.method](df, [c for c in cols if c != row_id and c not in clean.LABELS])
+    cols = [c for c in cols if c != row_id and c not in clean.LABELS]
+    if not cols and step.method in NEEDS_COLUMNS:
+        log.warning("step %s finds no columns and is skipped", step.method)
+        return Fitted("none", {})
+    return _FITS[step.method](df, cols)
 
 
 @dataclass

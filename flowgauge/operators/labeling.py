@@ -87,23 +87,23 @@ def _usable(windows: list[TimeWindow]) -> list[TimeWindow]:
 
 
 def label_time_windows(
-    df: DataFrame, windows: list[TimeWindow], ts: str, src: str, dst: str, out: str = "label"
+    df: DataFrame, windows: list[TimeWindow], ts: str, src: str, dst: str, out: str = "label", row_id: str = "row_id"
 ) -> DataFrame:
     """Label by the last window that holds the start time and an endpoint pair.
 
-    A window matches in both directions and an empty endpoint list matches any.
-    A few windows become one CASE expression: a narrow, generated-code pass that
+    A window matches in both directions and an empty endpoint list matches any;
+    endpoints are compared as text, whatever their types. A few windows become one CASE expression: a narrow, generated-code pass that
     also works on streams. Longer lists go through the bucketed join.
     """
     usable = _usable(windows)
     if len(usable) > INLINE_WINDOWS:
         return label_time_windows_bucketed(
-            df, windows_frame(df.sparkSession, windows), ts, src, dst, default=default_label(windows), out=out
+            df, windows_frame(df.sparkSession, windows), ts, src, dst, default_label(windows), out, row_id
         )
-    t, s, d = F.col(ts).cast("timestamp"), F.col(src), F.col(dst)
+    t, s, d = F.col(ts).cast("timestamp"), F.col(src).cast("string"), F.col(dst).cast("string")
 
     def member(c: Column, values: tuple) -> Column | None:
-        return c.isin(*values) if values else None
+        return c.isin(*map(str, values)) if values else None
 
     def both(*conds: Column | None) -> Column:
         return reduce(lambda a, b: a & b, [c for c in conds if c is not None], F.lit(True))
@@ -146,7 +146,8 @@ def label_time_windows_bucketed(
 
     While the exploded window list is small (counted), each row meets one
     broadcast array and nothing is shuffled. Beyond that the windows are joined
-    by shuffle and the last match per row is taken.
+    by shuffle and the last match per row is taken, which needs a unique
+    ``row_id`` and a table that is no stream.
     """
     width = bucket_seconds * 1_000_000
     t = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -177,6 +178,8 @@ def label_time_windows_bucketed(
         )
         last = F.array_max(F.transform(hits, lambda w: F.struct(w["ord"].alias("ord"), w["label"].alias("label"))))
         return joined.withColumn(out, F.coalesce(last["label"], fallback)).select(*df.columns, out)
+    if df.isStreaming:
+        raise ValueError(f"a stream takes at most {max_windows} windows per hour bucket in all")
     w = spread.select(*[F.col(c).alias(f"__w_{c}") for c in spread.columns])
     cond = (
         (rows["__bucket"] == w["__w___bucket"])

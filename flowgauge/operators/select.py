@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -14,8 +12,6 @@ from pyspark.sql import functions as F
 from flowgauge.functions.scalars import finite_or_null, is_numeric, quote
 from flowgauge.operators.labeling import LABELS
 
-INLINE_PAIRS = 400
-
 
 def numeric_features(df: DataFrame, skip: tuple[str, ...] = ("row_id",)) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in LABELS and f.name not in skip]
@@ -40,37 +36,21 @@ def variance_threshold(df: DataFrame, threshold: float = 0.0, skip: tuple[str, .
     return df.drop(*low)
 
 
-def correlations(df: DataFrame, columns: list[str], inline_pairs: int = INLINE_PAIRS) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r of every column pair (feature_a before feature_b), over rows where both are present.
 
-    A constant column gives NULL. Few columns use built-in aggregates; wide
-    tables sum Gram matrices per batch, so that the work stays one pass.
+    A column that is constant over these rows gives NULL. Gram matrices are summed
+    per batch, so that the work stays one pass for any number of columns.
     """
-    pairs = list(combinations(range(len(columns)), 2))
     shaped = df.select(*[_value(c).alias(f"x{i}") for i, c in enumerate(columns)])
-    if len(pairs) <= inline_pairs:
-        long = _pair_moments_inline(shaped, pairs)
-    else:
-        long = _pair_moments_gram(shaped, len(columns))
+    long = _pair_moments(shaped, len(columns))
     names = F.array(*[F.lit(c) for c in columns])
     return long.select(
         names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), "i", "j", "r"
     )
 
 
-def _pair_moments_inline(shaped: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    aggs = []
-    for i, j in pairs:
-        a, b = F.col(f"x{i}"), F.col(f"x{j}")
-        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0))).alias(f"r_{i}_{j}"))
-    wide = shaped.agg(*aggs)
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs]
-    return wide.select(F.inline(F.array(*cells)))
-
-
-def _pair_moments_gram(shaped: DataFrame, p: int) -> DataFrame:
+def _pair_moments(shaped: DataFrame, p: int) -> DataFrame:
     shift = shaped.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"x{i}") for i in range(p)]).collect()[0]
     center = np.array([shift[f"x{i}"] for i in range(p)])
     ii, jj = np.triu_indices(p, 1)

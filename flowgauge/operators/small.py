@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from flowgauge.session import durable
 
 SMALL_ROWS = 50_000
+SMALL_BYTES = 64 << 20
 
 
 def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a derived table once.
 
-    Up to ``max_rows`` rows come back as a local relation that is safe to
-    broadcast; a larger table is written to the shared folder instead and must
+    Up to ``max_rows`` rows and ``SMALL_BYTES`` bytes come back as a local relation
+    that is safe to broadcast; a larger table is written to the shared folder instead and must
     be joined by shuffle.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= SMALL_BYTES:
         return df.sparkSession.createDataFrame(head, df.schema), True
     return durable(df), False
 

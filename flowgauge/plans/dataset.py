@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowgauge.operators import profile, select, splits
 from flowgauge.operators.clean import align_tables
 from flowgauge.operators.fitted import ROW_STEPS, FittedChain, Step, fit_step
+from flowgauge.sources.readers import SubFile, land, load_dataset
 from flowgauge.sources.sinks import write_splits
 
 
@@ -36,13 +37,22 @@ class Prepared:
         return spark.createDataFrame(rows, "run_id string, ord int, action string, detail map<string,string>")
 
 
-def preprocess(df: DataFrame, steps: list[Step], row_id: str = "row_id") -> Prepared:
-    """Fit and apply steps in order."""
+def preprocess(df: DataFrame, steps: list[Step], row_id: str = "row_id", path: str | None = None) -> Prepared:
+    """Fit and apply steps in order.
+
+    Given a path, the table is written there after each step that removes copies
+    and once at the end, so that later fits and the split read it instead of
+    computing all that came before again.
+    """
     done, log = [], []
     for i, step in enumerate(steps):
         before = set(df.columns)
         fitted = fit_step(df, step, row_id)
         df = fitted.transform(df)
+        if path is not None and (step.method == "remove_duplicate_rows" or i == len(steps) - 1):
+            spark = df.sparkSession
+            df.write.mode("overwrite").parquet(f"{path}/{i}")
+            df = spark.read.schema(df.schema).parquet(f"{path}/{i}")
         touched = fitted.params.get("columns") or fitted.params.get("classes") or list(fitted.params)
         detail = {
             "columns": ",".join(map(str, touched)) if isinstance(touched, list) else str(touched),
@@ -90,7 +100,7 @@ def split(tables: dict[str, DataFrame], plan: SplitPlan) -> DataFrame:
 
 def prepare(
     spark: SparkSession,
-    tables: dict[str, DataFrame],
+    tables: dict[str, DataFrame | list[SubFile]],
     steps: dict[str, list[Step]],
     plan: SplitPlan,
     root: str,
@@ -98,8 +108,17 @@ def prepare(
     selection: str = "none",
     selection_params: dict | None = None,
 ) -> tuple[str, dict[str, Prepared]]:
-    """Preprocess, select, split and store labelled tables; returns the path and the prepared datasets."""
-    prepared = {name: preprocess(df, steps.get(name, [])) for name, df in tables.items()}
+    """Preprocess, select, split and store labelled tables; returns the path and the prepared datasets.
+
+    A dataset is a table with a ``row_id``, or a list of input files, which are
+    loaded, labelled and landed as Parquet first.
+    """
+    base = f"{root}/prepared/{config_hash}"
+    ready = {
+        name: t if isinstance(t, DataFrame) else land(load_dataset(spark, t), f"{base}/{name}/landed")
+        for name, t in tables.items()
+    }
+    prepared = {name: preprocess(df, steps.get(name, []), path=f"{base}/{name}") for name, df in ready.items()}
     choose = select.FEATURE_SELECTION[selection]
     chosen = {name: choose(p.table, **(selection_params or {})) for name, p in prepared.items()}
     path = write_splits(split(chosen, plan), root, config_hash)

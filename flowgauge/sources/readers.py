@@ -15,7 +15,7 @@ from flowgauge.functions.scalars import MISSING_TOKENS, quote
 from flowgauge.operators.clean import feature_mapping, trim_names, union_tables
 from flowgauge.operators.flows import assemble_flows
 from flowgauge.operators.labeling import TimeWindow, label_from_column, label_static, label_time_windows
-from flowgauge.operators.small import SMALL_ROWS, attach
+from flowgauge.operators.small import SMALL_BYTES, attach
 
 log = logging.getLogger(__name__)
 
@@ -146,8 +146,8 @@ def files_by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
 def row_ids(df: DataFrame) -> DataFrame:
     """Add ``row_id`` to a Parquet scan: number of the file in name order, then position in the file.
 
-    Unique and the same for every partitioning; read without a shuffle. 2^22 files
-    of 2^41 rows fit.
+    Unique and the same for every partitioning; read without a shuffle as long as
+    the file names fit a broadcast of ``SMALL_BYTES``. 2^22 files of 2^41 rows fit.
     """
     # both sides spell the scheme with one slash
     files = sorted(re.sub(r"^(\w+):/+", r"\1:/", f) for f in df.inputFiles())
@@ -156,11 +156,17 @@ def row_ids(df: DataFrame) -> DataFrame:
     numbers = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no bigint")
     name = F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/")
     placed = df.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__pos"))
-    joined = attach(placed, (numbers, len(files) <= SMALL_ROWS), ["__file"])
+    joined = attach(placed, (numbers, sum(map(len, files)) <= SMALL_BYTES), ["__file"])
     row_id = F.shiftleft("__no", 41).bitwiseOR(F.col("__pos"))
     return joined.withColumn("row_id", row_id).drop("__file", "__no", "__pos")
 
 
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write a table as Parquet once and read it back with row ids; for CSV and other scans that have none."""
+    df.drop("row_id").write.mode("overwrite").parquet(path)
+    return row_ids(df.sparkSession.read.parquet(path))
+
+
 @dataclass(frozen=True)
 class SubFile:
     """One input of a dataset: label by column, or one class for the whole file or directory."""

@@ -114,14 +114,20 @@ def test_label_codes_with_and_without_inlining(spark):
     assert one == two
 
 
-def test_long_one_hot_lists_become_vectors(spark):
+def test_one_hot_form_is_asked_for_never_chosen_by_size(spark, monkeypatch):
     rows, df = words(spark)
-    f = fit_one_hot(df, ["a", "b"], max_categories=10)
-    out = f.transform(df).where("row_id = 1").collect()[0]
-    assert out["b_x"] + out["b_y"] + out["b_z"] == 1.0
-    codes = sorted({r[1] or "MISSING" for r in rows})
-    at = codes.index(next(r[1] for r in rows if r[0] == 1) or "MISSING")
-    assert list(out["a_onehot"].indices) == [at]
+    short = fit_one_hot(df, ["b"]).transform(df).where("row_id = 1").collect()[0]
+    assert short["b_x"] + short["b_y"] + short["b_z"] == 1.0
+    with pytest.raises(ValueError, match="vector"):
+        fit_one_hot(df, ["a", "b"], max_categories=10)
+    values = {r[1] for r in rows}
+    codes = [*sorted(v for v in values if v is not None), *([None] if None in values else [])]
+    for limit in (10**6, 3):
+        # a tiny limit sends the codes through a table; the slots stay the same
+        monkeypatch.setattr("flowgauge.operators.fitted.pin_small", lambda d, *a: small.pin_small(d, limit))
+        out = fit_one_hot(df, ["a", "b"], output="vector").transform(df)
+        got = {r["row_id"]: (list(r["a_onehot"].indices), r["a_onehot"].size, r["b_onehot"].size) for r in out.collect()}
+        assert got == {r[0]: ([codes.index(r[1])], len(codes), 3) for r in rows}
 
 
 def test_unknown_values_encode_to_null_and_zeros(spark):

@@ -148,6 +148,28 @@ def test_kfold_train_only_and_junk_strength(spark, tmp_path):
         Evaluation(*args, cross=True).run()
 
 
+def test_csv_files_to_report(spark, tmp_path):
+    (tmp_path / "day").mkdir()
+    for k in range(2):
+        lines = [f"{i % 17},{i * 0.5},{'BENIGN' if i % 3 else 'DoS'}" for i in range(60 * k, 60 * k + 60)]
+        (tmp_path / "day" / f"{k}.csv").write_text("A,B,Label\n" + "\n".join(lines) + "\n")
+    files = [readers.SubFile(str(tmp_path / "day"), label_column="Label", benign=("BENIGN",))]
+    steps = {"D0": [Step("min_max"), Step("label"), Step("one_hot"), Step("remove_duplicate_rows")]}
+    prepare(spark, {"D0": files}, steps, SplitPlan(), str(tmp_path / "run"), "abcd0000")
+    table = sinks.read_splits(spark, str(tmp_path / "run"), "abcd0000")
+    assert table.count() == 120 and table.select("row_id").distinct().count() == 120
+    rep = dataset_report(table, "target_label")
+    assert {(r["split"], r["n_rows"]) for r in rep["metadata"].collect()} == {("train", 84), ("test", 36)}
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    from flowgauge.operators.fitted import fit_impute_most_frequent
+
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big,), (big,), (2**60,), (None,)], "a bigint")
+    assert sorted(r["a"] for r in fit_impute_most_frequent(df, ["a"]).transform(df).collect()) == [2**60, big, big, big]
+
+
 def test_changed_attacks_are_scored_anew(spark, tmp_path):
     u = views.unit(spark, SF).withColumn("target_label", (F.col("x1") + F.col("x3") > 0.8).cast("int"))
     table = split({"D0": u.drop("run_id")}, SplitPlan())
