@@ -41,6 +41,16 @@ HEADLINE = [
     "anomaly_zscore_percentile",
     "assemble_flows",
     "stream_confusion",
+    "metrics_long_multiclass",
+    "csv_to_split",
+    "detect_decision_tree",
+    "detect_tree_stack",
+    "detect_mlp",
+    "detect_cluster_routed",
+    "anomaly_pca",
+    "stream_mttd",
+    "stream_flows",
+    "stream_flows_active",
 ]
 
 

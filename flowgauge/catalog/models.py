@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,49 @@ def detect_cluster_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark, sf_dir, detectors.detector("cluster_routed", clusters=4, forest_trees=5, layers=(8,)))
 
 
+# rows and attacks of the test part, by the quotas of the stratified split
+TEST_PART = f"""{v.UNIT}, c AS (SELECT CAST(x1 + x3 > 0.8 AS INTEGER) AS y, count(*) AS n FROM unit GROUP BY 1),
+q AS (SELECT y, n, sum(n) OVER () AS total, CAST(ceil(CAST(0.3 AS DOUBLE) * sum(n) OVER ()) AS BIGINT) AS test FROM c),
+f AS (SELECT *, n * test // total AS base, n * test % total AS rest FROM q),
+part AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, y) <= test - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM f)"""
+
+
+@query(
+    "detector_properties",
+    f"""WITH {TEST_PART}, p AS (SELECT sum(quota) AS n, sum(quota) FILTER (WHERE y = 1) AS attacks FROM part)
+SELECT detector, CAST(n AS BIGINT) AS n_rows, CAST(attacks AS BIGINT) AS n_attacks, TRUE AS beats_majority, TRUE AS scores_in_range
+FROM p, (VALUES ('decision_tree'), ('tree_stack'), ('feed_forward'), ('cluster_routed'), ('surrogate')) t(detector)""",
+)
+def detector_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every learner: it scores each test row once, within [0, 1], and beats the larger class."""
+    train, test = _train_test(spark, sf_dir)
+    named = {
+        "decision_tree": {"max_depth": 6},
+        "tree_stack": {"max_depth": 5, "forest_trees": 5, "boost_rounds": 3, "stack_rounds": 3},
+        "feed_forward": {"layers": (16, 8), "max_iter": 30},
+        "cluster_routed": {"clusters": 4, "forest_trees": 5, "layers": (8,), "n_arms": 2},
+    }
+    parts = []
+    for name, params in named.items():
+        scored = detectors.detector(name, **params).fit(train, v.FEATURES, "target_label").transform(test)
+        parts.append(scored.select(F.lit(name).alias("detector"), F.col("target_label").alias("y"), "y_pred", "score"))
+    weights, bias = perturb.fit_surrogate(train, v.FEATURES)
+    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-perturb.linear_margin(weights, bias)))
+    stand_in = test.withColumn("score", chance).withColumn("y_pred", (F.col("score") >= 0.5).cast("int"))
+    parts.append(stand_in.select(F.lit("surrogate").alias("detector"), F.col("target_label").alias("y"), "y_pred", "score"))
+    right, attacks, n = F.avg((F.col("y") == F.col("y_pred")).cast("double")), F.sum("y"), F.count(F.lit(1))
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("detector")
+        .agg(
+            n.alias("n_rows"),
+            attacks.alias("n_attacks"),
+            (right > F.greatest(attacks / n, F.lit(1.0) - attacks / n)).alias("beats_majority"),
+            F.bool_and(F.col("score").between(0.0, 1.0)).alias("scores_in_range"),
+        )
+    )
+
+
 @query("anomaly_pca")
 def anomaly_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCA reconstruction error over the embedding values; label 0 plays the benign class."""

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from flowgauge.session import default_buckets
 
-# sketch entries per bucket: bucket sizes are then within an eighth or so of even
-SKETCH_PER_BUCKET = 8
+# sketch entries per bucket: edges only balance the work, so half a bucket more or less will do
+SKETCH_PER_BUCKET = 2
 
 
 def range_edges(df: DataFrame, column: str, buckets: int) -> list[float]:

@@ -15,15 +15,19 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
+from flowgauge.functions.scalars import BENIGN_NAME
 from flowgauge.operators.labeling import TimeWindow, label_time_windows
-from flowgauge.operators.metrics import binary_counts
+from flowgauge.operators.metrics import binary_counts, flags
 from flowgauge.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def parquet_stream(
+    spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = 1000
+) -> DataFrame:
+    """A stream over Parquet files; a backlog is taken in batches of at most ``files_per_batch`` files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
@@ -108,6 +112,12 @@ class _InEventOrder(StatefulProcessor):
     OPEN: str
     OUT: dict[str, str]
 
+    def typed_keys(self, names: list[str], rows: DataFrame) -> "_InEventOrder":
+        """Use the keys' own types: whole numbers, or anything else as it comes."""
+        whole = {n for n in names if isinstance(rows.schema[n].dataType, T.LongType)}
+        self.OUT = {**{n: "int64" if n in whole else "object" for n in names}, **self.OUT}
+        return self
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", self.ROW)
@@ -174,7 +184,7 @@ class _Detection(_InEventOrder):
 
     ROW = "us bigint, id bigint, t boolean, p boolean"
     OPEN = "start_us bigint, length bigint, delay bigint"
-    OUT = {"key": "int64", "start_us": "int64", "rows": "int64", "delay": "Int64"}
+    OUT = {"start_us": "int64", "rows": "int64", "delay": "Int64"}
 
     def step(self, current, row):
         us, _, t, p = row
@@ -194,8 +204,6 @@ class _Flow(_InEventOrder):
     ROW = "us bigint, id bigint, size bigint"
     OPEN = "session_us bigint, cut bigint, first_us bigint, last_us bigint, packets bigint, bytes bigint, low bigint, high bigint"
     OUT = {
-        "lo": "int64",
-        "hi": "int64",
         "first_us": "int64",
         "last_us": "int64",
         "bidirectional_packets": "int64",
@@ -224,23 +232,30 @@ class _Flow(_InEventOrder):
         return closed[2:]
 
 
+def _key(rows: DataFrame, c: Column) -> Column:
+    """Whole numbers as LONG, any other key as text."""
+    whole = isinstance(rows.select(c.alias("k")).schema["k"].dataType, T.IntegralType)
+    return c.cast("bigint" if whole else "string")
+
+
 def _keyed_state(rows: DataFrame, keys: list[str], processor: _InEventOrder, schema: str) -> DataFrame:
     spark = rows.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    named = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor.typed_keys(keys, rows), outputStructType=f"{named}, {schema}", outputMode="Append", timeMode="EventTime"
     )
 
 
 def stream_flows_active(
     packets: DataFrame, ts: str, lo: Column, hi: Column, row_id: Column, size: Column, idle_s: int, active_s: int, delay: str
 ) -> DataFrame:
-    """Flows per ordered pair of integer endpoints, cut by both timeouts as in the batch operator."""
+    """Flows per ordered pair of endpoints (numbers or addresses), cut by both timeouts as in the batch operator."""
     shaped = packets.withWatermark(ts, delay).select(
         ts,
-        lo.cast("bigint").alias("lo"),
-        hi.cast("bigint").alias("hi"),
+        _key(packets, lo).alias("lo"),
+        _key(packets, hi).alias("hi"),
         F.unix_micros(ts).alias("us"),
         row_id.cast("bigint").alias("id"),
         size.cast("bigint").alias("size"),
@@ -250,19 +265,20 @@ def stream_flows_active(
 
 
 def stream_time_to_detect(
-    scored: DataFrame, ts: str, key: Column, row_id: Column, delay: str
+    scored: DataFrame, ts: str, key: Column, row_id: Column, delay: str, benign: str = BENIGN_NAME
 ) -> DataFrame:
     """One row per closed attack instance of a stream key: start, rows, rows until the first hit (or NULL).
 
     Rows are handled in event-time order once the watermark has passed them.
     Needs the RocksDB state store: pending rows stay on disk.
     """
+    truth, alarm = flags(scored, benign)
     shaped = scored.withWatermark(ts, delay).select(
         ts,
-        key.alias("key"),
+        _key(scored, key).alias("key"),
         F.unix_micros(ts).alias("us"),
         row_id.cast("bigint").alias("id"),
-        (F.col("y_true") != 0).alias("t"),
-        (F.col("y_pred") != 0).alias("p"),
+        truth.alias("t"),
+        alarm.alias("p"),
     )
-    return _keyed_state(shaped, ["key"], _Detection(), "key bigint, start_us bigint, rows bigint, delay bigint")
+    return _keyed_state(shaped, ["key"], _Detection(), "start_us bigint, rows bigint, delay bigint")
