@@ -2,7 +2,7 @@
 
 Texts are cut into lines, and long lines into overlapping pieces of
 ``PIECE_WORDS`` words. Word bigrams and trigrams that occur in the labelled table
-are counted per piece and a multinomial logistic regression names the family or
+(but for those of common words alone) are looked up in each piece and a multinomial logistic regression names the family or
 the class ``unknown``. A second regression, fitted on held-back labelled rows, turns
 the lead of the best family over ``unknown`` into a probability. What is more likely
 known than not is compared with the family's templates by 3-word shingles.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -122,10 +123,17 @@ OTHERS: tuple[str, ...] = (
 )
 
 
+#: Common English words. An n-gram of these alone tells nothing and is no feature.
+COMMON = frozenset(
+    "a all an and any are as at be been before but by can could each for from had has have he her his if in into is it its "
+    "may more most must no not of on one or other our out shall she should so such than that the their them there these they "
+    "this to under up was we were what when which who will with would you your".split()
+)
+
+
 def words_of(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots, plus or minus signs."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9.+-]+|[.+-]+(?=[^a-z0-9]|$)", " ")
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    """Runs of ASCII letters and digits, lower-cased, and of other signs beyond ASCII."""
+    return F.filter(F.split(F.lower(text), r"[\x00-/:-`{-\x7F]+"), lambda w: w != "")
 
 
 def labelled_rows() -> list[tuple[str, str]]:
@@ -151,6 +159,7 @@ def labelled_rows() -> list[tuple[str, str]]:
 @dataclass
 class Model:
     families: list[str]
+    keywords: list[str]
     vectorizer: CountVectorizerModel
     classifier: LogisticRegressionModel
     slope: float
@@ -175,20 +184,32 @@ def train(spark: SparkSession) -> Model:
     cells = [F.struct(F.lit(float(families.index(f))).alias("label"), F.lit(t).alias("text"), F.lit(i % 3 == 2).alias("late")) for i, (f, t) in enumerate(rows)]
     table = spark.range(1, numPartitions=1).select(F.inline(F.array(*cells)))
     grams = _grams(table.withColumn("__w", words_of(F.col("text"))))
-    vectorizer = CountVectorizer(inputCol="__g", outputCol="__x", binary=True, vocabSize=1 << 14).fit(grams)
+    counted = CountVectorizer(inputCol="__g", outputCol="__x", binary=True, vocabSize=1 << 14).fit(grams)
+    vocabulary = [g for g in counted.vocabulary if not COMMON.issuperset(g.split(" "))]
+    keywords = sorted({w for g in vocabulary for w in g.split(" ")} - COMMON)
+    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__g", outputCol="__x").setBinary(True)
     counted = vectorizer.transform(grams)
     learner = LogisticRegression(featuresCol="__x", labelCol="label", rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__y", family="multinomial", regParam=0.002, maxIter=40)
     first = learner.fit(counted.filter("not late"))
     unknown = float(families.index(UNKNOWN))
     leads = first.transform(counted.filter("late")).select((F.col("label") != unknown).cast("double").alias("label"), F.array(_lead(F.col("__raw"), int(unknown))).alias("m"))
     calibrator = LogisticRegression(featuresCol="__m", labelCol="label", regParam=0.01, maxIter=40).fit(leads.withColumn("__m", array_to_vector("m")))
-    return Model(families, vectorizer, learner.fit(counted), float(calibrator.coefficients[0]), float(calibrator.intercept))
+    classifier = learner.fit(counted)
+    slope, offset = float(calibrator.coefficients[0]), float(calibrator.intercept)
+    start = classifier.interceptVector.toArray()
+    if slope * (max(np.delete(start, int(unknown))) - start[int(unknown)]) + offset >= 0:
+        raise RuntimeError("a text without any feature must be unknown")
+    return Model(families, keywords, vectorizer, classifier, slope, offset)
 
 
-def pieces(docs: DataFrame, text: str) -> DataFrame:
-    """Rows of ``paragraph`` (line number from 0), ``piece`` (from 0) and words ``__w``."""
+def pieces(docs: DataFrame, text: str, keywords: list[str]) -> DataFrame:
+    """Rows of ``paragraph`` (line number from 0), ``piece`` (from 0) and words ``__w``.
+
+    Lines without any of the keywords are left out: every feature has one of them.
+    """
     lines = docs.select("*", F.posexplode(F.split(F.col(text), "\n", -1)).alias("paragraph", "__line"))
-    worded = lines.withColumn("__all", words_of(F.col("__line"))).drop("__line").filter(F.size("__all") > 1)
+    worded = lines.withColumn("__all", words_of(F.col("__line"))).drop("__line")
+    worded = worded.filter((F.size("__all") > 1) & F.exists("__all", lambda w: w.isin(*keywords)))
     n = F.size("__all")
     starts = F.when(n <= PIECE_WORDS, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - PIECE_STEP - 1, F.lit(PIECE_STEP)))
     cut = worded.select("*", F.posexplode(starts).alias("piece", "__at"))
@@ -215,8 +236,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "tex
     """
     require(docs, id_col, text)
     light = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    counted = model.vectorizer.transform(_grams(pieces(light, "__text").drop("__text")))
-    # without any gram of the table only the intercepts speak, and they say unknown
+    counted = model.vectorizer.transform(_grams(pieces(light, "__text", model.keywords).drop("__text")))
     scored = model.classifier.transform(counted.drop("__g"))
     unknown = len(model.families) - 1
     lead = _lead(F.col("__raw"), unknown)
