@@ -8,12 +8,12 @@ long ones in overlapping pieces of ``PIECE`` characters.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 PIECE = 1 << 18
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Languages a model may have; the matrix then stays below 128 MB.
 MOST_LANGUAGES = 1000
 #: Bound of the training sample, in documents.

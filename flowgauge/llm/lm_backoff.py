@@ -35,8 +35,9 @@ MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 def word_hashes(text: bytes, seen: dict[bytes, int]) -> np.ndarray:
     """One hash per word: runs of non-white ASCII, A-Z lower-cased."""
     words = text.lower().split()
-    for w in set(words) - seen.keys():
-        seen[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in seen:
+            seen[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 

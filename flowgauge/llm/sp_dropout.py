@@ -117,7 +117,9 @@ class Segmenter:
         fresh: list[tuple[str, int]] = []
         for variant, found in wanted.items():
             young, old = self.young[variant], self.old[variant]
-            for unit in found - young.keys():
+            for unit in found:
+                if unit in young:
+                    continue
                 if unit in old:
                     young[unit] = old[unit]
                 else:

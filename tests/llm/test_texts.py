@@ -36,6 +36,7 @@ def test_held_out_labels_do_not_matter(spark):
 
 def test_language_of_odd_texts(spark):
     model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert langid.score_texts(["½ Ⅷ² 7_", "ß"], model)[0][0] == "und" != langid.score_texts(["ß"], model)[0][0]
     df = nasty(spark).withColumn("score", F.lit(7))
     got = langid.identify(df, model)
     assert got.columns == [*[c for c in df.columns if c != "score"], "lang_pred", "score"]
