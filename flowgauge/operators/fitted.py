@@ -53,10 +53,31 @@ def _present(df: DataFrame, c: str) -> Column:
 # ---- scaling -------------------------------------------------------------
 
 
+# Fits that are aggregates of single columns: (aggregates of a column, parameter from their values).
+_AGGREGATES: dict[str, tuple[Callable[[Column], list[Column]], Callable[[list], object]]] = {
+    "min_max": (lambda v: [F.min(v).cast("double"), F.max(v).cast("double")], list),
+    "standard": (lambda v: [F.avg(v.cast("double")), F.stddev_pop(v.cast("double"))], list),
+    "impute_mean": (lambda v: [F.avg(v)], lambda r: r[0]),
+}
+
+
+def fit_together(df: DataFrame, jobs: list[tuple[str, list[str]]]) -> list[Fitted]:
+    """Fit several aggregate steps in one pass over the table."""
+    aggs = [a for method, columns in jobs for c in columns for a in _AGGREGATES[method][0](_present(df, c))]
+    row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).collect()[0] if aggs else ()
+    out, at = [], 0
+    for method, columns in jobs:
+        params = {}
+        size = len(_AGGREGATES[method][0](F.lit(0)))
+        for c in columns:
+            params[c] = _AGGREGATES[method][1](list(row[at : at + size]))
+            at += size
+        out.append(Fitted("impute" if method == "impute_mean" else method, params))
+    return out
+
+
 def fit_min_max(df: DataFrame, columns: list[str]) -> Fitted:
-    aggs = [f(_present(df, c)).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]
-    row = df.agg(*aggs).collect()[0]
-    return Fitted("min_max", {c: [row[f"a{i}"], row[f"b{i}"]] for i, c in enumerate(columns)})
+    return fit_together(df, [("min_max", columns)])[0]
 
 
 def _min_max(df: DataFrame, f: Fitted) -> DataFrame:
@@ -70,9 +91,7 @@ def _min_max(df: DataFrame, f: Fitted) -> DataFrame:
 
 
 def fit_standard(df: DataFrame, columns: list[str]) -> Fitted:
-    aggs = [f(_present(df, c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.avg), ("b", F.stddev_pop))]
-    row = df.agg(*aggs).collect()[0]
-    return Fitted("standard", {c: [row[f"a{i}"], row[f"b{i}"]] for i, c in enumerate(columns)})
+    return fit_together(df, [("standard", columns)])[0]
 
 
 def _standard(df: DataFrame, f: Fitted) -> DataFrame:
@@ -208,8 +227,7 @@ def _one_hot(df: DataFrame, f: Fitted) -> DataFrame:
 
 
 def fit_impute_mean(df: DataFrame, columns: list[str]) -> Fitted:
-    row = df.agg(*[F.avg(_present(df, c)).alias(f"a{i}") for i, c in enumerate(columns)]).collect()[0]
-    return Fitted("impute", {c: row[f"a{i}"] for i, c in enumerate(columns)})
+    return fit_together(df, [("impute_mean", columns)])[0]
 
 
 def fit_impute_median(df: DataFrame, columns: list[str], **limits: int) -> Fitted:
@@ -301,6 +319,11 @@ _FITS: dict[str, Callable[[DataFrame, list[str]], Fitted]] = {
 }
 
 
+def step_columns(df: DataFrame, step: Step, row_id: str = "row_id") -> list[str]:
+    cols = list(step.columns) if step.columns is not None else clean.auto_columns(df, step.method)
+    return [c for c in cols if c != row_id and c not in clean.LABELS]
+
+
 def fit_step(df: DataFrame, step: Step, row_id: str = "row_id") -> Fitted:
     if step.method == "remove_duplicate_rows":
         return Fitted(step.method, {"row_id": row_id})
@@ -308,14 +331,26 @@ def fit_step(df: DataFrame, step: Step, row_id: str = "row_id") -> Fitted:
         return Fitted(step.method, {})
     if step.method not in _FITS:
         raise ValueError(f"unknown preprocessing method {step.method!r}")
-    cols = list(step.columns) if step.columns is not None else clean.auto_columns(df, step.method)
-    cols = [c for c in cols if c != row_id and c not in clean.LABELS]
+    cols = step_columns(df, step, row_id)
     if not cols and step.method in NEEDS_COLUMNS:
         log.warning("step %s finds no columns and is skipped", step.method)
         return Fitted("none", {})
     return _FITS[step.method](df, cols)
 
 
+def fit_next(df: DataFrame, steps: list[Step], row_id: str = "row_id") -> list[Fitted]:
+    """Fit the first of the steps, together with those behind it that aggregate other columns of the same table."""
+    jobs: list[tuple[str, list[str]]] = []
+    touched: set[str] = set()
+    for step in steps:
+        columns = step_columns(df, step, row_id) if step.method in _AGGREGATES else []
+        if not columns or touched & set(columns) or not set(columns) <= set(df.columns):
+            break
+        jobs.append((step.method, columns))
+        touched |= set(columns)
+    return fit_together(df, jobs) if len(jobs) > 1 else [fit_step(df, steps[0], row_id)]
+
+
 @dataclass
 class FittedChain:
     steps: list[Fitted]
@@ -354,8 +389,8 @@ def fit_chain(df: DataFrame, steps: list[Step], row_id: str = "row_id", fit_on:
     """
     done: list[Fitted] = []
     current = df if fit_on is None else df.where(fit_on)
-    for step in steps:
-        fitted = fit_step(current, step, row_id)
-        current = fitted.transform(current)
-        done.append(fitted)
+    while len(done) < len(steps):
+        for fitted in fit_next(current, steps[len(done) :], row_id):
+            current = fitted.transform(current)
+            done.append(fitted)
     return FittedChain(done)

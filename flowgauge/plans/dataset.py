@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.operators import profile, select, splits
 from flowgauge.operators.clean import align_tables
-from flowgauge.operators.fitted import ROW_STEPS, FittedChain, Step, fit_step
+from flowgauge.operators.fitted import ROW_STEPS, FittedChain, Step, fit_next
 from flowgauge.sources.readers import SubFile, land, load_dataset
 from flowgauge.sources.sinks import write_splits
 
@@ -44,10 +44,12 @@ def preprocess(df: DataFrame, steps: list[Step], row_id: str = "row_id", path: s
     and once at the end, so that later fits and the split read it instead of
     computing all that came before again.
     """
-    done, log = [], []
+    done, log, ready = [], [], []
     for i, step in enumerate(steps):
         before = set(df.columns)
-        fitted = fit_step(df, step, row_id)
+        if not ready:
+            ready = fit_next(df, steps[i:], row_id)
+        fitted = ready.pop(0)
         df = fitted.transform(df)
         if path is not None and (step.method == "remove_duplicate_rows" or i == len(steps) - 1):
             spark = df.sparkSession

@@ -162,6 +162,20 @@ def test_csv_files_to_report(spark, tmp_path):
     assert {(r["split"], r["n_rows"]) for r in rep["metadata"].collect()} == {("train", 84), ("test", 36)}
 
 
+def test_neighbouring_fits_share_a_pass(spark, monkeypatch):
+    from flowgauge.operators import fitted
+
+    passes = []
+    real = fitted.fit_together
+    monkeypatch.setattr(fitted, "fit_together", lambda df, jobs: passes.append([m for m, _ in jobs]) or real(df, jobs))
+    df = spark.createDataFrame([(1, 1.0, 2.0, None), (2, 3.0, 6.0, 5.0)], "row_id bigint, a double, b double, c double")
+    steps = [Step("min_max", ("a",)), Step("standard", ("b",)), Step("impute_mean", ("c",)), Step("min_max", ("c",))]
+    chain = fit_chain(df, steps)
+    assert passes == [["min_max", "standard", "impute_mean"], ["min_max"]]
+    got = sorted((r["a"], r["b"], r["c"]) for r in chain.transform(df).collect())
+    assert got == [(0.0, -1.0, 0.0), (1.0, 1.0, 0.0)]
+
+
 def test_whole_numbers_keep_their_digits(spark):
     from flowgauge.operators.fitted import fit_impute_most_frequent
 
