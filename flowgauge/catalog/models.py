@@ -297,7 +297,7 @@ def _stats_sql(value: str, cond: str, prefix: str, suffix: str) -> str:
     )
 
 
-def _side_sql(prefix: str, cond: str, gap: str) -> str:
+def side_sql(prefix: str, cond: str, gap: str) -> str:
     flt = f"FILTER (WHERE {cond})" if cond else ""
     also = f" AND {cond}" if cond else ""
     return f"""min(ts_ms) {flt} AS {prefix}_first_seen_ms, max(ts_ms) {flt} AS {prefix}_last_seen_ms,
@@ -309,8 +309,8 @@ def _side_sql(prefix: str, cond: str, gap: str) -> str:
 @query(
     "assemble_flows",
     f"""WITH {MARKED}
-SELECT min(pkt_id) AS flow_id, first_src AS src, first_dst AS dst, {_side_sql('bidirectional', '', 'gap')},
-  {_side_sql('src2dst', 'src = first_src', 'dgap')}, {_side_sql('dst2src', 'src <> first_src', 'dgap')}
+SELECT min(pkt_id) AS flow_id, first_src AS src, first_dst AS dst, {side_sql('bidirectional', '', 'gap')},
+  {side_sql('src2dst', 'src = first_src', 'dgap')}, {side_sql('dst2src', 'src <> first_src', 'dgap')}
 FROM md GROUP BY lo, hi, start, cut, first_src, first_dst""",
 )
 def assemble_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

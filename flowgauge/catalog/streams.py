@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.catalog import views as v
+from flowgauge.catalog.models import MARKED, side_sql
 from flowgauge.catalog.registry import query
 from flowgauge.streaming import streams as s
 
@@ -127,3 +128,34 @@ def stream_flows_active(spark: SparkSession, sf_dir: str) -> DataFrame:
         p, "ts", F.least(src, dst), F.greatest(src, dst), F.col("event_id"), size, 6 * 3600, 12 * 3600, "1 hour"
     )
     return s.drain(got, "active-flows")
+
+
+CLOSED = MARKED.replace("FROM events)", f"FROM events WHERE epoch_us(ts) // 1000 < {WATERMARK})", 1)
+
+
+@query(
+    "stream_flow_records",
+    f"""WITH {CLOSED}, r AS (SELECT *, max(ts_ms) OVER (PARTITION BY lo, hi) AS key_last FROM md)
+SELECT min(pkt_id) AS flow_id, 'h' || first_src AS src, 'h' || first_dst AS dst, {side_sql('bidirectional', '', 'gap')},
+  {side_sql('src2dst', 'src = first_src', 'dgap')}, {side_sql('dst2src', 'src <> first_src', 'dgap')}
+FROM r GROUP BY lo, hi, start, cut, first_src, first_dst
+HAVING max(ts_ms) < any_value(key_last) OR max(ts_ms) + {IDLE_US // 1000} < {WATERMARK}""",
+)
+def stream_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between text addresses with every column of the batch operator."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", s.ROCKSDB)
+    kind, name = F.col("event_type"), lambda c: F.concat(F.lit("h"), c.cast("string"))
+    p = _events(spark, sf_dir).select(
+        "ts",
+        F.col("event_id").alias("pkt_id"),
+        name(F.col("user_id") % 20).alias("src"),
+        name(v.k_of().cast("bigint") % 5 + 100).alias("dst"),
+        (F.floor("value") + 40).alias("size"),
+        (kind == "signup").alias("syn"),
+        (kind == "purchase").alias("fin"),
+    )
+    got = s.stream_flow_records(
+        p, "ts", ["src"], ["dst"], flags=["syn", "fin"], idle_ms=IDLE_US // 1000, active_ms=ACTIVE_US // 1000
+    )
+    got = s.drain(got, "flow-records")
+    return got.select(*[F.round(c, 6).alias(c) if "_mean_" in c or "_stddev_" in c else F.col(c) for c in got.columns])

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 from flowgauge.functions.scalars import BENIGN_NAME
+from flowgauge.operators.flows import ACTIVE_MS, IDLE_MS, endpoint_key
 from flowgauge.operators.labeling import TimeWindow, label_time_windows
 from flowgauge.operators.metrics import binary_counts, flags
 from flowgauge.session import scratch_path
@@ -232,6 +233,100 @@ class _Flow(_InEventOrder):
         return closed[2:]
 
 
+SIDES = ("bidirectional", "src2dst", "dst2src")
+# running numbers of one direction of an open flow; times in milliseconds
+SIDE = {
+    **{c: "bigint" for c in ("first", "last", "packets", "bytes", "low", "high")},
+    **{c: "double" for c in ("mean", "spread")},
+    **{c: "bigint" for c in ("gaps", "gap_low", "gap_high")},
+    **{c: "double" for c in ("gap_mean", "gap_spread")},
+}
+
+
+def _added(n: int, mean: float, spread: float, value: int) -> tuple[float, float]:
+    """Mean and sum of squared distances with one more value, the n-th."""
+    away = value - mean
+    mean += away / n
+    return mean, spread + away * (value - mean)
+
+
+class _FlowRecord(_InEventOrder):
+    """Flows with the columns of the batch operator; src2dst is the direction of the first packet."""
+
+    def __init__(self, idle_ms: int, active_ms: int, flags: list[str]):
+        self.idle_ms, self.active_ms, self.flags = idle_ms, active_ms, flags
+        marks = [f"f{i}" for i in range(len(flags))]
+        self.ROW = ", ".join(["us bigint", "id bigint", "fwd boolean", "size bigint", *[f"{m} bigint" for m in marks]])
+        side = [*SIDE.items(), *[(m, "bigint") for m in marks]]
+        self.width = len(side)
+        self.OPEN = "session bigint, cut bigint, flow_id bigint, forward boolean, " + ", ".join(
+            f"s{k}_{c} {kind}" for k in range(3) for c, kind in side
+        )
+        self.OUT = {"flow_id": "int64", "forward": "bool"}
+        for name in SIDES:
+            whole = ("first_seen_ms", "last_seen_ms", "duration_ms", "packets", "bytes")
+            self.OUT |= {f"{name}_{c}": "Int64" for c in whole}
+            for kind in ("ps", "piat_ms"):
+                self.OUT |= {f"{name}_min_{kind}": "Int64", f"{name}_mean_{kind}": "Float64"}
+                self.OUT |= {f"{name}_stddev_{kind}": "Float64", f"{name}_max_{kind}": "Int64"}
+            self.OUT |= {f"{name}_{f}_packets": "int64" for f in flags}
+
+    def schema(self) -> str:
+        sql = {"int64": "bigint", "Int64": "bigint", "Float64": "double", "bool": "boolean"}
+        return ", ".join(f"`{c}` {sql[kind]}" for c, kind in self.OUT.items())
+
+    def step(self, current, row):
+        us, row_id, fwd, size, *marks = row
+        ms = us // 1000
+        if current is None or ms - self._last(current) > self.idle_ms:
+            return self._with(self._fresh(ms, 0, row_id, fwd), ms, fwd, size, marks), current
+        cut = (ms - current[0]) // self.active_ms
+        if cut != current[1]:
+            return self._with(self._fresh(current[0], cut, row_id, fwd), ms, fwd, size, marks), current
+        return self._with(current, ms, fwd, size, marks), None
+
+    def _fresh(self, session: int, cut: int, row_id: int, fwd: bool) -> tuple:
+        none = [0.0 if kind == "double" else 0 for kind in SIDE.values()] + [0] * len(self.flags)
+        return (session, cut, row_id, fwd, *none, *none, *none)
+
+    def _last(self, current: tuple) -> int:
+        return current[4 + list(SIDE).index("last")]
+
+    def _with(self, current: tuple, ms: int, fwd: bool, size: int, marks: list[int]) -> tuple:
+        session, cut, flow_id, forward, *rest = current
+        for k in (0, 1 if fwd == forward else 2):
+            side = rest[k * self.width : (k + 1) * self.width]
+            first, last, n, total, low, high, mean, spread, gaps, glow, ghigh, gmean, gspread, *seen = side
+            if n:
+                gap = ms - last
+                glow, ghigh = (min(glow, gap), max(ghigh, gap)) if gaps else (gap, gap)
+                gaps += 1
+                gmean, gspread = _added(gaps, gmean, gspread, gap)
+                low, high = min(low, size), max(high, size)
+            else:
+                first, low, high = ms, size, size
+            n += 1
+            mean, spread = _added(n, mean, spread, size)
+            seen = [a + b for a, b in zip(seen, marks)]
+            side = [first, ms, n, total + size, low, high, mean, spread, gaps, glow, ghigh, gmean, gspread, *seen]
+            rest[k * self.width : (k + 1) * self.width] = side
+        return (session, cut, flow_id, forward, *rest)
+
+    def ends(self, current):
+        return (self._last(current) + self.idle_ms) * 1000
+
+    def show(self, closed):
+        out = [closed[2], closed[3]]
+        for k in range(3):
+            side = closed[4 + k * self.width : 4 + (k + 1) * self.width]
+            first, last, n, total, low, high, mean, spread, gaps, glow, ghigh, gmean, gspread, *seen = side
+            out += [first, last, last - first, n, total] if n else [None, None, None, 0, 0]
+            for m, lo, avg, around, hi in ((n, low, mean, spread, high), (gaps, glow, gmean, gspread, ghigh)):
+                out += [lo, avg, (around / (m - 1)) ** 0.5 if m > 1 else 0.0, hi] if m else [None] * 4
+            out += seen
+        return tuple(out)
+
+
 def _key(rows: DataFrame, c: Column) -> Column:
     """Whole numbers as LONG, any other key as text."""
     whole = isinstance(rows.select(c.alias("k")).schema["k"].dataType, T.IntegralType)
@@ -264,6 +359,46 @@ def stream_flows_active(
     return _keyed_state(shaped, ["lo", "hi"], _Flow(idle_s * 1_000_000, active_s * 1_000_000), schema)
 
 
+def stream_flow_records(
+    packets: DataFrame,
+    ts: str,
+    src: list[str],
+    dst: list[str],
+    extra: list[str] | None = None,
+    flags: list[str] | None = None,
+    size: str = "size",
+    order: str = "pkt_id",
+    idle_ms: int = IDLE_MS,
+    active_ms: int = ACTIVE_MS,
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Flows with all columns of the batch operator, as they close behind the watermark.
+
+    ``src`` and ``dst`` list the columns of an endpoint (address, port), numbers or
+    text, ``extra`` the rest of the key; ``flow_id`` is the order number of the
+    flow's first packet. Times count in milliseconds.
+    """
+    extra, flags = extra or [], flags or []
+    keyed, _ = endpoint_key(packets.withWatermark(ts, delay), src, dst, extra)
+    ends = {f"{end}{i}": F.col(f"__{end}.p{i}") for end in ("lo", "hi") for i in range(len(src))}
+    shaped = keyed.select(
+        ts,
+        *[_key(keyed, c).alias(name) for name, c in ends.items()],
+        *[_key(keyed, F.col(c)).alias(c) for c in extra],
+        (F.unix_millis(ts) * 1000).alias("us"),
+        F.col(order).cast("bigint").alias("id"),
+        F.col("__fwd").alias("fwd"),
+        F.col(size).cast("bigint").alias("size"),
+        *[F.coalesce(F.col(f).cast("bigint"), F.lit(0)).alias(f"f{i}") for i, f in enumerate(flags)],
+    )
+    record = _FlowRecord(idle_ms, active_ms, flags)
+    got = _keyed_state(shaped, [*ends, *extra], record, record.schema())
+    sides = [(c, "lo", "hi", i) for i, c in enumerate(src)] + [(c, "hi", "lo", i) for i, c in enumerate(dst)]
+    named = [F.when(F.col("forward"), F.col(f"{a}{i}")).otherwise(F.col(f"{b}{i}")).alias(c) for c, a, b, i in sides]
+    rest = [c for c in got.columns if c not in {*ends, *extra, "forward", "flow_id"}]
+    return got.select("flow_id", *named, *extra, *rest)
+
+
 def stream_time_to_detect(
     scored: DataFrame, ts: str, key: Column, row_id: Column, delay: str, benign: str = BENIGN_NAME
 ) -> DataFrame:
