@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from flowgauge.llm.common import bound_batches, require
 
 ALPHA = 0.4
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 BUCKETS_PER_CHUNK = 1
 EMPTY = np.uint64(0x5851F42D4C957F2D)  # hash of the n-gram of no words, whose count is the corpus size
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -66,17 +66,25 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table["text"].combine_chunks().cast(pa.binary()).to_pylist()]
 
 
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each comes."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return sorted_values[first], np.diff(np.append(first, len(sorted_values)))
+
+
 def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct n-grams of a chunk (sorted), their counts, and the word hashes of each text."""
     seen: dict[bytes, int] = {}
     words = [word_hashes(t, seen) for t in texts]
-    found, counts = [np.array([EMPTY])], [np.array([sum(map(len, words))], np.int64)]
+    del seen
+    grams, counts = np.array([EMPTY]), np.array([sum(map(len, words))], np.int64)
     for n in range(1, order + 1):
-        h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(w, n) for w in words)]), return_counts=True)
-        found.append(h)
-        counts.append(c)
-    grams, at = np.unique(np.concatenate(found), return_inverse=True)
-    return grams, np.bincount(at, np.concatenate(counts), len(grams)).astype(np.int64), words
+        found = np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(w, n) for w in words)])
+        found.sort()
+        found, times = _runs(found)
+        grams, counts = np.concatenate([grams, found]), np.concatenate([counts, times])
+    at = np.argsort(grams, kind="stable")
+    return grams[at], counts[at], words
 
 
 def _ask(order: int, buckets: int):
@@ -99,12 +107,17 @@ def _ask(order: int, buckets: int):
 def _count(table: pa.Table) -> pa.Table:
     """The count table of one hash partition, joined back to what each chunk sent."""
     table = table.combine_chunks()
-    parts = [np.cumsum(unplanes(g, np.uint64), dtype=np.uint64) for g in table["grams"].to_pylist()]
-    counts = np.concatenate([unplanes(c, np.int64) for c in table["counts"].to_pylist()])
-    grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(at, counts, len(grams)).astype(np.int64)[at]
-    ends = np.cumsum([len(p) for p in parts])
-    back = [planes(total[e - len(p) : e]) for e, p in zip(ends, parts)]
+    grams = np.concatenate([np.cumsum(unplanes(g, np.uint64), dtype=np.uint64) for g in table["grams"].to_pylist()])
+    counts = [unplanes(c, np.int64) for c in table["counts"].to_pylist()]
+    ends = np.cumsum([len(c) for c in counts]).tolist()
+    counts = np.concatenate(counts)
+    at = np.argsort(grams, kind="stable")
+    _, times = _runs(grams[at])
+    del grams
+    starts = np.cumsum(times) - times
+    total = np.empty(len(counts), np.int64)
+    total[at] = np.repeat(np.add.reduceat(counts[at], starts), times)
+    back = [planes(total[i:j]) for i, j in zip([0, *ends], ends)]
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array(back, pa.binary())})
 
 
