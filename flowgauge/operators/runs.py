@@ -115,13 +115,13 @@ class Ledger:
 
     def clear(self) -> None:
         """Forget all finished steps of this configuration."""
-        self._append(None, CLEARED)
+        self._append((None, CLEARED))
 
     def completed(self) -> DataFrame:
         return self._all().where("run_id is not null").select("run_id").distinct()
 
-    def add(self, run: str) -> None:
-        self._append(run, None)
+    def add(self, *finished: str) -> None:
+        self._append(*[(run, None) for run in finished])
 
     def stage(self) -> str | None:
         row = self._all().where("stage is not null").agg(F.max_by("stage", "at").alias("s")).collect()[0]
@@ -130,11 +130,11 @@ class Ledger:
     def set_stage(self, stage: str) -> None:
         if stage not in STAGES:
             raise ValueError(f"unknown stage {stage!r}")
-        self._append(None, stage)
+        self._append((None, stage))
 
-    def _append(self, run: str | None, stage: str | None) -> None:
-        row = [(self.config, run, stage, time.time())]
-        self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+    def _append(self, *entries: tuple[str | None, str | None]) -> None:
+        rows = [(self.config, run, stage, time.time()) for run, stage in entries]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
 
 class ModelStore:

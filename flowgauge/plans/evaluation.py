@@ -103,6 +103,23 @@ class Evaluation:
             return [None]
         return sorted(r["fold"] for r in self.stored.select("fold").distinct().collect())
 
+    def _pending(self) -> dict[tuple, list[str]]:
+        """Training runs (id, dataset, fold, model) of the plan with test runs that are not finished, and all their test runs."""
+        folds = self._folds()
+        names = self.stored.select("dataset").distinct()
+        plan = runs.evaluation_plan(names, list(self.detectors), self.cross, 0 if folds == [None] else len(folds))
+        if folds == [None]:
+            plan = plan.withColumn("fold", F.lit(None).cast("int"))
+        # one row per train and test pair
+        todo = plan if self.force_train else runs.pending_runs(plan, self.ledger.completed())
+        open_ = {r["train_run_id"] for r in todo.collect()}
+        out: dict[tuple, list[str]] = {}
+        for r in plan.orderBy("train_dataset", "fold", "model", "run_id").collect():
+            if r["train_run_id"] in open_:
+                fold = None if r["fold"] is None else folds[r["fold"]]
+                out.setdefault((r["train_run_id"], r["train_dataset"], fold, r["model"]), []).append(r["run_id"])
+        return out
+
     def run(self) -> DataFrame | None:
         """Write the predictions of all pending training runs; returns the predictions of every run.
 
@@ -118,17 +135,10 @@ class Evaluation:
         runs.store_config(self.spark, f"{self.root}/config/{self.key}", self.run_config)
         self.ledger.set_stage("in_progress")
         names = sorted(r["dataset"] for r in self.stored.select("dataset").distinct().collect())
-        folds = self._folds()
-        done = set() if self.force_train else {r["run_id"] for r in self.ledger.completed().collect()}
-        scope = "cross" if self.cross else "kfold" if folds != [None] else "intra"
-        for i, name in enumerate(names):
-            for fold in folds:
-                for model, detector in self.detectors.items():
-                    run = f"{scope}_{model}_train-{i}" + ("" if fold is None else f"_fold {fold}")
-                    if run not in done:
-                        self._train_and_score(run, name, fold, model, detector, out, names)
-                        if not self.train_only:
-                            self.ledger.add(run)
+        for (run, name, fold, model), tests in self._pending().items():
+            self._train_and_score(run, name, fold, model, self.detectors[model], out, names)
+            if not self.train_only:
+                self.ledger.add(*tests)
         if self.train_only:
             return None
         self.ledger.set_stage("evaluation_complete")
