@@ -34,6 +34,9 @@ FURNITURE = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Names of elements that hold an article, and signs of what is not shown.
+ARTICLE = frozenset("article entry story".split())
+UNSEEN = re.compile(r"(?<![-\w])hidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -47,8 +50,9 @@ class Block:
     heading: bool
 
 
-def _furniture(attributes: str) -> bool:
-    return any(w.lower() in FURNITURE for m in NAMED.finditer(attributes) for w in WORD.findall(next(g for g in m.groups() if g is not None)))
+def _names(attributes: str) -> set[str]:
+    """Words of class, id and role values: site-header and siteHeader have site and header."""
+    return {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(next(g for g in m.groups() if g is not None))}
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -110,15 +114,22 @@ def blocks_of(page: str) -> list[Block]:
                     del open_[i:]
                     break
             continue
+        # start tags that end an element left open
+        if open_ and (open_[-1][0] == "p" or open_[-1][0] == name and name in ("li", "dt", "dd", "td", "tr")):
+            open_.pop()
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        content = name in CONTENT
-        chrome = name in CHROME or _furniture(attributes) or name == "header" and not any(c for _, c, _ in open_)
+        named = _names(attributes) if attributes else set()
+        content = name in CONTENT or bool(named & ARTICLE)
+        # an article's own header holds its title
+        inside = content or any(c for _, c, _ in open_)
+        furniture = named & FURNITURE if not inside else (named & FURNITURE) - {"header"}
+        chrome = name in CHROME or bool(furniture) or name == "header" and not inside
+        chrome = chrome or bool(attributes and UNSEEN.search(attributes))
         if name not in VOID and name != "p" and (content or chrome or name in ("div", "section", "header", "ul", "ol", "td", "table")):
             open_.append((name, content, chrome))
             if len(open_) > 4096:
                 del open_[1]
         elif chrome and name not in VOID:
-            # furniture marked on an element that may stay unclosed counts for that block alone
             open_.append((name, False, True))
     take(page[at:])
     close()

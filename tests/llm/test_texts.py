@@ -145,7 +145,9 @@ def test_extraction(spark):
         2: (None, ""), 3: ("", ""), 4: ("<script>var a = '<p>no</p>';</script>", ""),
         5: (f"<p>{long}<!-- <p>gone</p> --><p>{long}<style>p{{}}</style>", f"{long}{long}".strip()),
         6: (f"<article><p>{long}<br>Short<form><p>{long}</p></form></article><aside>{long}</aside>", f"{long}Short"),
-        7: ("<", "")}
+        7: ("<", ""),
+        8: (f"<div class=siteHeader><p>{long}</p></div><div class='story-body'><div class='entry-header'><h2>Tide</h2></div><p>Up.</p><p hidden>{long}<p>Down.<p hidden>{long}</p>"
+            f"<div id=readerComments><p>{long}</p></div><div style='display: none'>{long}</div><p>{long}</p></div>", f"Tide Up. Down. {long}".strip())}
     df = spark.createDataFrame([(i, "u", p, 1) for i, (p, _) in pages.items()], "page_id long, url string, html string, text int")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
     assert {i: got[i] for i in pages if i != 7} == {i: t for i, (_, t) in pages.items() if i != 7}
