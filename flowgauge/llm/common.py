@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from flowgauge.session import scratch_path
 
-BATCH_BYTES = "32m"
+BATCH_BYTES = "8m"
 
 
 def bound_batches(spark: SparkSession, limit: str = BATCH_BYTES) -> None:

@@ -21,6 +21,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,8 +38,8 @@ KEPT_UNITS = 250_000
 WIDTHS = (6, 8, 10, 12, 16, 24, 40)
 WIDE = WIDTHS[-1]
 SIDE_BY_SIDE = 20_000
-#: Texts are taken together up to so many characters.
-TOGETHER = 2 << 20
+#: Texts are taken together up to so many bytes, lists up to so many ids.
+TOGETHER = 1 << 20
 NEVER = 1 << 60
 SPREAD = 0x9E3779B97F4A7C15
 
@@ -296,9 +297,13 @@ def encode(
     seed: int = 0,
     variants: int = 4,
     model_file: str = MODEL,
+    verify: str | None = None,
 ) -> DataFrame:
     """Add the ids of every whole text; ``dropout=0`` gives the model's usual segmentation.
 
+    ``verify`` names a BOOLEAN column to add: whether the ids decode to the text,
+    byte for byte (null for a null text), tried in the same pass.
+
     A null text has null ids, an empty one an empty list. The variant follows from
     ``id_col`` (null counts as 0), so repeated rows get equal ids. A column named
     like the new one is replaced.
@@ -307,28 +312,31 @@ def encode(
     spark = docs.sparkSession
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(Vocabulary(model_file))
-    work = docs.select(*[c for c in docs.columns if c != out]).withColumn(
+    work = docs.select(*[c for c in docs.columns if c not in (out, verify)]).withColumn(
         "__variant", F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(max(1, variants))), F.lit(0)).cast("int")
     )
     at = work.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = segmenter_of(sent.value, dropout, seed)
+        decoder = Decoder(sent.value.surface)
         for batch in batches:
-            offsets, parts = [0], []
-            texts = batch.column(at).to_pylist()
-            kinds = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in runs([len(t or "") for t in texts], TOGETHER):
-                for ids in segmenter.encode([t or "" for t in texts[a:b]], kinds[a:b]):
-                    parts.append(ids)
-                    offsets.append(offsets[-1] + len(ids))
-            values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            mask = pa.array([t is None for t in texts], pa.bool_())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
-            yield append(batch.select(batch.schema.names[:-1]), **{out: ids})
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for a, b in runs(sizes, TOGETHER):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                found = segmenter.encode([t or "" for t in texts], part.column(part.num_columns - 1).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int32)
+                mask = pa.array([t is None for t in texts], pa.bool_())
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)), mask=mask)
+                added = {out: ids}
+                if verify:
+                    same = [None if t is None else decoder.decode(i).decode() == t for t, i in zip(texts, found)]
+                    added[verify] = pa.array(same, pa.bool_())
+                yield append(part.select(part.schema.names[:-1]), **added)
 
     kept = docs.select(*work.columns[:-1])
-    return work.mapInArrow(run, grown(kept, f"`{out}` array<int>"))
+    return work.mapInArrow(run, grown(kept, f"`{out}` array<int>" + (f", `{verify}` boolean" if verify else "")))
 
 
 def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model_file: str = MODEL) -> DataFrame:
@@ -343,13 +351,12 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model_file:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)
         for batch in batches:
-            column = batch.column(at)
-            flat = column.values.to_numpy(zero_copy_only=False)
-            offsets = column.offsets.to_numpy()
-            texts = [
-                decoder.decode(flat[a:b]) if ok else None
-                for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_valid().to_pylist())
-            ]
-            yield append(batch, **{out: pa.array(texts, pa.binary()).cast(pa.string())})
+            sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
+            for a, b in runs(sizes, TOGETHER):
+                part = batch.slice(a, b - a)
+                texts = [
+                    decoder.decode(row.values.to_numpy()) if row.is_valid else None for row in part.column(at)
+                ]
+                yield append(part, **{out: pa.array(texts, pa.binary()).cast(pa.string())})
 
     return work.mapInArrow(run, grown(work, f"`{out}` string"))

@@ -111,6 +111,9 @@ def test_dropout_varies_and_decodes(spark):
         assert sp_dropout.decode(df).filter(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
     a, b = (sorted(map(str, df.select("doc_id", "ids").collect())) for df in (one, two))
     assert a != b and a == sorted(map(str, sp_dropout.encode(docs.repartition(7), seed=1).select("doc_id", "ids").collect()))
+    tried = sp_dropout.encode(docs, seed=1, verify="ok")
+    assert {r["ok"] for r in tried.filter("text is not null").collect()} == {True}
+    assert tried.filter("text is null").first()["ok"] is None
     assert one.filter("text is null").first()["ids"] is None and one.filter("text = ''").first()["ids"] == []
     assert sp_dropout.encode(docs.limit(0)).count() == 0
 
