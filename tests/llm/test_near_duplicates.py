@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowgauge.llm import simhash
 from flowgauge.llm.components import components
 from tests.llm.helpers import NASTY, fingerprint, groups
@@ -83,3 +84,58 @@ def test_components_of_long_chains(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1001), (1001, 1000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
+
+
+def _copies(rng: random.Random) -> list[tuple[int | None, str | None]]:
+    """A dense group, chains of edits, texts with one common passage, short, blank and repeated texts."""
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def some(n: int) -> list[str]:
+        return rng.choices(vocabulary, k=n)
+
+    def edited(words: list[str], n: int) -> list[str]:
+        words = list(words)
+        for _ in range(n):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        return words
+
+    base, common = some(200), some(12)
+    texts = [edited(base, rng.choice([1, 2, 4, 8])) for _ in range(60)]
+    for _ in range(25):
+        chain = some(rng.choice([6, 20, 60, 120]))
+        for _ in range(4):
+            texts.append(chain)
+            chain = edited(chain, rng.choice([0, 1, 1, 2, 3]))
+    texts += [common + some(rng.choice([1, 5, 40])) for _ in range(60)]
+    texts += [some(3), some(5), ["one", "two"], ["ONE", "two"], [], common, common]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(rows)
+    return [*rows, (len(texts), None), (None, rows[0][1]), (None, "only here"), rows[0]]
+
+
+def _kept_by_jaccard(rows, width=5):
+    """Kept (id, text) by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    best = {}
+    for x, row in zip(label, rows):
+        best[x] = min(best.get(x, row), row, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted((-1 if i is None else i) for i, _ in best.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_of_the_stage_by_jaccard(spark, seed):
+    rows = _copies(random.Random(seed))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, df, SF)
+    assert kept.columns == df.columns
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == _kept_by_jaccard(rows)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), SF).count() == 0
