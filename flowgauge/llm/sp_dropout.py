@@ -5,10 +5,10 @@ on the driver and sent to the tasks (its size is that of the model file). A text
 is cut into units, runs of blanks with the word that follows; no piece of such a
 model reaches over a unit's end. Merges of a unit come from an agenda ordered by
 piece score, then place; many units are merged side by side in arrays. Each candidate taken from the agenda is skipped if a
-hash keyed by (seed, variant, unit, place, size) falls below the dropout rate, so
-the outcome depends on neither partitioning nor order. A document's variant is a
-hash of its id; with several variants the same word is segmented in several ways,
-and each worker keeps a bounded table of units it has already done.
+hash keyed by (document, unit number, place, size) falls below the dropout rate, so
+the outcome depends on neither partitioning nor order. A document's key is a hash
+of seed, id and text: every occurrence of a word in every document draws its own
+merges. Without dropout each worker keeps a bounded table of units already done.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -96,47 +97,53 @@ class Vocabulary:
 
 
 class Segmenter:
-    """Splits units into ids; remembers a bounded number of them, the older half of which goes first."""
+    """Splits units into ids; without dropout it remembers a bounded number of them, the older half of which goes first."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
         self.vocabulary, self.seed = vocabulary, seed
         self.below = int(dropout * (1 << 32))
-        self.young: dict[int, dict[str, bytes]] = defaultdict(dict)
-        self.old: dict[int, dict[str, bytes]] = defaultdict(dict)
-
-    def key(self, text: str, variant: int) -> int:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def key(self, text: str, draw: int) -> int:
+        """What a unit's skips are keyed by: its own draw, in 64 bits; the text itself need not be hashed."""
+        return draw & 0xFFFFFFFFFFFFFFFF if self.below else 0
+
+    def draws(self, document: int, n: int) -> list[int]:
+        """One 64-bit number for each unit of a document, by document, seed and unit number."""
+        h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SPREAD)
+        h ^= np.uint64(xxhash.xxh64_intdigest(document.to_bytes(8, "little", signed=True), self.seed & 0xFFFFFFFFFFFFFFFF))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (h ^ (h >> np.uint64(31))).tolist()
+
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """Ids of some texts, each with its document key."""
+        units = [UNIT.findall(" " + t) if t else [] for t in texts]
         if not self.below:
-            return 0
-        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant)
+            return self._remembered(units)
+        wanted = [pair for found, document in zip(units, documents) for pair in zip(found, self.draws(document, len(found)))]
+        merged = iter(self.merge(wanted))
+        return [np.frombuffer(b"".join(islice(merged, len(found))), np.int32) for found in units]
 
-    def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Ids of some texts; units not met before are merged together."""
-        units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        wanted: dict[int, set[str]] = defaultdict(set)
-        for found, variant in zip(units, variants):
-            wanted[variant].update(found)
+    def _remembered(self, units: list[list[str]]) -> list[np.ndarray]:
+        """Without dropout a unit is always cut alike; units not met before are merged together."""
         fresh: list[tuple[str, int]] = []
-        for variant, found in wanted.items():
-            young, old = self.young[variant], self.old[variant]
-            for unit in found:
-                if unit in young:
-                    continue
-                if unit in old:
-                    young[unit] = old[unit]
-                else:
-                    fresh.append((unit, variant))
-        long = []
-        for (unit, variant), ids in zip(fresh, self.merge(fresh)):
-            self.young[variant][unit] = ids
+        for unit in set(chain.from_iterable(units)):
+            if unit in self.young:
+                continue
+            if unit in self.old:
+                self.young[unit] = self.old[unit]
+            else:
+                fresh.append((unit, 0))
+        for (unit, _), ids in zip(fresh, self.merge(fresh)):
+            self.young[unit] = ids
+        out = [np.frombuffer(b"".join(map(self.young.__getitem__, found)), np.int32) for found in units]
+        for unit, _ in fresh:
             if len(unit) > WIDE:
-                long.append((unit, variant))
-        out = []
-        for found, variant in zip(units, variants):
-            out.append(np.frombuffer(b"".join(map(self.young[variant].__getitem__, found)), np.int32))
-        for unit, variant in long:
-            del self.young[variant][unit]
-        if sum(map(len, self.young.values())) > KEPT_UNITS:
-            self.old, self.young = self.young, defaultdict(dict)
+                del self.young[unit]
+        if len(self.young) > KEPT_UNITS:
+            self.old, self.young = self.young, {}
         return out
 
     def merge(self, units: list[tuple[str, int]]) -> list[bytes]:
@@ -157,8 +164,8 @@ class Segmenter:
                     else:
                         out[i] = ids
         for i in odd:
-            unit, variant = units[i]
-            out[i] = array("i", self.by_heap(unit, self.key(unit, variant))).tobytes()
+            unit, draw = units[i]
+            out[i] = array("i", self.by_heap(unit, self.key(unit, draw))).tobytes()
         return out
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -295,7 +302,6 @@ def encode(
     out: str = "ids",
     dropout: float = 0.1,
     seed: int = 0,
-    variants: int = 4,
     model_file: str = MODEL,
     verify: str | None = None,
 ) -> DataFrame:
@@ -304,16 +310,16 @@ def encode(
     ``verify`` names a BOOLEAN column to add: whether the ids decode to the text,
     byte for byte (null for a null text), tried in the same pass.
 
-    A null text has null ids, an empty one an empty list. The variant follows from
-    ``id_col`` (null counts as 0), so repeated rows get equal ids. A column named
-    like the new one is replaced.
+    A null text has null ids, an empty one an empty list. The draws follow from
+    seed, ``id_col`` and text, so rows that repeat both get equal ids. A column
+    named like the new one is replaced.
     """
     require(docs, id_col, text)
     spark = docs.sparkSession
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(Vocabulary(model_file))
     work = docs.select(*[c for c in docs.columns if c not in (out, verify)]).withColumn(
-        "__variant", F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(max(1, variants))), F.lit(0)).cast("int")
+        "__document", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
     )
     at = work.columns.index(text)
 

@@ -132,6 +132,24 @@ def test_both_agendas_agree():
             assert np.frombuffer(ids, np.int32).tolist() == segmenter.by_heap(u, segmenter.key(u, i % 3)), u
 
 
+def test_every_occurrence_draws_its_own_merges(spark):
+    """The same word in many documents, and many times in one, is cut in many ways, more than any fixed few."""
+    word = "internationalisation"
+    docs = spark.createDataFrame([(i, word) for i in range(300)], "doc_id long, text string").union(
+        spark.createDataFrame([(None, word + "s"), (1000, " ".join([word] * 300))], "doc_id long, text string")
+    )
+    rows = {r["doc_id"]: r["ids"] for r in sp_dropout.encode(docs, dropout=0.3, seed=5).collect()}
+    across = {tuple(ids) for i, ids in rows.items() if i is not None and i < 300}
+    assert len(across) > 20
+    surface, within, cut = sp_dropout.Vocabulary().surface, set(), []
+    for i in rows[1000]:
+        if surface[i].startswith(b" ") and cut:
+            within.add(tuple(cut))
+            cut = []
+        cut.append(i)
+    assert len(within) > 20
+
+
 # --- pages
 
 
