@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,11 @@ FURNITURE = frozenset(
     "ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar "
     "navigation newsletter notice popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements whose names say nothing of furniture, elements that are furniture unless they hold an article, and words
+#: after which a name tells what a page has or lacks.
+WHOLE = frozenset("html body main article".split())
+FRAME = frozenset("form fieldset header".split())
+LAYOUT = frozenset("no not non has with without layout".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of elements that hold an article, and signs of what is not shown.
@@ -55,10 +61,39 @@ def _names(attributes: str) -> set[str]:
     return {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(next(g for g in m.groups() if g is not None))}
 
 
+def _furniture(attributes: str) -> set[str]:
+    """Furniture words of class, id and role values: not those of no-sidebar, has-comments or content-with-sidebar."""
+    found = set()
+    for m in NAMED.finditer(attributes):
+        for value in next(g for g in m.groups() if g is not None).split():
+            words = [w.lower() for w in WORD.findall(value)]
+            if "layout" in words:
+                continue
+            found.update(words[: next((i for i, w in enumerate(words) if w in LAYOUT), None)])
+    return found & FURNITURE
+
+
+class _Frame:
+    """A furniture element that counts as such unless an article is found in it, and the one around it."""
+
+    __slots__ = ("around", "on")
+
+    def __init__(self, around: _Frame | None):
+        self.around, self.on = around, True
+
+
 def blocks_of(page: str) -> list[Block]:
-    """All visible text blocks in page order; broken markup is read as far as it goes."""
+    """All visible text blocks in page order; broken markup is read as far as it goes.
+
+    What names an element as furniture holds for all in it, but not if it encloses
+    an ``article`` or ``main``; that is known at the end of the page only.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # enclosing elements: name, content, chrome
+    frames: list[_Frame | None] = []  # innermost frame of each block
+    open_: list[tuple[str, bool, bool, _Frame | None]] = []  # enclosing elements: name, content, chrome, frame around
+    counts: Counter[str] = Counter()  # open elements by name
+    contents = chromes = 0  # open elements of either kind
+    frame: _Frame | None = None
     parts: list[str] = []
     linked = 0
     in_link = heading = False
@@ -67,12 +102,26 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, heading
         words = "".join(parts).split()
         if words:
-            content = any(c for _, c, _ in open_)
-            chrome = any(f for _, _, f in open_)
-            out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), content, chrome, heading))
+            out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), contents > 0, chromes > 0, heading))
+            frames.append(frame)
         parts.clear()
         linked, heading = 0, False
 
+    def push(name: str, content: bool, chrome: bool, framed: bool) -> None:
+        nonlocal contents, chromes, frame
+        open_.append((name, content, chrome, frame))
+        counts[name] += 1
+        contents, chromes = contents + content, chromes + chrome
+        if framed:
+            frame = _Frame(frame)
+
+    def pop() -> str:
+        nonlocal contents, chromes, frame
+        name, content, chrome, frame = open_.pop()
+        counts[name] -= 1
+        contents, chromes = contents - content, chromes - chrome
+        return name
+
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -109,30 +158,42 @@ def blocks_of(page: str) -> list[Block]:
         close()
         in_link = False
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+            if counts[name]:
+                while pop() != name:
+                    pass
             continue
         # start tags that end an element left open
         if open_ and (open_[-1][0] == "p" or open_[-1][0] == name and name in ("li", "dt", "dd", "td", "tr")):
-            open_.pop()
+            pop()
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        named = _names(attributes) if attributes else set()
-        content = name in CONTENT or bool(named & ARTICLE)
+        content = name in CONTENT or bool(attributes and _names(attributes) & ARTICLE)
+        furniture = _furniture(attributes) if attributes else set()
+        if name in CONTENT and not furniture:
+            # what encloses an article is no furniture; frames around one found so before were found so too
+            around = frame
+            while around is not None and around.on:
+                around.on, around = False, around.around
         # an article's own header holds its title
-        inside = content or any(c for _, c, _ in open_)
-        furniture = named & FURNITURE if not inside else (named & FURNITURE) - {"header"}
-        chrome = name in CHROME or bool(furniture) or name == "header" and not inside
-        chrome = chrome or bool(attributes and UNSEEN.search(attributes))
-        if name not in VOID and name != "p" and (content or chrome or name in ("div", "section", "header", "ul", "ol", "td", "table")):
-            open_.append((name, content, chrome))
-            if len(open_) > 4096:
-                del open_[1]
-        elif chrome and name not in VOID:
-            open_.append((name, False, True))
+        inside = content or contents > 0
+        if inside:
+            furniture = furniture - {"header"}
+        framed = bool(furniture) and name not in WHOLE or name in FRAME and not (name == "header" and inside)
+        chrome = name in CHROME and name not in FRAME or bool(attributes and UNSEEN.search(attributes))
+        if name not in VOID and name != "p" and (content or chrome or framed or name in ("div", "section", "header", "ul", "ol", "td", "table")):
+            push(name, content, chrome, framed)
+        elif (chrome or framed) and name not in VOID:
+            push(name, False, chrome, framed)
     take(page[at:])
     close()
+    known: dict[_Frame, bool] = {}
+    for block, around in zip(out, frames):
+        path = []
+        while around is not None and around not in known and not around.on:
+            path.append(around)
+            around = around.around
+        found = around is not None and known.get(around, around.on)
+        known.update(dict.fromkeys(path, found))
+        block.chrome = block.chrome or found
     return out
 
 

@@ -175,6 +175,25 @@ def test_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_do_not_lose_the_article():
+    tree = html_text.grow_tree(*html_text.labelled_table())
+    long = "The committee met on Tuesday to discuss the plan in detail and agreed to publish a full report."
+    article = f"<article><h1>A plan</h1><p>{long}</p></article>"
+    text = f"A plan {long}"
+    for page in (
+        f"<body class='no-sidebar'>{article}</body>",
+        f"<body class='sidebar header-fixed'>{article}</body>",
+        f"<div class='content-with-sidebar'><div class=sidebar><p>{long}</p></div>{article}</div>",
+        f"<article class='post has-comments'><h1>A plan</h1><p>{long}</p></article>",
+        f"<div class='social page'><div class=modal>{article}</div><div class=ad>{long}</div></div>",
+        f"<form action=x>{article}</form>",
+        f"{article}<div id=comments><article class=comment><p>{long}</p></article></div>",
+        "<article>" + "<div>" * 6000 + f"<h1>A plan</h1><p>{long}</p>" + "</div>" * 6000 + f"</article><div class=footer>{long}</div>",
+        "<div class=related>" + "<div>" * 6000 + f"<p>{long}</p>" + "</div>" * 6000 + f"</div>{article}",
+    ):
+        assert html_text.main_text(page, tree) == text, page[:80]
+
+
 def test_articles_of_the_table(spark):
     rows = QUERIES["op3_html_extraction"](spark, SF).collect()
     raw = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
