@@ -108,6 +108,12 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("log_score", F.round("log_score", 4))
 
 
+@query("op6_stupid_backoff_trigrams")
+def op6_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_backoff.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 @query("op7_sentencepiece_dropout")
 def op7_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -226,6 +226,31 @@ def test_backoff_of_order_three(spark):
     assert got[3]["log_score"] == pytest.approx(ln(3 / n) + ln(0.4) + ln(4 / n) + ln(0.4) + ln(4 / 4))
 
 
+def test_registered_trigrams_match_plain_counts(spark):
+    """The registered query of order 3 on a given table, by plain dictionaries."""
+    import math
+    from collections import Counter
+
+    from flowgauge.llm import queries
+
+    docs = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    grams = [Counter(tuple(w[i : i + n]) for w in docs.values() for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(grams[0].values())
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_stupid_backoff_trigrams"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for doc, w in docs.items():
+        score, backed = 0.0, 0
+        for i in range(len(w)):
+            n, lost = min(3, i + 1), 0
+            while n > 1 and grams[n - 1][tuple(w[i - n + 1 : i + 1])] < 2:
+                n, lost = n - 1, lost + 1
+            below = grams[n - 2][tuple(w[i - n + 1 : i])] if n > 1 else total
+            score += lost * math.log(0.4) + math.log(grams[n - 1][tuple(w[i - n + 1 : i + 1])] / below)
+            backed += lost > 0
+        r = got[doc]
+        assert (r["n_tokens"], r["n_backoff"]) == (len(w), backed) and abs(r["log_score"] - score) < 1e-3
+
+
 def test_planes_round_trip():
     x = np.array([1, 2**40, 2**63 + 5], np.uint64)
     assert np.array_equal(lm_backoff.unplanes(lm_backoff.planes(x), np.uint64), x)
