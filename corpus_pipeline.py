@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.llm import decontam, jaccard, langid, sp_dropout
+from flowgauge.llm import decontam, langid, simhash, sp_dropout
 from flowgauge.llm.common import stored
 
 
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by Jaccard similarity 0.8 of five-word shingles."""
-    return jaccard.drop_similar(docs, width=5, similarity=0.8)
+    """One document, that with the least id, of each group of fingerprints linked at two bits or fewer."""
+    return simhash.drop_near_duplicates(docs, width=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
