@@ -113,29 +113,21 @@ def _copies(rng: random.Random) -> list[tuple[int | None, str | None]]:
     return [*rows, (len(texts), None), (None, rows[0][1]), (None, "only here"), rows[0]]
 
 
-def _kept_by_jaccard(rows, width=5):
-    """Kept (id, text) by comparing all pairs."""
-    sets = []
-    for _, t in rows:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    label = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                old, new = label[i], label[j]
-                label = [new if x == old else x for x in label]
+def _kept_by_bits(rows):
+    """Kept ids by comparing all pairs of fingerprints."""
+    prints = [fingerprint(t) for _, t in rows]
+    least = groups(list(enumerate(prints)))
     best = {}
-    for x, row in zip(label, rows):
-        best[x] = min(best.get(x, row), row, key=lambda r: (r[0] is None, r[0] or 0))
-    return sorted((-1 if i is None else i) for i, _ in best.values())
+    for k, (i, _) in enumerate(rows):
+        best[least[k]] = min(best.get(least[k], (True, 0)), (i is None, i or 0))
+    return sorted(-1 if none else i for none, i in best.values())
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies_of_the_stage_by_jaccard(spark, seed):
+def test_near_copies_of_the_stage(spark, seed):
     rows = _copies(random.Random(seed))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     kept = corpus_pipeline.near_dedup(spark, df, SF)
     assert kept.columns == df.columns
-    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == _kept_by_jaccard(rows)
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == _kept_by_bits(rows)
     assert corpus_pipeline.near_dedup(spark, df.limit(0), SF).count() == 0
