@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,8 +168,6 @@ SELECT f.row_id, coalesce(h.label, 'BENIGN') AS label FROM flows f LEFT JOIN hit
 )
 def label_time_windows_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred overlapping windows."""
-    from datetime import datetime, timedelta
-
     base = datetime(2024, 1, 1)
     windows = [
         TimeWindow(
@@ -182,6 +182,43 @@ def label_time_windows_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.label_time_windows(f, windows, "ts", "src", "dst").select("row_id", "label")
 
 
+#: Lengths in seconds of the windows of the next query, from one second to ten years.
+SPANS = (1, 75, 7_200, 432_000, 34_560_000, 315_360_000)
+
+
+def long_windows(n: int = 600) -> list[TimeWindow]:
+    """Overlapping windows of very different lengths, for endpoints of either side, of both sides, or for any."""
+    base = datetime(2024, 1, 1)
+    out = []
+    for i in range(n):
+        span, kind, a = SPANS[i % 6], (i // 6) % 4, i % 50
+        kind = 0 if span > 432_000 and kind == 3 else kind
+        start = base + timedelta(minutes=67 * i) - timedelta(seconds=span // 2 if span > 432_000 else 0)
+        src = {0: range(a, a + 4), 2: range(a, a + 10)}.get(kind, ())
+        dst = {1: range(a, a + 4), 2: range(40)}.get(kind, ())
+        out.append(TimeWindow(f"W{i}", start.isoformat(), (start + timedelta(seconds=span)).isoformat(), tuple(src), tuple(dst)))
+    return out
+
+
+@query(
+    "label_time_windows_long",
+    f"""WITH {v.FLOWS}, i AS (
+  SELECT CAST(i AS BIGINT) AS ord, list_extract([1, 75, 7200, 432000, 34560000, 315360000], CAST(i % 6 + 1 AS BIGINT)) AS span, i % 50 AS a,
+         CASE WHEN i % 6 >= 4 AND (i // 6) % 4 = 3 THEN 0 ELSE (i // 6) % 4 END AS kind FROM range(0, 600) r(i)),
+w AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(67 * ord) - to_seconds(CASE WHEN span > 432000 THEN span // 2 ELSE 0 END) AS s FROM i),
+hit AS (
+  SELECT f.row_id, arg_max('W' || CAST(w.ord AS VARCHAR), w.ord) AS label FROM flows f JOIN w ON f.ts BETWEEN w.s AND w.s + to_seconds(w.span)
+   AND CASE w.kind WHEN 3 THEN TRUE
+     WHEN 2 THEN (f.src BETWEEN w.a AND w.a + 9 AND f.dst < 40) OR (f.dst BETWEEN w.a AND w.a + 9 AND f.src < 40)
+     ELSE f.src BETWEEN w.a AND w.a + 3 OR f.dst BETWEEN w.a AND w.a + 3 END GROUP BY f.row_id)
+SELECT f.row_id, coalesce(h.label, 'BENIGN') AS label FROM flows f LEFT JOIN hit h ON f.row_id = h.row_id""",
+)
+def label_time_windows_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six hundred windows from a second to ten years."""
+    f = v.flows(spark, sf_dir)
+    return labeling.label_time_windows(f, long_windows(), "ts", "src", "dst").select("row_id", "label")
+
+
 @query(
     "binarize_labels",
     """SELECT event_id AS row_id, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS y FROM events""",

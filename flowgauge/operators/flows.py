@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.operators.prefix import with_range_bucket
-
 IDLE_MS = 120_000
 ACTIVE_MS = 1_800_000
 STATS = ("min", "mean", "stddev", "max")
@@ -22,6 +20,30 @@ def endpoint_key(df: DataFrame, src: list[str], dst: list[str], extra: list[str]
     return df.withColumn("__lo", lo).withColumn("__hi", hi).withColumn("__fwd", fwd), ["__lo", "__hi", *extra]
 
 
+def cell_summaries(packets: DataFrame, keys: list[str], ts_ms: str, idle_ms: int) -> DataFrame:
+    """Per (key, time cell): its session's start and the last times of earlier cells.
+
+    A cell (``__cell``) is no wider than the idle timeout, so no session starts
+    inside one except at its first packet. First and last times of cells, combined
+    before the shuffle, thus tell all sessions of a key without sorting packets:
+    a session starts at a cell whose first packet is later than the one before it
+    by more than the timeout.
+    """
+    t, fwd = F.col(ts_ms), F.col("__fwd")
+    cells = packets.groupBy(*keys, "__cell").agg(
+        F.min(t).alias("__first"), F.max(t).alias("__l"), F.max(F.when(fwd, t)).alias("__lf"), F.max(F.when(~fwd, t)).alias("__lb")
+    )
+    along = Window.partitionBy(*keys).orderBy("__cell")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(
+        *keys, "__cell", "__first", F.lag("__l").over(along).alias("__cp"), F.max("__lf").over(earlier).alias("__cf"), F.max("__lb").over(earlier).alias("__cb")
+    )
+    opens = F.col("__cp").isNull() | (F.col("__first") - F.col("__cp") > F.lit(idle_ms))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.last(F.when(opens, F.col("__first")), ignorenulls=True).over(upto)
+    return carried.select(*keys, "__cell", "__cp", "__cf", "__cb", start.alias("__start"))
+
+
 def mark_flows(
     packets: DataFrame,
     keys: list[str],
@@ -29,51 +51,35 @@ def mark_flows(
     order: str = "pkt_id",
     idle_ms: int = IDLE_MS,
     active_ms: int = ACTIVE_MS,
-    buckets: int | None = None,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """Add ``__start`` (session start), ``__cut`` (active-timeout part) and times since earlier packets.
 
     A gap above the idle timeout starts a session; a session is cut every
-    ``active_ms`` from its start. Work is per (key, time bucket), with the last
-    packet and session start of earlier buckets carried in, so one busy pair of
-    endpoints is spread over many tasks.
+    ``active_ms`` from its start. Work is per (key, time cell) of at most the idle
+    timeout, with last packets and the session start of earlier cells joined in, so
+    one busy pair of endpoints is spread over many tasks and packets are sorted once.
     """
-    part = [*keys, "bucket"]
-    rows = with_range_bucket(packets, ts_ms, buckets)
-    along = Window.partitionBy(*keys).orderBy("bucket")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-
-    lasts = rows.groupBy(*part).agg(
-        F.max(ts_ms).alias("__l"),
-        F.max(F.when(F.col("__fwd"), F.col(ts_ms))).alias("__lf"),
-        F.max(F.when(~F.col("__fwd"), F.col(ts_ms))).alias("__lb"),
-    )
-    carry = lasts.select(
-        *part,
-        F.max("__l").over(earlier).alias("__cp"),
-        F.max("__lf").over(earlier).alias("__cf"),
-        F.max("__lb").over(earlier).alias("__cb"),
-    )
-    w = Window.partitionBy(*part).orderBy(ts_ms, order)
-    wd = Window.partitionBy(*part, "__fwd").orderBy(ts_ms, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    width = max(1, min(idle_ms, cell_ms or idle_ms // 2))
     t = F.col(ts_ms)
-    seen = rows.join(carry, part).withColumn("__prev", F.coalesce(F.lag(t).over(w), F.col("__cp")))
-    seen = seen.withColumn(
-        "__prev_dir", F.coalesce(F.lag(t).over(wd), F.when(F.col("__fwd"), F.col("__cf")).otherwise(F.col("__cb")))
-    )
-    opens = F.col("__prev").isNull() | (t - F.col("__prev") > F.lit(idle_ms))
-    seen = seen.withColumn("__open", F.when(opens, t))
-    seen = seen.withColumn("__local", F.last("__open", ignorenulls=True).over(upto))
-    starts = seen.groupBy(*part).agg(F.max("__open").alias("__o")).select(
-        *part, F.max("__o").over(earlier).alias("__cs")
+    rows = packets.withColumn("__cell", F.floor(t / F.lit(width)))
+    part = [*keys, "__cell"]
+    w = Window.partitionBy(*part).orderBy(ts_ms, order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.join(cell_summaries(rows, keys, ts_ms, idle_ms), part)
+
+    def last(side: Column, carried: str) -> Column:
+        return F.coalesce(F.last(F.when(side, t), ignorenulls=True).over(before), F.col(carried))
+
+    fwd = F.col("__fwd")
+    seen = seen.withColumns(
+        {"__prev": F.coalesce(F.lag(t).over(w), F.col("__cp")), "__prev_dir": F.when(fwd, last(fwd, "__cf")).otherwise(last(~fwd, "__cb"))}
     )
-    placed = seen.join(starts, part).withColumn("__start", F.coalesce("__local", "__cs"))
 
     def cut_of(at: Column) -> Column:
         return F.floor((at - F.col("__start")) / F.lit(active_ms))
 
-    placed = placed.withColumn("__cut", cut_of(t))
+    placed = seen.withColumn("__cut", cut_of(t))
 
     def gap(prev: str) -> Column:
         same = (F.col(prev) >= F.col("__start")) & (cut_of(F.col(prev)) == F.col("__cut"))
@@ -102,7 +108,7 @@ def assemble_flows(
     order: str = "pkt_id",
     idle_ms: int = IDLE_MS,
     active_ms: int = ACTIVE_MS,
-    buckets: int | None = None,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """One row per flow with sizes, inter-arrival times and flag counts, both ways and per direction.
 
@@ -112,7 +118,7 @@ def assemble_flows(
     """
     extra, flags = extra or [], flags or []
     keyed, keys = endpoint_key(packets, src, dst, extra)
-    marked = mark_flows(keyed, keys, ts_ms, order, idle_ms, active_ms, buckets)
+    marked = mark_flows(keyed, keys, ts_ms, order, idle_ms, active_ms, cell_ms)
     t, n, fwd = F.col(ts_ms), F.col(size), F.col("__fwd")
     aggs = [
         F.min_by(fwd, F.struct(ts_ms, order)).alias("__first_fwd"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import quote
-from flowgauge.operators.small import attach, pin_small
+from flowgauge.operators.small import SMALL_ROWS, attach, pin_small
 
 CATEGORY = "attack_category"
 TARGET = "target_label"
@@ -19,6 +19,8 @@ LABELS = [CATEGORY, TARGET]
 DEFAULT_LABEL = "BENIGN"
 INLINE_WINDOWS = 64
 INLINE_MAPPING = 64
+#: Widths of slots as powers of two of a microsecond: about 1 s, 67 s, 72 min, 3 days, 204 days and 36 years.
+WIDTHS = (20, 26, 32, 38, 44, 50)
 
 
 def label_static(df: DataFrame, attack_type: str, is_benign: bool | None = None) -> DataFrame:
@@ -86,20 +88,17 @@ def _usable(windows: list[TimeWindow]) -> list[TimeWindow]:
     return [w for w in windows if not w.default and w.start and w.end]
 
 
-def label_time_windows(
-    df: DataFrame, windows: list[TimeWindow], ts: str, src: str, dst: str, out: str = "label", row_id: str = "row_id"
-) -> DataFrame:
+def label_time_windows(df: DataFrame, windows: list[TimeWindow], ts: str, src: str, dst: str, out: str = "label") -> DataFrame:
     """Label by the last window that holds the start time and an endpoint pair.
 
     A window matches in both directions and an empty endpoint list matches any;
-    endpoints are compared as text, whatever their types. A few windows become one CASE expression: a narrow, generated-code pass that
-    also works on streams. Longer lists go through the bucketed join.
+    endpoints are compared as text, whatever their types. A few windows become one
+    CASE expression, longer lists go through the interval cover; both work on
+    tables and on streams and give the same labels.
     """
     usable = _usable(windows)
     if len(usable) > INLINE_WINDOWS:
-        return label_time_windows_bucketed(
-            df, windows_frame(df.sparkSession, windows), ts, src, dst, default_label(windows), out, row_id
-        )
+        return label_by_cover(df, windows_frame(df.sparkSession, windows), ts, src, dst, default_label(windows), out)
     t, s, d = F.col(ts).cast("timestamp"), F.col(src).cast("string"), F.col(dst).cast("string")
 
     def member(c: Column, values: tuple) -> Column | None:
@@ -130,7 +129,71 @@ def windows_frame(spark: SparkSession, windows: list[TimeWindow]) -> DataFrame:
     )
 
 
-def label_time_windows_bucketed(
+# ---- long lists of windows -------------------------------------------------
+
+
+def interval_cover(windows: DataFrame) -> DataFrame:
+    """Cut each window into aligned slots: a row per (window, ``__width``, ``__slot``), with ``__whole``.
+
+    Slots of a width are ``1 << bits`` microseconds wide and start at multiples of
+    that; the next width has 64 times as many. A window takes the widest slots that
+    are no longer than itself: at most 65 of them, whatever its length (beyond 36
+    years, one per 36 years). The first and the last may reach over its ends; those
+    that do not are ``__whole``.
+    """
+    length = F.col("end_us") - F.col("start_us")
+    width = F.lit(0)
+    for k, bits in enumerate(WIDTHS):
+        width = F.when(length >= (1 << bits), k).otherwise(width)
+    bits = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("__width") + 1)
+    sized = windows.where("start_us <= end_us").withColumn("__width", width).withColumn("__bits", bits)
+
+    def slot(us: str) -> Column:
+        return F.expr(f"shiftright({us}, __bits)")
+
+    cut = sized.withColumn("__slot", F.explode(F.sequence(slot("start_us"), slot("end_us"))))
+    first, last = F.expr("shiftleft(__slot, __bits)"), F.expr("shiftleft(__slot + 1, __bits) - 1")
+    return cut.withColumn("__whole", (first >= F.col("start_us")) & (last <= F.col("end_us"))).drop("__bits")
+
+
+def cover_lists(windows: DataFrame) -> DataFrame:
+    """(``__width``, ``__slot``, ``__end``, ``__ws``): the windows to try for a slot and one endpoint.
+
+    A window is listed under each endpoint of its first list that names any, or
+    under null if it names none, together with what the other end must be. Of
+    windows that fill a slot under one endpoint and ask the same of the other end
+    only the last can decide, so only it is listed.
+    """
+    named = F.when(F.size("src") > 0, F.array_distinct("src")).when(F.size("dst") > 0, F.array_distinct("dst"))
+    keyed = windows.select(
+        "ord",
+        "label",
+        "start_us",
+        "end_us",
+        F.explode(F.coalesce(named, F.array(F.lit(None).cast("string")))).alias("__end"),
+        F.when(F.size("src") > 0, F.col("dst")).otherwise(F.array().cast("array<string>")).alias("other"),
+    )
+    cut = interval_cover(keyed)
+    entry = F.struct("ord", "label", "start_us", "end_us", "other")
+    # a window that does not fill its slot stays by itself
+    alone = F.when(~F.col("__whole"), F.col("ord")).otherwise(-1)
+    last = cut.groupBy("__width", "__slot", "__end", "other", alone.alias("__alone")).agg(F.max_by(entry, "ord").alias("w"))
+    return last.groupBy("__width", "__slot", "__end").agg(F.collect_list("w").alias("__ws"))
+
+
+def _last_hit(other: str | None) -> Column:
+    """The last window of a list that holds the row's time and, where it asks for one, its other end."""
+
+    def fits(w: Column) -> Column:
+        during = F.col("__us").between(w["start_us"], w["end_us"])
+        if other is None:
+            return during
+        return during & ((F.size(w["other"]) == 0) | F.coalesce(F.array_contains(w["other"], F.col(other)), F.lit(False)))
+
+    return F.array_max(F.transform(F.filter("__ws", fits), lambda w: F.struct(w["ord"].alias("ord"), w["label"].alias("label"))))
+
+
+def label_by_cover(
     df: DataFrame,
     windows: DataFrame,
     ts: str,
@@ -138,53 +201,33 @@ def label_time_windows_bucketed(
     dst: str,
     default: str = DEFAULT_LABEL,
     out: str = "label",
-    row_id: str = "row_id",
-    bucket_seconds: int = 3600,
-    max_windows: int = 50_000,
+    max_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """The same rule for long window lists: equi-join on a time bucket, then test the bucket's windows.
+    """The same rule for any list of windows, see ``windows_frame`` for its columns.
 
-    While the exploded window list is small (counted), each row meets one
-    broadcast array and nothing is shuffled. Beyond that the windows are joined
-    by shuffle and the last match per row is taken, which needs a unique
-    ``row_id`` and a table that is no stream.
+    A row looks up the slot of its time under both of its endpoints and under none,
+    once per width that the cover has, and tries only the windows listed there. Rows
+    are never multiplied nor grouped, so they need no id and may be a stream. The
+    lists of a width are broadcast if counted to be small (``max_rows``); otherwise
+    they are joined by shuffle, on slot and endpoint.
     """
-    width = bucket_seconds * 1_000_000
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("__us", t).withColumn("__bucket", F.floor(t / F.lit(width)))
-    spread = windows.withColumn(
-        "__bucket",
-        F.explode(F.sequence(F.floor(F.col("start_us") / F.lit(width)), F.floor(F.col("end_us") / F.lit(width)))),
-    )
-    spread, small = pin_small(spread, max_windows)
-    s, d = F.col(src).cast("string"), F.col(dst).cast("string")
-
-    def ends(ws: Column, wd: Column) -> Column:
-        def ok(values: Column, c: Column) -> Column:
-            return (F.size(values) == 0) | F.array_contains(values, c)
-
-        return (ok(ws, s) & ok(wd, d)) | (ok(wd, s) & ok(ws, d))
-
-    fallback = F.lit(default)
-    if small:
-        per_bucket = spread.groupBy("__bucket").agg(
-            F.collect_list(F.struct("ord", "label", "start_us", "end_us", "src", "dst")).alias("__ws")
-        )
-        joined = rows.join(F.broadcast(per_bucket), "__bucket", "left")
-        hits = F.filter(
-            "__ws",
-            lambda w: F.col("__us").between(w["start_us"], w["end_us"])
-            & F.coalesce(ends(w["src"], w["dst"]), F.lit(False)),
-        )
-        last = F.array_max(F.transform(hits, lambda w: F.struct(w["ord"].alias("ord"), w["label"].alias("label"))))
-        return joined.withColumn(out, F.coalesce(last["label"], fallback)).select(*df.columns, out)
-    if df.isStreaming:
-        raise ValueError(f"a stream takes at most {max_windows} windows per hour bucket in all")
-    w = spread.select(*[F.col(c).alias(f"__w_{c}") for c in spread.columns])
-    cond = (
-        (rows["__bucket"] == w["__w___bucket"])
-        & F.col("__us").between(F.col("__w_start_us"), F.col("__w_end_us"))
-        & ends(F.col("__w_src"), F.col("__w_dst"))
-    )
-    best = rows.join(w, cond).groupBy(row_id).agg(F.max_by("__w_label", "__w_ord").alias("__label"))
-    return df.join(best, row_id, "left").select(*df.columns, F.coalesce("__label", fallback).alias(out))
+    lists, small = pin_small(cover_lists(windows), max_rows)
+    kinds = lists.select("__width", F.col("__end").isNull().alias("free")).distinct().collect()
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"__us": us, "__src": F.col(src).cast("string"), "__dst": F.col(dst).cast("string")})
+    lookups = []
+    for width, free in sorted(kinds):
+        part = lists.where((F.col("__width") == width) & (F.col("__end").isNull() if free else F.col("__end").isNotNull()))
+        part = part.select("__slot", "__end", "__ws")
+        part, fits = (part, True) if small else pin_small(part, max_rows)
+        part = F.broadcast(part) if fits else part
+        lookups += [(width, part, None, None)] if free else [(width, part, "__src", "__dst"), (width, part, "__dst", "__src")]
+    best = []
+    for i, (width, part, end, other) in enumerate(lookups):
+        named = part.select(F.col("__slot").alias("__k"), F.col("__end").alias("__e"), "__ws")
+        cond = F.shiftright("__us", WIDTHS[width]) == F.col("__k")
+        rows = rows.join(named, cond if end is None else cond & (F.col(end) == F.col("__e")), "left")
+        rows = rows.withColumn(f"__b{i}", _last_hit(other)).drop("__k", "__e", "__ws")
+        best.append(F.col(f"__b{i}"))
+    last = F.array_max(F.array(*best))["label"] if best else F.lit(None).cast("string")
+    return rows.select(*[quote(c) for c in df.columns if c != out], F.coalesce(last, F.lit(default)).alias(out))

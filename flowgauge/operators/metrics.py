@@ -1,8 +1,9 @@
 """Detection metrics of many runs in a few grouped jobs.
 
-Everything that follows from counts comes from one aggregate over the
-predictions; everything that needs a ranking of scores comes from one table of
-running sums; time to detect has its own order.
+Everything that follows from counts or from the ranking of scores can be read from
+one cube of the predictions: a row per (run, true class, predicted class, score)
+with its number of rows. Time to detect has its own order and its own pass.
+Operators take predictions or a cube; a cube has a column ``__rows``.
 """
 
 from __future__ import annotations
@@ -15,14 +16,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.functions.scalars import BENIGN_NAME, attack_flag, safe_ratio
-from flowgauge.operators.prefix import range_edges, running_sums, with_range_bucket
-from flowgauge.session import default_buckets
+from flowgauge.operators.prefix import running_sums, with_range_bucket
+from flowgauge.session import durable
 
 RUN = "run_id"
 
+# rows that a row of a cube stands for, and the bytes of all of them
+ROWS, BYTES = "__rows", "__bytes"
+
 # ---- counts --------------------------------------------------------------
 
 
+def count_cube(preds: DataFrame, bytes_column: str = "n_bytes") -> DataFrame:
+    """Rows and bytes per (run, true class, predicted class, score); combined before the shuffle, stored once."""
+    keys = [RUN, "y_true", "y_pred", *(["score"] if "score" in preds.columns else [])]
+    sizes = [F.sum(F.col(bytes_column).cast("double")).alias(BYTES)] if bytes_column in preds.columns else []
+    return durable(preds.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS), *sizes))
+
+
+def count_of(preds: DataFrame, cond: Column | None = None) -> Column:
+    """Number of rows, or of those that meet a condition, over predictions or a cube."""
+    if ROWS not in preds.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+    if cond is None:
+        return F.coalesce(F.sum(ROWS), F.lit(0))
+    return F.coalesce(F.sum(F.when(cond, F.col(ROWS))), F.lit(0))
+
+
 def flags(preds: DataFrame, benign: str = BENIGN_NAME) -> tuple[Column, Column]:
     """Whether a row is an attack, and whether it raised an alarm; labels are numbers or class names."""
     t, p = (attack_flag(F.col(c), preds.schema[c].dataType, benign) for c in ("y_true", "y_pred"))
@@ -37,24 +57,24 @@ def binary_counts(preds: DataFrame, keys: list[str] | None = None, benign: str =
     """tn, fp, fn, tp and n per run; a missing cell is 0."""
     t, p = flags(preds, benign)
     return preds.groupBy(*(keys or [RUN])).agg(
-        F.count_if(~t & ~p).alias("tn"),
-        F.count_if(~t & p).alias("fp"),
-        F.count_if(t & ~p).alias("fn"),
-        F.count_if(t & p).alias("tp"),
-        F.count(F.lit(1)).alias("n"),
+        count_of(preds, ~t & ~p).alias("tn"),
+        count_of(preds, ~t & p).alias("fp"),
+        count_of(preds, t & ~p).alias("fn"),
+        count_of(preds, t & p).alias("tp"),
+        count_of(preds).alias("n"),
     )
 
 
 def accuracy(preds: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return preds.groupBy(*(keys or [RUN])).agg(
-        F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 5).alias("accuracy")
-    )
+    hit = F.col("y_true") == F.col("y_pred")
+    share = F.try_divide(count_of(preds, hit).cast("double"), count_of(preds, hit.isNotNull()).cast("double"))
+    return preds.groupBy(*(keys or [RUN])).agg(F.round(share, 5).alias("accuracy"))
 
 
 def confusion(preds: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts of every (true, predicted) class pair of a run, zero where none."""
     keys = keys or [RUN]
-    pairs = preds.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    pairs = preds.groupBy(*keys, "y_true", "y_pred").agg(count_of(preds).alias("n"))
     # the class list of a run is built from the pair counts, not from rows
     sides = pairs.select(*keys, F.explode(F.array("y_true", "y_pred")).alias("c"))
     classes = sides.groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("cs"))
@@ -138,7 +158,7 @@ def count_metrics(preds: DataFrame, keys: list[str] | None = None, benign: str =
 def class_counts(preds: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """tp, fp, fn per class of a run, over the union of true and predicted classes."""
     keys = keys or [RUN]
-    pairs = preds.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    pairs = preds.groupBy(*keys, "y_true", "y_pred").agg(count_of(preds).alias("n"))
     hit = F.col("y_true") == F.col("y_pred")
     sides = pairs.select(
         *keys,
@@ -200,7 +220,7 @@ def fp_per_volume(
 ) -> DataFrame:
     """False positives per GB (1024^3 bytes) of a given byte volume; NULL when the volume is 0."""
     t, p = flags(preds, benign)
-    fp = F.count_if(~t & p)
+    fp = count_of(preds, ~t & p)
     gb = F.sum(F.col(bytes_column).cast("double")) / float(1024**3)
     return preds.groupBy(*(keys or [RUN])).agg(F.round(F.try_divide(fp.cast("double"), gb), 5).alias("fppv"))
 
@@ -214,17 +234,17 @@ def score_curve(
     """Running positives and negatives per distinct score, from the highest down.
 
     Equal scores are merged before the shuffle, so one score shared by a third
-    of all rows is one row per map task.
+    of all rows is one row per map task. The merged scores are stored once; the
+    buckets of the running sums are counted on them.
     """
     keys = keys or [RUN]
     attack, _ = flags(preds, benign)
-    merged = (
+    merged = durable(
         preds.where("score is not null")
         .groupBy(*keys, "score")
-        .agg(F.count_if(attack).alias("pos"), F.count_if(~attack).alias("neg"))
+        .agg(count_of(preds, attack).alias("pos"), count_of(preds, ~attack).alias("neg"))
     )
-    edges = range_edges(preds, "score", buckets or default_buckets(preds.sparkSession))
-    return running_sums(merged, keys, "score", ["pos", "neg"], descending=True, edges=edges)
+    return running_sums(merged, keys, "score", ["pos", "neg"], descending=True, buckets=buckets)
 
 
 def roc_points(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -263,63 +283,49 @@ def ranking_metrics(curve: DataFrame, keys: list[str] | None = None) -> DataFram
 # ---- time to detect ------------------------------------------------------
 
 
-def detection_instances(
+def segment_summaries(
     preds: DataFrame,
     order: str = "row_id",
     keys: list[str] | None = None,
     buckets: int | None = None,
     benign: str = BENIGN_NAME,
 ) -> DataFrame:
-    """Maximal runs of attack rows per run: start position, first detected position (or NULL).
+    """One row per (run, range bucket) that its neighbours can be combined with.
 
-    Islands are found inside range buckets of the order column; the pieces of an
-    instance that crosses a bucket edge are joined afterwards, from two rows per
-    bucket at most.
+    Attack rows between two benign ones are an instance. A bucket tells of the
+    instances inside it their number, how many are detected and their summed delay;
+    of the attack rows before its first and after its last benign row, which may go
+    on beside it, their number and the rows before the first hit. ``benign`` is
+    whether it has a benign row at all. Rows are sorted once.
     """
     keys = keys or [RUN]
-    t, p = flags(preds, benign)
+    t, p = (F.coalesce(f, F.lit(False)) for f in flags(preds, benign))
     rows = with_range_bucket(preds.select(*keys, order, t.alias("__t"), p.alias("__p")), order, buckets)
     part = [*keys, "bucket"]
-    w = Window.partitionBy(*part).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("__prev", F.lag("__t").over(w)).withColumn("__rn", F.row_number().over(w))
-    starts = F.col("__t") & ~F.coalesce(F.col("__prev"), F.lit(False))
-    marked = marked.withColumn("__island", F.sum(starts.cast("int")).over(upto))
-    sizes = rows.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("__n"), F.max_by("__t", order).alias("__last")
-    )
-    per_run = Window.partitionBy(*keys).orderBy("bucket")
-    before = per_run.rowsBetween(Window.unboundedPreceding, -1)
-    edges = sizes.select(
-        *part,
-        "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-        F.coalesce(F.lag("__last").over(per_run), F.lit(False)).alias("__prev_last"),
+    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calm, one = (~F.col("__t")).cast("bigint"), F.col("__t").cast("bigint")
+    placed = rows.select(
+        *part, "__t", "__p", F.sum(calm).over(upto).alias("__k"), F.sum(one).over(upto).alias("__at"), F.sum(calm).over(Window.partitionBy(*part)).alias("__last")
     )
+    # the last benign row stays, so that every bucket that has one tells of its end
     pieces = (
-        marked.where("__t")
-        .groupBy(*part, "__island")
-        .agg(
-            F.min("__rn").alias("__s"),
-            F.max("__rn").alias("__e"),
-            F.min(F.when(F.col("__p"), F.col("__rn"))).alias("__f"),
-        )
-        .join(edges, part)
-    )
-    placed = pieces.select(
-        *part,
-        (F.col("__s") + F.col("__off")).alias("start_pos"),
-        (F.col("__f") + F.col("__off")).alias("first_hit"),
-        ((F.col("__s") == 1) & F.col("__prev_last")).alias("__cont"),
-        ((F.col("__s") == 1) | (F.col("__e") == F.col("__n"))).alias("__edge"),
+        placed.where("__t or __k = __last")
+        .groupBy(*part, "__k", "__last")
+        .agg(F.count_if("__t").alias("__n"), (F.min(F.when(F.col("__t") & F.col("__p"), F.col("__at"))) - F.min(F.when(F.col("__t"), F.col("__at")))).alias("__f"))
     )
-    inner = placed.where("not __edge").select(*keys, "start_pos", "first_hit")
-    chain = Window.partitionBy(*keys).orderBy("start_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    linked = placed.where("__edge").withColumn("__head", F.sum((~F.col("__cont")).cast("int")).over(chain))
-    crossing = linked.groupBy(*keys, "__head").agg(
-        F.min("start_pos").alias("start_pos"), F.min("first_hit").alias("first_hit")
+    k, n, f = F.col("__k"), F.col("__n"), F.col("__f")
+    lead, tail = k == 0, (k == F.col("__last")) & (k > 0)
+    inner = ~lead & ~tail
+    return pieces.groupBy(*part).agg(
+        F.max(k > 0).alias("benign"),
+        F.coalesce(F.max(F.when(lead, n)), F.lit(0)).alias("lead_rows"),
+        F.max(F.when(lead, f)).alias("lead_delay"),
+        F.coalesce(F.max(F.when(tail, n)), F.lit(0)).alias("tail_rows"),
+        F.max(F.when(tail, f)).alias("tail_delay"),
+        F.count_if(inner).alias("instances"),
+        F.count(F.when(inner, f)).alias("detected"),
+        F.coalesce(F.sum(F.when(inner, f)), F.lit(0)).alias("delays"),
     )
-    return inner.unionByName(crossing.drop("__head"))
 
 
 def time_to_detect(
@@ -329,20 +335,40 @@ def time_to_detect(
     buckets: int | None = None,
     benign: str = BENIGN_NAME,
 ) -> DataFrame:
-    """Mean rows until the first hit of detected instances, and instance counts; infinite if none is detected."""
+    """Mean rows until the first hit of detected instances, and instance counts; infinite if none is detected.
+
+    Summaries of neighbouring buckets are put together in one scan of them: the end
+    of a bucket and the start of the next are one instance, over any number of
+    buckets without a benign row.
+    """
     keys = keys or [RUN]
-    found = detection_instances(preds, order, keys, buckets, benign)
-    stats = found.groupBy(*keys).agg(
-        F.avg(F.col("first_hit") - F.col("start_pos")).alias("mean"),
-        F.count(F.lit(1)).alias("total"),
-        F.count("first_hit").alias("detected"),
+    found = segment_summaries(preds, order, keys, buckets, benign)
+    none = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(
+            F.lit(0).alias("__side"), F.col("lead_rows").alias("__n"), F.col("lead_delay").alias("__f"), F.col("instances"), F.col("detected"), F.col("delays")
+        ),
+        F.struct(
+            F.lit(1).alias("__side"), F.col("tail_rows").alias("__n"), F.col("tail_delay").alias("__f"), none.alias("instances"), none.alias("detected"), none.alias("delays")
+        ),
     )
-    runs = preds.select(*keys).distinct()
-    full = runs.join(stats, keys, "left")
-    total, detected = F.coalesce("total", F.lit(0)), F.coalesce("detected", F.lit(0))
-    return full.select(
-        *keys,
-        F.round(F.coalesce("mean", F.lit(float("inf"))), 5).alias("mttd_samples"),
+    ends = found.select(*keys, "bucket", "benign", F.inline(sides)).where("benign or __side = 0")
+    along = Window.partitionBy(*keys).orderBy("bucket", "__side")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what follows the last benign row of a bucket starts a new instance; anything else goes on
+    chained = ends.select(
+        "*", F.sum("__side").over(upto).alias("__head"), (F.sum("__n").over(upto) - F.col("__n")).alias("__before")
+    )
+    joined = chained.groupBy(*keys, "__head").agg(
+        F.sum("__n").alias("__n"),
+        (F.min(F.when(F.col("__f").isNotNull(), F.col("__before") + F.col("__f"))) - F.min("__before")).alias("__f"),
+        *[F.sum(c).alias(c) for c in ("instances", "detected", "delays")],
+    )
+    total = F.sum("instances") + F.count_if(F.col("__n") > 0)
+    detected = F.sum("detected") + F.count("__f")
+    mean = F.try_divide((F.sum("delays") + F.coalesce(F.sum("__f"), none)).cast("double"), detected.cast("double"))
+    return joined.groupBy(*keys).agg(
+        F.round(F.coalesce(mean, F.lit(float("inf"))), 5).alias("mttd_samples"),
         total.alias("attack_instances_total"),
         detected.alias("attack_instances_detected"),
         (total - detected).alias("attack_instances_undetected"),
@@ -435,11 +461,11 @@ def count_family(preds: DataFrame, benign: str = BENIGN_NAME) -> DataFrame:
 
 def volume_family(preds: DataFrame, benign: str = BENIGN_NAME) -> DataFrame:
     """False positives per GB, where the predictions carry the size of each row as ``n_bytes``."""
-    return to_long(fp_per_volume(preds, "n_bytes", benign=benign))
+    return to_long(fp_per_volume(preds, BYTES if BYTES in preds.columns else "n_bytes", benign=benign))
 
 
 def built_in(preds: DataFrame, benign: str = BENIGN_NAME) -> dict[str, Metric]:
-    """The metric families that the columns of the predictions allow."""
+    """The metric families that the columns of the predictions allow; all but time to detect also read a cube."""
     out: dict[str, Metric] = {"counts": lambda p: count_family(p, benign)}
     if "n_bytes" in preds.columns:
         out["volume"] = lambda p: volume_family(p, benign)
@@ -457,14 +483,21 @@ def metrics_long(
 ) -> DataFrame:
     """Every metric of every run; user metrics are functions predictions -> (run_id, metric_key, value).
 
-    ``names`` keeps only these metrics, named with or without the ``test_`` prefix.
-    Class names among which ``benign`` never occurs are refused.
+    The built-in families read one stored cube of the predictions, time to detect
+    the predictions themselves. ``names`` keeps only these metrics, named with or
+    without the ``test_`` prefix. Class names among which ``benign`` never occurs
+    are refused.
     """
-    if is_multiclass(preds) and metrics is None:
-        seen = F.lower("y_true") == F.lit(benign.lower())
-        if preds.where(seen).isEmpty() and not preds.isEmpty():
-            raise ValueError(f"no row has the benign class {benign!r}")
-    parts = [m(preds) for m in (metrics or built_in(preds, benign)).values()]
+    if metrics is None:
+        cube = count_cube(preds)
+        if is_multiclass(preds):
+            seen = F.lower("y_true") == F.lit(benign.lower())
+            row = cube.agg(F.count(F.lit(1)).alias("n"), F.count_if(seen).alias("k")).first()
+            if row["n"] and not row["k"]:
+                raise ValueError(f"no row has the benign class {benign!r}")
+        parts = [m(preds if name == "time_to_detect" else cube) for name, m in built_in(preds, benign).items()]
+    else:
+        parts = [m(preds) for m in metrics.values()]
     out = reduce(DataFrame.unionByName, parts)
     if names is None:
         return out

@@ -58,8 +58,3 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
-
-
-def default_buckets(spark: SparkSession) -> int:
-    """Range buckets for two-level windows: a few per shuffle partition, so that tasks even out."""
-    return max(1, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

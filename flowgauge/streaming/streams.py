@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,9 +102,33 @@ def stream_flows(packets: DataFrame, ts: str, keys: list[str], idle: str, delay:
     )
 
 
+MISSING = -(1 << 63)
+
+
+def packed(rows: pd.DataFrame) -> np.ndarray:
+    """Whole numbers and flags as one matrix of LONGs; a missing value is the least LONG."""
+    columns = [rows[c] if rows[c].dtype.kind in "iub" else rows[c].astype("Int64").fillna(MISSING) for c in rows.columns]
+    return np.column_stack([c.to_numpy(np.int64) for c in columns]) if len(columns) else np.zeros((len(rows), 0), np.int64)
+
+
+def unpacked(rows: np.ndarray, flags: list[int]) -> list[tuple]:
+    """Rows as tuples, with flags and missing values as they were."""
+    out = [[None if x == MISSING else x for x in c] if (rows[:, i] == MISSING).any() else c for i, c in enumerate(rows.T.tolist())]
+    for i in flags:
+        out[i] = [None if x is None else bool(x) for x in out[i]]
+    return list(zip(*out))
+
+
 class _InEventOrder(StatefulProcessor):
     """Per stream key: rows wait on disk until the watermark has passed them, then are handled in time order.
 
+    Waiting rows lie in slices of event time, each with at most ``SLICE_ROWS`` rows
+    of one batch in order; a directory holds the first time of each. A batch adds
+    slices for its own rows and reads those that the watermark has reached. What is
+    not yet due in these is put together into new slices, so slices that overlap
+    become few. The work of a batch goes by its own rows and those that become due,
+    not by all that wait.
+
     Subclasses name their columns (event time in microseconds and a row id
     first) and turn the open item and a row into the new open item and, at most,
     one closed item.
@@ -112,6 +137,7 @@ class _InEventOrder(StatefulProcessor):
     ROW: str
     OPEN: str
     OUT: dict[str, str]
+    SLICE_ROWS = 2048
 
     def typed_keys(self, names: list[str], rows: DataFrame) -> "_InEventOrder":
         """Use the keys' own types: whole numbers, or anything else as it comes."""
@@ -121,41 +147,68 @@ class _InEventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.ROW)
+        self.directory = handle.getMapState("directory", "slice bigint", "least bigint")
+        self.slices = handle.getMapState("slices", "slice bigint", "rows binary")
         self.open = handle.getValueState("open", self.OPEN)
-        self.names = [c.split()[0] for c in self.ROW.split(", ")]
+        fields = [c.split() for c in self.ROW.split(", ")]
+        self.names = [name for name, _ in fields]
+        self.marks = [i for i, (_, kind) in enumerate(fields) if kind == "boolean"]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting = self._waiting()
         for pdf in rows:
-            self.pending.appendList(list(pdf[self.names].itertuples(index=False, name=None)))
-        yield self._advance(key, timerValues)
+            self._wait(waiting, packed(pdf[self.names]))
+        yield self._advance(key, timerValues, waiting)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues)
-
-    def _advance(self, key, timer: TimerValues) -> pd.DataFrame:
+        yield self._advance(key, timerValues, self._waiting())
+
+    def _waiting(self) -> dict[int, int]:
+        """First time of each slice by its number."""
+        return {number: least for (number,), (least,) in self.directory.iterator()}
+
+    def _wait(self, waiting: dict[int, int], rows: np.ndarray) -> None:
+        rows = rows[np.lexsort(rows.T[::-1])]
+        for at in range(0, len(rows), self.SLICE_ROWS):
+            number = max(waiting, default=-1) + 1
+            waiting[number] = int(rows[at, 0])
+            self.slices.updateValue((number,), (rows[at : at + self.SLICE_ROWS].tobytes(),))
+            self.directory.updateValue((number,), (waiting[number],))
+
+    def _due(self, waiting: dict[int, int], due_us: int) -> list[tuple]:
+        """Take the rows before the watermark, in order."""
+        reached = [number for number, least in waiting.items() if least < due_us]
+        if not reached:
+            return []
+        found = [np.frombuffer(self.slices.getValue((n,))[0], np.int64).reshape(-1, len(self.names)) for n in reached]
+        for number in reached:
+            del waiting[number]
+            self.slices.removeKey((number,))
+            self.directory.removeKey((number,))
+        rows = np.concatenate(found)
+        early = rows[:, 0] < due_us
+        if not early.all():
+            self._wait(waiting, rows[~early])
+        rows = rows[early]
+        return unpacked(rows[np.lexsort(rows.T[::-1])], self.marks)
+
+    def _advance(self, key, timer: TimerValues, waiting: dict[int, int]) -> pd.DataFrame:
         due_us = timer.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.pending.get())
-        ready = [r for r in held if r[0] < due_us]
-        later = held[len(ready) :]
         current, done = self.open.get(), []
-        for row in ready:
+        for row in self._due(waiting, due_us):
             current, closed = self.step(current, row)
             if closed is not None:
                 done.append(closed)
+        first = min(waiting.values(), default=None)
         ends_us = None if current is None else self.ends(current)
-        if ends_us is not None and ends_us < due_us and (not later or ends_us < later[0][0]):
+        if ends_us is not None and ends_us < due_us and (first is None or ends_us < first):
             done.append(current)
             current = None
-        if later:
-            self.pending.put(later)
-        else:
-            self.pending.clear()
         if current is None:
             self.open.clear()
         else:
             self.open.update(current)
-        wake = [later[0][0]] if later else []
+        wake = [] if first is None else [first]
         if current is not None and self.ends(current) is not None:
             wake.append(self.ends(current))
         for at in self.handle.listTimers():

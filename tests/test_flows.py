@@ -45,8 +45,8 @@ def loop(packets):
     return out
 
 
-@pytest.mark.parametrize("buckets", [1, 17])
-def test_flows_equal_a_loop(spark, buckets):
+@pytest.mark.parametrize("cell_ms", [None, 1, 17])
+def test_flows_equal_a_loop(spark, cell_ms):
     rng = random.Random(4)
     packets, t = [], 0
     for i in range(1500):
@@ -59,7 +59,7 @@ def test_flows_equal_a_loop(spark, buckets):
             packets.append((i, t, src, dst, 1000 + (not hot) * rng.randrange(3), rng.randrange(40, 1500)))
     schema = "pkt_id bigint, ts_ms bigint, src string, dst string, sport int, size bigint, dport int"
     df = spark.createDataFrame([(*p[:5], p[5], 80) for p in packets], schema).repartition(6)
-    flows = assemble_flows(df, ["src", "sport"], ["dst", "dport"], idle_ms=IDLE, active_ms=ACTIVE, buckets=buckets)
+    flows = assemble_flows(df, ["src", "sport"], ["dst", "dport"], idle_ms=IDLE, active_ms=ACTIVE, cell_ms=cell_ms)
     got = {
         r["flow_id"]: (
             r["bidirectional_packets"],

@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import normal_cdf
 from flowgauge.operators import anomaly, clean, fitted, labeling, metrics, select, splits
 from flowgauge.operators.labeling import TimeWindow
+from flowgauge.operators.prefix import range_edges
 
 PREDS = "run_id string, row_id bigint, y_true int, y_pred int, score double"
 
@@ -224,9 +226,7 @@ def test_window_labels_agree(spark):
     assert {r["row_id"]: r["label"] for r in case.collect()} == want
     table = labeling.windows_frame(spark, windows)
     for limit in (50_000, 0):
-        joined = labeling.label_time_windows_bucketed(
-            df, table, "ts", "src", "dst", default="quiet", bucket_seconds=60, max_windows=limit
-        )
+        joined = labeling.label_by_cover(df, table, "ts", "src", "dst", default="quiet", max_rows=limit)
         assert {r["row_id"]: r["label"] for r in joined.collect()} == want
 
 
@@ -292,3 +292,43 @@ def test_selection_thresholds(spark):
     flat = spark.createDataFrame([(1, 2.0), (2, 2.0)], "row_id bigint, v double")
     with pytest.raises(ValueError):
         select.variance_threshold(flat)
+
+
+def test_interval_cover_holds_every_time_of_a_window(spark):
+    rng = random.Random(8)
+    lengths = [0, 1, 10**6, (1 << 20) - 1, 1 << 20, 75 * 10**6, (1 << 32) + 5, 400 * 86400 * 10**6, 40 * 365 * 86400 * 10**6, 400 * 365 * 86400 * 10**6]
+    rows = [(i, "w", start := rng.randrange(-(10**15), 10**15), start + n, [], []) for i, n in enumerate(lengths * 3)]
+    rows.append((len(rows), "reversed", 5, 4, [], []))
+    df = spark.createDataFrame(rows, "ord int, label string, start_us bigint, end_us bigint, src array<string>, dst array<string>")
+    slots = {}
+    for r in labeling.interval_cover(df).collect():
+        slots.setdefault(r["ord"], []).append((r["__slot"], r["__whole"], labeling.WIDTHS[r["__width"]]))
+    assert set(slots) == set(range(len(rows) - 1))
+    for i, _, start, end, _, _ in rows[:-1]:
+        found = sorted(slots[i])
+        bits = found[0][2]
+        assert [s for s, _, _ in found] == list(range(start >> bits, (end >> bits) + 1)) and (len(found) <= 65 or bits == labeling.WIDTHS[-1])
+        assert all(w == (s << bits >= start and ((s + 1) << bits) - 1 <= end) for s, w, _ in found)
+    # of any number of windows that fill a slot for everyone, one is listed
+    many = spark.createDataFrame([(k, f"w{k}", 0, 1 << 45, [], []) for k in range(300)], df.schema)
+    lists = labeling.cover_lists(many).collect()
+    assert max(len(r["__ws"]) for r in lists) == 300 and sum(len(r["__ws"]) == 1 and r["__ws"][0]["ord"] == 299 for r in lists) == len(lists) - 1
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "powers", "one", "two"])
+def test_counted_edges_balance_buckets(spark, shape):
+    rng = random.Random(3)
+    values = {
+        "even": [rng.random() for _ in range(3000)],
+        "clustered": [1e9 + k for k in range(1500)] + [5.0 + k * 1e-7 for k in range(1500)],
+        "powers": [2.0 ** -rng.uniform(0, 900) for _ in range(3000)],
+        "one": [7.0] * 50,
+        "two": [-1.7e308, 1.7e308] * 5,
+    }[shape]
+    rows = [(v,) for v in values] + [(None,), (float("nan"),), (float("inf"),)]
+    edges = range_edges(spark.createDataFrame(rows, "v double"), "v", 20)
+    assert edges == sorted(set(edges)) and len(edges) <= 19
+    counts = np.bincount(np.searchsorted(edges, values, "right")) if edges else np.array([len(values)])
+    if shape in ("even", "clustered", "powers"):
+        assert len(counts) >= 14 and counts.max() <= 2.2 * len(values) / 20
+    assert range_edges(spark.createDataFrame(rows, "v double"), "v") == []
