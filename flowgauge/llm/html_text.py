@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,15 @@ FURNITURE = frozenset(
 WHOLE = frozenset("html body main article".split())
 FRAME = frozenset("form fieldset header".split())
 LAYOUT = frozenset("no not non has with without layout".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)", re.S)
+#: Furniture that holds articles of its own, readers' and others', and that also names inline elements; of it, what never holds the page's article.
+BESIDE = frozenset("ad ads adv advert advertisement comment comments disqus promo promoted related reply replies share sharing sidebar social sponsor sponsored".split())
+READERS = frozenset("comment comments disqus reply replies".split())
+#: Words of a block that count as the text of a page without an article element.
+PLAIN_WORDS = 8
+# a quote that is never closed counts as any other sign, so every tag ends and pages are read in one pass
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+HIDDEN_END = re.compile(rf"</({'|'.join(sorted(HIDDEN))})\b[^>]*(?:>|\Z)", re.I)
+BODY = re.compile(r"<body\b[^>]*>", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of elements that hold an article, and signs of what is not shown.
 ARTICLE = frozenset("article entry story".split())
@@ -74,29 +83,60 @@ def _furniture(attributes: str) -> set[str]:
 
 
 class _Frame:
-    """A furniture element that counts as such unless an article is found in it, and the one around it."""
+    """A furniture element. An article found in it, or none elsewhere, may tell that it is no furniture after all."""
 
-    __slots__ = ("around", "on")
+    __slots__ = ("around", "on", "beside", "readers", "holds", "within", "seen")
 
-    def __init__(self, around: _Frame | None):
-        self.around, self.on = around, True
+    def __init__(self, around: _Frame | None, beside: bool, readers: bool):
+        self.around, self.on, self.beside, self.readers, self.holds = around, True, beside, readers, False
+        # one of the second kind is here or around
+        self.within = beside or around is not None and around.within
+        self.seen = False
+
+
+class _Ends:
+    """End tags of hidden elements, found in one pass over the page when first asked for."""
+
+    def __init__(self, page: str):
+        self.page, self.of = page, None
+
+    def after(self, name: str, at: int) -> int | None:
+        if self.of is None:
+            self.of = {}
+            for m in HIDDEN_END.finditer(self.page):
+                starts, ends = self.of.setdefault(m[1].lower(), ([], []))
+                starts.append(m.start())
+                ends.append(m.end())
+        starts, ends = self.of.get(name, ([], []))
+        k = bisect_left(starts, at)
+        return ends[k] if k < len(ends) else None
 
 
 def blocks_of(page: str) -> list[Block]:
     """All visible text blocks in page order; broken markup is read as far as it goes.
 
-    What names an element as furniture holds for all in it, but not if it encloses
-    an ``article`` or ``main``; that is known at the end of the page only.
+    What names an element as furniture holds for all in it. Wrappers that enclose an
+    ``article`` or ``main`` are none, which is known at the end of the page only.
+    Comments, related stories, sidebars, adverts and the like may hold articles of
+    their own: they stay furniture if the page has an article elsewhere, or text in
+    no article at all; an ``article`` that is named a comment or reply always is.
+    Inline elements that are hidden or named so are left out of their block.
     """
     out: list[Block] = []
     frames: list[_Frame | None] = []  # innermost frame of each block
-    open_: list[tuple[str, bool, bool, _Frame | None]] = []  # enclosing elements: name, content, chrome, frame around
+    made: list[_Frame] = []
+    held: list[_Frame | None] = []  # innermost frame of each article
+    open_: list[tuple[str, bool, bool, _Frame | None, int]] = []  # enclosing elements: name, content, chrome, frame around, muted
     counts: Counter[str] = Counter()  # open elements by name
     contents = chromes = 0  # open elements of either kind
+    muted = 0  # open inline elements that are left out
+    loose = False  # the last block element is not among the open ones
     frame: _Frame | None = None
+    outside = False  # an article that is in no frame of the second kind
     parts: list[str] = []
     linked = 0
     in_link = heading = False
+    ends = _Ends(page)
 
     def close() -> None:
         nonlocal linked, heading
@@ -107,24 +147,25 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked, heading = 0, False
 
-    def push(name: str, content: bool, chrome: bool, framed: bool) -> None:
-        nonlocal contents, chromes, frame
-        open_.append((name, content, chrome, frame))
+    def push(name: str, content: bool, chrome: bool, framed: _Frame | None, mute: int = 0) -> None:
+        nonlocal contents, chromes, muted, frame
+        open_.append((name, content, chrome, frame, mute))
         counts[name] += 1
-        contents, chromes = contents + content, chromes + chrome
-        if framed:
-            frame = _Frame(frame)
+        contents, chromes, muted = contents + content, chromes + chrome, muted + (mute > 0)
+        if framed is not None:
+            frame = framed
+            made.append(framed)
 
     def pop() -> str:
-        nonlocal contents, chromes, frame
-        name, content, chrome, frame = open_.pop()
+        nonlocal contents, chromes, muted, frame
+        name, content, chrome, frame, mute = open_.pop()
         counts[name] -= 1
-        contents, chromes = contents - content, chromes - chrome
+        contents, chromes, muted = contents - content, chromes - chrome, muted - (mute > 0)
         return name
 
     def take(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not muted:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if in_link:
@@ -140,51 +181,81 @@ def blocks_of(page: str) -> list[Block]:
         name, closing, attributes = name.lower(), bool(found[1]), found[3]
         if name in HIDDEN and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = ends.after(name, at)
                 # an unclosed head ends where the body begins, any other hidden element at its tag
                 if end is None and name == "head":
-                    end = re.compile(r"<body\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if name in ("script", "style") else at
+                    body = BODY.search(page, at)
+                    end = body.end() if body else None
+                at = end if end is not None else len(page) if name in ("script", "style") else at
             close() if name not in ("svg", "math") else None
             continue
         if name == "a":
             in_link = not closing
-            continue
         if name == "br":
             parts.append(" ")
             continue
         if name in INLINE:
+            if closing:
+                if counts[name]:
+                    while pop() != name:
+                        pass
+            elif name not in VOID and (muted or attributes and (_furniture(attributes) & BESIDE or UNSEEN.search(attributes))):
+                # 2: ends with the loose block element that it is in
+                push(name, False, False, None, 2 if loose else 1)
             continue
         close()
         in_link = False
+        while loose and open_ and open_[-1][4] == 2:
+            pop()
         if closing:
             if counts[name]:
                 while pop() != name:
                     pass
+            loose = False
             continue
         # start tags that end an element left open
         if open_ and (open_[-1][0] == "p" or open_[-1][0] == name and name in ("li", "dt", "dd", "td", "tr")):
             pop()
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        content = name in CONTENT or bool(attributes and _names(attributes) & ARTICLE)
         furniture = _furniture(attributes) if attributes else set()
+        comment = name == "article" and bool(furniture & READERS)
+        card = name == "article" and bool(furniture & BESIDE)
+        content = not comment and (name in CONTENT or bool(attributes and _names(attributes) & ARTICLE))
         if name in CONTENT and not furniture:
-            # what encloses an article is no furniture; frames around one found so before were found so too
+            held.append(frame)
+            outside = outside or frame is None or not frame.within
             around = frame
-            while around is not None and around.on:
-                around.on, around = False, around.around
+            while around is not None and not around.holds:
+                around.holds, around = True, around.around
         # an article's own header holds its title
         inside = content or contents > 0
         if inside:
             furniture = furniture - {"header"}
-        framed = bool(furniture) and name not in WHOLE or name in FRAME and not (name == "header" and inside)
-        chrome = name in CHROME and name not in FRAME or bool(attributes and UNSEEN.search(attributes))
-        if name not in VOID and name != "p" and (content or chrome or framed or name in ("div", "section", "header", "ul", "ol", "td", "table")):
-            push(name, content, chrome, framed)
+        framed = bool(furniture) and (name not in WHOLE or card) or name in FRAME and not (name == "header" and inside)
+        made_now = None
+        if framed and name not in VOID:
+            made_now = _Frame(frame, bool(furniture & BESIDE), bool(furniture & READERS))
+            made_now.holds = card and not comment
+        chrome = comment or name in CHROME and name not in FRAME or bool(attributes and UNSEEN.search(attributes))
+        listed = name not in VOID and name != "p" and (content or chrome or framed or name in ("div", "section", "header", "ul", "ol", "td", "table"))
+        loose = False
+        if listed:
+            push(name, content, chrome, made_now)
         elif (chrome or framed) and name not in VOID:
-            push(name, False, chrome, framed)
+            push(name, False, chrome, made_now)
+        else:
+            loose = name not in VOID
     take(page[at:])
     close()
+    # text that is in no frame and no article counts as the page's own
+    plain = any(f is None and not b.chrome and not b.content and b.words >= PLAIN_WORDS and b.linked < 0.5 for b, f in zip(out, frames))
+    for f in made:
+        if f.beside and f.holds:
+            f.on = outside or plain and f.readers
+    # what encloses an article is no furniture, unless the article itself belongs to one
+    for around in held:
+        while around is not None and not around.seen and not (around.beside and around.on):
+            around.seen, around.on, around = True, False, around.around
     known: dict[_Frame, bool] = {}
     for block, around in zip(out, frames):
         path = []

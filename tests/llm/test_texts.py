@@ -194,6 +194,48 @@ def test_names_of_wrappers_do_not_lose_the_article():
         assert html_text.main_text(page, tree) == text, page[:80]
 
 
+def test_what_stands_beside_the_article_is_left_out():
+    tree = html_text.grow_tree(*html_text.labelled_table())
+    long = "The committee met on Tuesday to discuss the plan in detail and agreed to publish a full report."
+    other = "Readers wrote many long letters about this in the days after and they were all of one mind."
+    article, text = f"<article><h1>A plan</h1><p>{long}</p></article>", f"A plan {long}"
+    card = f"<article><h3>More</h3><p>{other}</p></article>"
+    pages = {
+        f"{article}<section class=comments>{card}{card}</section>": text,
+        f"<section class=comments>{card}</section>{article}": text,
+        f"<article><h1>A plan</h1><p>{long}</p><section class=comments>{card}</section></article>": text,
+        f"{article}<article class=comment><p>{other}</p></article>": text,
+        f"<article class='comment'><p>{other}</p></article>": "",
+        f"<main>{article}</main><article class=reply><p>{other}</p></article>": text,
+        f"{article}<div class=related>{card}{card}</div>": text,
+        f"{article}<article class=related-card><p>{other}</p></article>": text,
+        f"<div class=sidebar>{card}</div>{article}": text,
+        f"<main><h1>A plan</h1><p>{long}</p></main><div class=sidebar>{card}</div>": text,
+        f"<div><h1>A plan</h1><p>{long}</p><p>{long}</p></div><section class=comments>{card}</section>": f"{text} {long}",
+        f"{article}<div class=menu><div class=related>{card}</div><p>{other}</p></div>": text,
+        f"<article><h1>A plan</h1><p>{long} <span class=ad>Buy <span>one</span> now</span>Really.</p></article>": f"{text} Really.",
+        f"<article><h1>A plan</h1><p>{long}<span hidden>x</span></p><p><b style='display:none'>y</b></p></article>": text,
+        f"<article><h1>A plan</h1><span class=ad><p>Buy.</p><p>{other}</p></span><p>{long}</p></article>": text,
+        f"<article><h1>A plan</h1><p>So <span class=ad>buy</p><p>{long}</p></article>": f"A plan So {long}",
+        f"<article><h1>A plan</h1><p title=\"it's>{long}</p></article>": text,
+    }
+    for page, want in pages.items():
+        assert html_text.main_text(page, tree) == want, page[:90]
+
+
+@pytest.mark.parametrize("unit", ["<template>x", '<a <a "', "<script", "<div class=sidebar>", "<span class=ad>", "<form><article>", "<div class=related><article>", "<!-- ", "' \" <p '"])
+def test_broken_pages_take_time_by_their_length(unit):
+    import time
+
+    tree = html_text.grow_tree(*html_text.labelled_table())
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        html_text.main_text(unit * n, tree)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_articles_of_the_table(spark):
     rows = QUERIES["op3_html_extraction"](spark, SF).collect()
     raw = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
