@@ -2,27 +2,33 @@
 
 The vocabulary is that of a public BPE model with byte fallback; it is read once
 on the driver and sent to the tasks (its size is that of the model file). A text
-is cut into units, runs of blanks with the word that follows; no piece of such a
-model reaches over a unit's end. Merges of a unit come from an agenda ordered by
-piece score, then place; many units are merged side by side in arrays. Each candidate taken from the agenda is skipped if a
-hash keyed by (document, unit number, place, size) falls below the dropout rate, so
-the outcome depends on neither partitioning nor order. A document's key is a hash
-of seed, id and text: every occurrence of a word in every document draws its own
-merges. Without dropout each worker keeps a bounded table of units already done.
+is cut into units, runs of blanks with the letters or the other signs that follow;
+no piece of such a model reaches over a unit's end. Merges of a unit come from an agenda ordered by
+piece score, then place. Each candidate taken from the agenda is skipped if a hash
+keyed by (document, unit number, place, size) falls below the dropout rate, so the
+outcome depends on neither partitioning nor order. A document's key is a hash of
+seed, id and text: every occurrence of a word in every document draws its own
+merges, each candidate by itself.
+
+A worker remembers, for a unit and the candidates skipped so far, what follows if
+none is skipped any more: the ids, and the candidates still to be tried. Draws of
+all occurrences in a batch are made in arrays; only those that skip one go on to
+what is remembered, or found next, for that candidate skipped as well. Paths not
+met before are found together, many units side by side in arrays. This gives every
+occurrence exactly the segmentation of its own draws.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,17 +38,34 @@ from flowgauge.llm.common import append, bound_batches, grown, require, runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-UNIT = re.compile(r" *[^ ]+| +")
-#: Units of a worker's younger half.
-KEPT_UNITS = 250_000
-#: Units up to these lengths are merged side by side; longer ones by heap, and are not remembered.
+UNIT = regex.compile(r" *\p{L}+| *[^\p{L} \n]+|\n+| +")
+#: Paths that a worker remembers before it starts anew, and the longest units remembered.
+KEPT_PATHS = 300_000
 WIDTHS = (6, 8, 10, 12, 16, 24, 40)
 WIDE = WIDTHS[-1]
+WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDE + 1)]
 SIDE_BY_SIDE = 20_000
+#: More than the candidates of any remembered path.
+PLACES = 1 << 12
 #: Texts are taken together up to so many bytes, lists up to so many ids.
 TOGETHER = 1 << 20
 NEVER = 1 << 60
-SPREAD = 0x9E3779B97F4A7C15
+SPREAD, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+LONG = 0xFFFFFFFFFFFFFFFF
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    """Every bit of the result follows from all bits of the number."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
+    return z ^ (z >> np.uint64(31))
+
+
+def mixed_one(z: int) -> int:
+    z &= LONG
+    z = (z ^ (z >> 30)) * MIX_1 & LONG
+    z = (z ^ (z >> 27)) * MIX_2 & LONG
+    return z ^ (z >> 31)
 
 
 class Vocabulary:
@@ -67,12 +90,14 @@ class Vocabulary:
         self.bytes = {b: i for i, b in self.byte_of.items()}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
-        if any(BLANK in p.lstrip(BLANK) for p in self.ids):
-            raise ValueError("the model has pieces that reach over a blank")
+        if any(not UNIT.fullmatch(p.replace(BLANK, " ")) for p in self.ids):
+            raise ValueError("the model has pieces that reach over the end of a unit")
         ranked = sorted({model.get_score(i) for i in self.ids.values()}, reverse=True)
         place = {score: k for k, score in enumerate(ranked)}
         self.rank = {p: place[model.get_score(i)] for p, i in self.ids.items()}
-        self.size = np.array([len(p) for p in self._by_id(size)], np.uint64)
+        self.size = np.zeros(size, np.uint64)
+        for p, i in self.ids.items():
+            self.size[i] = len(p)
         # (left id, right id) -> rank and id of the merged piece, as whole numbers in order
         pairs = {
             self.ids[p[:k]] << 20 | self.ids[p[k:]]: self.rank[p] << 20 | i
@@ -91,82 +116,150 @@ class Vocabulary:
         self.surface = surface
         self.name = xxhash.xxh64_hexdigest(repr([*self.rank.items()]).encode())
 
-    def _by_id(self, size: int) -> list[str]:
-        names = {i: p for p, i in self.ids.items()}
-        return [names.get(i, "") for i in range(size)]
+
+class Pool:
+    """Lists of numbers one after another in an array that grows."""
+
+    def __init__(self, dtype: type):
+        self.data = np.empty(1 << 12, dtype)
+        self.start, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.n = self.used = 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """More lists, all in a row."""
+        n, used = self.n + len(sizes), self.used + len(values)
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while used > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.used : used] = values
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : n] = sizes
+        self.n, self.used = n, used
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of these numbers in a row, their sizes)."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.arange(int(size.sum())) + np.repeat(self.start[numbers] - (ends - size), size)
+        return self.data[at], size
 
 
 class Segmenter:
-    """Splits units into ids; without dropout it remembers a bounded number of them, the older half of which goes first."""
+    """Splits units into ids, by draws of their own."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
-        self.vocabulary, self.seed = vocabulary, seed
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, kept_paths: int = KEPT_PATHS):
+        self.vocabulary, self.seed, self.kept_paths = vocabulary, seed, kept_paths
         self.below = int(dropout * (1 << 32))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def key(self, text: str, draw: int) -> int:
-        """What a unit's skips are keyed by: its own draw, in 64 bits; the text itself need not be hashed."""
-        return draw & 0xFFFFFFFFFFFFFFFF if self.below else 0
-
-    def draws(self, document: int, n: int) -> list[int]:
-        """One 64-bit number for each unit of a document, by document, seed and unit number."""
-        h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SPREAD)
-        h ^= np.uint64(xxhash.xxh64_intdigest(document.to_bytes(8, "little", signed=True), self.seed & 0xFFFFFFFFFFFFFFFF))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (h ^ (h >> np.uint64(31))).tolist()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.next: dict[int, int] = {}  # path and place of the candidate skipped -> path
+        self.known: list[tuple[str, tuple[int, ...]]] = []  # unit and candidates skipped of each path
+        self.ids, self.candidates = Pool(np.int32), Pool(np.uint64)
+
+    def draws(self, documents: list[int], sizes: list[int]) -> np.ndarray:
+        """One number for each unit of some documents, by document, seed and unit number."""
+        seed = self.seed & LONG
+        keys = [xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), seed) for d in documents]
+        count = np.array(sizes, np.int64)
+        ends = np.cumsum(count)
+        number = np.arange(int(count.sum())) - np.repeat(ends - count, count) + 1
+        return mixed(number.astype(np.uint64) * np.uint64(SPREAD) ^ np.repeat(np.array(keys, np.uint64), count))
 
     def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
         """Ids of some texts, each with its document key."""
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if not self.below:
-            return self._remembered(units)
-        wanted = [pair for found, document in zip(units, documents) for pair in zip(found, self.draws(document, len(found)))]
-        merged = iter(self.merge(wanted))
-        return [np.frombuffer(b"".join(islice(merged, len(found))), np.int32) for found in units]
-
-    def _remembered(self, units: list[list[str]]) -> list[np.ndarray]:
-        """Without dropout a unit is always cut alike; units not met before are merged together."""
-        fresh: list[tuple[str, int]] = []
-        for unit in set(chain.from_iterable(units)):
-            if unit in self.young:
-                continue
-            if unit in self.old:
-                self.young[unit] = self.old[unit]
-            else:
-                fresh.append((unit, 0))
-        for (unit, _), ids in zip(fresh, self.merge(fresh)):
-            self.young[unit] = ids
-        out = [np.frombuffer(b"".join(map(self.young.__getitem__, found)), np.int32) for found in units]
-        for unit, _ in fresh:
-            if len(unit) > WIDE:
-                del self.young[unit]
-        if len(self.young) > KEPT_UNITS:
-            self.old, self.young = self.young, {}
-        return out
-
-    def merge(self, units: list[tuple[str, int]]) -> list[bytes]:
-        """Each unit's ids as packed int32: most units side by side, odd ones by heap."""
-        out: list[bytes] = [b""] * len(units)
+        sizes = [len(u) for u in units]
+        flat, lengths = self.merge([*chain.from_iterable(units)], self.draws(documents, sizes))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
+        return np.split(flat, ends[:-1]) if texts else []
+
+    def merge(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in a row, how many each has), each unit by its own draw."""
+        if len(self.known) > self.kept_paths:
+            self._clear()
+        new = [u for u in dict.fromkeys(units) if u not in self.roots and len(u) <= WIDE]
+        self.roots.update(zip(new, self._found(new, [()] * len(new))))
+        path = np.array([*map(self.roots.get, units, repeat(-1))], np.int64)
+        waiting = np.flatnonzero(path >= 0) if self.below else path[:0]
+        while len(waiting):
+            candidates, size = self.candidates.take(path[waiting])
+            row = np.repeat(np.arange(len(waiting)), size)
+            skipped = np.flatnonzero(self._skips(draws[waiting][row], candidates))
+            rows, first = np.unique(row[skipped], return_index=True)
+            place = skipped[first] - (np.cumsum(size) - size)[rows]
+            waiting = waiting[rows]
+            keys, back = np.unique(path[waiting] * PLACES + place, return_inverse=True)
+            path[waiting] = self._after(keys.tolist())[back]
+        long = np.flatnonzero(path < 0)
+        if not len(long):
+            return self.ids.take(path)
+        own = [np.array(self.by_heap(units[i], int(draws[i])), np.int32) for i in long.tolist()]
+        size = np.zeros(len(path), np.int64)
+        short = path >= 0
+        flat, size[short] = self.ids.take(path[short])
+        size[long] = [len(x) for x in own]
+        out = np.empty(int(size.sum()), np.int32)
+        held = np.repeat(short, size)
+        out[held], out[~held] = flat, np.concatenate(own)
+        return out, size
+
+    def _skips(self, draw: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        return mixed(draw + candidate * np.uint64(SPREAD)) >> np.uint64(32) < np.uint64(self.below)
+
+    def _after(self, keys: list[int]) -> np.ndarray:
+        """The path that follows where the candidate at a place of a path is skipped."""
+        new = [k for k in keys if k not in self.next]
+        units, skipped = [], []
+        for key in new:
+            path, place = divmod(key, PLACES)
+            unit, before = self.known[path]
+            units.append(unit)
+            skipped.append((*before, int(self.candidates.data[self.candidates.start[path] + place])))
+        self.next.update(zip(new, self._found(units, skipped)))
+        return np.array([*map(self.next.get, keys)], np.int64)
+
+    def _found(self, units: list[str], skipped: list[tuple[int, ...]]) -> list[int]:
+        """New paths: the ids with these candidates skipped and no more, and those tried after the last of them."""
+        numbers = [0] * len(units)
+        if not units:
+            return numbers
         by_width: dict[int, list[int]] = defaultdict(list)
-        for i, (unit, _) in enumerate(units):
-            # pieces of blanks alone share one score: only the heap takes such ties by place
-            width = next((w for w in WIDTHS if len(unit) <= w), 0) if "  " not in unit and BLANK not in unit else 0
-            by_width[width].append(i)
+        for i, unit in enumerate(units):
+            # pieces of blanks alone share one score: only the agenda takes such ties by place
+            by_width[WIDTH_OF[len(unit)] if "  " not in unit and BLANK not in unit else 0].append(i)
         odd = by_width.pop(0, [])
         for width, places in by_width.items():
             for at in range(0, len(places), SIDE_BY_SIDE):
                 part = places[at : at + SIDE_BY_SIDE]
-                for i, ids in zip(part, self._side_by_side([units[i] for i in part], width)):
-                    if ids is None:
-                        odd.append(i)
-                    else:
-                        out[i] = ids
+                # a sign that the model lacks becomes several ids
+                fit = self._fits([units[i] for i in part])
+                if not fit.all():
+                    odd += [i for i, ok in zip(part, fit.tolist()) if not ok]
+                    part = [i for i, ok in zip(part, fit.tolist()) if ok]
+                if part:
+                    known = [(units[i], skipped[i]) for i in part]
+                    self._side_by_side(*map(list, zip(*known)), width)
+                    for k, i in enumerate(part, len(self.known)):
+                        numbers[i] = k
+                    self.known += known
         for i in odd:
-            unit, draw = units[i]
-            out[i] = array("i", self.by_heap(unit, self.key(unit, draw))).tobytes()
-        return out
+            tried: list[int] = []
+            ids = self._agenda(units[i], lambda c: tried.append(c) or c in skipped[i])  # noqa: B023
+            after = tried[tried.index(skipped[i][-1]) + 1 :] if skipped[i] else tried
+            numbers[i] = len(self.known)
+            self.known.append((units[i], skipped[i]))
+            self.ids.add(np.array(ids, np.int32), np.array([len(ids)]))
+            self.candidates.add(np.array(after, np.uint64), np.array([len(after)]))
+        return numbers
+
+    def _fits(self, units: list[str]) -> np.ndarray:
+        """Whether the model has all signs of a unit."""
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        return np.bincount(np.repeat(np.arange(len(units)), sizes), self.vocabulary.sign[points] < 0, len(units)) == 0
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank and id of what two pieces merge to, NEVER if nothing."""
@@ -175,41 +268,43 @@ class Segmenter:
         at = np.minimum(np.searchsorted(v.pair_key, wanted), len(v.pair_key) - 1)
         return np.where((left >= 0) & (right >= 0) & (v.pair_key[at] == wanted), v.pair_value[at], NEVER)
 
-    def _side_by_side(self, units: list[tuple[str, int]], width: int) -> list[bytes | None]:
-        """One row of pieces and one agenda of neighbours' merges per unit; each round takes every row's best candidate."""
+    def _side_by_side(self, units: list[str], skipped: list[tuple[int, ...]], width: int) -> None:
+        """One row of pieces and one agenda of neighbours' merges per unit; each round tries every row's best candidate."""
         v, n = self.vocabulary, len(units)
-        sizes = np.fromiter((len(u) for u, _ in units), np.int64, n)
-        points = np.frombuffer("".join(u for u, _ in units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, units), np.int64, n)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(n), sizes)
         part = np.full((n, width), -1, np.int32)
         part[row, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = v.sign[points]
-        lacking = np.bincount(row, v.sign[points] < 0, n) > 0
-        key = np.fromiter((self.key(u, k) for u, k in units), np.uint64, n)
+        gone = np.full((n, max(map(len, skipped))), LONG, np.uint64)
+        for i, candidates in enumerate(skipped if gone.shape[1] else []):
+            gone[i, : len(candidates)] = candidates
+        last = np.array([c[-1] if c else LONG for c in skipped], np.uint64)
         place = np.tile(np.arange(width, dtype=np.uint64), (n, 1))
         agenda = self._pairs(part[:, :-1], part[:, 1:])
-        out: list[bytes | None] = [None] * n
-        index = np.arange(n)
-        columns = np.arange(width)
-
-        def done(rows: np.ndarray) -> None:
-            for i, k, ids in zip(index[rows].tolist(), sizes[rows].tolist(), part[rows]):
-                if not lacking[i]:
-                    out[i] = ids[:k].tobytes()
-
+        ends, lengths = part.copy(), sizes.copy()
+        index, columns = np.arange(n), np.arange(width)
+        tried: list[tuple[np.ndarray, np.ndarray]] = []
+        # a row's candidates count from the last one skipped
+        counting = last == np.uint64(LONG)
         while len(index):
             at = agenda.argmin(axis=1)
             best = agenda[np.arange(len(index)), at]
             open_ = best != NEVER
             if not open_.all():
-                done(np.flatnonzero(~open_))
-                index, sizes, part, key, place, agenda, at, best = (x[open_] for x in (index, sizes, part, key, place, agenda, at, best))
+                ended = index[~open_]
+                ends[ended], lengths[ended] = part[~open_], sizes[~open_]
+                index, sizes, part, place, agenda, at, best = (x[open_] for x in (index, sizes, part, place, agenda, at, best))
                 if not len(index):
                     break
             rows = np.arange(len(index))
             piece = (best & 0xFFFFF).astype(np.int32)
-            if self.below:
-                candidate = place[rows, at] << np.uint64(20) | v.size[piece]
-                skip = ((key ^ candidate) * np.uint64(SPREAD) >> np.uint64(24)) & np.uint64(0xFFFFFFFF) < np.uint64(self.below)
+            candidate = place[rows, at] << np.uint64(20) | v.size[piece]
+            told = counting[index]
+            tried.append((index[told], candidate[told]))
+            if gone.shape[1]:
+                skip = (gone[index] == candidate[:, None]).any(axis=1)
+                counting[index[candidate == last[index]]] = True
                 agenda[rows[skip], at[skip]] = NEVER
                 rows, at, piece = rows[~skip], at[~skip], piece[~skip]
             # close the gap that the right piece leaves
@@ -228,15 +323,23 @@ class Segmenter:
             later = at > 0
             left[here[later], at[later] - 1] = self._pairs(moved[here[later], at[later] - 1], piece[later])
             agenda[rows] = left
-        return out
+        self.ids.add(ends[columns < lengths[:, None]], lengths)
+        of = np.concatenate([np.zeros(0, np.int64), *[i for i, _ in tried]])
+        candidates = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in tried]])
+        self.candidates.add(candidates[np.argsort(of, kind="stable")], np.bincount(of, minlength=n))
+
+    def by_heap(self, unit: str, draw: int) -> list[int]:
+        """Ids of one unit of any length by the agenda alone."""
+        below = self.below
+        return self._agenda(unit, lambda c: below and mixed_one(draw + c * SPREAD) >> 32 < below)
 
-    def by_heap(self, text: str, key: int) -> list[int]:
-        """The same for one unit of any length, with a heap and linked neighbours.
+    def _agenda(self, text: str, skip) -> list[int]:
+        """Merge by a heap of candidates and linked neighbours; ``skip`` is asked once for each candidate that comes up.
 
         A blank is written U+2581; that sign itself, like any sign the model lacks, becomes bytes.
         """
         part = [*text.replace(BLANK, "\0").replace(" ", BLANK)]
-        rank, below, n = self.vocabulary.rank.get, self.below, len(part)
+        rank, n = self.vocabulary.rank.get, len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank(part[i] + part[i + 1], NEVER)) != NEVER]
         heapify(agenda)
@@ -245,7 +348,7 @@ class Segmenter:
             j = after[i]
             if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
                 continue
-            if below and ((key ^ (i << 20 | size)) * SPREAD >> 24) & 0xFFFFFFFF < below:
+            if skip(i << 20 | size):
                 continue
             part[i] += part[j]
             part[j] = ""

@@ -118,18 +118,49 @@ def test_dropout_varies_and_decodes(spark):
     assert sp_dropout.encode(docs.limit(0)).count() == 0
 
 
-def test_both_agendas_agree():
-    """Units merged side by side in arrays come out as from the heap."""
+def test_remembered_paths_give_what_the_agenda_gives():
+    """Units merged together by remembered paths come out as each by itself, whatever is remembered."""
     import random
 
     rng = random.Random(1)
     units = [" " + "".join(rng.choice("etaoinéß\n9") for _ in range(rng.randint(0, 45))) for _ in range(600)]
     units += [" internationalisation", " aaaaaaaaaaaaaaaa", "𓀀y", "   ", "   x", "a▁b", "", " "]
-    for dropout in (0.0, 0.2):
-        segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), dropout, 3)
-        got = segmenter.merge([(u, i % 3) for i, u in enumerate(units)])
-        for i, (u, ids) in enumerate(zip(units, got)):
-            assert np.frombuffer(ids, np.int32).tolist() == segmenter.by_heap(u, segmenter.key(u, i % 3)), u
+    units *= 3
+    for dropout, kept in ((0.0, 10**6), (0.2, 10**6), (0.2, 50), (1.0, 10**6)):
+        segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), dropout, 3, kept)
+        draws = segmenter.draws([5], [len(units)])
+        for _ in range(2):
+            flat, sizes = segmenter.merge(units, draws)
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for unit, draw, ids in zip(units, draws.tolist(), parts):
+                assert ids.tolist() == segmenter.by_heap(unit, draw), unit
+
+
+def test_candidates_are_drawn_one_by_one():
+    """Any two candidates are skipped together as often as independent ones, and all segmentations that these give occur."""
+    import random
+    from collections import Counter
+
+    segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), 0.1, 3)
+    draws = segmenter.draws([1], [10**6])
+    candidates = [0 << 20 | 2, 1 << 20 | 2, 2 << 20 | 2, 0 << 20 | 3, 1 << 20 | 3, 0 << 20 | 4, 3 << 20 | 2, 3 << 20 | 5, 5 << 20 | 2, 9 << 20 | 7]
+    skips = np.array([segmenter._skips(draws, np.full(1, c, np.uint64)) for c in candidates])
+    together = (skips.astype(np.float32) @ skips.T.astype(np.float32)) / 10**6
+    assert (np.abs(np.diag(together) - 0.1) < 0.002).all()
+    assert (np.abs(together[~np.eye(10, dtype=bool)] - 0.01) < 0.001).all()
+    # also from one occurrence of a candidate to the next in a document
+    assert abs((skips[0][1:] & skips[0][:-1]).mean() - 0.01) < 0.001
+    rng = random.Random(2)
+    for word in (" between", " house", " water", " the", " nation", " internationalisation"):
+        n = 60_000
+        flat, sizes = segmenter.merge([word] * n, segmenter.draws([hash(word) % 1000], [n]))
+        seen = Counter(tuple(x) for x in np.split(flat, np.cumsum(sizes)[:-1]))
+        plain = Counter(tuple(segmenter._agenda(word, lambda c: rng.random() < 0.1)) for _ in range(n))
+        plain = {k for k, m in plain.items() if m > 3}
+        seen = {k for k, m in seen.items() if m > 3}
+        common = len(seen & plain)
+        # the rarest come up in one of both by chance
+        assert common >= 0.75 * max(len(seen), len(plain)) and len(seen) > 5, (word, len(seen), len(plain), common)
 
 
 def test_every_occurrence_draws_its_own_merges(spark):
