@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIT = regex.compile(r" *\p{L}+| *[^\p{L} \n]+|\n+| +")
 #: Paths that a worker remembers before it starts anew, and the longest units remembered.
-KEPT_PATHS = 300_000
+KEPT_PATHS = 800_000
 WIDTHS = (6, 8, 10, 12, 16, 24, 40)
 WIDE = WIDTHS[-1]
 WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDE + 1)]
@@ -117,32 +117,41 @@ class Vocabulary:
         self.name = xxhash.xxh64_hexdigest(repr([*self.rank.items()]).encode())
 
 
+class Column:
+    """Numbers in an array that grows."""
+
+    def __init__(self, dtype: type):
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(n, 2 * self.n) - self.n, self.data.dtype)])
+        self.data[self.n : n] = values
+        self.n = n
+
+
 class Pool:
-    """Lists of numbers one after another in an array that grows."""
+    """Lists of numbers one after another."""
 
     def __init__(self, dtype: type):
-        self.data = np.empty(1 << 12, dtype)
-        self.start, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.n = self.used = 0
+        self.values, self.start, self.size = Column(dtype), Column(np.int64), Column(np.int16)
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """More lists, all in a row."""
-        n, used = self.n + len(sizes), self.used + len(values)
-        while n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while used > len(self.data):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
-        self.data[self.used : used] = values
-        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : n] = sizes
-        self.n, self.used = n, used
+        self.start.add(self.values.n + np.cumsum(sizes) - sizes)
+        self.size.add(sizes)
+        self.values.add(values)
 
-    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the lists of these numbers in a row, their sizes)."""
-        size = self.size[numbers]
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the values of these lists lie, one list after another, and their sizes)."""
+        size = self.size.data[numbers].astype(np.int64)
         ends = np.cumsum(size)
-        at = np.arange(int(size.sum())) + np.repeat(self.start[numbers] - (ends - size), size)
-        return self.data[at], size
+        return np.arange(int(size.sum())) + np.repeat(self.start.data[numbers] - (ends - size), size), size
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, size = self.places(numbers)
+        return self.values.data[at], size
 
 
 class Segmenter:
@@ -154,10 +163,12 @@ class Segmenter:
         self._clear()
 
     def _clear(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.next: dict[int, int] = {}  # path and place of the candidate skipped -> path
-        self.known: list[tuple[str, tuple[int, ...]]] = []  # unit and candidates skipped of each path
-        self.ids, self.candidates = Pool(np.int32), Pool(np.uint64)
+        self.roots: dict[str, int] = {}  # path of a unit without a skip
+        self.units: list[str] = []
+        self.signs, self.width = Pool(np.int32), Column(np.int8)  # of each unit; width 0: by the agenda
+        self.ids, self.candidates = Pool(np.int32), Pool(np.uint64)  # of each path
+        self.unit, self.parent, self.skipped = Column(np.int32), Column(np.int32), Column(np.uint64)
+        self.next = Column(np.int32)  # of each candidate: the path that follows if it is skipped, 0 if not known
 
     def draws(self, documents: list[int], sizes: list[int]) -> np.ndarray:
         """One number for each unit of some documents, by document, seed and unit number."""
@@ -178,21 +189,26 @@ class Segmenter:
 
     def merge(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in a row, how many each has), each unit by its own draw."""
-        if len(self.known) > self.kept_paths:
+        if self.unit.n > self.kept_paths:
             self._clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.roots and len(u) <= WIDE]
-        self.roots.update(zip(new, self._found(new, [()] * len(new))))
-        path = np.array([*map(self.roots.get, units, repeat(-1))], np.int64)
+        found = [*map(self.roots.get, units)]
+        if None in found:
+            new = [*dict.fromkeys(u for u, f in zip(units, found) if f is None and len(u) <= WIDE)]
+            self.roots.update(zip(new, self._roots(new)))
+            found = [*map(self.roots.get, units, repeat(-1))]
+        path = np.array(found, np.int64)
         waiting = np.flatnonzero(path >= 0) if self.below else path[:0]
         while len(waiting):
-            candidates, size = self.candidates.take(path[waiting])
+            places, size = self.candidates.places(path[waiting])
             row = np.repeat(np.arange(len(waiting)), size)
-            skipped = np.flatnonzero(self._skips(draws[waiting][row], candidates))
+            skipped = np.flatnonzero(self._skips(draws[waiting][row], self.candidates.values.data[places]))
             rows, first = np.unique(row[skipped], return_index=True)
-            place = skipped[first] - (np.cumsum(size) - size)[rows]
-            waiting = waiting[rows]
-            keys, back = np.unique(path[waiting] * PLACES + place, return_inverse=True)
-            path[waiting] = self._after(keys.tolist())[back]
+            waiting, at = waiting[rows], places[skipped[first]]
+            new, first = np.unique(at[self.next.data[at] == 0], return_index=True)
+            if len(new):
+                of = path[waiting[self.next.data[at] == 0]][first]
+                self.next.data[new] = self._after(of, self.candidates.values.data[new])
+            path[waiting] = self.next.data[at]
         long = np.flatnonzero(path < 0)
         if not len(long):
             return self.ids.take(path)
@@ -209,57 +225,54 @@ class Segmenter:
     def _skips(self, draw: np.ndarray, candidate: np.ndarray) -> np.ndarray:
         return mixed(draw + candidate * np.uint64(SPREAD)) >> np.uint64(32) < np.uint64(self.below)
 
-    def _after(self, keys: list[int]) -> np.ndarray:
-        """The path that follows where the candidate at a place of a path is skipped."""
-        new = [k for k in keys if k not in self.next]
-        units, skipped = [], []
-        for key in new:
-            path, place = divmod(key, PLACES)
-            unit, before = self.known[path]
-            units.append(unit)
-            skipped.append((*before, int(self.candidates.data[self.candidates.start[path] + place])))
-        self.next.update(zip(new, self._found(units, skipped)))
-        return np.array([*map(self.next.get, keys)], np.int64)
-
-    def _found(self, units: list[str], skipped: list[tuple[int, ...]]) -> list[int]:
-        """New paths: the ids with these candidates skipped and no more, and those tried after the last of them."""
-        numbers = [0] * len(units)
-        if not units:
-            return numbers
-        by_width: dict[int, list[int]] = defaultdict(list)
-        for i, unit in enumerate(units):
-            # pieces of blanks alone share one score: only the agenda takes such ties by place
-            by_width[WIDTH_OF[len(unit)] if "  " not in unit and BLANK not in unit else 0].append(i)
-        odd = by_width.pop(0, [])
-        for width, places in by_width.items():
+    def _roots(self, units: list[str]) -> list[int]:
+        """Paths without a skip of new units."""
+        first = len(self.units)
+        self.units += units
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        signs = self.vocabulary.sign[points]
+        # a sign that the model lacks becomes several ids; pieces of blanks alone share one score, and only the agenda takes such ties by place
+        odd = np.bincount(np.repeat(np.arange(len(units)), sizes), signs < 0, len(units)) > 0
+        odd |= np.fromiter(("  " in u for u in units), bool, len(units))
+        self.signs.add(signs, sizes)
+        self.width.add(np.where(odd, 0, np.array(WIDTH_OF)[sizes]))
+        return self._found(np.arange(first, len(self.units)), np.zeros(len(units), np.int32), np.zeros((len(units), 0), np.uint64)).tolist()
+
+    def _after(self, paths: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """The paths that follow where a candidate of a path is skipped as well."""
+        gone, at = [candidates], paths
+        while (self.parent.data[at] > 0).any():
+            gone.append(np.where(self.parent.data[at] > 0, self.skipped.data[at], np.uint64(LONG)))
+            at = np.where(self.parent.data[at] > 0, self.parent.data[at] - 1, at)
+        return self._found(self.unit.data[paths], paths + 1, np.column_stack(gone))
+
+    def _found(self, units: np.ndarray, parents: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """New paths: the ids with these candidates skipped and no more, and those tried after the first named."""
+        numbers = np.empty(len(units), np.int64)
+        widths = self.width.data[units]
+        for width in np.unique(widths).tolist():
+            places = np.flatnonzero(widths == width)
             for at in range(0, len(places), SIDE_BY_SIDE):
                 part = places[at : at + SIDE_BY_SIDE]
-                # a sign that the model lacks becomes several ids
-                fit = self._fits([units[i] for i in part])
-                if not fit.all():
-                    odd += [i for i, ok in zip(part, fit.tolist()) if not ok]
-                    part = [i for i, ok in zip(part, fit.tolist()) if ok]
-                if part:
-                    known = [(units[i], skipped[i]) for i in part]
-                    self._side_by_side(*map(list, zip(*known)), width)
-                    for k, i in enumerate(part, len(self.known)):
-                        numbers[i] = k
-                    self.known += known
-        for i in odd:
+                numbers[part] = np.arange(self.unit.n, self.unit.n + len(part))
+                self.unit.add(units[part])
+                self.parent.add(parents[part])
+                self.skipped.add(gone[part, 0] if gone.shape[1] else np.zeros(len(part), np.uint64))
+                if width:
+                    self._side_by_side(units[part], gone[part], width)
+                else:
+                    self._one_by_one(units[part], gone[part])
+        self.next.add(np.zeros(self.candidates.values.n - self.next.n, np.int32))
+        return numbers
+
+    def _one_by_one(self, units: np.ndarray, gone: np.ndarray) -> None:
+        for unit, skipped in zip(units.tolist(), gone.tolist()):
             tried: list[int] = []
-            ids = self._agenda(units[i], lambda c: tried.append(c) or c in skipped[i])  # noqa: B023
-            after = tried[tried.index(skipped[i][-1]) + 1 :] if skipped[i] else tried
-            numbers[i] = len(self.known)
-            self.known.append((units[i], skipped[i]))
+            ids = self._agenda(self.units[unit], lambda c: tried.append(c) or c in skipped)  # noqa: B023
+            after = tried[tried.index(skipped[0]) + 1 :] if skipped else tried
             self.ids.add(np.array(ids, np.int32), np.array([len(ids)]))
             self.candidates.add(np.array(after, np.uint64), np.array([len(after)]))
-        return numbers
-
-    def _fits(self, units: list[str]) -> np.ndarray:
-        """Whether the model has all signs of a unit."""
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        return np.bincount(np.repeat(np.arange(len(units)), sizes), self.vocabulary.sign[points] < 0, len(units)) == 0
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank and id of what two pieces merge to, NEVER if nothing."""
@@ -268,18 +281,13 @@ class Segmenter:
         at = np.minimum(np.searchsorted(v.pair_key, wanted), len(v.pair_key) - 1)
         return np.where((left >= 0) & (right >= 0) & (v.pair_key[at] == wanted), v.pair_value[at], NEVER)
 
-    def _side_by_side(self, units: list[str], skipped: list[tuple[int, ...]], width: int) -> None:
+    def _side_by_side(self, units: np.ndarray, gone: np.ndarray, width: int) -> None:
         """One row of pieces and one agenda of neighbours' merges per unit; each round tries every row's best candidate."""
         v, n = self.vocabulary, len(units)
-        sizes = np.fromiter(map(len, units), np.int64, n)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.repeat(np.arange(n), sizes)
+        signs, sizes = self.signs.take(units)
         part = np.full((n, width), -1, np.int32)
-        part[row, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = v.sign[points]
-        gone = np.full((n, max(map(len, skipped))), LONG, np.uint64)
-        for i, candidates in enumerate(skipped if gone.shape[1] else []):
-            gone[i, : len(candidates)] = candidates
-        last = np.array([c[-1] if c else LONG for c in skipped], np.uint64)
+        part[np.repeat(np.arange(n), sizes), np.arange(len(signs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = signs
+        last = gone[:, 0] if gone.shape[1] else np.full(n, LONG, np.uint64)
         place = np.tile(np.arange(width, dtype=np.uint64), (n, 1))
         agenda = self._pairs(part[:, :-1], part[:, 1:])
         ends, lengths = part.copy(), sizes.copy()

@@ -1,8 +1,10 @@
 """WARC archives by way of a table of chunks.
 
-A payload is never handled as one piece: it becomes rows of (record, chunk
-number, bytes), each with the SHA-1 of the payload so far, cut at character
-boundaries about every ``CHUNK_BYTES``. Records of more than one chunk are
+Spark hands a cell of the input over whole. From there on a payload is rows of
+(record, chunk number, bytes), each with the SHA-1 of the payload so far, cut at
+character boundaries about every ``CHUNK_BYTES``: what is shuffled, sorted, written
+and read back are chunks. The digest of a whole payload and the record that it may
+refer to come from a light table of last chunks. Records of more than one chunk are
 written as WARC segments (a response and its continuations). Spark's text writer
 makes the files, one WARC record to a row; they are compressed, so a file is read
 by one task, in order, which checks the running digests chunk by chunk.
@@ -17,7 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import bound_batches, require, stored
@@ -26,7 +28,7 @@ from flowgauge.session import scratch_path
 CHUNK_BYTES = 64 << 10
 LEAST_REVISIT = 1000
 OUT_BYTES = 4 << 20
-CHUNKS = "page_id long, url string, html_hash long, chunk_no long, data binary, sha1 string, n_bytes long, last boolean"
+CHUNKS = "page_id long, url string, html_hash long, record long, chunk_no long, data binary, sha1 string, n_bytes long, last boolean"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -47,7 +49,7 @@ def cut(payload: memoryview, size: int) -> Iterator[memoryview]:
 def _chunker(size: int, with_data: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in CHUNKS.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
         rows: list[tuple] = []
         held = 0
 
@@ -56,9 +58,9 @@ def _chunker(size: int, with_data: bool):
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            ids, urls, marks = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            texts = batch.column(3).cast(pa.binary())
-            for page_id, url, mark, text in zip(ids, urls, marks, texts):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            texts = batch.column(4).cast(pa.binary())
+            for key, text in zip(keys, texts):
                 buffer = text.as_buffer()
                 payload = memoryview(buffer) if buffer is not None else memoryview(b"")
                 sha, done = hashlib.sha1(), 0
@@ -67,7 +69,7 @@ def _chunker(size: int, with_data: bool):
                     done += len(piece)
                     last = done == len(payload)
                     if with_data or last:
-                        rows.append((page_id, url, mark, k, bytes(piece) if with_data else None, sha.hexdigest(), done, last))
+                        rows.append((*key, k, bytes(piece) if with_data else None, sha.hexdigest(), done, last))
                         held += len(piece) + 100
                     if held > OUT_BYTES or len(rows) > 5000:
                         yield flush()
@@ -79,15 +81,17 @@ def _chunker(size: int, with_data: bool):
 
 
 def chunk_table(pages: DataFrame, size: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """Rows (page_id, url, html_hash, chunk_no, data, sha1, n_bytes, last) of every payload.
+    """Rows (page_id, url, html_hash, record, chunk_no, data, sha1, n_bytes, last) of every payload.
 
-    ``sha1`` and ``n_bytes`` run over the payload up to and including the chunk. A
+    ``record`` tells the rows of one page from those of another that is alike. ``sha1`` and ``n_bytes`` run over the payload up to and including the chunk. A
     null html is an empty payload of one empty chunk. Without data only last chunks
     come, as a table of digests.
     """
     require(pages, "page_id", "url", "html")
     bound_batches(pages.sparkSession)
-    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("html").alias("html_hash"), "html")
+    page, url = F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")
+    # a task that runs again makes all chunks of its pages anew, so a record's number is the same in all of them
+    light = pages.select(page, url, F.xxhash64("html").alias("html_hash"), F.monotonically_increasing_id().alias("record"), "html")
     return light.mapInArrow(_chunker(size, with_data), CHUNKS)
 
 
@@ -109,47 +113,43 @@ def _record(fields: list[tuple[str, str]], block: list[bytes], token: str) -> by
     return b"".join([f"WARC/1.1\r\nX-Archive: {token}\r\n{head}Content-Length: {size}\r\n\r\n".encode(), *block, b"\r\n\r"])
 
 
-def _segments(row: dict, size: int, token: str) -> Iterator[bytes]:
-    page_id, keeper = row["page_id"], row["keeper"]
-    page = "" if page_id is None else str(page_id)
-    origin = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}:{row['sha1']}")
-    digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-    uri = UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", row["url"] or "about:blank")
+def _is_revisit() -> Column:
+    return F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id"))
+
+
+def _segment(row: dict, token: str) -> bytes:
+    """The WARC record of one chunk: a response, a revisit or a continuation."""
+    page = "" if row["page_id"] is None else str(row["page_id"])
+    origin = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}:{row['whole']}")
+    running = ("X-Running-Digest", f"sha1:{row['sha1']}")
+    if row["chunk_no"]:
+        fields = [
+            ("WARC-Type", "continuation"),
+            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(origin, str(row['chunk_no']))}>"),
+            ("WARC-Date", "1970-01-01T00:00:00Z"),
+            ("WARC-Segment-Number", str(row["chunk_no"] + 1)),
+            ("WARC-Segment-Origin-ID", f"<urn:uuid:{origin}>"),
+            running,
+        ]
+        if row["last"]:
+            fields.append(("WARC-Segment-Total-Length", str(row["total"] + len(HTTP_HEAD))))
+        return _record(fields, [row["data"]], token)
     common = [
         ("WARC-Record-ID", f"<urn:uuid:{origin}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", uri),
-        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Target-URI", UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", row["url"] or "about:blank")),
+        ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(row['whole'])).decode()}"),
         ("X-Page", page),
-        ("X-Payload-Length", str(row["n_bytes"])),
+        ("X-Payload-Length", str(row["total"])),
     ]
-    if keeper is not None and keeper != page_id:
+    if row["revisit"]:
         fields = [("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-        target = uuid.uuid5(uuid.NAMESPACE_URL, f"{keeper}:{row['sha1']}")
-        yield _record([*fields, ("WARC-Refers-To", f"<urn:uuid:{target}>"), ("X-Refers-To-Page", str(keeper))], [HTTP_HEAD], token)
-        return
-    sha, done, total = hashlib.sha1(), 0, row["n_bytes"]
-    for k, piece in enumerate(cut(row["payload"], size)):
-        sha.update(piece)
-        done += len(piece)
-        running = ("X-Running-Digest", f"sha1:{sha.hexdigest()}")
-        if k == 0:
-            fields = [("WARC-Type", "response"), *common, ("Content-Type", "application/http;msgtype=response"), running]
-            if done < total:
-                fields.append(("WARC-Segment-Number", "1"))
-            yield _record(fields, [HTTP_HEAD, bytes(piece)], token)
-        else:
-            fields = [
-                ("WARC-Type", "continuation"),
-                ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(origin, str(k))}>"),
-                ("WARC-Date", "1970-01-01T00:00:00Z"),
-                ("WARC-Segment-Number", str(k + 1)),
-                ("WARC-Segment-Origin-ID", f"<urn:uuid:{origin}>"),
-                running,
-            ]
-            if done == total:
-                fields.append(("WARC-Segment-Total-Length", str(total + len(HTTP_HEAD))))
-            yield _record(fields, [bytes(piece)], token)
+        target = uuid.uuid5(uuid.NAMESPACE_URL, f"{row['keeper']}:{row['whole']}")
+        return _record([*fields, ("WARC-Refers-To", f"<urn:uuid:{target}>"), ("X-Refers-To-Page", str(row["keeper"]))], [HTTP_HEAD], token)
+    fields = [("WARC-Type", "response"), *common, ("Content-Type", "application/http;msgtype=response"), running]
+    if not row["last"]:
+        fields.append(("WARC-Segment-Number", "1"))
+    return _record(fields, [HTTP_HEAD, row["data"]], token)
 
 
 def write_archives(pages: DataFrame, path: str, size: int = CHUNK_BYTES, least: int = LEAST_REVISIT) -> str:
@@ -162,29 +162,24 @@ def write_archives(pages: DataFrame, path: str, size: int = CHUNK_BYTES, least:
     """
     require(pages, "page_id", "url", "html")
     types = record_types(stored(chunk_table(pages, size, with_data=False), "digests"), least)
-    kinds = types.select(F.col("page_id").alias("__page"), F.col("html_hash").alias("__hash"), "sha1", "n_bytes", "keeper")
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("html").alias("html_hash"), "html")
-    joined = full.join(kinds.hint("shuffle_hash"), full["page_id"].eqNullSafe(kinds["__page"]) & (full["html_hash"] == kinds["__hash"]))
+    kinds = types.select(
+        F.col("page_id").alias("__page"), F.col("html_hash").alias("__hash"), F.col("sha1").alias("whole"), F.col("n_bytes").alias("total"), "keeper"
+    )
+    chunks = chunk_table(pages, size)
+    same = chunks["page_id"].eqNullSafe(kinds["__page"]) & (chunks["html_hash"] == kinds["__hash"])
+    joined = chunks.join(kinds.hint("shuffle_hash"), same).withColumn("revisit", _is_revisit())
+    # a revisit is one record without its payload; the join has brought all chunks of a page into one partition
+    kept = joined.where("not revisit or chunk_no = 0").withColumn("data", F.when(~F.col("revisit"), F.col("data")))
+    rows = kept.select("page_id", "url", "html_hash", "record", "chunk_no", "data", "sha1", "last", "whole", "total", "keeper", "revisit")
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
         for batch in batches:
-            rows = batch.drop_columns(["html"]).to_pylist()
-            for row, text in zip(rows, batch.column("html").cast(pa.binary())):
-                buffer = text.as_buffer()
-                row["payload"] = memoryview(buffer) if buffer is not None else memoryview(b"")
-                for record in _segments(row, size, token):
-                    out.append(record)
-                    held += len(record)
-                    if held > OUT_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], names=["value"])
-                        out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], names=["value"])
-
-    rows = joined.select("page_id", "url", "html", "sha1", "n_bytes", "keeper").mapInArrow(run, "value string")
-    rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+            records = [_segment(row, token) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()).view(pa.string())], names=["value"])
+
+    ordered = rows.sortWithinPartitions("page_id", "html_hash", "record", "chunk_no")
+    ordered.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
     return token
 
 
