@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,6 +234,35 @@ def attack_fgsm_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(perturb.perturb(u, perturb.fgsm_linear(v.WEIGHTS, v.BIAS, 0.1), "fgsm"))
 
 
+#: Fixed weights of a network of three inputs, two hidden units and two classes.
+NETWORK = [([[1.5, -2.0, 0.75], [-0.5, 1.25, 2.0]], [0.1, -0.6]), ([[0.9, -1.1], [-0.4, 1.3]], [0.05, -0.2])]
+
+
+def _network_sql() -> str:
+    """The same network written out: hidden units, class scores, and the gradient's sign by each input."""
+
+    def total(weights: list[float], names: list[str], bias: float) -> str:
+        return " + ".join([*[f"CAST({w} AS DOUBLE) * {n}" for w, n in zip(weights, names)], f"CAST({bias} AS DOUBLE)"])
+
+    (w1, b1), (w2, b2) = NETWORK
+    hidden = ", ".join(f"1 / (1 + exp(-({total(w, v.FEATURES, b)}))) AS h{k}" for k, (w, b) in enumerate(zip(w1, b1)))
+    scores = ", ".join(f"{total(w, ['h0', 'h1'], b)} AS o{k}" for k, (w, b) in enumerate(zip(w2, b2)))
+    slopes = ", ".join(
+        " + ".join(f"CAST({(w2[1][k] - w2[0][k]) * w1[k][j]} AS DOUBLE) * h{k} * (1 - h{k})" for k in range(2)) + f" AS g{j}" for j in range(3)
+    )
+    moved = [f"least(greatest({c} + CAST(0.1 AS DOUBLE) * sign(g{j}) * CASE WHEN o0 >= o1 THEN 1 ELSE -1 END, 0), 1)" for j, c in enumerate(v.FEATURES)]
+    return f"""WITH {v.UNIT}, h AS (SELECT *, {hidden} FROM unit), o AS (SELECT *, {scores}, {slopes} FROM h)
+SELECT row_id, {_rounded_sql(moved)} FROM o"""
+
+
+@query("attack_fgsm_network", _network_sql())
+def attack_fgsm_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gradient step through a network's own layers."""
+    network = perturb.Network(v.FEATURES, [(np.array(w), np.array(b)) for w, b in NETWORK])
+    u = v.unit(spark, sf_dir)
+    return _shown(perturb.perturb(u, perturb.fgsm_network(v.FEATURES, network, 0.1), "fgsm"))
+
+
 @query("attack_fgsm_surrogate")
 def attack_fgsm_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)

@@ -268,3 +268,14 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nested_report")
 def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.nested_report(v.results(spark, sf_dir))
+
+
+@query("nested_report_losses", f"WITH {DROPS} SELECT * FROM drops")
+def nested_report_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The losses under attack as they stand in the nested report, read back from its JSON."""
+    loss = "struct<metric_key:string,clean_value:double,adversarial_value:double,absolute_drop:double,relative_drop_percent:double>"
+    kind = f"array<struct<dataset:string,adversarial_performance:array<struct<attack:string,performance_drop:array<{loss}>>>>>"
+    nested = report.nested_report(v.results(spark, sf_dir)).select("train_dataset", "model", F.inline(F.from_json("tested_on", kind)))
+    tests = nested.select("train_dataset", "model", F.col("dataset").alias("test_dataset"), F.inline("adversarial_performance"))
+    losses = tests.select("train_dataset", "model", "test_dataset", "attack", F.inline("performance_drop"))
+    return losses.select(*report.performance_drop(v.results(spark, sf_dir)).columns)

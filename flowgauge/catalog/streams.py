@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from flowgauge.catalog import views as v
 from flowgauge.catalog.models import MARKED, side_sql
 from flowgauge.catalog.registry import query
+from flowgauge.operators.detectors import decision_tree
+from flowgauge.operators.runs import ModelStore
+from flowgauge.session import scratch_path
 from flowgauge.streaming import streams as s
 
 
@@ -49,6 +52,36 @@ def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", F.unix_micros("window_start").alias("window_us"), "tn", "fp", "fn", "tp", "accuracy", "fp_rate")
 
 
+@query(
+    "stream_scored_sliding",
+    f"""WITH r AS (SELECT 'm' || CAST(user_id % 3 AS VARCHAR) AS run_id, epoch_us(ts) AS us, event_type IN ('error', 'purchase') AS t, user_id % 7 >= 3 AS p FROM events),
+w AS (SELECT *, us // 43200000000 * 43200000000 - CAST(k * 43200000000 AS BIGINT) AS window_us FROM r, range(0, 2) s(k)),
+c AS (SELECT run_id, window_us, count(*) FILTER (WHERE NOT t AND NOT p) AS tn, count(*) FILTER (WHERE NOT t AND p) AS fp,
+  count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE t AND p) AS tp FROM w GROUP BY run_id, window_us)
+SELECT run_id, window_us, tn, fp, fn, tp, round((tp + tn) / CAST(tn + fp + fn + tp AS DOUBLE), 5) AS accuracy,
+  round(fp / CAST(nullif(fp + tn, 0) AS DOUBLE), 5) AS fp_rate FROM c WHERE window_us + 86400000000 <= {WATERMARK} * 1000""",
+)
+def stream_scored_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows every twelve hours, scored by a tree that was trained and stored before the stream starts.
+
+    The tree learns which residues of the source alarm; it has to get all of them.
+    """
+    feature = (F.col("user_id") % 7).cast("double").alias("residue")
+    train = v.events(spark, sf_dir).select(feature, (F.col("user_id") % 7 >= 3).cast("int").alias("alarm"))
+    store = ModelStore(spark, scratch_path(spark, "stream-models"), "0f0f0f0f")
+    store.save(decision_tree(max_depth=4).fit(train, ["residue"], "alarm"), "tree", "events")
+    detector = s.stored_detector(store, "tree", "events")
+    rows = _events(spark, sf_dir).select(
+        "ts",
+        F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("run_id"),
+        F.col("event_type").isin(*v.ATTACKS).cast("int").alias("y_true"),
+        feature,
+    )
+    scored = s.stream_scores(rows, detector).select("ts", "run_id", "y_true", "y_pred")
+    out = s.drain(s.stream_confusion(scored, "ts", "1 day", "1 hour", ["run_id"], slide="12 hours"), "sliding")
+    return out.select("run_id", F.unix_micros("window_start").alias("window_us"), "tn", "fp", "fn", "tp", "accuracy", "fp_rate")
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, CAST(floor(value / 50) AS BIGINT) AS bin FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("ts", "user_id", "event_type", F.floor(F.col("value") / 50).alias("bin"))

@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
+    MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.hashing import hash_uniform
 from flowgauge.functions.scalars import BENIGN_NAME, attack_score, is_numeric, quote, resolve_benign
-from flowgauge.operators import anomaly
+from flowgauge.operators import anomaly, perturb
 from flowgauge.operators.fitted import Fitted, fit_min_max
 
 # class names are held on the driver and in every model; more than this is taken for a wrong column
@@ -255,6 +256,23 @@ class FeedForward:
         return ScaledDetector(scaler, _fit_pipeline(scaler.transform(df), features, target, fit, self.benign))
 
 
+def network_of(fitted: FittedDetector) -> perturb.Network | None:
+    """Weights of a detector that is a feed-forward network, with the scaling before it; None for any other."""
+    scaler, inner = (fitted.scaler, fitted.inner) if isinstance(fitted, ScaledDetector) else (None, fitted)
+    net = inner.model.stages[-1] if isinstance(inner, PipelineDetector) else None
+    if not isinstance(net, MultilayerPerceptronClassificationModel):
+        return None
+    sizes, flat, at, layers = net.getLayers(), net.weights.toArray(), 0, []
+    for n_in, n_out in zip(sizes, sizes[1:]):
+        # a layer's matrix lies column by column, its biases follow
+        w = flat[at : at + n_in * n_out].reshape(n_in, n_out).T
+        b = flat[at + n_in * n_out : at + n_in * n_out + n_out]
+        layers.append((w.copy(), b.copy()))
+        at += (n_in + 1) * n_out
+    low = {c: (lo, hi) for c, (lo, hi) in scaler.params.items()} if scaler else {}
+    return perturb.Network(list(inner.features), layers, low)
+
+
 @dataclass
 class AnomalyDetector:
     """Learns benign rows only; alarms on large standardised or reconstruction errors."""

@@ -8,8 +8,11 @@ row id) only.
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -109,6 +112,84 @@ def fgsm_linear(
     return {c: _clip(_x(c) + eps * (F.lit(float((w > 0) - (w < 0))) * side), *clip) for c, w in weights.items()}
 
 
+@dataclass
+class Network:
+    """A feed-forward network: matrix (to, from) and biases of each layer, sigmoids between, softmax at the end.
+
+    ``ranges`` holds the (least, greatest) value of each feature that was scaled to
+    0..1 before; features without one go in as they are.
+    """
+
+    features: list[str]
+    layers: list[tuple[np.ndarray, np.ndarray]]
+    ranges: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
+
+    def _scaled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the first layer, and by how much each feature moves its own."""
+        low, slope = np.zeros(x.shape[1]), np.ones(x.shape[1])
+        for i, c in enumerate(self.features):
+            if c in self.ranges and self.ranges[c][0] is not None:
+                least, most = self.ranges[c]
+                low[i], slope[i] = least, 1.0 / ((most - least) or 1.0)
+        return (x - low) * slope, slope
+
+    def _forward(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Outputs of each layer but the last, and the chances of the classes."""
+        outs = [x]
+        for w, b in self.layers[:-1]:
+            z = outs[-1] @ w.T + b
+            with np.errstate(over="ignore"):
+                outs.append(1.0 / (1.0 + np.exp(-z)))
+        w, b = self.layers[-1]
+        z = outs[-1] @ w.T + b
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return outs, e / e.sum(axis=1, keepdims=True)
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(self._scaled(x)[0])[1]
+
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """Signs of the loss gradient by each feature, for the class the network itself gives."""
+        scaled, slope = self._scaled(x)
+        outs, p = self._forward(scaled)
+        rows, own = np.arange(len(x)), p.argmax(axis=1)
+        delta = p.copy()
+        # what the other classes have: p - 1 would round to nothing
+        delta[rows, own] = 0.0
+        delta[rows, own] = -delta.sum(axis=1)
+        for (w, _), out in zip(self.layers[:0:-1], outs[:0:-1]):
+            delta = delta @ w * out * (1.0 - out)
+        return np.nan_to_num(np.sign(delta @ self.layers[0][0] * slope))
+
+
+def fgsm_network(
+    features: list[str],
+    network: Network,
+    eps: float | Column = 0.1,
+    clip: tuple[float | None, float | None] = (0.0, 1.0),
+) -> Cells:
+    """Step of size eps along the sign of the loss gradient of a network, for its own label.
+
+    The backward pass over its weights is array work on batches of rows. A row with
+    a missing feature has no gradient and stays as it is.
+    """
+    if not isinstance(eps, Column):
+        if eps <= 0:
+            raise ValueError("the gradient step needs eps > 0")
+        eps = F.lit(float(eps))
+
+    @F.pandas_udf("array<double>")
+    def signs(x: pd.Series) -> pd.Series:
+        out = np.zeros((len(x), len(network.features)))
+        rows = np.array([r is not None and np.isfinite(np.asarray(r, float)).all() for r in x], bool)
+        if rows.any():
+            out[rows] = network.steps(np.stack([np.asarray(r, float) for r in x[rows]]))
+        return pd.Series(list(out))
+
+    step = signs(F.array(*[_x(c) for c in network.features]))
+    return {c: _clip(_x(c) + eps * step[i], *clip) for i, c in enumerate(network.features) if c in features}
+
+
 def fit_surrogate(
     train: DataFrame,
     features: list[str],

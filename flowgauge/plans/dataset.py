@@ -5,33 +5,38 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.operators import profile, select, splits
 from flowgauge.operators.clean import align_tables
 from flowgauge.operators.fitted import ROW_STEPS, FittedChain, Step, fit_next
+from flowgauge.session import apart
 from flowgauge.sources.readers import SubFile, land, load_dataset
-from flowgauge.sources.sinks import write_splits
+from flowgauge.sources.sinks import read_splits, report_path, write_report, write_splits
 
 
 @dataclass
 class Prepared:
     """A preprocessed table, its fitted steps and a log of what each step did.
 
-    A logged step that removes rows keeps its result, so the rows can be counted
-    when the log is asked for.
+    Rows left by a step that removes some are observed by the job that writes the
+    table. ``unwritten`` is the table with its observations if nothing wrote it.
     """
 
     table: DataFrame
     chain: FittedChain
-    log: list[tuple[int, str, dict[str, str], DataFrame | None]] = field(default_factory=list)
+    log: list[tuple[int, str, dict[str, str], Observation | None]] = field(default_factory=list)
+    unwritten: DataFrame | None = None
 
     def step_table(self, run_id: str) -> DataFrame:
-        """(run_id, ord, action, detail); one column-pruned count per step that removes rows."""
+        """(run_id, ord, action, detail); no job, or one pass for all steps of a table that was never written."""
+        if self.unwritten is not None and any(seen for *_, seen in self.log):
+            self.unwritten.write.format("noop").mode("overwrite").save()
+        self.unwritten = None
         rows = []
-        for ord_, action, detail, after in self.log:
-            extra = {"rows_after": str(after.count())} if after is not None else {}
+        for ord_, action, detail, seen in self.log:
+            extra = {"rows_after": str(seen.get["rows"])} if seen is not None else {}
             rows.append((run_id, ord_, action, {**detail, **extra}))
         spark = self.table.sparkSession
         return spark.createDataFrame(rows, "run_id string, ord int, action string, detail map<string,string>")
@@ -42,28 +47,35 @@ def preprocess(df: DataFrame, steps: list[Step], row_id: str = "row_id", path: s
 
     Given a path, the table is written there after each step that removes copies
     and once at the end, so that later fits and the split read it instead of
-    computing all that came before again.
+    computing all that came before again. Fits read the plain table; only what is
+    written is observed, so a fit that stops early never tells a wrong count.
     """
     done, log, ready = [], [], []
+    watched = df
     for i, step in enumerate(steps):
         before = set(df.columns)
         if not ready:
             ready = fit_next(df, steps[i:], row_id)
         fitted = ready.pop(0)
-        df = fitted.transform(df)
+        df, watched = fitted.transform(df), fitted.transform(watched)
+        seen = None
+        if step.method in ROW_STEPS:
+            seen = Observation(f"{i}-{step.method}")
+            watched = apart(watched) if watched.sparkSession is df.sparkSession else watched
+            watched = watched.observe(seen, F.count(F.lit(1)).alias("rows"))
         if path is not None and (step.method == "remove_duplicate_rows" or i == len(steps) - 1):
             spark = df.sparkSession
-            df.write.mode("overwrite").parquet(f"{path}/{i}")
-            df = spark.read.schema(df.schema).parquet(f"{path}/{i}")
+            watched.write.mode("overwrite").parquet(f"{path}/{i}")
+            df = watched = spark.read.schema(df.schema).parquet(f"{path}/{i}")
         touched = fitted.params.get("columns") or fitted.params.get("classes") or list(fitted.params)
         detail = {
             "columns": ",".join(map(str, touched)) if isinstance(touched, list) else str(touched),
             "added": ",".join(sorted(set(df.columns) - before)),
             "dropped": ",".join(sorted(before - set(df.columns))),
         }
-        log.append((i, step.method, detail, df if step.method in ROW_STEPS else None))
+        log.append((i, step.method, detail, seen))
         done.append(fitted)
-    return Prepared(df, FittedChain(done), log)
+    return Prepared(df, FittedChain(done), log, watched if path is None else None)
 
 
 @dataclass(frozen=True)
@@ -109,11 +121,13 @@ def prepare(
     config_hash: str,
     selection: str = "none",
     selection_params: dict | None = None,
+    reports: bool = True,
 ) -> tuple[str, dict[str, Prepared]]:
     """Preprocess, select, split and store labelled tables; returns the path and the prepared datasets.
 
     A dataset is a table with a ``row_id``, or a list of input files, which are
-    loaded, labelled and landed as Parquet first.
+    loaded, labelled and landed as Parquet first. Reports of the stored split and
+    the log of all steps are written under ``root/reports/config_hash``.
     """
     base = f"{root}/prepared/{config_hash}"
     ready = {
@@ -124,6 +138,11 @@ def prepare(
     choose = select.FEATURE_SELECTION[selection]
     chosen = {name: choose(p.table, **(selection_params or {})) for name, p in prepared.items()}
     path = write_splits(split(chosen, plan), root, config_hash)
+    if reports:
+        steps_done = reduce(DataFrame.unionByName, [p.step_table(name) for name, p in prepared.items()])
+        tables_of = dataset_report(read_splits(spark, root, config_hash), plan.target, plan.benign)
+        for name, table in {**tables_of, "steps": steps_done}.items():
+            write_report(table, report_path(root, config_hash, name))
     return path, prepared
 
 

@@ -13,27 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import BENIGN_NAME
-from flowgauge.operators import metrics, perturb, runs
-from flowgauge.operators.detectors import LOADERS, Detector
-from flowgauge.sources.sinks import test_rows, train_rows
+from flowgauge.operators import metrics, perturb, report, runs
+from flowgauge.operators.collect import Resources
+from flowgauge.operators.detectors import LOADERS, Detector, network_of
+from flowgauge.sources.sinks import report_path, test_rows, train_rows, write_report
 
 
 @dataclass(frozen=True)
 class Attack:
-    """A named perturbation; ``gradient`` needs weights of a linear stand-in."""
+    """A named perturbation; ``gradient`` follows the detector's own network, or a linear stand-in where it has none."""
 
     name: str
     kind: str
     params: dict = field(default_factory=dict)
 
 
-# (table, features, parameters, linear stand-in or None) -> changed cells
-Maker = Callable[[DataFrame, list[str], dict, tuple[dict[str, float], float] | None], perturb.Cells]
+# what a gradient is taken of: the detector's network, or weights and bias of a linear stand-in
+Slope = perturb.Network | tuple[dict[str, float], float]
+# (table, features, parameters, slope or None) -> changed cells
+Maker = Callable[[DataFrame, list[str], dict, Slope | None], perturb.Cells]
 
 
 def _gradient(df, features, params, surrogate) -> perturb.Cells:
     if surrogate is None:
-        raise ValueError("a gradient attack needs a surrogate")
+        raise ValueError("a gradient attack needs a network or a surrogate")
+    if isinstance(surrogate, perturb.Network):
+        return perturb.fgsm_network(features, surrogate, **params)
     return perturb.fgsm_linear(*surrogate, **params)
 
 
@@ -84,8 +89,10 @@ class Evaluation:
     force_model: bool = False
     benign: str = BENIGN_NAME
     times: list[tuple[str, str, float]] = field(default_factory=list)
+    collectors: tuple[str, ...] = ("wall", "tasks")
 
     def __post_init__(self) -> None:
+        self.resources = Resources(self.spark, self.collectors)
         self.train_config = {
             "data": self.config_hash,
             "features": self.features,
@@ -154,9 +161,25 @@ class Evaluation:
         if self.ledger.stage() not in ("metrics_complete", "complete"):
             results_of(preds, None, self.benign, None, curves).write.mode("overwrite").parquet(path)
             self.ledger.set_stage("metrics_complete")
+            self.write_reports(self.spark.read.parquet(path))
             self.ledger.set_stage("complete")
         return self.spark.read.parquet(path)
 
+    def write_reports(self, results: DataFrame) -> None:
+        """Tables of the report of this run, and what its phases cost if any was measured now, under ``root/reports``."""
+        tables = {
+            "overview": report.run_overview(results),
+            "nested": report.nested_report(results),
+            "performance_drop": report.performance_drop(results),
+            "comparison": report.comparison_series(results),
+        }
+        if self.resources.rows:
+            tables["resources"] = self.resources.table()
+            if "tasks" in self.collectors:
+                tables["resource_summary"] = metrics.resource_summary(self.resources.samples(), ["run_id", "phase"], "cpu", "ram")
+        for name, table in tables.items():
+            write_report(table, report_path(self.root, self.key, name))
+
     def curves(self) -> DataFrame | None:
         """Accuracy by strength of every train and test pair, if a sweep was asked for."""
         return None if self.epsilons is None else self.spark.read.parquet(f"{self.root}/curves/{self.key}")
@@ -190,10 +213,10 @@ class Evaluation:
         # clean detection is timed for each test set by itself, without attacks
         for k, test_name in enumerate(names if self.cross else [name]):
             tests = test_rows(self.stored.where(F.col("dataset") == test_name), fold).withColumn("attack", F.lit(""))
-            with runs.timed(self.times, f"{run}|{test_name}", "test"):
+            with runs.timed(self.times, f"{run}|{test_name}", "test"), self.resources.phase(f"{run}|{test_name}", "test"):
                 predictions(fitted.transform(tests)).write.mode("append" if k else "overwrite").parquet(f"{out}/{leaf}")
         attacks = [a for a in self.attacks if a.kind != "gradient" or self.allow_surrogate]
-        surrogate = self._surrogate(name, fold, train) if any(a.kind == "gradient" for a in attacks) else None
+        surrogate = self._slope(name, fold, train, fitted) if any(a.kind == "gradient" for a in attacks) else None
         tests = test_rows(self.stored if self.cross else own, fold)
         if attacks:
             cells = {a.name: attack_cells(tests, self.features, a, surrogate) for a in attacks}
@@ -202,6 +225,10 @@ class Evaluation:
         if self.epsilons is not None:
             self._sweep(run, name, model, tests, fold, train, fitted)
 
+    def _slope(self, name, fold, train, fitted) -> Slope:
+        """The detector's own network, or the linear stand-in where there is none."""
+        return network_of(fitted) or self._surrogate(name, fold, train)
+
     def _surrogate(self, name, fold, train):
         """The linear stand-in of a training set, fitted once for all models."""
         if (name, fold) not in self._surrogates:
@@ -215,7 +242,7 @@ class Evaluation:
             found = store.load(LOADERS, model, name, fold, force=self.force_model)
             if found is not None:
                 return found
-        with runs.timed(self.times, run, "train"):
+        with runs.timed(self.times, run, "train"), self.resources.phase(run, "train"):
             fitted = detector.fit(train, self.features, self.target)
         store.save(fitted, model, name, fold)
         return fitted
@@ -228,7 +255,7 @@ class Evaluation:
         varied = {STRENGTH[first.kind]: eps} if first.kind in STRENGTH else {}
         if first.kind == "junk" and first.params.get("strength") is not None:
             varied = {"strength": eps}
-        surrogate = self._surrogate(name, fold, train) if first.kind == "gradient" else None
+        surrogate = self._slope(name, fold, train, fitted) if first.kind == "gradient" else None
         cells = attack_cells(rows, self.features, first, surrogate, **varied)
         moved = rows.select(
             *[F.when(eps > 0, cells[c]).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in rows.columns]

@@ -46,6 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same table in a session of its own with equal settings.
+
+    A session that has observed a query once can no longer be sent to tasks, and
+    fitted forests send theirs along with their training summary. Queries are
+    therefore observed in a session that nothing else uses.
+    """
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.logicalPlan())
+    return DataFrame(plan, SparkSession(spark.sparkContext, own))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

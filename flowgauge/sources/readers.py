@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,28 +60,83 @@ def list_formats(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return found
 
 
+def _options(reader):
+    reader = reader.option("header", True).option("ignoreLeadingWhiteSpace", True)
+    return reader.option("ignoreTrailingWhiteSpace", True).option("nanValue", "NaN")
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with header; blanks around names and cells are cut, missing tokens become NULL.
 
-    Types are inferred from all rows unless a schema pins them, which saves a scan.
-    Text columns that hold only numbers and missing tokens become DOUBLE.
+    Without a schema the cells of all rows are read twice: once as text to tell the
+    narrowest type that holds every cell of a column, and by the scan itself. Names
+    come from the heads of the files, which must have one header.
     """
-    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-    reader = reader.option("ignoreTrailingWhiteSpace", True).option("nanValue", "NaN")
     if schema is not None:
-        return fold_tokens(trim_names(reader.schema(schema).csv(path)))
-    df = fold_tokens(trim_names(reader.option("inferSchema", True).csv(path)))
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not text:
-        return fold_missing_nan(df)
-    bad = df.agg(
-        *[F.count_if(F.col(quote(c)).isNotNull() & _number(c).isNull()).alias(f"b{i}") for i, c in enumerate(text)],
-        *[F.count(F.col(quote(c))).alias(f"n{i}") for i, c in enumerate(text)],
-    ).collect()[0]
-    numeric = {c for i, c in enumerate(text) if bad[f"b{i}"] == 0 and bad[f"n{i}"] > 0}
-    return fold_missing_nan(
-        df.select(*[_number(c).alias(c) if c in numeric else F.col(quote(c)) for c in df.columns])
+        return fold_tokens(trim_names(_options(spark.read).schema(schema).csv(path)))
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    # files are looked at until one has a line
+    head = next((h for f in files for h in heads(spark, [f]).values()), None)
+    if head is None:
+        return spark.createDataFrame([], T.StructType([]))
+    names = _unique([c.strip() for c in next(csv.reader([head], escapechar="\\", skipinitialspace=True))])
+    plain = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = fold_tokens(trim_names(_options(spark.read).schema(plain).csv(path)))
+    kinds = infer_types(raw)
+    return fold_missing_nan(raw.select(*[_typed(c, kinds[c]).alias(c) for c in raw.columns]))
+
+
+def _unique(cells: list[str]) -> list[str]:
+    """Names as the scan itself would give them: blank ones by number, repeated ones with their number."""
+    named = [c if c else f"_c{i}" for i, c in enumerate(cells)]
+    lower = [c.lower() for c in named]
+    return [c if lower.count(low) == 1 else f"{c}{i}" for i, (c, low) in enumerate(zip(named, lower))]
+
+
+# narrowest first; a column gets the first type that all of its cells have
+TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+ANY = 1 << len(TYPES)
+
+
+def infer_types(text: DataFrame) -> dict[str, str]:
+    """Type of each text column, from one aggregate of one number per column over all rows.
+
+    A cell tells the types that it does not have as bits; bits of all cells are
+    merged, so any order and partitioning of rows gives the same types. Columns
+    without a value stay text.
+    """
+    if not text.columns:
+        return {}
+    row = text.agg(*[F.bit_or(_lacking(c)).alias(f"m{i}") for i, c in enumerate(text.columns)]).collect()[0]
+    out = {}
+    for i, c in enumerate(text.columns):
+        lacking = row[f"m{i}"] or 0
+        out[c] = next((t for k, t in enumerate(TYPES) if lacking & ANY and not lacking >> k & 1), "string")
+    return out
+
+
+def _lacking(c: str) -> Column:
+    """Bits of the types that a cell does not have, and one that there is a value; null for none."""
+    v = F.col(quote(c))
+    whole = v.rlike(r"^[+-]?[0-9]+$")
+    day = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    moment = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9:]+)?$")
+    has = (
+        whole & v.try_cast("int").isNotNull(),
+        whole & v.try_cast("bigint").isNotNull(),
+        _number(c).isNotNull(),
+        F.lower(v).isin("true", "false"),
+        day & v.try_cast("date").isNotNull(),
+        (day | moment) & v.try_cast("timestamp").isNotNull(),
     )
+    bits = sum((F.when(h, 0).otherwise(1 << k) for k, h in enumerate(has)), F.lit(ANY))
+    return F.when(v.isNotNull(), bits)
+
+
+def _typed(c: str, kind: str) -> Column:
+    if kind == "string":
+        return F.col(quote(c))
+    return _number(c) if kind == "double" else F.col(quote(c)).try_cast(kind)
 
 
 def _number(c: str):
@@ -130,17 +187,37 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return union_tables(tables) if tables else None
 
 
+HEAD_BYTES = 1 << 16
+
+
+def heads(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """First line of each file, from the first bytes of the files alone; files without one are left out."""
+
+    def head(path: str) -> str:
+        target, fs = _fs(spark, path)
+        stream = fs.open(target)
+        try:
+            line = bytearray()
+            while b"\n" not in line:
+                part = bytes(stream.readNBytes(HEAD_BYTES))
+                if not part:
+                    break
+                line += part
+        finally:
+            stream.close()
+        return line.split(b"\n", 1)[0].decode("utf-8-sig", "replace").rstrip("\r")
+
+    with ThreadPoolExecutor(16) as pool:
+        found = dict(zip(files, pool.map(head, files)))
+    return {path: line for path, line in found.items() if line.strip()}
+
+
 def files_by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """Files grouped by their first line, found in one job; empty files are left out."""
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("at"),
-        "value",
-    )
-    numbered = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id())
-    heads = numbered.groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    groups = heads.where("header <> ''").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return [[unquote(p) for p in r["paths"]] for r in groups.orderBy("header").collect()]
+    """Files grouped by their first line; empty files are left out."""
+    groups: dict[str, list[str]] = {}
+    for path, line in sorted(heads(spark, files).items()):
+        groups.setdefault(line, []).append(path)
+    return [groups[line] for line in sorted(groups)]
 
 
 def row_ids(df: DataFrame) -> DataFrame:

@@ -38,3 +38,12 @@ def test_rows(df: DataFrame, fold: int | None = None) -> DataFrame:
 def write_report(df: DataFrame, path: str) -> None:
     """Report tables are small; one JSON file each."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def report_path(root: str, config_hash: str, name: str) -> str:
+    return f"{root.rstrip('/')}/reports/{config_hash}/{name}"
+
+
+def read_report(spark: SparkSession, root: str, config_hash: str, name: str) -> DataFrame:
+    """A written report; fails when it was never written."""
+    return spark.read.json(report_path(root, config_hash, name))

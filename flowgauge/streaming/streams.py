@@ -17,9 +17,11 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 from flowgauge.functions.scalars import BENIGN_NAME
+from flowgauge.operators.detectors import LOADERS, FittedDetector
 from flowgauge.operators.flows import ACTIVE_MS, IDLE_MS, endpoint_key
 from flowgauge.operators.labeling import TimeWindow, label_time_windows
 from flowgauge.operators.metrics import binary_counts, flags
+from flowgauge.operators.runs import ModelStore
 from flowgauge.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +82,19 @@ def stream_confusion(
     )
 
 
+def stream_scores(rows: DataFrame, detector: FittedDetector) -> DataFrame:
+    """Rows of a stream with ``y_pred``, ``score`` and ``proba`` of a fitted detector, which is read once, before the stream starts."""
+    return detector.transform(rows)
+
+
+def stored_detector(store: ModelStore, model: str, dataset: str, fold: int | None = None) -> FittedDetector:
+    """The detector of a finished training run; fails when there is none for this configuration."""
+    found = store.load(LOADERS, model, dataset, fold)
+    if found is None:
+        raise FileNotFoundError(f"no stored detector {model!r} of {dataset!r} for configuration {store.config!r}")
+    return found
+
+
 def stream_dedup(rows: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFrame:
     """First row per key within the watermark horizon."""
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

@@ -2,13 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.catalog import views
-from flowgauge.operators import detectors, report, runs
+from flowgauge.operators import collect, detectors, metrics, perturb, report, runs
 from flowgauge.operators.fitted import FittedChain, Step, fit_chain
-from flowgauge.plans.dataset import SplitPlan, dataset_report, prepare, split
+from flowgauge.plans.dataset import SplitPlan, dataset_report, prepare, preprocess, split
 from flowgauge.plans.evaluation import Attack, Evaluation, results_of, runtime_results
 from flowgauge.sources import readers, sinks
 
@@ -160,6 +161,10 @@ def test_csv_files_to_report(spark, tmp_path):
     assert table.count() == 120 and table.select("row_id").distinct().count() == 120
     rep = dataset_report(table, "target_label")
     assert {(r["split"], r["n_rows"]) for r in rep["metadata"].collect()} == {("train", 84), ("test", 36)}
+    written = sinks.read_report(spark, str(tmp_path / "run"), "abcd0000", "metadata")
+    assert {(r["split"], r["n_rows"]) for r in written.collect()} == {("train", 84), ("test", 36)}
+    steps = {r["action"]: r["detail"] for r in sinks.read_report(spark, str(tmp_path / "run"), "abcd0000", "steps").collect()}
+    assert steps["remove_duplicate_rows"]["rows_after"] == "120" and steps["label"]["rows_after"] is None
 
 
 def test_neighbouring_fits_share_a_pass(spark, monkeypatch):
@@ -281,3 +286,102 @@ def test_ledger_and_plan(spark, tmp_path):
     with pytest.raises(ValueError):
         runs.evaluation_plan(ds, ["m"], cross=True, folds=3)
     assert runs.config_hash({"b": 1, "a": [2]}) == runs.config_hash({"a": [2], "b": 1})
+
+
+def test_cell_types(spark, tmp_path):
+    cells = {
+        "i": ["1", "-5", "n/a", "7"], "l": ["1", "9999999999", "", "2"], "d": ["1", "2.5", "inf", "1e3"], "b": ["true", "False", "NA", "true"],
+        "day": ["2024-01-01", "2024-02-30", "2024-03-01", ""], "date": ["2024-01-01", "2024-02-29", "", "2023-01-01"],
+        "t": ["2024-01-01 10:00:00", "2024-01-02", "", "2024-01-03T01:02:03.5"], "s": ["a", "1", "2", "3"], "none": ["", "NaN", "null", ""], "zip": ["007", "1d", "2", "3"],
+    }
+    lines = [",".join(cells), *[",".join(r) for r in zip(*cells.values())]]
+    (tmp_path / "a b.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = readers.read_any(spark, str(tmp_path))
+    kinds = dict(df.dtypes)
+    assert kinds == {"i": "int", "l": "bigint", "d": "double", "b": "boolean", "day": "string", "date": "date", "t": "timestamp", "s": "string", "none": "string", "zip": kinds["zip"]}
+    rows = df.collect()
+    assert [r["d"] for r in rows] == [1.0, 2.5, float("inf"), 1000.0] and [r["i"] for r in rows] == [1, -5, None, 7]
+    assert all(r["none"] is None for r in rows) and [r["b"] for r in rows] == [True, False, None, True]
+    odd = tmp_path / "odd.csv"
+    odd.write_text('"x, y",x,X,\n1,2,3,4\n')
+    assert readers.read_csv(spark, str(odd)).columns == spark.read.option("header", True).csv(str(odd)).columns
+
+
+def test_row_counts_of_steps_come_from_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 5), None if i % 7 == 0 else 1.0) for i in range(100)], "row_id bigint, a double, b double")
+    steps = [Step("remove_nan_rows"), Step("min_max", ("a",)), Step("remove_duplicate_rows")]
+    sc = spark.sparkContext
+    for path, jobs in ((str(tmp_path / "p"), 0), (None, 1)):
+        done = preprocess(df, steps, path=path)
+        before = set(sc.statusTracker().getJobIdsForGroup("steps"))
+        sc.setJobGroup("steps", "steps")
+        log = done.step_table("r")
+        ran = set(sc.statusTracker().getJobIdsForGroup("steps")) - before
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert bool(ran) == bool(jobs)
+        counts = {r["action"]: r["detail"].get("rows_after") for r in log.collect()}
+        assert counts == {"remove_nan_rows": str(sum(i % 7 != 0 for i in range(100))), "min_max": None, "remove_duplicate_rows": str(done.table.count())}
+
+
+def test_collectors_of_phases(spark, monkeypatch):
+    class Rows:
+        def start(self, spark, group):
+            self.group = group
+
+        def stop(self, spark, group):
+            return {"same_group": float(group == self.group)}
+
+    monkeypatch.setitem(collect.COLLECTORS, "mine", Rows)
+    used = collect.Resources(spark, ("wall", "tasks", "mine"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "outer")
+    with used.phase("r1", "train"):
+        spark.range(0, 200_000, 1, 5).repartition(3).selectExpr("sum(id * id)").collect()
+    with pytest.raises(ZeroDivisionError), used.phase("r1", "test"):
+        1 / 0
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "outer"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r["phase"], r["collector"], r["metric_key"]): r["value"] for r in used.table().collect()}
+    assert got["train", "tasks", "tasks"] >= 8 and got["train", "tasks", "task_s"] > 0 and got["train", "tasks", "shuffle_mb"] > 0
+    assert got["test", "tasks", "jobs"] == 0 and got["test", "mine", "same_group"] == 1 and got["train", "wall", "runtime_s"] > 0
+    summary = {r["phase"]: r for r in metrics.resource_summary(used.samples(), ["run_id", "phase"], "cpu", "ram").collect()}
+    assert summary["train"]["max_cpu_percent"] > 0 and summary["test"]["cpu_sample_count"] == 1
+    with pytest.raises(KeyError, match="nope"):
+        collect.Resources(spark, ("nope",))
+
+
+def test_gradient_of_the_own_network(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 3)) * [1.0, 5.0, 1.0]
+    y = (x[:, 0] * 5 + x[:, 1] > 5).astype(int)
+    rows = [(i, *map(float, r), int(t), "D0", "train" if i % 3 else "test") for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row_id bigint, x1 double, x2 double, x3 double, target_label int, dataset string, split string")
+    features = ["x1", "x2", "x3"]
+    fitted = detectors.FeedForward((3, 5, 4), max_iter=30).fit(df, features, "target_label")
+    net = detectors.network_of(fitted)
+    scored = fitted.transform(df).orderBy("row_id").collect()
+    assert np.allclose(net.chances(x)[:, 1], [r["proba"]["1"] for r in scored], atol=1e-9)
+    # against differences of the loss
+    own = net.chances(x).argmax(axis=1)
+    signs = net.steps(x)
+    for j in range(3):
+        low, high = x.copy(), x.copy()
+        low[:, j] -= 1e-5
+        high[:, j] += 1e-5
+        slope = [np.log(net.chances(low)[k, c]) - np.log(net.chances(high)[k, c]) for k, c in enumerate(own)]
+        clear = np.abs(slope) > 1e-9
+        assert clear.sum() > 200 and (np.sign(slope)[clear] == signs[clear, j]).all()
+    odd = df.withColumn("x2", F.when(F.col("row_id") == 5, F.lit(None)).when(F.col("row_id") == 6, float("nan")).otherwise(F.col("x2")))
+    moved = {r["row_id"]: r for r in perturb.perturb(odd, perturb.fgsm_network(features, net, 0.1, (None, None)), "g").collect()}
+    assert all(abs(moved[i]["x1"] - x[i, 0] - 0.1 * signs[i, 0]) < 1e-12 for i in range(300) if i not in (5, 6)) and moved[5]["x1"] == x[5, 0]
+    # an evaluation follows the network and needs no stand-in; its report is on disk
+    monkeypatch.setattr(perturb, "fit_surrogate", lambda *a, **k: pytest.fail("a stand-in was fitted"))
+    ev = Evaluation(spark, df, features, "target_label", {"net": detectors.FeedForward((3, 5, 4), max_iter=30)}, str(tmp_path), "fade0000", attacks=[Attack("fgsm", "gradient", {"eps": 0.3, "clip": (None, None)})])
+    res = ev.results()
+    value = {r["attack"]: r["value"] for r in res.where("metric_key = 'test_accuracy'").collect()}
+    assert value["fgsm"] < value[None] - 0.1
+    written = sinks.read_report(spark, str(tmp_path), ev.key, "nested").collect()
+    assert json.loads(written[0]["tested_on"])[0]["adversarial_performance"][0]["attack"] == "fgsm"
+    spent = {(r["phase"], r["metric_key"]) for r in sinks.read_report(spark, str(tmp_path), ev.key, "resources").collect()}
+    assert {("train", "task_s"), ("test", "runtime_s")} <= spent
+    assert detectors.network_of(detectors.AnomalyDetector().fit(df, features, "target_label")) is None
