@@ -107,6 +107,26 @@ def test_archives_of_odd_pages(spark, tmp_path):
     assert warc.read_archives(spark, empty, warc.write_archives(df.limit(0), empty)).count() == 0
 
 
+def test_payloads_beyond_a_batch_travel_as_chunks(spark, tmp_path):
+    import hashlib
+
+    big = "".join(f"{i} é\n" for i in range(1_600_000))
+    rows = [(1, "u", big), (2, "u", big + "x"), (1, "u", big), (3, "u", big)] + [(k, "u", f"small {k}") for k in range(4, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert len(big.encode()) > 2 * (8 << 20)
+    path = str(tmp_path / "w")
+    token = warc.write_archives(df, path)
+    lines = spark.read.option("lineSep", f"WARC/1.1\r\nX-Archive: {token}\r\n").text(path)
+    assert lines.agg(F.max(F.octet_length("value"))).first()[0] < 3 * warc.CHUNK_BYTES
+    got = {}
+    for r in warc.read_archives(spark, path, token).collect():
+        got.setdefault(r["page_id"], []).append((r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]))
+    sha = hashlib.sha1(big.encode()).hexdigest()
+    n = len(big.encode())
+    assert got[1] == [(n, sha, "revisit", 3)] * 2 and got[3] == [(n, sha, "response", None)]
+    assert got[2][0][:3] == (n + 1, hashlib.sha1(f"{big}x".encode()).hexdigest(), "response") and len(got) == 39
+
+
 def test_damaged_archives_raise(spark, tmp_path):
     import glob
     import gzip
