@@ -108,7 +108,27 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("log_score", F.round("log_score", 4))
 
 
-@query("op6_stupid_backoff_trigrams")
+@query(
+    "op6_stupid_backoff_trigrams",
+    r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, unnest(w) AS cur, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 THEN w[i - 1] END)) AS prev,
+    unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 2 THEN w[i - 2] END)) AS first FROM t),
+one AS (SELECT cur, count(*) AS n FROM g GROUP BY cur),
+two AS (SELECT prev, cur, count(*) AS n FROM g WHERE prev IS NOT NULL GROUP BY prev, cur),
+three AS (SELECT first, prev, cur, count(*) AS n FROM g WHERE first IS NOT NULL GROUP BY first, prev, cur),
+s AS (SELECT r, CASE WHEN three.n >= 2 THEN ln(three.n / q.n)
+        ELSE CASE WHEN g.first IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN two.n >= 2 THEN ln(two.n / p.n)
+            ELSE CASE WHEN g.prev IS NULL THEN 0 ELSE ln(0.4) END + ln(c.n / (SELECT count(*) FROM g)) END END AS score,
+        (g.first IS NOT NULL AND three.n < 2) OR (g.first IS NULL AND g.prev IS NOT NULL AND two.n < 2) AS backed
+    FROM g JOIN one c ON g.cur = c.cur LEFT JOIN one p ON g.prev = p.cur LEFT JOIN two ON g.prev = two.prev AND g.cur = two.cur
+    LEFT JOIN two q ON g.first = q.prev AND g.prev = q.cur LEFT JOIN three ON g.first = three.first AND g.prev = three.prev AND g.cur = three.cur),
+d AS (SELECT r, sum(score) AS score, count_if(backed) AS backed FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 4) AS log_score, CAST(coalesce(backed, 0) AS BIGINT) AS n_backoff
+FROM t LEFT JOIN d USING (r)
+""",
+)
 def op6_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_backoff.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
     return scored.withColumn("log_score", F.round("log_score", 4))
