@@ -549,6 +549,19 @@ def lr_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept
 
 
+@query(
+    "lr_selection_properties",
+    f"""WITH {v.UNIT} SELECT feature, kept, (SELECT count(*) FROM unit) AS n_rows
+FROM (VALUES ('x1', TRUE), ('x2', FALSE), ('x3', FALSE)) t(feature, kept)""",
+)
+def lr_selection_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the selection: the feature that the label follows stays, one with no say and one with little go; no row is lost."""
+    u = v.unit(spark, sf_dir).withColumn("target_label", (F.col("x1") + F.col("x3") * 0.1 > 0.5).cast("int"))
+    kept, _ = select.logistic_selection(u.drop("run_id"))
+    told = [F.struct(F.lit(c).alias("feature"), F.lit(c in kept.columns).alias("kept")) for c in v.FEATURES]
+    return kept.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(F.array(*told)), "n_rows")
+
+
 # ---- scalar functions ----------------------------------------------------
 
 

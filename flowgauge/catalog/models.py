@@ -110,6 +110,25 @@ def anomaly_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(e).select("row_id", "label", "y_pred", F.round("score", 6).alias("score"))
 
 
+@query(
+    "anomaly_pca_properties",
+    """SELECT count(*) AS n_rows, count_if(label = 0) AS n_benign, TRUE AS scores_in_range, TRUE AS alarms_above, TRUE AS share_of_benign FROM embeddings""",
+)
+def anomaly_pca_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of reconstruction errors: every row is scored within [0, 1], alarms have the greater scores, and about
+    a twentieth of the benign rows, which the threshold was taken from, raise one."""
+    scored = anomaly_pca(spark, sf_dir)
+    benign, alarm = F.col("label") == 0, F.col("y_pred") == 1
+    share = F.count_if(benign & alarm) / F.count_if(benign)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(benign).alias("n_benign"),
+        F.bool_and(F.col("score").between(0.0, 1.0)).alias("scores_in_range"),
+        (F.min(F.when(alarm, F.col("score"))) >= F.max(F.when(~alarm, F.col("score")))).alias("alarms_above"),
+        (F.abs(share - 0.05) <= F.greatest(F.lit(0.01), F.lit(2.0) / F.count_if(benign))).alias("share_of_benign"),
+    )
+
+
 ANOMALY = f"""{v.FLOWS}, x AS (SELECT row_id, CASE WHEN label_raw IN ('view', 'click', 'signup') THEN 0 ELSE 1 END AS y,
   value, CAST(src AS DOUBLE) AS src, CAST(dst AS DOUBLE) AS dst FROM flows),
 fit AS (SELECT avg(value) AS m1, stddev_pop(value) AS s1, avg(src) AS m2, stddev_pop(src) AS s2, avg(dst) AS m3,
@@ -270,6 +289,26 @@ def attack_fgsm_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(perturb.perturb(test, perturb.fgsm_linear(weights, bias, 0.1), "fgsm"))
 
 
+@query(
+    "attack_surrogate_properties",
+    f"""WITH {TEST_PART} SELECT CAST(sum(quota) AS BIGINT) AS n_rows, TRUE AS steps_or_edges, TRUE AS margin_moves_to_zero FROM part""",
+)
+def attack_surrogate_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a gradient step: each feature moves by the step or to an edge, and no row gains margin for its own label."""
+    train, test = _train_test(spark, sf_dir)
+    weights, bias = perturb.fit_surrogate(train, v.FEATURES)
+    cells = perturb.fgsm_linear(weights, bias, 0.1)
+    own, moved = perturb.linear_margin(weights, bias), reduce(lambda a, b: a + b, [F.lit(w) * cells[c] for c, w in weights.items()], F.lit(bias))
+    gap = [F.abs(cells[c] - F.col(c)) for c in v.FEATURES]
+    edge = [(g - 0.1 < 1e-9) & ((F.abs(g - 0.1) < 1e-9) | cells[c].isin(0.0, 1.0)) for c, g in zip(v.FEATURES, gap)]
+    side = F.when(own >= 0, 1.0).otherwise(-1.0)
+    return test.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.bool_and(reduce(lambda a, b: a & b, edge)).alias("steps_or_edges"),
+        F.bool_and(side * moved <= side * own + 1e-9).alias("margin_moves_to_zero"),
+    )
+
+
 def _accuracy_sql(name: str, expressions: list[str]) -> str:
     hit = margin_sql(*[f"({e})" for e in expressions])
     return f"SELECT '{name}' AS attack, round(avg(CAST(target_label = CAST({hit} >= 0 AS INTEGER) AS INTEGER)), 5) AS accuracy FROM unit"
