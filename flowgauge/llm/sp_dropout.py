@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIT = regex.compile(r" *\p{L}+| *[^\p{L} \n]+|\n+| +")
 #: Paths that a worker remembers before it starts anew, and the longest units remembered.
-KEPT_PATHS = 800_000
+KEPT_PATHS = 600_000
 WIDTHS = (6, 8, 10, 12, 16, 24, 40)
 WIDE = WIDTHS[-1]
 WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDE + 1)]
