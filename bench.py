@@ -51,6 +51,9 @@ HEADLINE = [
     "stream_mttd",
     "stream_flows",
     "stream_flows_active",
+    "label_time_windows_long",
+    "stream_scored_sliding",
+    "attack_fgsm_network",
 ]
 
 
