@@ -95,7 +95,7 @@ def csv_to_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "run")
     # a table without text columns: the step finds none and is skipped
     steps = [Step("min_max", ("u",)), Step("one_hot", ())]
-    prepare(spark, {"D0": files}, {"D0": steps}, SplitPlan(test_size=0.3), root, "0a0a0a0a")
+    prepare(spark, {"D0": files}, {"D0": steps}, SplitPlan(test_size=0.3), root, "0a0a0a0a", reports=False)
     table = read_splits(spark, root, "0a0a0a0a")
     return table.groupBy("target_label", "split").agg(F.count(F.lit(1)).alias("n"))
 
