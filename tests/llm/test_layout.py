@@ -110,7 +110,7 @@ def test_archives_of_odd_pages(spark, tmp_path):
 def test_payloads_beyond_a_batch_travel_as_chunks(spark, tmp_path):
     import hashlib
 
-    big = "".join(f"{i} é\n" for i in range(1_600_000))
+    big = "".join(f"{i} é\n" for i in range(1_800_000))
     rows = [(1, "u", big), (2, "u", big + "x"), (1, "u", big), (3, "u", big)] + [(k, "u", f"small {k}") for k in range(4, 40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     assert len(big.encode()) > 2 * (8 << 20)
