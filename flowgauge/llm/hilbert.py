@@ -1,10 +1,10 @@
 """Sharding along a Hilbert curve over several metadata columns.
 
-Each column is quantised to 2**bits levels at quantiles of a bounded sample (they
-shape the cells only; every row gets a place whatever the sample). Rows are
-sorted by their index on the curve, ties by a hash of the id, and the order is
-cut into runs of equal length, so that a shard covers a compact region and the
-least and greatest values of its files prune in every dimension.
+Each column is quantised to 2**bits levels at exact quantiles of all rows, or at
+all its values if they are few. Rows are sorted by their index on the curve, ties
+by a hash of the id, and the order is cut into runs of equal length, so that a
+shard covers a compact region and the least and greatest values of its files
+prune in every dimension.
 
 The order comes from a range shuffle: keys hold the id, so that a hot cell is
 split like any other, and each partition numbers its own rows. Only one count per
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from flowgauge.llm.common import append, bound_batches, grown, require, stored
 
-SAMPLE_ROWS = 20_000
 BITS = 8
 
 
@@ -62,23 +61,61 @@ def _plain(df: DataFrame, name: str):
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")) if numeric else F.col(name).cast("string")
 
 
-def level_cuts(docs: DataFrame, dims: list[str], id_col: str, bits: int, sample_rows: int = SAMPLE_ROWS) -> list[list]:
-    """At most 2**bits - 2 increasing cut values per column, from about ``sample_rows`` rows chosen by hash."""
-    n = docs.select(id_col).count()
-    share = min(1.0, sample_rows / max(n, 1))
-    key = F.pmod(F.xxhash64(F.lit("cut"), F.col(id_col), *[F.col(d) for d in dims]), F.lit(1 << 30))
-    # rows that repeat in everything fall together, so repeats are counted once
-    picked = docs.select(F.col(id_col).alias("__k"), *[_plain(docs, d).alias(f"d{i}") for i, d in enumerate(dims)], key.alias("__h"))
-    rows = picked.filter(F.col("__h") < int(share * (1 << 30))).distinct().drop("__k", "__h").toArrow()
-    cuts = []
-    for i in range(len(dims)):
-        values = sorted(v for v in rows.column(i).to_pylist() if v is not None)
-        most = (1 << bits) - 2
-        distinct = sorted(set(values))
-        if len(distinct) > most:
-            distinct = sorted({values[k * len(values) // most] for k in range(most)})
-        cuts.append(distinct)
-    return cuts
+def level_cuts(docs: DataFrame, dims: list[str], bits: int) -> list[list]:
+    """At most 2**bits - 2 increasing cut values per column: all its values, or those at even ranks of all rows.
+
+    Rows are counted by value before a shuffle by value ranges; each part runs up
+    its counts, so only sums of parts and the cuts reach the driver.
+    """
+    spark = docs.sparkSession
+    most = (1 << bits) - 2
+    sides = []
+    for i, d in enumerate(dims):
+        value = _plain(docs, d)
+        text = dict(docs.select(value.alias("v")).dtypes)["v"] == "string"
+        none = F.lit(None)
+        sides.append(
+            F.struct(
+                F.lit(i).alias("dim"),
+                (none.cast("double") if text else value).alias("number"),
+                (value if text else none.cast("string")).alias("text"),
+            )
+        )
+    each = docs.select(F.inline(F.array(*sides))).filter("number is not null or text is not null")
+    keys = ["dim", "number", "text"]
+    values = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = values.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+    def run_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, int] = {}
+        for batch in batches:
+            dim, n = batch.column("dim").to_numpy(), batch.column("n").to_numpy()
+            upto = np.zeros(len(n), np.int64)
+            for d in np.unique(dim).tolist():
+                here = dim == d
+                upto[here] = totals.get(d, 0) + np.cumsum(n[here])
+                totals[d] = int(upto[here][-1])
+            yield append(batch, upto=pa.array(upto))
+
+    counted = stored(ordered.mapInArrow(run_up, grown(ordered, "upto long")).withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted(tuple(r) for r in counted.groupBy("dim", "part").agg(F.sum("n"), F.count(F.lit(1))).collect())
+    if not sums:
+        return [[] for _ in dims]
+    total, kinds, shift = [0] * len(dims), [0] * len(dims), []
+    for dim, part, n, k in sums:
+        shift.append({"dim": dim, "part": part, "before": total[dim]})
+        total[dim] += n
+        kinds[dim] += k
+    shift = [x | {"total": total[x["dim"]], "few": kinds[x["dim"]] <= most} for x in shift]
+    # one row per column and partition of the shuffle above
+    joined = counted.join(F.broadcast(spark.createDataFrame(pa.Table.from_pylist(shift))), ["dim", "part"])
+    # a value is a cut if one of the ranks k * total div most, k below most, lies among its rows
+    first, last = (F.expr(f"(({at}) * {most}L + total - 1) div total") for at in ("before + upto - n", "before + upto"))
+    cuts: list[list] = [[] for _ in dims]
+    for r in joined.filter(F.col("few") | (first < last)).select(*keys).collect():
+        cuts[r["dim"]].append(r["text"] if r["number"] is None else r["number"])
+    return [sorted(c) for c in cuts]
 
 
 def hilbert_shards(
@@ -87,7 +124,6 @@ def hilbert_shards(
     shards: int,
     id_col: str = "doc_id",
     bits: int = BITS,
-    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Add ``curve``, ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
@@ -101,7 +137,7 @@ def hilbert_shards(
     spark = docs.sparkSession
     bound_batches(spark)
     kept = docs.select(*[c for c in docs.columns if c not in ("curve", "shard", "slot")])
-    cuts = level_cuts(kept, dims, id_col, bits, sample_rows)
+    cuts = level_cuts(kept, dims, bits)
     work = kept.select("*", *[_plain(kept, d).alias(f"__d{i}") for i, d in enumerate(dims)])
     n, top = len(kept.columns), (1 << bits) - 2
 

@@ -50,6 +50,27 @@ def test_shards_of_odd_rows(spark):
     assert hilbert.hilbert_shards(df.limit(0), ["source"], 4).count() == 0
 
 
+def test_cuts_come_from_all_rows(spark):
+    n = 60_000
+    rows = spark.range(n, numPartitions=5).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 600 == 7, F.concat(F.lit("rare"), F.col("id"))).otherwise("common").alias("source"),
+        F.pmod(F.col("id") * 7919, F.lit(n)).alias("x"),
+        F.when(F.col("id") < n // 2, 0).otherwise(F.col("id") % 1000).cast("double").alias("hot"),
+    )
+    plain = [tuple(r)[1:] for r in rows.collect()]
+    want = []
+    for column in zip(*plain):
+        values = sorted(column)
+        few = sorted(set(values))
+        want.append(few if len(few) <= 254 else sorted({values[k * n // 254] for k in range(254)}))
+    # each rare value has a level of its own; levels of a column without repeats differ by one row at most
+    assert hilbert.hilbert_shards(rows, ["source"], 4).select("curve").distinct().count() == 101 == len(want[0])
+    sizes = [r["count"] for r in hilbert.hilbert_shards(rows, ["x"], 4).groupBy("curve").count().collect()]
+    assert len(sizes) == 254 and max(sizes) - min(sizes) <= 1
+    assert hilbert.level_cuts(rows, ["source", "x", "hot"], 8) == want
+
+
 def test_files_prune(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars")
     hilbert.write_shards(hilbert.hilbert_shards(docs, ["lang", "n_chars"], 8), str(tmp_path / "s"), 8)
