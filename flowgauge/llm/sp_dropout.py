@@ -15,7 +15,8 @@ none is skipped any more: the ids, and the candidates still to be tried. Draws o
 all occurrences in a batch are made in arrays; only those that skip one go on to
 what is remembered, or found next, for that candidate skipped as well. Paths not
 met before are found together, many units side by side in arrays. This gives every
-occurrence exactly the segmentation of its own draws.
+occurrence exactly the segmentation of its own draws, whatever is remembered: when
+too many paths are, those used in the fewest batches are forgotten.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from flowgauge.llm.common import append, bound_batches, grown, require, runs
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIT = regex.compile(r" *\p{L}+| *[^\p{L} \n]+|\n+| +")
-#: Paths that a worker remembers before it starts anew, and the longest units remembered.
+#: Paths that a worker remembers before it forgets the less used half, and the longest units remembered.
 KEPT_PATHS = 800_000
 WIDTHS = (6, 8, 10, 12, 16, 24, 40)
 WIDE = WIDTHS[-1]
@@ -50,6 +51,7 @@ PLACES = 1 << 12
 #: Texts are taken together up to so many bytes, lists up to so many ids.
 TOGETHER = 1 << 20
 NEVER = 1 << 60
+LAST = np.int32((1 << 31) - 1)
 SPREAD, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 LONG = 0xFFFFFFFFFFFFFFFF
 
@@ -98,15 +100,17 @@ class Vocabulary:
         self.size = np.zeros(size, np.uint64)
         for p, i in self.ids.items():
             self.size[i] = len(p)
-        # (left id, right id) -> rank and id of the merged piece, as whole numbers in order
+        self.by_order = np.array(sorted(self.ids.values(), key=lambda i: (place[model.get_score(i)], i)), np.int32)
+        order = {i: k for k, i in enumerate(self.by_order.tolist())}
+        # (left id, right id) as whole numbers in order, and the order of the merged piece by rank and id
         pairs = {
-            self.ids[p[:k]] << 20 | self.ids[p[k:]]: self.rank[p] << 20 | i
+            self.ids[p[:k]] << 20 | self.ids[p[k:]]: order[i]
             for p, i in self.ids.items()
             for k in range(1, len(p))
             if p[:k] in self.ids and p[k:] in self.ids
         }
         self.pair_key = np.array(sorted(pairs), np.int64)
-        self.pair_value = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
+        self.pair_value = np.array([pairs[k] for k in self.pair_key.tolist()], np.int32)
         # ids of single signs by code point; a blank stands for U+2581, which is never read as a piece
         self.sign = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
@@ -130,6 +134,10 @@ class Column:
         self.data[self.n : n] = values
         self.n = n
 
+    def keep(self, values: np.ndarray) -> None:
+        """These values alone from now on."""
+        self.data, self.n = values.astype(self.data.dtype), len(values)
+
 
 class Pool:
     """Lists of numbers one after another."""
@@ -153,6 +161,13 @@ class Pool:
         at, size = self.places(numbers)
         return self.values.data[at], size
 
+    def keep(self, numbers: np.ndarray) -> None:
+        """These lists alone from now on, in this order."""
+        values, size = self.take(numbers)
+        self.values.keep(values)
+        self.start.keep(np.cumsum(size) - size)
+        self.size.keep(size)
+
 
 class Segmenter:
     """Splits units into ids, by draws of their own."""
@@ -160,16 +175,43 @@ class Segmenter:
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, kept_paths: int = KEPT_PATHS):
         self.vocabulary, self.seed, self.kept_paths = vocabulary, seed, kept_paths
         self.below = int(dropout * (1 << 32))
-        self._clear()
-
-    def _clear(self) -> None:
         self.roots: dict[str, int] = {}  # path of a unit without a skip
         self.units: list[str] = []
         self.signs, self.width = Pool(np.int32), Column(np.int8)  # of each unit; width 0: by the agenda
         self.ids, self.candidates = Pool(np.int32), Pool(np.uint64)  # of each path
         self.unit, self.parent, self.skipped = Column(np.int32), Column(np.int32), Column(np.uint64)
+        self.used = Column(np.int32)  # of each path: batches that came by it; of late ones more than of early ones
         self.next = Column(np.int32)  # of each candidate: the path that follows if it is skipped, 0 if not known
 
+    def _forget(self) -> None:
+        """Keep the paths used in the most batches, two at least, and half of the most remembered at most.
+
+        A path is used no more often than the one it follows, so that one stays with it.
+        """
+        used = self.used.data[: self.used.n]
+        at_least = np.cumsum(np.bincount(used)[::-1])[::-1]
+        least = max(2, np.count_nonzero(at_least > self.kept_paths // 2))
+        kept = np.flatnonzero(used >= least)
+        number = np.zeros(len(used), np.int64)
+        number[kept] = np.arange(len(kept))
+        places, _ = self.candidates.places(kept)
+        following = self.next.data[places]
+        # the first path kept follows none, so that 0 stands for none here too
+        self.next.keep(np.where(used[following] >= least, number[following], 0))
+        self.ids.keep(kept)
+        self.candidates.keep(kept)
+        parent = self.parent.data[kept]
+        self.parent.keep(np.where(parent > 0, number[parent - 1] + 1, 0))
+        self.skipped.keep(self.skipped.data[kept])
+        self.used.keep(used[kept] // 2)
+        units, of = np.unique(self.unit.data[kept], return_inverse=True)
+        self.unit.keep(of)
+        self.units = [self.units[i] for i in units.tolist()]
+        self.signs.keep(units)
+        self.width.keep(self.width.data[units])
+        first = np.flatnonzero(self.parent.data == 0)
+        self.roots = dict(zip([self.units[i] for i in of[first].tolist()], first.tolist()))
+
     def draws(self, documents: list[int], sizes: list[int]) -> np.ndarray:
         """One number for each unit of some documents, by document, seed and unit number."""
         seed = self.seed & LONG
@@ -190,25 +232,30 @@ class Segmenter:
     def merge(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in a row, how many each has), each unit by its own draw."""
         if self.unit.n > self.kept_paths:
-            self._clear()
+            self._forget()
         found = [*map(self.roots.get, units)]
         if None in found:
-            new = [*dict.fromkeys(u for u, f in zip(units, found) if f is None and len(u) <= WIDE)]
+            missing = [i for i, f in enumerate(found) if f is None]
+            new = [*dict.fromkeys(u for u in map(units.__getitem__, missing) if len(u) <= WIDE)]
             self.roots.update(zip(new, self._roots(new)))
-            found = [*map(self.roots.get, units, repeat(-1))]
+            for i in missing:
+                found[i] = self.roots.get(units[i], -1)
         path = np.array(found, np.int64)
+        self.used.data[path[path >= 0]] += 1
         waiting = np.flatnonzero(path >= 0) if self.below else path[:0]
         while len(waiting):
             places, size = self.candidates.places(path[waiting])
             row = np.repeat(np.arange(len(waiting)), size)
             skipped = np.flatnonzero(self._skips(draws[waiting][row], self.candidates.values.data[places]))
-            rows, first = np.unique(row[skipped], return_index=True)
-            waiting, at = waiting[rows], places[skipped[first]]
+            rows = row[skipped]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            waiting, at = waiting[rows[first]], places[skipped[first]]
             new, first = np.unique(at[self.next.data[at] == 0], return_index=True)
             if len(new):
                 of = path[waiting[self.next.data[at] == 0]][first]
                 self.next.data[new] = self._after(of, self.candidates.values.data[new])
             path[waiting] = self.next.data[at]
+            self.used.data[path[waiting]] += 1
         long = np.flatnonzero(path < 0)
         if not len(long):
             return self.ids.take(path)
@@ -258,6 +305,7 @@ class Segmenter:
                 numbers[part] = np.arange(self.unit.n, self.unit.n + len(part))
                 self.unit.add(units[part])
                 self.parent.add(parents[part])
+                self.used.add(np.zeros(len(part), np.int32))
                 self.skipped.add(gone[part, 0] if gone.shape[1] else np.zeros(len(part), np.uint64))
                 if width:
                     self._side_by_side(units[part], gone[part], width)
@@ -274,64 +322,65 @@ class Segmenter:
             self.ids.add(np.array(ids, np.int32), np.array([len(ids)]))
             self.candidates.add(np.array(after, np.uint64), np.array([len(after)]))
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank and id of what two pieces merge to, NEVER if nothing."""
+    def _pairs(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Order and place of what two pieces merge to, LAST if nothing."""
         v = self.vocabulary
+        # negative if a piece is missing
         wanted = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(v.pair_key, wanted), len(v.pair_key) - 1)
-        return np.where((left >= 0) & (right >= 0) & (v.pair_key[at] == wanted), v.pair_value[at], NEVER)
+        return np.where(v.pair_key[at] == wanted, v.pair_value[at] << 6 | place.astype(np.int32), LAST)
 
     def _side_by_side(self, units: np.ndarray, gone: np.ndarray, width: int) -> None:
-        """One row of pieces and one agenda of neighbours' merges per unit; each round tries every row's best candidate."""
+        """One column of linked pieces and one agenda of neighbours' merges per unit; each round tries every column's best candidate."""
         v, n = self.vocabulary, len(units)
         signs, sizes = self.signs.take(units)
-        part = np.full((n, width), -1, np.int32)
-        part[np.repeat(np.arange(n), sizes), np.arange(len(signs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = signs
+        # the piece that begins at a place is in the row after it; first and last row are never pieces
+        part = np.full((width + 2, n), -1, np.int32)
+        part[np.arange(1, len(signs) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(n), sizes)] = signs
+        agenda = self._pairs(part[1:-1], part[2:], np.arange(width)[:, None])
+        part = part.ravel()
+        after, before = (np.repeat(np.arange(d, width + 2 + d, dtype=np.int32), n) for d in (1, -1))
         last = gone[:, 0] if gone.shape[1] else np.full(n, LONG, np.uint64)
-        place = np.tile(np.arange(width, dtype=np.uint64), (n, 1))
-        agenda = self._pairs(part[:, :-1], part[:, 1:])
-        ends, lengths = part.copy(), sizes.copy()
-        index, columns = np.arange(n), np.arange(width)
+        index = np.arange(n)
         tried: list[tuple[np.ndarray, np.ndarray]] = []
-        # a row's candidates count from the last one skipped
+        # a unit's candidates count from the last one skipped
         counting = last == np.uint64(LONG)
         while len(index):
-            at = agenda.argmin(axis=1)
-            best = agenda[np.arange(len(index)), at]
-            open_ = best != NEVER
+            best = agenda.min(axis=0)
+            open_ = best != LAST
             if not open_.all():
-                ended = index[~open_]
-                ends[ended], lengths[ended] = part[~open_], sizes[~open_]
-                index, sizes, part, place, agenda, at, best = (x[open_] for x in (index, sizes, part, place, agenda, at, best))
+                still = np.flatnonzero(open_)
+                index, best, agenda = index[still], best[still], agenda.take(still, axis=1)
                 if not len(index):
                     break
-            rows = np.arange(len(index))
-            piece = (best & 0xFFFFF).astype(np.int32)
-            candidate = place[rows, at] << np.uint64(20) | v.size[piece]
-            told = counting[index]
-            tried.append((index[told], candidate[told]))
+            at, piece = best & 63, v.by_order[best >> 6]
+            candidate = at.astype(np.uint64) << np.uint64(20) | v.size[piece]
+            go, i = np.arange(len(index)), index
             if gone.shape[1]:
+                told = np.flatnonzero(counting[index])
+                tried.append((index[told], candidate[told]))
                 skip = (gone[index] == candidate[:, None]).any(axis=1)
                 counting[index[candidate == last[index]]] = True
-                agenda[rows[skip], at[skip]] = NEVER
-                rows, at, piece = rows[~skip], at[~skip], piece[~skip]
-            # close the gap that the right piece leaves
-            source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            moved = np.take_along_axis(part[rows], source, 1)
-            moved[:, -1] = -1
-            here = np.arange(len(rows))
-            moved[here, at] = piece
-            part[rows] = moved
-            place[rows] = np.take_along_axis(place[rows], source, 1)
-            sizes[rows] -= 1
-            left = np.take_along_axis(agenda[rows], np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
-            left[:, -1] = NEVER
-            inner = at < width - 1
-            left[here[inner], at[inner]] = self._pairs(piece[inner], moved[here[inner], at[inner] + 1])
-            later = at > 0
-            left[here[later], at[later] - 1] = self._pairs(moved[here[later], at[later] - 1], piece[later])
-            agenda[rows] = left
-        self.ids.add(ends[columns < lengths[:, None]], lengths)
+                agenda[at[skip], go[skip]] = LAST
+                go = go[~skip]
+                at, piece, i = at[go], piece[go], index[go]
+            else:
+                tried.append((index, candidate))
+            # the right piece leaves
+            here = (at + 1) * n + i
+            gap = after[here]
+            right = after[gap * n + i]
+            left = before[here]
+            after[here] = right
+            before[right * n + i] = at + 1
+            part[gap * n + i] = -1
+            part[here] = piece
+            agenda[gap - 1, go] = LAST
+            agenda[at, go] = self._pairs(piece, part[right * n + i], at)
+            # without a left piece this is the last place, which has no right one
+            agenda[left - 1, go] = self._pairs(part[left * n + i], piece, left - 1)
+        ends = part.reshape(width + 2, n).T
+        self.ids.add(ends[ends >= 0], (ends >= 0).sum(axis=1))
         of = np.concatenate([np.zeros(0, np.int64), *[i for i, _ in tried]])
         candidates = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in tried]])
         self.candidates.add(candidates[np.argsort(of, kind="stable")], np.bincount(of, minlength=n))

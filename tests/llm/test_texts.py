@@ -136,6 +136,23 @@ def test_remembered_paths_give_what_the_agenda_gives():
                 assert ids.tolist() == segmenter.by_heap(unit, draw), unit
 
 
+def test_common_units_stay_remembered(monkeypatch):
+    """Beyond the limit units met once are forgotten; those of every batch are found once only, and ids stay those of the agenda."""
+    asked = []
+    roots = sp_dropout.Segmenter._roots
+    monkeypatch.setattr(sp_dropout.Segmenter, "_roots", lambda self, units: asked.extend(units) or roots(self, units))
+    segmenter = sp_dropout.Segmenter(sp_dropout.Vocabulary(), 0.1, 3, 1500)
+    common = [f" {a}{b}" for a in ("inter", "over", "un", "re", "sub") for b in ("nation", "house", "view", "water", "  x", "\u4e00ne")]
+    for k in range(20):
+        units = common * 2 + [f" once{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+        draws = segmenter.draws([k], [len(units)])
+        flat, sizes = segmenter.merge(units, draws)
+        for unit, draw, ids in zip(units, draws.tolist(), np.split(flat, np.cumsum(sizes)[:-1])):
+            assert ids.tolist() == segmenter.by_heap(unit, draw), unit
+    assert len(asked) == len(set(asked)) == len(common) + 20 * 200
+    assert segmenter.unit.n < 3000 and set(common) < set(segmenter.roots) and len(segmenter.roots) < 2000
+
+
 def test_candidates_are_drawn_one_by_one():
     """Any two candidates are skipped together as often as independent ones, and all segmentations that these give occur."""
     import random
