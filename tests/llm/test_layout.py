@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,38 @@ def test_walk_stops_early():
     assert query.ids.tolist() == [17] and seen < 400
 
 
+def test_search_sends_no_vectors_through_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11), -float(i % 5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("id") % 10 == 0, block_rows=16)
+    assert found.count() == 400 and len(found.collect()) == 400
+    # a copy of each query for each slab: by the size of the table of queries this looked small enough to broadcast
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("width, most", [(2, 1000), (48, 500), (48, 3), (3, 2**30)])
+def test_slabs_and_blocks_of_queries_against_all_scores(width, most):
+    rng = np.random.default_rng(width + most)
+    x = rng.integers(-most, most, (900, width))
+    x[:300] //= 1 + most // 7  # small numbers in one block, large ones in the others
+    x[400:430] = x[400]
+    ids = rng.permutation(2000)[:900]
+    asked = np.flatnonzero(ids % 9 == 0)
+    rows = []
+    for slab in (0, 1):
+        parts = [(False, p, True) for p in np.array_split(np.arange(900), 6)[slab::2]] + [(True, p, False) for p in np.array_split(asked, 4)]
+        rows += [{"slab": slab, "asked": a, **topk._pack(ids[p], x[p], lists)} for a, p, lists in parts]
+    kinds = pa.schema([("slab", pa.int64()), ("asked", pa.bool_()), ("ids", pa.binary()), ("x", pa.binary()), ("n", pa.int64()), ("lists", pa.binary())])
+    got = {}
+    for batch in topk._search(10, width)(pa.RecordBatch.from_pylist(rows[i : i + 3], kinds) for i in range(0, len(rows), 3)):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    exact = x.astype(object)
+    for i in asked:
+        want = sorted((-int(s), int(v)) for s, v in zip(exact @ exact[i], ids) if v != ids[i])[:10]
+        assert len(got[ids[i]]) == 20 and sorted(got[ids[i]])[:10] == want
+
+
 def test_archives_of_odd_pages(spark, tmp_path):
     long, mid = "é" * 3000 + "\r\n\r\nWARC/1.1\r\nX-Archive: no\r\n" + "z" * 50, "m" * 1000
     rows = [(1, "http://a", long), (2, "bad url\r\nX: y", long), (3, None, long), (3, None, long), (4, "u", mid), (None, "u", mid), (5, "u", mid[:-1]), (6, "u", mid[:-1]), (7, "u", None), (8, "u", ""), (9, "u", "\r\n" * 2000)]
