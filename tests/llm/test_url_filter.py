@@ -126,6 +126,20 @@ def test_query_keeps_clean_hosts(spark):
     assert free and all(r["verdict"] == "allow" for r in free)
 
 
+def test_query_tells_with_every_context(spark):
+    labelled = [tuple(r) for r in url_filter.labelled_urls(spark).collect()]
+    plain = Plain(labelled)
+    few, plain.kept = plain.kept, {c for side in plain.n.values() for c, _ in side}
+    assert len(plain.kept) > 4 * len(few) and url_filter.train(url_filter.labelled_urls(spark), share=0.0).table.count() == len(plain.kept)
+    got = QUERIES["op13_url_filter"](spark, SF).collect()
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = parts(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule(host, path)[0])
+        assert r["score"] == pytest.approx(plain.score(host, path), abs=1e-5)
+
+
 def test_training_needs_both_classes(spark):
     one = spark.createDataFrame([("http://a.b/c", True), (None, False), ("x", False), ("http://b.c/", None)], "url string, accepted boolean")
     with pytest.raises(ValueError, match="accepted and rejected"):
