@@ -209,11 +209,12 @@ def _search(k: int, width: int):
                 queries = [Query(int(i), v, k) for i, v in zip(ids, x.astype(np.int64))]
                 for own, values, lists in blocks:
                     kind = _number_kind(values, x)
+                    values = values.astype(kind)
                     if kind is object:
                         for query in queries:
-                            query.walk(own, values.astype(object), lists)
+                            query.walk(own, values, lists)
                     else:
-                        _look_through(queries, x.astype(kind), own, values.astype(kind), lists)
+                        _look_through(queries, x.astype(kind), own, values, lists)
                 found = [(np.full(len(q.ids), q.own), q.ids, q.scores) for q in queries]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
